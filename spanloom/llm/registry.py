@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import pii, quality
+from . import dedup, packing, pii, quality, sharding
 
 QUERIES = {
+    "op3_packing": packing.query,
     "op7_quality_rules": quality.query,
     "op8_pii": pii.query,
+    "op9_minmax_dedup": dedup.query,
+    "op10_hilbert_sharding": sharding.query,
 }
 
 ORACLES = {"op7_quality_rules": quality.ORACLE}
