@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import dedup, packing, pii, quality, sharding
+from . import dedup, langid, packing, pii, quality, sharding, toxicity
 
 QUERIES = {
+    "op1_language_id": langid.query,
     "op3_packing": packing.query,
+    "op5_toxicity": toxicity.query,
     "op7_quality_rules": quality.query,
     "op8_pii": pii.query,
     "op9_minmax_dedup": dedup.query,
