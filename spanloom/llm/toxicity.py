@@ -8,9 +8,10 @@ words is fitted in numpy to the non-negative risk
     prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)])
 
 with the logistic loss: where the bracket turns negative, the classifier has begun to
-fit single positives, and its step is taken back.  Features are the distinct words of
-a text (runs of letters, lower-cased in A-Z) and their beginnings, hashed; a text's
-evidence is the sum of their weights, so repeated words count once.
+fit single positives, and its step is taken back.  Features, all hashed, are
+the distinct words of a text (runs of letters, lower-cased in A-Z) and for every stem
+(a word's first bytes) whether one, two or three distinct words begin with it; a
+text's evidence is the sum of their weights, so repeated words count once.
 
 Learning reads at most POSITIVES positives and UNLABELLED texts, drawn by hashed id; scoring reads every whole text.
 
@@ -42,17 +43,22 @@ DECAY = 1e-4
 #: a word gets a weight if its share among positives is this many times its share among
 #: unlabelled texts, and that many standard deviations above it
 LIFT = 2.0
-DEVIATIONS = 4.5
+DEVIATIONS = 6.0
+#: and if so many positives, and such a share of them, hold it: a handful of near copies
+#: must not decide
+LEAST_POSITIVES = 5
+LEAST_SHARE = 0.02
 
-#: bytes of a word's beginnings that are features beside the word itself
-STEMS = (4,)
+#: bytes of a stem; a stem is one feature for each count of distinct words up to STEM_WORDS
+STEM = 5
+STEM_WORDS = 3
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
 def word_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct word buckets of every text end to end, and where each starts (one more at the end)."""
+    """Sorted distinct feature buckets of every text end to end, and where each starts (one more at the end)."""
     data, at = text_bytes(column)
     if not len(data):
         return np.empty(0, np.int64), np.zeros(len(at), np.int64)
@@ -62,12 +68,19 @@ def word_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     start[heads] = inside[1:-1][heads]
     stop[tails] = inside[1:-1][tails]
     starts, ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    found = [span_hashes(data, starts, ends, lower=True)]
-    for k in STEMS:
-        found.append(mix64(span_hashes(data, starts, np.minimum(ends, starts + k), lower=True) + np.uint64(k)))
-    bucket = (np.concatenate(found) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     owner = np.searchsorted(at, starts, "right") - 1
-    keys = np.unique(np.tile(owner, len(found)) << BUCKET_BITS | bucket)
+    words = span_hashes(data, starts, ends, lower=True)
+    _, once = np.unique(words + mix64(owner), return_index=True)
+    starts, ends, owner, words = starts[once], ends[once], owner[once], words[once]
+    stems = span_hashes(data, starts, np.minimum(ends, starts + STEM), lower=True)
+    _, first, held = np.unique(stems + mix64(owner), return_index=True, return_counts=True)
+    found, owners = [words], [owner]
+    for k in range(1, STEM_WORDS + 1):
+        some = first[held >= k]
+        found.append(mix64(stems[some] + np.uint64(k)))
+        owners.append(owner[some])
+    bucket = (np.concatenate(found) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    keys = np.unique(np.concatenate(owners) << BUCKET_BITS | bucket)
     return keys & ((1 << BUCKET_BITS) - 1), np.searchsorted(keys, np.arange(len(at)) << BUCKET_BITS)
 
 
@@ -96,6 +109,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     share = (in_pos + in_unl) / (n + m)
     above = in_pos / n - in_unl / m
     often = (above > DEVIATIONS * np.sqrt(share * (1 - share) * (1 / n + 1 / m))) & (in_pos / n >= LIFT * in_unl / m)
+    often &= in_pos >= max(LEAST_POSITIVES, LEAST_SHARE * n)
     column = np.cumsum(often) - 1
     width = int(often.sum())
 
