@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import dedup, langid, packing, pii, quality, sharding, toxicity
+from . import dedup, langid, neighbours, packing, pii, quality, sharding, toxicity
 
 QUERIES = {
     "op1_language_id": langid.query,
+    "op2_multiprobe_neighbours": neighbours.query,
     "op3_packing": packing.query,
     "op5_toxicity": toxicity.query,
     "op7_quality_rules": quality.query,
