@@ -10,16 +10,17 @@ of (1 - 0.85 ** 6) ** 32 < 3e-7.
 
 1. Documents with equal sets collapse to one node, named by their smallest id, so
    copies in any number cost one node.
-2. Nodes that share a band bucket are compared in rounds: first all members with the
-   bucket's smallest node, then with a growing random share of members as pivots
-   until every member has been one.  Members that already have the same component
-   are never compared; a bucket ends as soon as its members agree.  No pair with
-   different components in one bucket is left out, and no group is expanded into its
-   pairs while it is connected.
-3. Pairs whose signatures rule the threshold out by over six standard deviations go;
-   the rest is confirmed on the full sets.
-4. Links become components by minimum labels with pointer jumping, on the graph of
-   the components found so far.
+2. Every bucket has a hub, its member with the most crowded buckets; members are
+   compared with their hubs.  In a family of near copies the hub lies in the middle
+   and links most of them at once.
+3. Pairs with a hub whose signatures rule the threshold out by over six standard
+   deviations go; the rest is confirmed on the full sets.  Links become components by
+   minimum labels with pointer jumping.
+4. A hub whose members now share one component is done.  For the others all members
+   are compared across components, exactly, in blocks of bounded size: a block pair
+   is one task that counts common shingles by matrix products and returns a forest of
+   the links it found.  Two nodes that share a bucket share its hub, so no candidate
+   pair of different components is left out, and no pair is ever a row.
 
 Defined results: null and blank texts have the empty set, link with nothing and are
 their own component.  Rows that repeat a doc_id stand for one document.  A row with a
@@ -32,6 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +49,12 @@ BANDS = 2 * PERMUTATIONS // ROWS
 MARGIN = 0.17
 #: pairs of sets smaller than this are confirmed without looking at signatures
 SMALL = 64
-#: from round to round, that many times more members of a bucket are pivots
-GROWTH = 8
+#: members and shingles of a block at most (one document may hold more)
+BLOCK = 4096
+BLOCK_SHINGLES = 1_000_000
+#: shingles that more members hold are counted by matrix products, others one by one
+DENSE = 32
+STRIP = 512
 #: ids that may be broadcast; more are joined by shuffling
 BROADCAST_IDS = 200_000
 
@@ -171,45 +177,117 @@ def _links(pairs: DataFrame, active: DataFrame) -> DataFrame:
     return near.select("a", "b", "one", "two").mapInArrow(_confirmed, f"a {kind}, b {kind}")
 
 
+def _common(sets: list[np.ndarray]):
+    """Strips of the matrix of common shingles: first row, counts of STRIP rows with all rows."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, token, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    dense = held > DENSE
+    column = np.cumsum(dense) - 1
+    pick = dense[token]
+    one, two = owner[pick], column[token[pick]]
+    few = np.flatnonzero((held[token] > 1) & ~pick)
+    few = few[np.argsort(token[few], kind="stable")]
+    a, b = [], []
+    for shift in range(1, DENSE):  # pairs of holders of one shingle, by their distance in the list
+        same = token[few[shift:]] == token[few[:-shift]] if len(few) > shift else np.empty(0, bool)
+        if not same.any():
+            break
+        x, y = owner[few[:-shift][same]], owner[few[shift:][same]]
+        a += [x, y]
+        b += [y, x]
+    a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    width = int(dense.sum())
+    for lo in range(0, n, STRIP):
+        hi = min(n, lo + STRIP)
+        found = np.zeros((hi - lo, n), np.float32)
+        for left in range(0, width, 2048):
+            part = np.zeros((n, min(2048, width - left)), np.float32)
+            mine = (two >= left) & (two < left + 2048)
+            part[one[mine], two[mine] - left] = 1
+            found += part[lo:hi] @ part.T
+        x, y = np.searchsorted(a, (lo, hi))
+        np.add.at(found, (a[x:y] - lo, b[x:y]), 1)
+        yield lo, found
+
+
+def forest(nodes: list, labels: list, sets: list[np.ndarray]) -> list[tuple]:
+    """Links (node, node) that join different labels, as many as it takes to join all that can be."""
+    sizes = np.array([len(x) for x in sets])
+    _, group = np.unique(np.array(labels), return_inverse=True)
+    above = list(range(len(nodes)))
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    out = []
+    for lo, common in _common(sets):
+        linked = 100 * common >= PERCENT * (sizes[lo : lo + len(common), None] + sizes - common)
+        linked &= group[lo : lo + len(common), None] != group
+        for i in np.flatnonzero(linked.any(axis=1)):
+            partners = np.flatnonzero(linked[i])
+            for j in partners[np.unique(group[partners], return_index=True)[1]]:
+                x, y = top(int(group[lo + i])), top(int(group[j]))
+                if x != y:
+                    above[y] = x
+                    out.append((nodes[lo + i], nodes[j]))
+    return out
+
+
+def _cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("node")
+    found = forest(rows.node.tolist(), rows.label.tolist(), [np.frombuffer(x, np.uint64) for x in rows.members])
+    return pd.DataFrame(found, columns=["a", "b"], dtype=rows.node.dtype)
+
+
+def _links_within(members: DataFrame, active: DataFrame) -> DataFrame:
+    """Links across labels among the rows (hub, node, label) of every hub."""
+    rows = members.join(active.select("node", "n"), "node")
+    sizes = rows.groupBy("hub").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+    rows = rows.join(sizes.select("hub", blocks.alias("k")), "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
+    rows = rows.select("hub", "node", "label", F.explode(cells).alias("cell"))
+    rows = rows.join(active.select("node", "members"), "node").select("hub", "node", "label", "cell.i", "cell.j", "members")
+    kind = members.schema["node"].dataType.simpleString()
+    return rows.groupBy("hub", "i", "j").applyInPandas(_cell, f"a {kind}, b {kind}").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id, kept."""
     every = materialize(sketches(docs, id_col, text_col), "sketches")
     classes = every.where("n_shingles > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("node"))
-    nodes = every.select("id", "hi", "lo", "signature").join(classes, ["hi", "lo"]).where("id = node")
+    nodes = every.join(classes.withColumnRenamed("node", "id"), ["hi", "lo", "id"]).withColumnRenamed("id", "node")
     width = 2 * ROWS
     bands = [F.xxhash64(F.substring("signature", j * width + 1, width), F.lit(j)) for j in range(BANDS)]
     rows = nodes.select("node", F.explode(F.array(*bands)).alias("bucket"))
-    heads = rows.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("bucket", "head")
-    shared = materialize(rows.join(heads, "bucket"), "buckets")
+    crowds = rows.groupBy("bucket").agg(F.count("*").alias("crowd"), F.min("node").alias("x"), F.max("node").alias("y")).where("x < y")
+    shared = materialize(rows.join(crowds.select("bucket", "crowd"), "bucket"), "buckets")
 
-    ids = shared.select("node").distinct()
-    ids = materialize(ids, "active")
+    nodes = materialize(shared.groupBy("node").agg(F.sum("crowd").alias("weight")), "active")
+    ids = nodes.select("node")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     texts = texts.join(ids, texts.id == ids.node, "left_semi")
     active = materialize(texts.mapInArrow(_full_sets, f"node {kind}, n bigint, signature binary, members binary"), "sets")
 
-    pairs = materialize(shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    tested = pairs
+    hubs = shared.join(nodes, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "node")).alias("h")).select("bucket", F.col("h.node").alias("hub"))
+    around = materialize(shared.select("bucket", "node").join(hubs, "bucket").where("node <> hub").select("hub", "node").distinct(), "hubs")
+    pairs = around.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     labels = components(_links(pairs, active))
-    open_rows, pivots = shared.select("bucket", "node"), 1
-    while True:
-        pivots *= GROWTH
-        rows = open_rows.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        mixed = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x < y").select("bucket", "size")
-        rows = materialize(rows.join(mixed, "bucket"), "open")
-        if rows.isEmpty():
-            break
-        draw = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) * F.col("size") < F.lit(pivots << 30)
-        heads = rows.where(draw).select("bucket", F.col("node").alias("p"), F.col("label").alias("pl"))
-        found = rows.join(heads, "bucket").where("label <> pl").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        found = materialize(found.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(found)
-        links = materialize(_links(found, active), "links")
-        if not links.isEmpty():
-            labels = merged(labels, links)
-        open_rows = rows.where(F.col("size") > pivots).select("bucket", "node")
+
+    members = around.unionByName(around.select("hub", F.col("hub").alias("node")).distinct())
+    members = members.join(labels, "node", "left").select("hub", "node", F.coalesce("label", "node").alias("label"))
+    mixed = members.groupBy("hub").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("hub")
+    links = materialize(_links_within(materialize(members.join(mixed, "hub"), "members"), active), "links")
+    if not links.isEmpty():
+        labels = merged(labels, links)
+
     named = classes.join(labels, "node", "left").select("hi", "lo", F.coalesce("label", "node").alias("component"))
     out = every.select("id", "n_shingles", "hi", "lo").join(named, ["hi", "lo"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
@@ -217,6 +295,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose document is the smallest of its component."""
+    gone = materialize(near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("gone")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+
+
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after further links: components of the graph whose nodes are the labels so far."""
     a = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
