@@ -10,7 +10,8 @@ documents, the open windows and a bounded cache of word ids.
 
 Token ids come from a tokenizer file of the `tokenizers` library.  Its pre-tokenizer
 never joins across a blank, so ids of the pieces between blanks and newlines are
-looked up in the cache and only new pieces are encoded.
+looked up in the cache; of a new piece only the lower-cased letters and the marks
+behind them are encoded, if they are new too.
 
 Defined results: a null text counts as empty and has the end id alone.  Rows are
 packed one by one, so repeated rows and null ids appear as often as they come in.  An
@@ -20,6 +21,7 @@ empty table gives an empty result.  Further columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -38,12 +40,20 @@ LENGTH = 2048
 END_ID = 1
 WINDOWS = 64
 MERGE = 64
-#: words whose ids a Python worker remembers; the cache is emptied when it is full
-CACHE_WORDS = 300_000
+#: words whose ids a Python worker remembers
+CACHE_WORDS = 1_200_000
+
+
+#: a run of letters, then ASCII marks: the pre-tokenizer cuts between the two
+_LETTERS_MARKS = re.compile(r"([^\W\d_]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^`{|}~]+)")
 
 
 class WordIds:
-    """Token ids of texts, as little-endian 32-bit bytes, by way of a cache of words."""
+    """Token ids of texts, as little-endian 32-bit bytes, by way of a cache of words.
+
+    The cache has two generations of at most CACHE_WORDS / 2 words; a word that is met
+    again moves to the younger one.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,16 +61,48 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [x.replace("\n", " ").split(" ") for x in texts]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, list(set().union(*split))
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
+        if len(self.known) > CACHE_WORDS // 2:
+            self.known, self.older = {}, self.known
+        self._learn(set().union(*split).difference(self.known))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
+    def _learn(self, words: set[str]) -> None:
+        known, older = self.known, self.older
+        parts: dict[str, tuple[str, ...]] = {}
+        for word in words:
+            if (ids := older.get(word)) is not None:
+                known[word] = ids
+                continue
+            cut = _LETTERS_MARKS.fullmatch(word)
+            # a letter may turn into a letter and a mark in lower case
+            plain = cut and cut[1].lower().isalpha()
+            parts[word] = tuple(map(_lowered, cut.groups() if plain else (word,)))
+        bare = {x for found in parts.values() for x in found}
+        new = [x for x in bare if x not in known and x not in older]
+        if new:
+            found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            at = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(new) + 1))
+            for i, word in enumerate(new):
+                known[word] = ids[at[i] : at[i + 1]].tobytes()
+        for word in bare.difference(known):
+            known[word] = older[word]
+        for word, found in parts.items():
+            known[word] = b"".join([known[x] for x in found])
+
+
+def _lowered(word: str) -> str:
+    """The word in lower case where that is plain to see, which the tokenizer would do itself."""
+    try:
+        word.encode("latin-1")
+    except UnicodeEncodeError:
+        return word
+    return word.lower()
+
 
 _ENCODERS: dict[str, WordIds] = {}
 
