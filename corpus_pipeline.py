@@ -8,26 +8,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import pii, quality
+from spanloom.llm import dedup, langid, packing, pii, quality
 from spanloom.llm.common import materialize, table
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of no or no clear language go."""
+    return langid.identified(docs, langid.fit(docs))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a rule of the current policy go."""
     return quality.passing(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near-duplicates the document with the smallest id stays."""
+    return dedup.representatives(docs)
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is masked in the texts; every document stays."""
     return pii.mask_documents(docs)
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document is packed into training sequences; one row a piece."""
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("language id", language_id),
     ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
     ("personal data", personal_data),
+    ("packing", packed),
 ]
 
-#: Model training and token packing are beyond SQL.
+#: Model training, hashing and token packing are beyond SQL.
 ORACLE_SQL = None
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import dedup, langid, neighbours, packing, pii, quality, sharding, toxicity
+from . import dedup, edits, langid, neighbours, packing, pii, quality, sharding, toxicity, unigram
 
 QUERIES = {
     "op1_language_id": langid.query,
     "op2_multiprobe_neighbours": neighbours.query,
     "op3_packing": packing.query,
+    "op4_edit_aware_counts": edits.query,
     "op5_toxicity": toxicity.query,
+    "op6_unigram_pieces": unigram.query,
     "op7_quality_rules": quality.query,
     "op8_pii": pii.query,
     "op9_minmax_dedup": dedup.query,
