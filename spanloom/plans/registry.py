@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from spanloom.plans import trace_queries
+
 FLAGSHIP = "M1_waterfall"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = dict(trace_queries.QUERIES)
+ORACLES: dict[str, str] = dict(trace_queries.ORACLES)
