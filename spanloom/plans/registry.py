@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.plans import trace_queries
+from spanloom.plans import trace_queries, usage_queries  # noqa: F401
 
 FLAGSHIP = "M1_waterfall"
 QUERIES: dict = dict(trace_queries.QUERIES)
