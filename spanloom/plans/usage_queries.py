@@ -58,3 +58,53 @@ def cost(spark, sf_dir):
     rates = spark.createDataFrame([("openai", "m1", "2.5", "10", None, None, None), ("anthropic", "m1", "3", "15", "0.3", "3.75", None)], "provider string, model string, input string, output string, cache_read string, cache_write string, reasoning string")
     found = ledger.estimate_cost(ledger.usage_ledger(_calls(spark, sf_dir))[0], rates)
     return found.select("trace_id", (F.col("cost").cast("decimal(38,9)") * 1_000_000_000).cast("bigint").alias("cost_nano"), "reason")
+
+
+def _responses(spans):
+    """The calls as responses: every turn but each third names the one before it."""
+    attr = lambda key, value: F.struct(F.lit(key).alias("key"), F.lit("str").alias("value_type"), value.cast("string").alias("value"))
+    return F.array(
+        attr("gen_ai.operation.name", F.lit("chat")), attr("gen_ai.response.id", F.col("span_id")), attr("gen_ai.request.previous_response.id", F.when(F.col("started_ns") % 3000 != 0, F.col("prev"))),
+        attr("gen_ai.conversation.compacted", F.when(F.col("compacted"), F.lit("true"))), attr("gen_ai.usage.input_tokens", F.col("output_tokens")), attr("gen_ai.usage.output_tokens", F.col("input_tokens")),
+    )
+
+
+_LINKS = "array<struct<trace_id:string,span_id:string,trace_state:string,attributes:array<struct<key:string,value_type:string,value:string>>,dropped_attributes_count:bigint,flags:bigint>>"
+
+
+@register("L6_compaction_report", f"""{sql('td_usage')}, o AS (SELECT *, CASE WHEN started_ns % 3000 <> 0 THEN prev END AS p FROM td_usage)
+  SELECT o.trace_id, row_number() OVER (PARTITION BY o.trace_id ORDER BY o.started_ns) AS sequence, o.span_id, o.p AS previous_id, CASE WHEN o.p IS NULL THEN 'root' ELSE 'linked' END AS chain_status,
+    CASE WHEN o.compacted THEN 'detected' ELSE 'unknown' END AS compaction, o.output_tokens - b.output_tokens AS input_shift,
+    CASE WHEN NOT o.compacted OR b.span_id IS NULL THEN 'unknown' WHEN o.output_tokens < b.output_tokens THEN 'detected' ELSE 'not_detected' END AS context_reset
+  FROM o LEFT JOIN o b ON b.span_id = o.p""")
+def compaction(spark, sf_dir):
+    from spanloom.operators import chain
+
+    rows = view(spark, sf_dir, "td_usage")
+    zero = F.lit(0).cast("bigint")
+    spans = rows.select("trace_id", "span_id", F.col("started_ns").cast("bigint").alias("started_ns"), _responses(rows).alias("attributes"), F.array().cast(_LINKS).alias("links"), zero.alias("dropped_attributes_count"), zero.alias("dropped_links_count"))
+    found = chain.compaction_report(spans)[0]
+    return found.select("trace_id", "sequence", "span_id", "previous_id", "chain_status", "compaction", "input_shift", "context_reset")
+
+
+_MASKS = [
+    ("AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|sk-[A-Za-z0-9]{20,}|xox[baprs]-[A-Za-z0-9-]{10,}", "‹redacted›"),
+    (r"(?i)Bearer\s+[A-Za-z0-9._~+/-]{8,}={0,2}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "‹redacted›"),
+    (r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", "‹redacted-email›"),
+    (r"/Users/[^/\s]+|/home/[^/\s]+", "/home/‹redacted›"),
+]
+
+
+def _nested(text: str) -> str:
+    for pattern, new in _MASKS:
+        text = f"regexp_replace({text}, '{pattern}', '{new}', 'g')"
+    return text
+
+
+@register("F8_redact_text", f"""{sql('td_text')} SELECT id, CASE WHEN {' OR '.join(f"regexp_matches(text, '{p}')" for p, _ in _MASKS)} THEN 'mask' WHEN text IS NOT NULL THEN 'retain' END AS action,
+  sha256({_nested('text')}) AS digest FROM td_text""")
+def redact_text(spark, sf_dir):
+    from spanloom.operators import redaction
+
+    found = redaction.redact_column(view(spark, sf_dir, "td_text"), "text")
+    return found.select("id", F.col("redacted_action").alias("action"), F.sha2(F.col("redacted_value").cast("binary"), 256).alias("digest"))
