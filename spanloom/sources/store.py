@@ -15,13 +15,17 @@ from spanloom.sources.readers import ATTRIBUTES, LINKS
 TABLES = ("traces", "spans", "span_attributes", "span_diagnostics", "span_links", "span_link_attributes")
 
 
-def write_spans(spans: DataFrame, path: str, source: str, policy: Policy | None = DEFAULT_POLICY, mode: str = "append") -> None:
-    """Write spans as tables under `path`, partitioned by source and day of the trace's start."""
+def write_spans(spans: DataFrame, path: str, source: str, policy: Policy | None = DEFAULT_POLICY, mode: str = "append", grain: str = "day") -> None:
+    """Write spans as tables under `path`, partitioned by source and start of the trace.
+
+    `grain` (day, month, year) sets how coarse `trace_date` is; rows are rebalanced by it,
+    so that a date gets few files and a busy one is split.
+    """
     spans = first_wins(spans, ["trace_id", "span_id"])
     if policy:
         spans = redact_spans(spans, policy)
     traces = trace_summaries(spans)
-    day = F.to_date(F.timestamp_micros(F.expr("started_ns div 1000")))
+    day = F.to_date(F.date_trunc(grain, F.timestamp_micros(F.expr("started_ns div 1000"))))
     keyed = spans.join(traces.select("trace_id", day.alias("trace_date")), "trace_id")
     links = keyed.select("trace_date", "trace_id", "span_id", F.posexplode("links").alias("link_index", "l"))
     tables = {
@@ -33,7 +37,7 @@ def write_spans(spans: DataFrame, path: str, source: str, policy: Policy | None
         "span_link_attributes": links.select("trace_date", "trace_id", "span_id", "link_index", F.explode("l.attributes").alias("a")).select("trace_date", "trace_id", "span_id", "link_index", "a.*"),
     }
     for name, rows in tables.items():
-        rows.withColumn("source", F.lit(source)).write.mode(mode).partitionBy("source", "trace_date").parquet(posixpath.join(path, name))
+        rows.withColumn("source", F.lit(source)).hint("rebalance", "trace_date").write.mode(mode).partitionBy("source", "trace_date").parquet(posixpath.join(path, name))
 
 
 def read_spans(spark: SparkSession, path: str, where: str = "true") -> DataFrame:
