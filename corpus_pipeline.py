@@ -9,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import dedup, langid, packing, pii, quality
-from spanloom.llm.common import materialize, table
+from spanloom.llm.common import materialize, small_batches, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no or no clear language go."""
+    small_batches(spark)
     return langid.identified(docs, langid.fit(docs))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a rule of the current policy go."""
+    small_batches(spark)
     return quality.passing(docs)
 
 
@@ -29,6 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is masked in the texts; every document stays."""
+    small_batches(spark)
     return pii.mask_documents(docs)
 
 

@@ -38,15 +38,27 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Exchange at most a thousand rows at once with Python, unless the session says otherwise.
+
+    Texts are long: the default of 10000 rows keeps tens of megabytes several times over.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to a new shared table and read it back, which cuts its lineage."""
     spark = df.sparkSession
+    small_batches(spark)
     path = posixpath.join(shared_dir(spark), f"spanloom-{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -62,7 +74,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
     """Cut a batch so that each piece holds about `limit` bytes of text, a row at least."""
     if batch.num_rows == 0:
         return
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(text_column(batch, column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     at = 0
     while at < batch.num_rows:
@@ -70,6 +82,15 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
+
+
+def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
+    """A text column of a batch, or of its struct `row` (rows of a table are never null)."""
+    if name in batch.schema.names:
+        return batch.column(name)
+    row = batch.column("row")
+    return pc.cast(row.field(row.type.get_field_index(name)), pa.string())
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -50,8 +50,8 @@ MARGIN = 0.17
 #: pairs of sets smaller than this are confirmed without looking at signatures
 SMALL = 64
 #: members and shingles of a block at most (one document may hold more)
-BLOCK = 4096
-BLOCK_SHINGLES = 1_000_000
+BLOCK = 2048
+BLOCK_SHINGLES = 500_000
 #: shingles that more members hold are counted by matrix products, others one by one
 DENSE = 32
 STRIP = 512

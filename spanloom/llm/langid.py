@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, table, text_bytes
+from .common import held_out, slices, table, text_bytes, text_column
 
 UNKNOWN = "und"
 HIDDEN = 8
@@ -206,11 +206,11 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def _predictions(net: Network | None):
+def _predictions(net: Network | None, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                column = part.column("text")
+            for part in slices(batch, text):
+                column = text_column(part, text)
                 lettered = np.array([has_letter(x) for x in column.to_pylist()], bool)
                 names, score = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows)
                 if net:
@@ -237,13 +237,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def labelled(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
     """Every row of `docs` whole, as the struct `row`, with lang_pred and score."""
-    whole = docs.select(F.struct(*[docs[f"`{x}`"] for x in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
-    return whole.mapInArrow(_predictions(net), f"row {whole.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    whole = docs.select(F.struct(*[docs[f"`{x}`"] for x in docs.columns]).alias("row"))
+    return whole.mapInArrow(_predictions(net, text_col), f"row {whole.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, lang_pred and score of every row."""
-    found = labelled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), net)
+    found = labelled(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), net)
     return found.select(F.col("row.id").alias(id_col), held_out(F.col("row.id")).alias("held_out"), "lang_pred", "score")
 
 

@@ -255,7 +255,8 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST, id_col: str = "
     kind = rows.schema["id"].dataType.simpleString()
     items = materialize(index.mapInArrow(_index(hashes), f"tab int, bucket bigint, id {kind}, vector binary"), "tables")
     taken = items.select("tab", "bucket").distinct()
-    visits = asks.mapInArrow(_probes(hashes), f"tab int, bucket bigint, qid {kind}").join(taken, ["tab", "bucket"], "left_semi")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    visits = asks.repartition(parts, "id").mapInArrow(_probes(hashes), f"tab int, bucket bigint, qid {kind}").join(taken, ["tab", "bucket"], "left_semi")
     visits = materialize(visits, "visits")
     encode = asks.select(F.col("id").alias("qid"), "vector").mapInArrow(_bytes, f"qid {kind}, vector binary")
     visits = _blocks(visits, "qid", BLOCK).join(encode, "qid").withColumnRenamed("qid", "id")

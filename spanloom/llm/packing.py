@@ -41,7 +41,7 @@ END_ID = 1
 WINDOWS = 64
 MERGE = 64
 #: words whose ids a Python worker remembers
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 500_000
 
 
 #: a run of letters, then ASCII marks: the pre-tokenizer cuts between the two

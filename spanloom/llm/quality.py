@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, slices, span_hashes, sums, table, text_bytes, window_hashes, word_bounds
+from .common import BLANK, slices, span_hashes, sums, table, text_bytes, text_column, window_hashes, word_bounds
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOLS = np.zeros(256, bool)
@@ -80,25 +80,28 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            found = measure(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("row"), *map(pa.array, found.values())], ["row", *found])
+def _measures(text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                found = measure(text_column(part, text))
+                yield pa.RecordBatch.from_arrays([part.column("row"), *map(pa.array, found.values())], ["row", *found])
+
+    return run
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Every row of `docs` whole, as the struct `row`, beside its measurements and `fail_bits`."""
-    whole = docs.select(F.struct(*[docs[f"`{x}`"] for x in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    whole = docs.select(F.struct(*[docs[f"`{x}`"] for x in docs.columns]).alias("row"))
     columns = ", ".join(f"{x} bigint" for x in (*MEASURES, "n_lines"))
-    found = whole.mapInArrow(_measures, f"row {whole.schema['row'].dataType.simpleString()}, {columns}")
+    found = whole.mapInArrow(_measures(text_col), f"row {whole.schema['row'].dataType.simpleString()}, {columns}")
     bits = " + ".join(f"CASE WHEN {condition} THEN {1 << k} ELSE 0 END" for k, (_, condition) in enumerate(RULES))
     return found.withColumn("fail_bits", F.expr(f"CAST({bits} AS BIGINT)"))
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, measurements and `fail_bits` over all RULES."""
-    return measured(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select(
+    return measured(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).select(
         F.col("row.id").alias(id_col), *MEASURES, "n_lines", "fail_bits"
     )
 
