@@ -36,8 +36,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document is packed into training sequences; one row a piece."""
-    return packing.pack(docs)
+    """Every document is packed into training sequences of token ids; one row a sequence."""
+    return packing.sequences(docs)
 
 
 STAGES = [

@@ -8,6 +8,9 @@ Windows still open at the end of a partition are left over; they are merged, who
 by the same rule over groups of MERGE partitions.  Memory per task is one batch of
 documents, the open windows and a bounded cache of word ids.
 
+Windows are written with the token ids of their pieces.  `pack` returns every piece
+with its ids, `sequences` the padded training sequences.
+
 Token ids come from a tokenizer file of the `tokenizers` library.  Its pre-tokenizer
 never joins across a blank, so ids of the pieces between blanks and newlines are
 looked up in the cache; of a new piece only the lower-cased letters and the marks
@@ -22,7 +25,6 @@ from __future__ import annotations
 
 import os
 import re
-import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -38,6 +40,8 @@ from .common import materialize, slices, table
 
 LENGTH = 2048
 END_ID = 1
+#: fills the rest of a sequence; its `used` tells where that begins
+PAD_ID = 0
 WINDOWS = 64
 MERGE = 64
 #: words whose ids a Python worker remembers
@@ -143,7 +147,7 @@ class OpenWindows:
             self._close(window)
 
 
-_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "window", "offset", "open"]
+_PIECE = ["doc_id", "start", "length", "doc_tokens", "offset"]
 
 
 def _pack(path: str, windows: int, length: int):
@@ -152,9 +156,16 @@ def _pack(path: str, windows: int, length: int):
         part, end, kind = TaskContext.get().partitionId(), np.array([END_ID], "<u4").tobytes(), None
 
         def rows(found: list[tuple[int, list]], still_open: bool) -> pa.RecordBatch:
-            out = [(*item, part, window, offset, still_open) for window, items in found for item, offset in items]
-            arrays = [pa.array(x, kind if k == 0 else pa.bool_() if k == 8 else pa.int64()) for k, x in enumerate(zip(*out))]
-            return pa.RecordBatch.from_arrays(arrays, _COLUMNS)
+            """One row a window: the ids of its pieces end to end, and the pieces."""
+            out = [(*item[:-1], offset) for _, items in found for item, offset in items]
+            fields = [pa.array(x, kind if k == 0 else pa.int64()) for k, x in enumerate(zip(*out))]
+            at = np.cumsum([0, *(len(items) for _, items in found)])
+            ids = [b"".join([item[-1] for item, _ in items]) for _, items in found]
+            arrays = [
+                pa.array([part] * len(found), pa.int64()), pa.array([x for x, _ in found], pa.int64()), pa.array([still_open] * len(found), pa.bool_()),
+                pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(fields, _PIECE)),
+            ]
+            return pa.RecordBatch.from_arrays(arrays, ["part", "window", "open", "used", "ids", "pieces"])
 
         for batch in batches:
             kind = batch.schema.field("id").type
@@ -165,8 +176,7 @@ def _pack(path: str, windows: int, length: int):
                     total = len(ids) // 4
                     for start in range(0, total, length):
                         size = min(length, total - start)
-                        item = (doc, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), total)
-                        state.place(item, size)
+                        state.place((doc, start, size, total, ids[4 * start : 4 * (start + size)]), size)
                 if state.closed:
                     yield rows(state.closed, False)
                     state.closed = []
@@ -189,22 +199,74 @@ def _merge(windows: int, length: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, windows: int = WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def _windows(docs: DataFrame, tokenizer: str | None, length: int, windows: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Windows closed in their partition, and those left over with their place `base` in a merged one."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    numbers = ", ".join(f"{x} bigint" for x in _COLUMNS[1:-1])
     kind = rows.schema["id"].dataType.simpleString()
+    pieces = f"array<struct<doc_id:{kind}," + ",".join(f"{x}:bigint" for x in _PIECE[1:]) + ">>"
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    pieces = materialize(rows.mapInArrow(_pack(path, windows, length), f"doc_id {kind}, {numbers}, open boolean"), "pieces")
-    left = pieces.where("open").groupBy("part", "window").agg(F.sum("length").alias("used"))
-    groups = left.withColumn("group", F.expr(f"part div {MERGE}"))
+    found = materialize(rows.mapInArrow(_pack(path, windows, length), f"part bigint, window bigint, open boolean, used bigint, ids binary, pieces {pieces}"), "windows")
+    groups = found.where("open").select("part", "window", "used", F.expr(f"part div {MERGE}").alias("group"))
     merged = groups.groupBy("group").applyInPandas(_merge(windows, length), "part bigint, window bigint, merged bigint, base bigint")
     # odd numbers: windows closed in their partition; even ones: merged windows
-    closed = pieces.where("NOT open").withColumn("sequence_id", (F.shiftleft("part", 33) + F.col("window")) * 2 + 1)
-    rest = pieces.where("open").join(merged, ["part", "window"]).withColumn("sequence_id", F.col("merged") * 2).withColumn("offset", F.col("offset") + F.col("base"))
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return closed.select(columns).unionByName(rest.select(columns)).withColumnRenamed("doc_id", id_col)
+    closed = found.where("NOT open").withColumn("sequence_id", (F.shiftleft("part", 33) + F.col("window")) * 2 + 1).withColumn("base", F.lit(0).cast("bigint"))
+    rest = found.where("open").join(merged, ["part", "window"]).withColumn("sequence_id", F.col("merged") * 2)
+    columns = ["sequence_id", "base", "used", "ids", "pieces"]
+    return closed.select(columns), rest.select(columns)
+
+
+def _moved(base, ids=None):
+    """The pieces of a window at their offsets in the sequence; with `ids`, each has its own."""
+
+    def one(x):
+        own = [F.substring(ids, (x["offset"] * 4 + 1).cast("int"), (x["length"] * 4).cast("int")).alias("ids")] if ids is not None else []
+        return F.struct(*[x[name].alias(name) for name in _PIECE[:-1]], (x["offset"] + base).alias("offset"), *own)
+
+    return F.transform("pieces", one)
+
+
+def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, windows: int = WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece: doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset.
+
+    `ids` holds the piece's token ids as little-endian 32-bit bytes; `ids_crc32` is
+    computed from it where it is asked for.
+    """
+    closed, rest = _windows(docs, tokenizer, length, windows, id_col, text_col)
+    rows = closed.unionByName(rest).select("sequence_id", F.explode(_moved(F.col("base"), F.col("ids"))).alias("p")).select("sequence_id", "p.*")
+    return rows.select(F.col("doc_id").alias(id_col), "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def _padded(length: int, pad: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column("ids").to_pylist()
+            ids = np.full((len(found), length), pad, np.int32)
+            for row, x in zip(ids, found):
+                row[: len(x) // 4] = np.frombuffer(x, "<u4")
+            at = pa.array(np.arange(0, ids.size + 1, length, dtype=np.int32))
+            column = pa.ListArray.from_arrays(at, pa.array(ids.ravel()))
+            yield batch.set_column(batch.schema.get_field_index("ids"), "ids", column)
+
+    return run
+
+
+def sequences(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, windows: int = WINDOWS, id_col: str = "doc_id", text_col: str = "text", pad: int = PAD_ID) -> DataFrame:
+    """One row per training sequence: sequence_id, ids, used, pieces.
+
+    `ids` are `length` token ids, of which the first `used` come from the pieces, in
+    the order of their offsets, and the others are `pad`.
+    """
+    closed, rest = _windows(docs, tokenizer, length, windows, id_col, text_col)
+    closed = closed.select("sequence_id", "ids", "used", "pieces")
+    # at most `length` tokens meet in a group
+    meet = rest.select("sequence_id", F.struct("base", "used", "ids", _moved(F.col("base")).alias("pieces")).alias("w")).groupBy("sequence_id").agg(F.sort_array(F.collect_list("w")).alias("w"))
+    ids = F.aggregate("w", F.lit(b""), lambda done, x: F.concat(done, x["ids"]))
+    used = F.aggregate("w", F.lit(0).cast("bigint"), lambda done, x: done + x["used"])
+    merged = meet.select("sequence_id", ids.alias("ids"), used.alias("used"), F.flatten(F.col("w")["pieces"]).alias("pieces"))
+    rows = closed.unionByName(merged)
+    kind = rows.schema["pieces"].dataType.simpleString()
+    return rows.mapInArrow(_padded(length, pad), f"sequence_id bigint, ids array<int>, used bigint, pieces {kind}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents")).drop("ids")

@@ -51,3 +51,33 @@ def test_open_windows_take_the_best_fit():
     state.place("f", 9)
     state.place("g", 5)
     assert [[x for x, _ in items] for _, items in state.closed][2:] == [["f"]]
+
+
+def test_ids_and_padded_sequences(spark):
+    rows = [(i, "lorem ipsum dolor sit amet " * (1 + i * 37 % 900)) for i in range(200)] + [(500, None), (501, "zq" * 40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {d: [*ids_of(t), packing.END_ID] for d, t in rows}
+    for r in packing.pack(docs, windows=8).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == want[r.doc_id][r.start : r.start + r.length]
+    found = {d: {} for d in want}
+    made = packing.sequences(docs, windows=8).collect()
+    assert len({r.sequence_id for r in made}) == len(made)
+    for r in made:
+        assert len(r.ids) == packing.LENGTH and set(r.ids[r.used :]) <= {packing.PAD_ID}
+        at = 0
+        for p in r.pieces:
+            assert p.offset == at
+            at += p.length
+            found[p.doc_id][p.start] = r.ids[p.offset : p.offset + p.length]
+        assert at == r.used
+    assert {d: [i for _, x in sorted(own.items()) for i in x] for d, own in found.items()} == want
+    assert any(len(r.pieces) > 1 and r.sequence_id % 2 == 0 for r in made)
+    assert packing.sequences(docs.limit(0)).count() == 0
+
+
+def test_pipeline_ends_in_sequences(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e")], "doc_id long, text string")
+    (row,) = dict(corpus_pipeline.STAGES)["packing"](spark, docs, "").collect()
+    assert row.ids[: row.used] in ([*ids_of("a b c"), 1, *ids_of("d e"), 1], [*ids_of("d e"), 1, *ids_of("a b c"), 1])
