@@ -203,10 +203,14 @@ def _compare(dtype: str, nearest: int):
             for r in range(batch.num_rows):
                 v, q = slice(va[r], va[r + 1]), slice(qa[r], qa[r + 1])
                 rough = qs[q][:, None] + vs[v] - 2 * qv[q] @ vv[v].T
-                m = rough.shape[1]
-                if m > nearest + 1:
+                # an id with several vectors counts once, at its nearest
+                order = np.argsort(vi[v], kind="stable")
+                own = vi[v][order]
+                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                if len(first) > nearest + 1:
                     # one more than wanted, as the query may be among its candidates
-                    edge = np.partition(rough, nearest, axis=1)[:, nearest]
+                    least = rough if len(first) == len(own) else np.minimum.reduceat(rough[:, order], first, axis=1)
+                    edge = np.partition(least, nearest, axis=1)[:, nearest]
                     a, b = np.nonzero(rough <= (edge + 1e-9 * (1 + np.abs(edge)))[:, None])
                 else:
                     a, b = (x.ravel() for x in np.indices(rough.shape))
@@ -247,7 +251,8 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST, id_col: str = "
     rows = rows.where(F.size("vector") == lengths["d"])
     dtype = "<f4" if rows.schema["vector"].dataType.elementType.simpleString() == "float" else "<f8"
     order = Window.partitionBy("vector").orderBy("id")
-    index = materialize(rows.select("id", "vector").withColumn("n", F.row_number().over(order)).where(F.col("n") <= nearest + 1).drop("n"), "vectors")
+    # a row that stands several times takes one place
+    index = materialize(rows.select("id", "vector").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= nearest + 1).drop("n"), "vectors")
     sample = index.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()
     hashes = fit(np.array([r.vector for r in sample], dtype), lengths["count"])
 

@@ -51,3 +51,38 @@ def test_few_and_no_vectors(spark):
     assert got == [(0, 1, 2), (0, 2, 1)]
     assert neighbours.search(df.limit(0), F.col("vec_id") == 0).count() == 0
     assert neighbours.search(df, F.col("vec_id") == 77).count() == 0
+
+
+def test_repeated_rows_hide_nothing(spark):
+    same = [(1, [1.0, 0.0])] * 12 + [(i, [1.0, 0.0]) for i in range(2, 21)]
+    df = spark.createDataFrame(same, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in neighbours.search(df, F.col("vec_id") == 20).orderBy("rank").collect()]
+    assert got == [(i, 0.0) for i in range(1, 11)]
+
+
+def test_an_edge_counts_ids():
+    import pyarrow as pa
+
+    def ids(items, asks):
+        side = lambda rows: [[{"id": i, "vector": np.array(x, "<f8").tobytes()} for i, x in rows]]
+        kind = pa.list_(pa.struct([("id", pa.int64()), ("vector", pa.binary())]))
+        batch = pa.RecordBatch.from_arrays([pa.array(side(items), kind), pa.array(side(asks), kind)], ["items", "asks"])
+        return [x for out in neighbours._compare("<f8", 10)(iter([batch])) for x in out.column("vec_id").to_pylist()]
+
+    line = [(i, [float(i), 1.0]) for i in range(1, 31)]
+    assert sorted(ids([line[0]] * 12 + line[1:], [(99, [0.0, 1.0])])) == list(range(1, 11))
+    assert sorted(ids(line * 2, [(99, [0.0, 1.0])])) == list(range(1, 11))
+    # ids with two vectors each
+    assert sorted(ids([x for i, v in line for x in ((i, v), (i, [v[0] + 0.1, 1.0]))], [(99, [0.0, 1.0])])) == list(range(1, 11))
+
+
+def test_doubled_table(spark):
+    rng = np.random.default_rng(5)
+    data = rng.standard_normal((120, 8))
+    rows = [(i, x.tolist()) for i, x in enumerate(data)]
+    df = spark.createDataFrame(rows * 2, "vec_id long, embedding array<double>")
+    want = brute(dict(rows), [0, 60])
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 60 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert all(len(got[q]) == 10 and len(set(got[q]) & {i for _, i in want[q]}) >= 9 for q in want)
