@@ -10,7 +10,9 @@ and are ranked by exact distance.
 k grows with the logarithm of the number of vectors.  On a bounded sample (SAMPLE
 vectors) the distance of the 10th neighbour is measured; w is a multiple of it, and L
 is the number of tables that brings the chance of visiting a neighbour at that
-distance, estimated by simulation, to TARGET.  Every vector is indexed.
+distance, estimated by simulation, to TARGET.  Where this takes more than MOST_TABLES
+tables, k is the largest that does with them: on large tables buckets grow, and the
+chance stays.  Every vector is indexed.
 
 Vectors travel in blocks: a bucket's vectors, and the queries that visit it, are
 gathered into lists of about BLOCK rows (a hot bucket has many), and a task compares
@@ -111,6 +113,12 @@ def chance(k: int, width: float, distance: float, probes: int, trials: int = 300
     return hit / trials
 
 
+def needed(k: int) -> int:
+    """Tables that bring the chance of visiting a neighbour at the sampled distance to TARGET."""
+    p = max(chance(k, WIDTH, 1.0, PROBES), 1e-3)
+    return 1 if p >= TARGET else math.ceil(math.log(1 - TARGET) / math.log(1 - p))
+
+
 def fit(sample: np.ndarray, count: int) -> Hashes | None:
     """Choose k, w and L for `count` vectors from a sample of them."""
     if not len(sample):
@@ -122,9 +130,9 @@ def fit(sample: np.ndarray, count: int) -> Hashes | None:
     far = np.sqrt(np.maximum(0, np.partition(square, rank, axis=1)[:, rank]))
     reach = float(np.quantile(far, 0.9)) or 1.0
     k = int(np.clip(round(0.65 * math.log2(max(count, 2))), 4, 24))
-    p = max(chance(k, WIDTH * reach, reach, PROBES), 1e-3)
-    tables = 1 if p >= TARGET else math.ceil(math.log(1 - TARGET) / math.log(1 - p))
-    return Hashes(sample.shape[1], k, min(MOST_TABLES, max(2, tables)), WIDTH * reach)
+    while (tables := needed(k)) > MOST_TABLES:
+        k -= 1
+    return Hashes(sample.shape[1], k, max(2, tables), WIDTH * reach)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

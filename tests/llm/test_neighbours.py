@@ -86,3 +86,11 @@ def test_doubled_table(spark):
     for r in neighbours.search(df, F.col("vec_id") % 60 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert all(len(got[q]) == 10 and len(set(got[q]) & {i for _, i in want[q]}) >= 9 for q in want)
+
+
+def test_large_tables_keep_their_chance():
+    sample = np.random.default_rng(3).standard_normal((300, 8))
+    for count in (1_000, 50_000, 1_000_000, 75_000_000, 10**12):
+        h = neighbours.fit(sample, count)
+        p = neighbours.chance(h.k, neighbours.WIDTH, 1.0, neighbours.PROBES)
+        assert h.tables <= neighbours.MOST_TABLES and 1 - (1 - p) ** h.tables >= neighbours.TARGET
