@@ -19,11 +19,14 @@ gathered into lists of about BLOCK rows (a hot bucket has many), and a task comp
 one block of queries with one block of vectors.  Of equal vectors only the k + 1
 smallest ids are indexed, as no list can hold more of them.
 
+A query that found fewer candidates than it wants, as it lies far from the others or
+in a sparse region, is compared with all indexed vectors instead, block by block.
+
 Defined results: rows with a null id, and vectors that are null, empty, zero, of
 another than the most common length, or hold null or non-finite components take no
 part.  Rows that repeat a vec_id count as one candidate (the nearest) and one query
-(an arbitrary but fixed row).  Ties go to the smaller id.  With fewer candidates than
-k all are wanted; a table without vectors gives an empty result.  Further columns are
+(an arbitrary but fixed row).  Ties go to the smaller id.  A list is shorter than k
+only if the table has fewer other ids, and then holds them all; a table without vectors gives an empty result.  Further columns are
 not read.
 """
 
@@ -277,11 +280,36 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST, id_col: str = "
     asked = visits.groupBy(keys).agg(F.collect_list(F.struct("id", "vector")).alias("asks")).drop("salt")
     stored = _blocks(items, "id", BLOCK).groupBy(keys).agg(F.collect_list(F.struct("id", "vector")).alias("items")).drop("salt")
     found = stored.join(asked, ["tab", "bucket"]).select("items", "asks").mapInArrow(_compare(dtype, nearest), f"query_id {kind}, vec_id {kind}, score double")
+    found = materialize(_ranked(found, nearest), "found")
+
+    # queries that visited too few candidates are compared with all vectors
+    full = min(nearest, index.select("id").distinct().count() - 1)
+    have = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("have"))
+    short = materialize(asks.join(have, "id", "left").where(F.coalesce("have", F.lit(0)) < full).select("id", "vector"), "short")
+    if short.isEmpty():
+        return found
+    block = f"block array<struct<id:{kind},vector:binary>>"
+    pairs = index.mapInArrow(_in_blocks, block).withColumnRenamed("block", "items").crossJoin(short.mapInArrow(_in_blocks, block).withColumnRenamed("block", "asks"))
+    exact = _ranked(pairs.select("items", "asks").mapInArrow(_compare(dtype, nearest), f"query_id {kind}, vec_id {kind}, score double"), nearest)
+    return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").select(exact.columns).unionByName(exact)
+
+
+def _ranked(found: DataFrame, nearest: int) -> DataFrame:
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
 
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for every BLOCK rows."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(lo, BLOCK)
+            vectors = pa.array([x.tobytes() for x in _matrix(part.column("vector"))], pa.binary())
+            rows = pa.StructArray.from_arrays([part.column("id"), vectors], ["id", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), rows)], ["block"])
+
+
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         vectors = _matrix(batch.column("vector"))

@@ -94,3 +94,26 @@ def test_large_tables_keep_their_chance():
         h = neighbours.fit(sample, count)
         p = neighbours.chance(h.k, neighbours.WIDTH, 1.0, neighbours.PROBES)
         assert h.tables <= neighbours.MOST_TABLES and 1 - (1 - p) ** h.tables >= neighbours.TARGET
+
+
+def test_outliers_find_their_neighbours(spark):
+    rng = np.random.default_rng(11)
+    data = rng.standard_normal((2000, 16))
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    data[:5] *= np.array([30, 300, 3000, 5, 1e5])[:, None]
+    rows = [(i, x.tolist()) for i, x in enumerate(data)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") < 8).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    want = brute(dict(rows), range(8))
+    assert {q: len(x) for q, x in got.items()} == dict.fromkeys(range(8), 10)
+    for q in (0, 1, 2, 4):
+        assert got[q] == [(n + 1, i) for n, (_, i) in enumerate(want[q])]
+
+
+def test_few_candidates_are_all_found(spark):
+    rows = [(i, [10.0**i, 1.0]) for i in range(7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.search(df, F.col("vec_id") >= 0).collect()
+    assert {q: sum(r.query_id == q for r in found) for q in range(7)} == dict.fromkeys(range(7), 6)
