@@ -17,13 +17,16 @@ from spanloom.sources import readers, store
 from spanloom.sources.shared import shared_dir
 from spanloom.streaming import spans as streams
 
+#: most spans of a request
+CHUNK = 1000
+
 
 def _folder(spark, name: str) -> str:
     return posixpath.join(shared_dir(spark), f"spanloom-{name}-{uuid.uuid4().hex}")
 
 
 def _requests(spark, sf_dir) -> str:
-    """The spans as exported requests, one a trace and line."""
+    """The spans as exported requests, one a line, of at most CHUNK spans of a trace."""
     rows = view(spark, sf_dir, "td_spans")
     kinds, codes = F.array(*map(F.lit, ("UNSPECIFIED", "INTERNAL", "SERVER", "CLIENT"))), F.array(*map(F.lit, ("UNSET", "OK", "ERROR")))
     id64 = lambda c: F.base64(F.col(c).cast("binary"))
@@ -32,7 +35,7 @@ def _requests(spark, sf_dir) -> str:
         id64("trace_id").alias("traceId"), id64("span_id").alias("spanId"), id64("parent_span_id").alias("parentSpanId"), "name", F.concat(F.lit("SPAN_KIND_"), F.element_at(kinds, F.col("kind") + 1)).alias("kind"),
         F.col("started_ns").cast("string").alias("startTimeUnixNano"), F.col("ended_ns").cast("string").alias("endTimeUnixNano"), kv.alias("attributes"), F.struct(F.concat(F.lit("STATUS_CODE_"), F.element_at(codes, F.col("status") + 1)).alias("code")).alias("status"),
     )
-    docs = rows.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("ord", span.alias("s")))).alias("s"))
+    docs = rows.groupBy("trace_id", F.expr(f"ord div {CHUNK}").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("ord", span.alias("s")))).alias("s"))
     service = F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.lit("shop").alias("stringValue")).alias("value")))
     doc = F.struct(F.array(F.struct(F.struct(service.alias("attributes")).alias("resource"), F.array(F.struct(F.transform("s", lambda x: x["s"]).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"))
     path = _folder(spark, "requests")
