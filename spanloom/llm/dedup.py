@@ -6,7 +6,7 @@ permutation is evaluated once per shingle and gives two signature slots, its min
 and its maximum, so PERMUTATIONS evaluations give twice as many slots.  Bands of ROWS
 slots propose candidates; a band takes minima or maxima of different permutations, so
 its rows are independent.  At similarity 0.85 a pair misses all bands with a chance
-of (1 - 0.85 ** 6) ** 32 < 3e-7.
+of (1 - 0.85 ** 6) ** 32 < 3e-7, at 0.8 of 6e-5; lower thresholds would need other bands.
 
 1. Documents with equal sets collapse to one node, named by their smallest id, so
    copies in any number cost one node.
@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from .common import constants, materialize, mix64, slices, span_hashes, table, text_bytes, window_hashes, word_bounds
 
 SHINGLE = 5
+#: least similarity of a link, unless the caller names another
 PERCENT = 85
 PERMUTATIONS = 96
 ROWS = 6
@@ -123,23 +124,30 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(at)), pa.array(rows, pa.binary()), pa.array(sets, pa.binary())], ["node", "n", "signature", "members"])
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    least = 2 * PERMUTATIONS * (PERCENT / 100 - MARGIN)
-    for batch in batches:
-        one, two = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint16).reshape(-1, 2 * PERMUTATIONS) for x in ("one", "two"))
-        small = batch.column("small").to_numpy(zero_copy_only=False)
-        yield batch.select(["a", "b"]).filter(pa.array(small | ((one == two).sum(axis=1) >= least)))
+def _likely(percent: int):
+    least = 2 * PERMUTATIONS * (percent / 100 - MARGIN)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint16).reshape(-1, 2 * PERMUTATIONS) for x in ("one", "two"))
+            small = batch.column("small").to_numpy(zero_copy_only=False)
+            yield batch.select(["a", "b"]).filter(pa.array(small | ((one == two).sum(axis=1) >= least)))
+
+    return run
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for one, two in zip(batch.column("one"), batch.column("two")):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, two))
-            both = np.sort(np.concatenate((x, y)))
-            shared = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep.append(100 * shared >= PERCENT * (len(both) - shared))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+def _confirmed(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column("one"), batch.column("two")):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, two))
+                both = np.sort(np.concatenate((x, y)))
+                shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                keep.append(100 * shared >= percent * (len(both) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,19 +170,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _links(pairs: DataFrame, active: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
     light = active.select("node", "n", "signature")
     both = pairs.join(light.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("signature").alias("one")), "a")
     both = both.join(light.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("two")), "b")
-    near = both.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    near = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     near = near.select("a", "b", "one", "two", (F.least("na", "nb") < SMALL).alias("small"))
     kind = pairs.schema["a"].dataType.simpleString()
-    near = near.mapInArrow(_likely, f"a {kind}, b {kind}")
+    near = near.mapInArrow(_likely(percent), f"a {kind}, b {kind}")
     full = active.select("node", "members")
     near = near.join(full.select(F.col("node").alias("b"), F.col("members").alias("two")), "b")
     near = near.join(full.select(F.col("node").alias("a"), F.col("members").alias("one")), "a")
-    return near.select("a", "b", "one", "two").mapInArrow(_confirmed, f"a {kind}, b {kind}")
+    return near.select("a", "b", "one", "two").mapInArrow(_confirmed(percent), f"a {kind}, b {kind}")
 
 
 def _common(sets: list[np.ndarray]):
@@ -213,7 +221,7 @@ def _common(sets: list[np.ndarray]):
         yield lo, found
 
 
-def forest(nodes: list, labels: list, sets: list[np.ndarray]) -> list[tuple]:
+def forest(nodes: list, labels: list, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple]:
     """Links (node, node) that join different labels, as many as it takes to join all that can be."""
     sizes = np.array([len(x) for x in sets])
     _, group = np.unique(np.array(labels), return_inverse=True)
@@ -226,7 +234,7 @@ def forest(nodes: list, labels: list, sets: list[np.ndarray]) -> list[tuple]:
 
     out = []
     for lo, common in _common(sets):
-        linked = 100 * common >= PERCENT * (sizes[lo : lo + len(common), None] + sizes - common)
+        linked = 100 * common >= percent * (sizes[lo : lo + len(common), None] + sizes - common)
         linked &= group[lo : lo + len(common), None] != group
         for i in np.flatnonzero(linked.any(axis=1)):
             partners = np.flatnonzero(linked[i])
@@ -238,13 +246,16 @@ def forest(nodes: list, labels: list, sets: list[np.ndarray]) -> list[tuple]:
     return out
 
 
-def _cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("node")
-    found = forest(rows.node.tolist(), rows.label.tolist(), [np.frombuffer(x, np.uint64) for x in rows.members])
-    return pd.DataFrame(found, columns=["a", "b"], dtype=rows.node.dtype)
+def _cell(percent: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        found = forest(rows.node.tolist(), rows.label.tolist(), [np.frombuffer(x, np.uint64) for x in rows.members], percent)
+        return pd.DataFrame(found, columns=["a", "b"], dtype=rows.node.dtype)
+
+    return run
 
 
-def _links_within(members: DataFrame, active: DataFrame) -> DataFrame:
+def _links_within(members: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     """Links across labels among the rows (hub, node, label) of every hub."""
     rows = members.join(active.select("node", "n"), "node")
     sizes = rows.groupBy("hub").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
@@ -254,11 +265,11 @@ def _links_within(members: DataFrame, active: DataFrame) -> DataFrame:
     rows = rows.select("hub", "node", "label", F.explode(cells).alias("cell"))
     rows = rows.join(active.select("node", "members"), "node").select("hub", "node", "label", "cell.i", "cell.j", "members")
     kind = members.schema["node"].dataType.simpleString()
-    return rows.groupBy("hub", "i", "j").applyInPandas(_cell, f"a {kind}, b {kind}").distinct()
+    return rows.groupBy("hub", "i", "j").applyInPandas(_cell(percent), f"a {kind}, b {kind}").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """Per row: id, n_shingles, component_id, kept; links are pairs with a similarity of `percent` or more."""
     every = materialize(sketches(docs, id_col, text_col), "sketches")
     classes = every.where("n_shingles > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("node"))
     nodes = every.join(classes.withColumnRenamed("node", "id"), ["hi", "lo", "id"]).withColumnRenamed("id", "node")
@@ -279,12 +290,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = shared.join(nodes, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "node")).alias("h")).select("bucket", F.col("h.node").alias("hub"))
     around = materialize(shared.select("bucket", "node").join(hubs, "bucket").where("node <> hub").select("hub", "node").distinct(), "hubs")
     pairs = around.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    labels = components(_links(pairs, active))
+    labels = components(_links(pairs, active, percent))
 
     members = around.unionByName(around.select("hub", F.col("hub").alias("node")).distinct())
     members = members.join(labels, "node", "left").select("hub", "node", F.coalesce("label", "node").alias("label"))
     mixed = members.groupBy("hub").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("hub")
-    links = materialize(_links_within(materialize(members.join(mixed, "hub"), "members"), active), "links")
+    links = materialize(_links_within(materialize(members.join(mixed, "hub"), "members"), active, percent), "links")
     if not links.isEmpty():
         labels = merged(labels, links)
 
@@ -295,9 +306,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` whose document is the smallest of its component."""
-    gone = materialize(near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("gone")).distinct(), "gone")
+    gone = materialize(near_duplicates(docs, id_col, text_col, percent).where("NOT kept").select(F.col(id_col).alias("gone")).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
 

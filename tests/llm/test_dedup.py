@@ -105,3 +105,22 @@ def test_signatures_estimate_similarity():
     sig = dedup.signatures(values, at)
     x, y = (set(values[at[i] : at[i + 1]].tolist()) for i in (0, 1))
     assert abs((sig[0] == sig[1]).mean() - len(x & y) / len(x | y)) < 0.1
+
+
+def test_threshold_is_a_parameter(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(104)]
+    # one word in the middle changed: 95 of 100 shingles are common, 95 of 105 in all; two: 90 of 110, 0.818
+    two = [x if i not in (30, 60) else "other" for i, x in enumerate(words)]
+    far = [x if i not in (20, 40, 60) else "third" for i, x in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(two)), (3, " ".join(far))], "doc_id long, text string")
+    kept = lambda found: sorted(r.doc_id for r in found.collect())
+    assert kept(dedup.representatives(docs)) == [1, 2, 3]
+    assert kept(dedup.representatives(docs, percent=80)) == [1, 3]
+    assert kept(dict(corpus_pipeline.STAGES)["near duplicates"](spark, docs, "")) == [1, 3]
+
+
+def test_links_across_blocks_keep_the_threshold():
+    sets = [np.arange(100, dtype=np.uint64), np.arange(10, 110, dtype=np.uint64)]  # 90 of 110
+    assert dedup.forest([1, 2], [1, 2], sets) == [] and dedup.forest([1, 2], [1, 2], sets, 80) == [(1, 2)]
