@@ -223,15 +223,23 @@ def _predictions(net: Network | None, text: str):
     return run
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Network | None:
-    """Train on a bounded sample: one window a document, from anywhere in its text."""
+def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
+    """lang, turn, piece: one window a document, from anywhere in its text, of so many documents a language at most."""
     key = F.xxhash64(F.col(id_col))
     text, size = F.col(text_col).cast("string"), F.char_length(F.col(text_col).cast("string"))
     start = F.pmod(key, F.greatest(F.lit(1), size - WINDOW // 2)) + 1
     rows = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), key.alias("k"), F.substring(text, start.cast("int"), F.lit(WINDOW)).alias("piece"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("k", "piece"))
-    sample = rows.withColumn("turn", turn).where(F.col("turn") <= per_language).orderBy("lang", "turn").collect()
+    # in steps, so that no task takes all documents of a language
+    for parts in (64, 8, 1):
+        turn = F.row_number().over(Window.partitionBy("lang", F.pmod("k", F.lit(parts))).orderBy("k", "piece"))
+        rows = rows.withColumn("turn", turn).where(F.col("turn") <= per_language)
+    return rows
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Network | None:
+    """Train on a bounded sample."""
+    sample = sampled(docs, id_col, text_col, lang_col, per_language).orderBy("lang", "turn").collect()
     return train([r.piece.encode() for r in sample], [r.lang for r in sample])
 
 

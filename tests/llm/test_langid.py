@@ -69,3 +69,21 @@ def test_pooling_is_a_mean_over_positions():
     net = langid.train([b"abc" * 40, b"xyz" * 40], ["p", "q"])
     found = langid.pooled(net, pa.array(["abc" * 500, "", None, "xyz" * 3]))
     assert np.allclose(found.sum(axis=1), [1, 0, 0, 1], atol=1e-5) and found[0].argmax() == 0 and found[3].argmax() == 1
+
+
+def test_sample_of_a_hot_language(spark):
+    rows = [(i, f"text number {i}", "en" if i % 10 else "de") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.sampled(docs, per_language=300)
+    got = {}
+    for r in found.orderBy("lang", "turn").collect():
+        got.setdefault(r.lang, []).append((r.k, r.piece))
+    every = {}
+    for r in langid.sampled(docs, per_language=10_000).collect():
+        every.setdefault(r.lang, []).append((r.k, r.piece))
+    assert len(every["en"]) > 2000
+    assert got == {lang: sorted(x)[:300] for lang, x in every.items()}
+    # the first exchange, the lowest in the plan, deals a language to many tasks
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    first = [x for x in plan.splitlines() if "hashpartitioning" in x][-1]
+    assert "lang" in first and "pmod" in first or "_w" in first
