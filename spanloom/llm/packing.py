@@ -6,18 +6,22 @@ their own; the rest goes into the open window that it fills best.  When none fit
 new window is opened, after the fullest has been emitted if all WINDOWS are open.
 Windows still open at the end of a partition are left over; they are merged, whole,
 by the same rule over groups of MERGE partitions.  Memory per task is one batch of
-documents, the open windows and a bounded cache of word ids.
+documents, the open windows and a bounded cache of word ids.  A text of any length is
+encoded in stretches of CHUNK bytes; it is held with its ids, never cut.
 
 Windows are written with the token ids of their pieces.  `pack` returns every piece
 with its ids, `sequences` the padded training sequences.
 
 Token ids come from a tokenizer file of the `tokenizers` library.  Its pre-tokenizer
-never joins across a blank, so ids of the pieces between blanks and newlines are
-looked up in the cache; of a new piece only the lower-cased letters and the marks
-behind them are encoded, if they are new too.
+never joins across a blank and puts Latin-1 in lower case, so a stretch is lowered and
+cut into words as a whole, the words are dictionary-encoded, distinct ones looked up in
+the cache, and all ids gathered at once.  New words go through the tokenizer many at a
+time.  A stretch that holds an added token in any case is left as it is.
 
 Defined results: a null text counts as empty and has the end id alone.  Rows are
-packed one by one, so repeated rows and null ids appear as often as they come in.  An
+packed one by one, so repeated rows and null ids appear as often as they come in.  Of
+windows with equal room the one opened first is filled, of equally full ones the one
+opened first is emitted.  An
 empty table gives an empty result.  Further columns are not read.
 """
 
@@ -36,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import materialize, slices, table, text_bytes
 
 LENGTH = 2048
 END_ID = 1
@@ -44,68 +48,154 @@ END_ID = 1
 PAD_ID = 0
 WINDOWS = 64
 MERGE = 64
-#: words whose ids a Python worker remembers
+#: words whose ids a Python worker remembers before it starts anew
 CACHE_WORDS = 500_000
-
-
-#: a run of letters, then ASCII marks: the pre-tokenizer cuts between the two
-_LETTERS_MARKS = re.compile(r"([^\W\d_]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^`{|}~]+)")
+#: bytes of text, and words, whose ids are looked up together
+CHUNK = 1 << 20
+GATHER = 1 << 18
+#: new words that go through the tokenizer as one text
+TOGETHER = 64
+
+
+def _bytes(*ranges: bytes) -> np.ndarray:
+    found = np.zeros(256, bool)
+    for first, last in ranges:
+        found[first : last + 1] = True
+    return found
+
+
+_SEPARATOR = _bytes(b"  ", b"\n\n")
+_LETTER = _bytes(b"AZ", b"az")
+_MARK = _bytes(b"!/", b":@", b"[`", b"{~")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: second bytes of letters from U+00C0 to U+00FF, and of those in upper case, whose first byte is LATIN
+LATIN = 0xC3
+_LATIN_LETTER = _bytes(b"\x80\x96", b"\x98\xb6", b"\xb8\xbf")
+_LATIN_UPPER = _bytes(b"\x80\x96", b"\x98\x9e")
+#: first bytes of what is not Latin-1
+_WIDE = _bytes(b"\xc4\xff")
+#: words that the pre-tokenizer leaves whole
+_WHOLE = re.compile("[a-zß-öø-ÿ]+|[!-&(-/:-@\\[-`{-~]+")
 
 
 class WordIds:
-    """Token ids of texts, as little-endian 32-bit bytes, by way of a cache of words.
+    """Token ids of texts by way of a cache of words.
 
-    The cache has two generations of at most CACHE_WORDS / 2 words; a word that is met
-    again moves to the younger one.
+    Words are numbered as they come; number 0 is the end of a text.  The ids of word k
+    are flat[at[k] : at[k] + size[k]].
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, end_id: int = END_ID) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        if len(self.known) > CACHE_WORDS // 2:
-            self.known, self.older = {}, self.known
-        self._learn(set().union(*split).difference(self.known))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
-
-    def _learn(self, words: set[str]) -> None:
-        known, older = self.known, self.older
-        parts: dict[str, tuple[str, ...]] = {}
-        for word in words:
-            if (ids := older.get(word)) is not None:
-                known[word] = ids
-                continue
-            cut = _LETTERS_MARKS.fullmatch(word)
-            # a letter may turn into a letter and a mark in lower case
-            plain = cut and cut[1].lower().isalpha()
-            parts[word] = tuple(map(_lowered, cut.groups() if plain else (word,)))
-        bare = {x for found in parts.values() for x in found}
-        new = [x for x in bare if x not in known and x not in older]
-        if new:
-            found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            at = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(new) + 1))
-            for i, word in enumerate(new):
-                known[word] = ids[at[i] : at[i + 1]].tobytes()
-        for word in bare.difference(known):
-            known[word] = older[word]
-        for word, found in parts.items():
-            known[word] = b"".join([known[x] for x in found])
-
-
-def _lowered(word: str) -> str:
-    """The word in lower case where that is plain to see, which the tokenizer would do itself."""
-    try:
-        word.encode("latin-1")
-    except UnicodeEncodeError:
-        return word
-    return word.lower()
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        #: texts that the tokenizer takes out before it looks at words, in lower case
+        self.added = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(" " in x or "\n" in x for x in self.added):
+            raise ValueError("an added token of the tokenizer goes across words")
+        #: ids of tokens that end a word
+        self.last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.last[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.flat = np.array([self.end_id], "<u4")
+        self.at, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, an end id behind each, and where each text starts (one more at the end)."""
+        if len(self.known) > CACHE_WORDS:
+            self._forget()
+        data, at = text_bytes(column)
+        gap = _SEPARATOR[data]
+        starts, codes, lo = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        while lo < len(data):
+            hi = lo + CHUNK
+            while hi < len(data) and not gap[hi]:  # no chunk ends in a word
+                hi += int(gap[hi : hi + 256].argmax()) or 256
+            hi = min(hi, len(data))
+            found, words = self._words(data[lo:hi], gap[lo:hi], at[np.searchsorted(at, lo) : np.searchsorted(at, hi)] - lo)
+            starts.append(found + lo)
+            codes.append(self._codes(words))
+            lo = hi
+        first = np.searchsorted(np.concatenate(starts), at)
+        codes = np.insert(np.concatenate(codes), first[1:], 0)
+        ends = np.concatenate(([0], np.cumsum(self.size[codes])))
+        ids = np.empty(ends[-1], "<u4")
+        for lo in range(0, len(codes), GATHER):
+            part, to = codes[lo : lo + GATHER], ends[lo : lo + GATHER + 1]
+            sizes = self.size[part]
+            ids[to[0] : to[-1]] = self.flat[np.arange(to[0], to[-1]) + np.repeat(self.at[part] - to[:-1], sizes)]
+        return ids, ends[first + np.arange(len(first))]
+
+    def _words(self, data: np.ndarray, gap: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """Where the words of a chunk start, and the words, without the blanks and newlines between.
+
+        Words of Latin-1 are put in lower case, as the tokenizer does itself, and marks
+        behind their letters made words of their own, as the pre-tokenizer cuts there.
+        """
+        start = np.empty(len(data), bool)
+        start[0], start[1:] = True, gap[:-1]
+        start[heads] = True
+        start &= ~gap
+        low = data.tobytes().lower()
+        if not any(x.encode() in low for x in self.added):
+            plain = np.ones(len(data), bool)
+            if (wide := _WIDE[data]).any():
+                word = np.cumsum(start)
+                other = np.zeros(word[-1] + 1, bool)
+                other[word[wide]] = True
+                plain = ~other[word]
+            low = np.where(plain, _LOWER[data], data)
+            after = np.zeros(len(data), bool)
+            after[1:] = data[:-1] == LATIN
+            low[after & plain & _LATIN_UPPER[data]] += 32
+            letter = _LETTER[data] | (after & _LATIN_LETTER[data])
+            start[1:] |= letter[:-1] & _MARK[data[1:]] & plain[1:]
+            data = low
+        found, keep = np.flatnonzero(start), ~gap
+        packed = data[keep]
+        before = np.cumsum(keep)[found] - 1
+        offsets = np.append(before, len(packed)).astype(np.int32)
+        return found, pa.StringArray.from_buffers(len(found), pa.py_buffer(offsets), pa.py_buffer(packed))
+
+    def _codes(self, words: pa.Array) -> np.ndarray:
+        """Numbers of words; new ones are learnt."""
+        found = words.dictionary_encode()
+        names = found.dictionary.to_numpy(zero_copy_only=False)
+        numbers = np.fromiter((self.known.get(x, -1) for x in names), np.int64, len(names))
+        if len(new := np.flatnonzero(numbers < 0)):
+            numbers[new] = np.arange(len(self.at), len(self.at) + len(new))
+            self._learn(names[new].tolist())
+        return numbers[found.indices.to_numpy()]
+
+    def _learn(self, words: list[str]) -> None:
+        self.known.update(zip(words, range(len(self.at), len(self.at) + len(words))))
+        whole = [_WHOLE.fullmatch(x) is not None for x in words]
+        ids: dict[str, np.ndarray] = {}
+        simple = [x for x, one in zip(words, whole) if one]
+        lists = [simple[k : k + TOGETHER] for k in range(0, len(simple), TOGETHER)]
+        rest = [x for x, one in zip(words, whole) if not one]
+        for names, done in zip(lists, self.tokenizer.encode_batch_fast([" ".join(x) for x in lists], add_special_tokens=False)):
+            own = np.array(done.ids, "<u4")
+            ends = np.flatnonzero(self.last[own]) + 1
+            if len(ends) == len(names):
+                ids.update(zip(names, np.split(own, ends[:-1])))
+            else:
+                rest += names
+        if rest:
+            done = self.tokenizer.encode(rest, is_pretokenized=True, add_special_tokens=False)
+            own = np.array(done.ids, "<u4")
+            ends = np.searchsorted(np.array(done.word_ids, np.int64), np.arange(1, len(rest)))
+            ids.update(zip(rest, np.split(own, ends)))
+        pieces = [ids[x] for x in words]
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.at = np.append(self.at, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.size = np.append(self.size, sizes)
+        self.flat = np.concatenate([self.flat, *pieces])
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -153,7 +243,7 @@ _PIECE = ["doc_id", "start", "length", "doc_tokens", "offset"]
 def _pack(path: str, windows: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, state = encoder(path), OpenWindows(windows, length)
-        part, end, kind = TaskContext.get().partitionId(), np.array([END_ID], "<u4").tobytes(), None
+        part, kind = TaskContext.get().partitionId(), None
 
         def rows(found: list[tuple[int, list]], still_open: bool) -> pa.RecordBatch:
             """One row a window: the ids of its pieces end to end, and the pieces."""
@@ -170,13 +260,12 @@ def _pack(path: str, windows: int, length: int):
         for batch in batches:
             kind = batch.schema.field("id").type
             for piece in slices(batch):
-                texts = [x or "" for x in piece.column("text").to_pylist()]
-                for doc, ids in zip(piece.column("id").to_pylist(), encode.encode(texts)):
-                    ids += end
-                    total = len(ids) // 4
-                    for start in range(0, total, length):
-                        size = min(length, total - start)
-                        state.place((doc, start, size, total, ids[4 * start : 4 * (start + size)]), size)
+                found, at = encode.encode(piece.column("text"))
+                ids, at = memoryview(found).cast("B"), at.tolist()
+                for doc, base, end in zip(piece.column("id").to_pylist(), at, at[1:]):
+                    for start in range(base, end, length):
+                        size = min(length, end - start)
+                        state.place((doc, start - base, size, end - base, bytes(ids[4 * start : 4 * (start + size)])), size)
                 if state.closed:
                     yield rows(state.closed, False)
                     state.closed = []

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,11 +17,27 @@ def ids_of(text):
     return PLAIN.encode(text or "", add_special_tokens=False).ids
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet="aAbBéÉßẞ.,!'st\t\nİΣσ#*1١é<|>_-ñ \x1c漢", max_size=30), max_size=4))
+_SPECIAL = st.sampled_from(["<|ENDOFTEXT|>", "<|endoftext|>", "<|StartOfText|>", "<|startoftext|>", "</w>"])
+_TEXT = st.lists(st.one_of(st.text(alphabet="aAbBéÉßẞ.,!'st\t\nİΣσ#*1١é<|>_-ñ \x1c漢", max_size=30), _SPECIAL), max_size=4).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.none(), _TEXT), max_size=4))
 def test_word_ids_equal_the_tokenizer(texts):
-    found = packing.encoder(PATH).encode(texts)
-    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [ids_of(x) for x in texts]
+    ids, at = packing.encoder(PATH).encode(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [[*ids_of(x), packing.END_ID] for x in texts]
+
+
+def test_long_texts_go_in_stretches(monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 50)
+    monkeypatch.setattr(packing, "GATHER", 7)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 20)
+    encode = packing.WordIds(PATH)
+    rng = np.random.default_rng(1)
+    for _ in range(5):
+        texts = [" ".join(f"word{x}," for x in rng.integers(0, 60, n)) for n in (0, 3, 200, 1)] + ["x" * 300]
+        ids, at = encode.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [[*ids_of(x), packing.END_ID] for x in texts]
 
 
 def test_pieces_and_sequences(spark):
