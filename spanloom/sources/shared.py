@@ -1,24 +1,76 @@
-"""Tables in the folder that all machines of a cluster share."""
+"""Tables in the folder that all machines of a cluster share.
+
+Every table that `materialize` writes is remembered and deleted when the driver ends;
+`discard` deletes one earlier, `kept_alone` those that a step wrote on its way.
+"""
 
 from __future__ import annotations
 
+import atexit
 import posixpath
+import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: paths of the tables that stand, and the session that wrote each
+_STANDING: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """What `spark.checkpoint.dir` names; a default is set only where nothing is configured."""
+    """What `spark.checkpoint.dir` names.
+
+    Where nothing is configured, a session on one machine (master local) gets a folder
+    of its own; a cluster must name one.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        place = "file:///tmp/spanloom-checkpoint"
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        place = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to a new shared table and read it back, which cuts its lineage."""
-    path = posixpath.join(shared_dir(df.sparkSession), f"spanloom-{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = posixpath.join(shared_dir(spark), f"spanloom-{name}-{uuid.uuid4().hex}")
+    _STANDING[path] = spark
+    df.write.option("compression", "zstd").parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._spanloom_path = path
+    return found
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        _delete(getattr(df, "_spanloom_path", None))
+
+
+def kept_alone(step: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The result of a step as a table, after which the tables that the step wrote are deleted."""
+    before = set(_STANDING)
+    found = materialize(step(), name)
+    for path in set(_STANDING) - before - {found._spanloom_path}:
+        _delete(path)
+    return found
+
+
+def _delete(path: str | None) -> None:
+    spark = _STANDING.pop(path, None)
+    if spark is None:
+        return
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_STANDING):
+        try:
+            _delete(path)
+        except Exception:  # the session or its machine is gone; nothing is left to do
+            return
