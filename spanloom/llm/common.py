@@ -7,8 +7,6 @@ is never cut.
 
 from __future__ import annotations
 
-import posixpath
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.sources import shared
+
 SLICE_BYTES = 1 << 20
+#: bytes that Spark hands to Python at once, one row at least
+BATCH_BYTES = 4 << 20
 #: words are runs of anything but the six ASCII blanks
 ASCII_BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -25,36 +27,21 @@ ASCII_BLANKS = b" \t\n\x0b\x0c\r"
 # ---------------------------------------------------------------- shared storage
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every machine of the cluster sees.
-
-    It is what `spark.checkpoint.dir` names; only where nothing is configured (tests
-    on one machine) a default is set for the session.
-    """
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = "file:///tmp/spanloom-checkpoint"
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place
-
-
 def small_batches(spark: SparkSession) -> None:
-    """Exchange at most a thousand rows at once with Python, unless the session says otherwise.
+    """Exchange at most BATCH_BYTES at once with Python, unless the session says otherwise.
 
-    Texts are long: the default of 10000 rows keeps tens of megabytes several times over.
+    This sets spark.sql.execution.arrow.maxBytesPerBatch for the session, as plans read
+    it when they run: texts are long, and the default of 10000 rows may hold gigabytes.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "1000")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to a new shared table and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = posixpath.join(shared_dir(spark), f"spanloom-{name}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    small_batches(df.sparkSession)
+    return shared.materialize(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

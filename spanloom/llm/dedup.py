@@ -26,6 +26,8 @@ Defined results: null and blank texts have the empty set, link with nothing and
 their own component.  Rows that repeat a doc_id stand for one document.  A row with a
 null doc_id takes no part: component_id null, kept true.  An empty table gives an
 empty result.  Further columns are not read.  Sets are compared by 64-bit hashes.
+Ties (which of several links joins two groups) do not change a component.  A long text
+is hashed whole and takes some thirty times its size while it is.
 """
 
 from __future__ import annotations
@@ -58,6 +60,9 @@ DENSE = 32
 STRIP = 512
 #: ids that may be broadcast; more are joined by shuffling
 BROADCAST_IDS = 200_000
+#: copies from which the component of a set is broadcast to them; raised on large tables,
+#: so that there are at most BROADCAST_IDS such sets
+HOT = 1000
 
 _XOR = constants(PERMUTATIONS, 11)
 _MULTIPLY = constants(PERMUTATIONS, 12)
@@ -271,8 +276,8 @@ def _links_within(members: DataFrame, active: DataFrame, percent: int) -> DataFr
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row: id, n_shingles, component_id, kept; links are pairs with a similarity of `percent` or more."""
     every = materialize(sketches(docs, id_col, text_col), "sketches")
-    classes = every.where("n_shingles > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("node"))
-    nodes = every.join(classes.withColumnRenamed("node", "id"), ["hi", "lo", "id"]).withColumnRenamed("id", "node")
+    classes = every.where("n_shingles > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
+    nodes = every.join(classes.select("hi", "lo", F.col("node").alias("id")), ["hi", "lo", "id"]).withColumnRenamed("id", "node")
     width = 2 * ROWS
     bands = [F.xxhash64(F.substring("signature", j * width + 1, width), F.lit(j)) for j in range(BANDS)]
     rows = nodes.select("node", F.explode(F.array(*bands)).alias("bucket"))
@@ -299,8 +304,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not links.isEmpty():
         labels = merged(labels, links)
 
-    named = classes.join(labels, "node", "left").select("hi", "lo", F.coalesce("label", "node").alias("component"))
-    out = every.select("id", "n_shingles", "hi", "lo").join(named, ["hi", "lo"], "left")
+    named = materialize(classes.join(labels, "node", "left").select("hi", "lo", "copies", F.coalesce("label", "node").alias("component")), "named")
+    # documents of very common sets stay where they are
+    hot = max(HOT, every.count() // BROADCAST_IDS)
+    crowded = named.where(F.col("copies") > hot).select("hi", "lo", F.col("component").alias("known"))
+    rows = every.select("id", "n_shingles", "hi", "lo").join(F.broadcast(crowded), ["hi", "lo"], "left")
+    lone = rows.where("known IS NULL").drop("known").join(named.where(F.col("copies") <= hot).drop("copies"), ["hi", "lo"], "left")
+    out = lone.unionByName(rows.where("known IS NOT NULL").withColumnRenamed("known", "component"))
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     own = F.when(F.col("id").isNotNull(), own)
     return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))

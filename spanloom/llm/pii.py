@@ -17,6 +17,10 @@ Two kinds are added: `url_login`, the user part of scheme://user:password@host,
 `account`, the value after a cue such as token, password, iban or ssn and an `=` or
 `:`.  They never change what the base kinds find.
 
+Every parser stops where its last walk ended or shares that walk, so time is linear in
+the text, whatever it holds; a text is never cut, and takes a few times its size.
+Overlapping spans of different kinds are all reported; masking merges them.
+
 Offsets count code points; ends are exclusive.  A null text counts as empty and has no
 spans.  Rows are handled one by one: repeated rows and null ids pass through, an empty
 table gives an empty result, further columns are not read by the query.
@@ -150,6 +154,7 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
     if not text:
         return found
     mail = ip = card = phone = url = account = 0  # where each kind's last try ended
+    run_end = last_digit = -1  # of the value characters that were walked last
     for last, (what, size) in anchors().iter(text):
         at = last + 1 - size
         if what == "digits":
@@ -185,10 +190,12 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
             start = last + 1
             while start < len(text) and text[start] in " =:'\"" and start - last <= 4:
                 start += 1
-            end = _run(text, start, _VALUE)
-            if ("=" in text[last + 1 : start] or ":" in text[last + 1 : start]) and end - start >= 6 and any(x in _DIGIT for x in text[start:end]):
-                account = end
-                found["account"].append((start, end))
+            if start >= run_end:
+                run_end = _run(text, start, _VALUE)
+                last_digit = max((text.rfind(x, start, run_end) for x in _DIGITS), default=-1)
+            if ("=" in text[last + 1 : start] or ":" in text[last + 1 : start]) and run_end - start >= 6 and last_digit >= start:
+                account = run_end
+                found["account"].append((start, run_end))
     return found
 
 

@@ -13,13 +13,15 @@ the distinct words of a text (runs of letters, lower-cased in A-Z) and for every
 (a word's first bytes) whether one, two or three distinct words begin with it; a
 text's evidence is the sum of their weights, so repeated words count once.
 
-Learning reads at most POSITIVES positives and UNLABELLED texts, drawn by hashed id; scoring reads every whole text.
+Learning reads at most POSITIVES positives and UNLABELLED texts, drawn by hashed id, and
+one text of an id that stands several times (the least); scoring reads every whole text.
+A long text is never cut; its distinct words take some forty bytes each.
 
 Defined results: null and empty texts have no words and get the score that the bias
 alone gives.  With no positives to learn from, every score is the prior (0.5 at most,
 0 without labels).  Rows are scored one by one, so repeated rows and null ids pass
 through; null ids count as not held out.  Several labels of one document: toxic if any
-says so.  An empty table gives an empty result.  Further columns are not read.
+says so.  A score of exactly 0.5 counts as toxic.  An empty table gives an empty result.  Further columns are not read.
 """
 
 from __future__ import annotations
@@ -176,7 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = ids.join(toxic, ids.id == toxic.label_id, "left_semi").orderBy(key, "id").limit(positives).withColumn("positive", F.lit(True))
     other = ids.orderBy(key, "id").limit(unlabelled).withColumn("positive", F.lit(False))
     picked = drawn.unionByName(other)
-    sample = rows.join(F.broadcast(picked), "id").select("text", "positive").mapInArrow(_features, "positive boolean, words binary").collect()
+    one = rows.join(F.broadcast(picked), "id").groupBy("id", "positive").agg(F.min("text").alias("text"))
+    sample = one.select("text", "positive").mapInArrow(_features, "positive boolean, words binary").collect()
     found = sorted((r.positive, bytes(r.words)) for r in sample)
     split = {kind: [np.frombuffer(x, np.int32).astype(np.int64) for p, x in found if p is kind] for kind in (True, False)}
     return train(split[True], split[False], float(prior))

@@ -10,11 +10,14 @@ Blanks become the marker U+2581 and one marker is put in front, as in SentencePi
 No piece goes on from another character into a marker, so a text is cut before every
 marker that follows another character and each cut is searched once and remembered.
 A character without pieces, and a U+2581 of the text itself, falls back to byte
-pieces; so decoding gives every text back exactly.  Ties go to the longer last piece.
+pieces; so decoding gives every text back exactly, any character of Unicode included.
+Ties go to the longer last piece.
 
 Defined results: null and empty texts have no pieces.  Rows are encoded one by one, so
 repeated rows and null ids pass through.  An empty table gives an empty result.
 Further columns are not read.
+A text is never cut short: a long one is searched cut by cut, and a cut without blanks
+takes three lists as long as itself.
 """
 
 from __future__ import annotations
@@ -157,7 +160,6 @@ class Unigram:
         if len(self.known) > CACHE_CUTS // 2:
             self.known, self.older = {}, self.known
         if MARK in text:
-            text = text.replace(" ", "") if "" not in text else text
             return self._with_marks(text)
         if "  " in text or text[0] == " " or text[-1] == " ":
             return b"".join([self._run(x) for x in _cuts(MARK + text.replace(" ", MARK))])
@@ -168,15 +170,13 @@ class Unigram:
 
     def _with_marks(self, text: str) -> bytes:
         """A text that holds the marker itself: those characters become byte pieces."""
-        out, byte = [], [self.of_byte[x] for x in MARK.encode()]
-        for k, part in enumerate(text.replace("", " ").split(MARK)):
-            if k:
-                out.append(array("I", byte).tobytes())
-            body = part.replace(" ", MARK)
-            if k == 0:
-                body = MARK + body
-            out += [array("I", self.search(x)).tobytes() for x in _cuts(body)]
-        return b"".join(out)
+        byte = array("I", [self.of_byte[x] for x in MARK.encode()]).tobytes()
+        first, *others = (x.replace(" ", MARK) for x in text.split(MARK))
+        parts = [self._searched(MARK + first), *map(self._searched, others)]
+        return byte.join(parts)
+
+    def _searched(self, text: str) -> bytes:
+        return b"".join([array("I", self.search(x)).tobytes() for x in _cuts(text)])
 
     def decode(self, ids: bytes) -> str:
         found = b"".join(map(self.bytes.__getitem__, array("I", ids)))

@@ -1,4 +1,5 @@
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,6 +51,29 @@ def test_cards_and_added_kinds():
     assert pii.find(None) == pii.find("") == {k: [] for k in pii.KINDS}
 
 
+def test_floods_take_linear_time():
+    floods = ["token=", "password:a1 ", "a@", "+1", "1.1.", "11 ", "http://a:", "1" * 50 + ".", "token=" + "1"]
+    for flood in floods:
+        began = time.process_time()
+        pii.find(flood * 10**5)
+        assert time.process_time() - began < 4, flood
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["token=", "secret: ", "ssn", "ab", "=", ":", " ", "12", "'", "zz.", "password"]), max_size=14).map("".join))
+def test_accounts_equal_a_plain_walk(text):
+    want, done = [], 0
+    for m in re.finditer("|".join(sorted({f for c in pii.CUES for f in (c, c.upper(), c.capitalize())}, key=len, reverse=True)), text):
+        if m.start() < done or (m.start() and text[m.start() - 1].isalnum()):
+            continue
+        gap = re.compile(r"[ =:'\"]{0,4}").match(text, m.end())
+        value = re.compile(r"[A-Za-z0-9_+/=.-]*").match(text, gap.end())
+        if re.search("[=:]", gap.group()) and len(value.group()) >= 6 and re.search("[0-9]", value.group()):
+            want.append(value.span())
+            done = value.end()
+    assert pii.find(text)["account"] == want
+
+
 def test_edges(spark):
     rows = [(1, "x@y.zz é +1 (509) 555-6973", "a"), (1, "x@y.zz é +1 (509) 555-6973", "a"), (None, None, None), (2, "", "b"), (3, "q " * 100_000 + "1.2.3.4", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")

@@ -41,6 +41,36 @@ def test_shards(spark, law):
     assert sharding.hilbert_shards(docs.limit(0), law=law).count() == 0
 
 
+def test_long_common_prefixes_fall_apart(spark):
+    rows = [(i, "t", "en", f"https://archive.example.org/crawl-2023-{i % 50:02d}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cuts = sharding.string_cuts(docs, "source")
+    assert len(cuts) == 49 and list(cuts) == sorted({r[3] for r in rows})[1:]
+    got = {r.doc_id: r.curve for r in sharding.hilbert_shards(docs).collect()}
+    assert len(set(got.values())) == 50
+
+
+def test_cuts_hold_equal_shares(spark):
+    rows = [(f"s{i:05d}" if i % 3 else "hot",) for i in range(6000)] + [("",)] * 10
+    cuts = list(sharding.string_cuts(spark.createDataFrame(rows, "v string"), "v"))
+    held = np.bincount(np.searchsorted(np.array(cuts, object), np.array([r[0] for r in rows], object), "right"))
+    assert cuts == sorted(set(cuts)) and sorted(held)[-1] >= 2000 and sorted(held)[-2] <= 2 * 6010 / 64
+
+
+def test_long_texts_and_files(spark, tmp_path):
+    rows = [(i, "x" * (10**6 if i == 3 else i), ["en", None][i % 2], f"s{i % 3}", i) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, slot int")
+    bounds = {r.shard: r for r in sharding.write_shards(docs, str(tmp_path / "out"), shards=7).collect()}
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(tuple(r)[:5] for r in back.select(*docs.columns).collect()) == sorted(rows)
+    where = {r.doc_id: r.shard for r in sharding.hilbert_shards(docs, shards=7).collect()}
+    for r in back.collect():
+        own = bounds[r["_shard"]]
+        assert where[r.doc_id] == r["_shard"] and own.min_size <= len(r.text) + 16 <= own.max_size
+        assert own.min_source <= r.source <= own.max_source and own.min_lang <= (r.lang or "") <= own.max_lang
+    assert sum(r.rows for r in bounds.values()) == 90
+
+
 def test_fewer_rows_than_shards(spark):
     docs = spark.createDataFrame([(1, "a", "en", "s"), (2, "b", "en", "s")], "doc_id long, text string, lang string, source string")
     got = sharding.hilbert_shards(docs).collect()

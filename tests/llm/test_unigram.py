@@ -43,6 +43,12 @@ def test_round_trip(text):
     assert MODEL.decode(MODEL.encode(text)) == text
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=" \u2581\ue000\ue001ab\n漢", max_size=20))
+def test_marks_and_private_characters(text):
+    assert MODEL.decode(MODEL.encode(text)) == text
+
+
 def test_marks_of_the_text_survive():
     for text in ("▁", "a▁b", "▁▁ x ▁", " ▁", "  ", " a", "a ", "\x00", "<s> </s>", "<0x41>"):
         assert MODEL.decode(MODEL.encode(text)) == text
