@@ -27,8 +27,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "td_roots": (("td_orders",), """SELECT trace_id, trace_id AS span_id, CAST(NULL AS VARCHAR(32)) AS parent_span_id, 'customer' AS name,
         2 AS kind, 1 AS status, min(started_ns) AS started_ns, max(ended_ns) AS ended_ns FROM td_orders GROUP BY trace_id"""),
     "td_spans": (("td_roots", "td_orders", "td_lines"), """SELECT *, ended_ns - started_ns AS duration_ns,
-        CAST(row_number() OVER (PARTITION BY trace_id ORDER BY started_ns, span_id) AS BIGINT) AS ord
+        CAST(row_number() OVER (PARTITION BY trace_id ORDER BY started_ns, span_id, ended_ns, status) AS BIGINT) AS ord
         FROM (SELECT * FROM td_roots UNION ALL SELECT * FROM td_orders UNION ALL SELECT * FROM td_lines) q"""),
+    # the first of equal span ids counts wherever a trace is read as a tree or stored
+    "td_kept": (("td_spans",), """SELECT trace_id, span_id, parent_span_id, name, kind, status, started_ns, ended_ns, duration_ns, ord
+        FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, span_id ORDER BY ord) AS turn FROM td_spans) q WHERE turn = 1"""),
     "td_units": (("td_lines",), """SELECT trace_id, unit, span_id, duration_ns,
         CASE WHEN unit % 3 <> 2 THEN (unit + 1) || ',' || (unit + 2) ELSE CAST(unit + 2 AS VARCHAR(20)) END AS unblocks
         FROM (SELECT parent_span_id AS trace_id, span_id, ended_ns - started_ns AS duration_ns,

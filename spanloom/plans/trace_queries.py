@@ -23,13 +23,13 @@ def register(name: str, oracle: str | None = None):
     return keep
 
 
-_TREE = sql("td_spans").replace("WITH ", "WITH RECURSIVE ", 1) + """, tree AS (
+_TREE = sql("td_kept").replace("WITH ", "WITH RECURSIVE ", 1) + """, tree AS (
   SELECT trace_id, span_id, parent_span_id, name, kind, status, started_ns, ended_ns, duration_ns, ord, 0 AS depth, [[started_ns, ord]] AS path, [span_id] AS chain
-  FROM td_spans WHERE parent_span_id IS NULL
+  FROM td_kept WHERE parent_span_id IS NULL
   UNION ALL
   SELECT s.trace_id, s.span_id, s.parent_span_id, s.name, s.kind, s.status, s.started_ns, s.ended_ns, s.duration_ns, s.ord, t.depth + 1,
          list_append(t.path, [s.started_ns, s.ord]), list_append(t.chain, s.span_id)
-  FROM td_spans s JOIN tree t ON t.trace_id = s.trace_id AND t.span_id = s.parent_span_id)"""
+  FROM td_kept s JOIN tree t ON t.trace_id = s.trace_id AND t.span_id = s.parent_span_id)"""
 
 
 @register("D1_trace_summary", f"""{sql("td_spans")} SELECT trace_id, min(started_ns) AS started_ns, greatest(0, max(ended_ns)) AS ended_ns,
