@@ -121,14 +121,26 @@ def stable_digest(value: Column, domain: str = DIGEST_DOMAIN) -> Column:
     return F.concat(F.lit("sha256:v1:"), F.sha2(raw, 256))
 
 
-def truncate_utf8(value: Column, most: int) -> Column:
+def truncate_utf8(value: Column, most: int | Column) -> Column:
     """At most `most` bytes, ending in an ellipsis where cut, never inside a character."""
-    if most <= 3:
-        return F.when(F.octet_length(value) <= most, value).otherwise(F.lit("." * max(0, most)))
-    raw, keep = value.cast("binary"), most - 3
-    heads = [F.substring(raw, 1, keep - k) for k in range(4)]
-    head = F.coalesce(*[F.when(F.is_valid_utf8(h.cast("string")), h.cast("string")) for h in heads], F.lit(""))
-    return F.when(F.octet_length(value) <= most, value).otherwise(F.concat(head, F.lit("…")))
+    most = F.lit(most) if isinstance(most, int) else most
+    raw = value.cast("binary")
+    heads = [F.substring(raw, F.lit(1), F.greatest(most - 3 - k, F.lit(0))).cast("string") for k in range(4)]
+    head = F.coalesce(*[F.when(F.is_valid_utf8(h), h) for h in heads], F.lit(""))
+    cut = F.when(most <= 3, F.repeat(F.lit("."), most)).otherwise(F.concat(head, F.lit("…")))
+    return F.when(F.octet_length(value) <= most, value).otherwise(cut)
+
+
+def safe_path(path: Column, key: Column) -> Column:
+    """A field's path that ends in its quoted key, with a short digest for the key."""
+    short = F.substring(stable_digest(key), len("sha256:v1:") + 1, 12)
+    head = F.char_length(path) - F.char_length(key) - 4
+    return F.when(key.isNull(), path).otherwise(F.concat(F.substring(path, F.lit(1), head), F.lit('["<field:'), short, F.lit('>"]')))
+
+
+def safe_metadata(value: Column) -> Column:
+    """Free text for reports: no control characters, at most 128 bytes, `unknown` if empty."""
+    return F.when(F.coalesce(value, F.lit("")) == "", F.lit("unknown")).otherwise(truncate_utf8(F.regexp_replace(value, r"[\x00-\x1f\x7f]", ""), F.lit(128)))
 
 
 def parse_unit(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.plans import source_queries, trace_queries, usage_queries  # noqa: F401
+from spanloom.plans import redaction_queries, source_queries, trace_queries, usage_queries  # noqa: F401
 
 FLAGSHIP = "M1_waterfall"
 QUERIES: dict = dict(trace_queries.QUERIES)

@@ -5,26 +5,19 @@ Their files are written by Spark from the projections, so they grow with the tab
 
 from __future__ import annotations
 
-import posixpath
-import uuid
-
 from pyspark.sql import functions as F
 
 from spanloom.operators import marks
 from spanloom.plans.projections import sql, view
 from spanloom.plans.trace_queries import ORACLES, _suites, register
 from spanloom.sources import readers, store
-from spanloom.sources.shared import shared_dir
+from spanloom.sources.shared import folder
 from spanloom.streaming import spans as streams
 
 #: most spans of a request
 CHUNK = 1000
 
 
-def _folder(spark, name: str) -> str:
-    return posixpath.join(shared_dir(spark), f"spanloom-{name}-{uuid.uuid4().hex}")
-
-
 def _requests(spark, sf_dir) -> str:
     """The spans as exported requests, one a line, of at most CHUNK spans of a trace."""
     rows = view(spark, sf_dir, "td_spans")
@@ -38,7 +31,7 @@ def _requests(spark, sf_dir) -> str:
     docs = rows.groupBy("trace_id", F.expr(f"ord div {CHUNK}").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("ord", span.alias("s")))).alias("s"))
     service = F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.lit("shop").alias("stringValue")).alias("value")))
     doc = F.struct(F.array(F.struct(F.struct(service.alias("attributes")).alias("resource"), F.array(F.struct(F.transform("s", lambda x: x["s"]).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"))
-    path = _folder(spark, "requests")
+    path = folder(spark, "requests")
     docs.select(F.to_json(doc).alias("value")).write.text(path)
     return path
 
@@ -70,7 +63,7 @@ def round_trip(spark, sf_dir):
     attr = F.array(F.struct(F.lit("label").alias("key"), F.lit("str").alias("value_type"), F.col("name").alias("value")))
     zero = F.lit(0).cast("bigint")
     rows = view(spark, sf_dir, "td_spans").select(*_COLUMNS, "ord", attr.alias("attributes"), F.array().cast(readers.LINKS).alias("links"), zero.alias("dropped_attributes_count"), zero.alias("dropped_links_count"))
-    path = _folder(spark, "store")
+    path = folder(spark, "store")
     # the projection's traces start on thousands of days
     store.write_spans(rows, path, "tests", grain="year")
     return store.read_spans(spark, path).select(*_COLUMNS, "ord", F.element_at("attributes", 1)["value"].alias("size"))
@@ -83,7 +76,7 @@ def go_test(spark, sf_dir):
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     time = F.concat(F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("000Z"))
     doc = F.struct(time.alias("Time"), action.alias("Action"), F.concat(F.lit("p"), (F.col("event_id") % 3).cast("string")).alias("Package"), F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("t"), (F.col("event_id") % 5).cast("string"))).alias("Test"))
-    path = _folder(spark, "gotest")
+    path = folder(spark, "gotest")
     ev.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("ord"), F.to_json(doc).alias("value")).write.parquet(path)
     lines = spark.read.parquet(path)
     runs = ev.groupBy(F.col("user_id").alias("run_id")).agg((F.min(micros) * 1000 + 1_000_000).alias("started_ns"), (F.max(micros) * 1000 - 1_000_000).alias("ended_ns"))
@@ -93,7 +86,7 @@ def go_test(spark, sf_dir):
 @register("A4_read_marks", ORACLES["D3_dedup_marks"])
 def mark_lines(spark, sf_dir):
     rows = view(spark, sf_dir, "td_marks")
-    path = _folder(spark, "marks")
+    path = folder(spark, "marks")
     rows.select("run_id", "ord", F.to_json(F.struct("name", "ts_ns", "child")).alias("value")).unionByName(rows.limit(5).select("run_id", "ord", F.lit("{broken").alias("value"))).write.parquet(path)
     return marks.dedup_marks(readers.mark_rows(spark.read.parquet(path))).select("run_id", "ord", "name", "ts_ns", "child")
 
@@ -107,7 +100,7 @@ def junit(spark, sf_dir):
     inner = F.array_join(F.transform("c", lambda x: F.coalesce(x["x"], F.lit(""))), "")
     suite = F.concat(F.lit('<testsuite name="'), "suite", F.lit('" time="'), F.col("suite_seconds").cast("bigint").cast("string"), F.lit('">'), inner, F.lit("</testsuite>"))
     docs = body.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("suite", suite.alias("x")))).alias("s"))
-    path = _folder(spark, "junit")
+    path = folder(spark, "junit")
     docs.select("run_id", F.concat(F.lit('<?xml version="1.0"?>\n<testsuites>'), F.array_join(F.transform("s", lambda x: x["x"]), ""), F.lit("</testsuites>")).alias("value")).write.parquet(path)
     cases = readers.junit_cases(spark.read.parquet(path))
     runs = docs.select("run_id", F.lit(0).cast("bigint").alias("started_ns"), F.lit(2_000_000_000_000_000).alias("ended_ns"))
@@ -130,26 +123,26 @@ def _suite_rows(spark, sf_dir):
 
 @register("J1_stream_spans", _SPANS)
 def stream(spark, sf_dir):
-    path, table = _requests(spark, sf_dir), _folder(spark, "streamed")
-    streams.ingest(streams.stream_spans(spark, path), table, _folder(spark, "state")).awaitTermination()
+    path, table = _requests(spark, sf_dir), folder(spark, "streamed")
+    streams.ingest(streams.stream_spans(spark, path), table, folder(spark, "state")).awaitTermination()
     return _shown(spark.read.parquet(table))
 
 
 @register("J2_stream_dedup", _KEPT)
 def stream_dedup(spark, sf_dir):
-    path, table = _requests(spark, sf_dir), _folder(spark, "streamed")
+    path, table = _requests(spark, sf_dir), folder(spark, "streamed")
     # every request is delivered twice; the delay covers the whole span of event times
     spark.read.text(path).write.mode("append").text(path)
     spans = streams.deduplicated(streams.stream_spans(spark, path, files_per_batch=100_000), "36500 days")
-    streams.ingest(spans, table, _folder(spark, "state")).awaitTermination()
+    streams.ingest(spans, table, folder(spark, "state")).awaitTermination()
     return _shown(spark.read.parquet(table))
 
 
 @register("J6_late_spans", f"SELECT {_HEX.format('trace_id')} AS trace_id, started_ns, ended_ns, root_name, span_count, duration_ns FROM ({_KEPT_SUMMARY})")
 def late(spark, sf_dir):
     """Leaf spans come a batch after the others, and change the summaries of their traces."""
-    path, first = _requests(spark, sf_dir), _folder(spark, "arrivals")
-    table, summaries, state = (_folder(spark, x) for x in ("spans", "summaries", "state"))
+    path, first = _requests(spark, sf_dir), folder(spark, "arrivals")
+    table, summaries, state = (folder(spark, x) for x in ("spans", "summaries", "state"))
     docs = spark.read.text(path)
     schema = "resourceSpans array<struct<resource:string,scopeSpans:array<struct<spans:array<string>>>>>"
     parsed = docs.select(F.from_json("value", schema).alias("d"))

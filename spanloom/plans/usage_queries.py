@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from spanloom.operators import ledger
@@ -87,6 +89,7 @@ def compaction(spark, sf_dir):
     return found.select("trace_id", "sequence", "span_id", "previous_id", "chain_status", "compaction", "input_shift", "context_reset")
 
 
+#: fixed values: patterns and replacements of the default policy's masks
 _MASKS = [
     ("AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|sk-[A-Za-z0-9]{20,}|xox[baprs]-[A-Za-z0-9-]{10,}", "‹redacted›"),
     (r"(?i)Bearer\s+[A-Za-z0-9._~+/-]{8,}={0,2}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "‹redacted›"),
@@ -106,5 +109,7 @@ def _nested(text: str) -> str:
 def redact_text(spark, sf_dir):
     from spanloom.operators import redaction
 
-    found = redaction.redact_column(view(spark, sf_dir, "td_text"), "text")
+    # whole texts: the policy's bound is for attributes
+    policy = dataclasses.replace(redaction.DEFAULT_POLICY, max_value_bytes=16 << 20)
+    found = redaction.redact_column(view(spark, sf_dir, "td_text"), "text", policy)
     return found.select("id", F.col("redacted_action").alias("action"), F.sha2(F.col("redacted_value").cast("binary"), 256).alias("digest"))

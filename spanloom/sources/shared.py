@@ -33,11 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = posixpath.join(shared_dir(spark), f"spanloom-{name}-{uuid.uuid4().hex}")
+    _STANDING[path] = spark
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to a new shared table and read it back, which cuts its lineage."""
     spark = df.sparkSession
-    path = posixpath.join(shared_dir(spark), f"spanloom-{name}-{uuid.uuid4().hex}")
-    _STANDING[path] = spark
+    path = folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._spanloom_path = path

@@ -7,24 +7,30 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators.redaction import DEFAULT_POLICY, Policy, redact_spans
+from spanloom.operators.redaction import DEFAULT_POLICY, Policy, redact_labels, redact_spans
 from spanloom.operators.timeline import trace_summaries
 from spanloom.operators.tree import first_wins
 from spanloom.sources.readers import ATTRIBUTES, LINKS
+from spanloom.sources.shared import discard, materialize
 
 TABLES = ("traces", "spans", "span_attributes", "span_diagnostics", "span_links", "span_link_attributes")
 
 
-def write_spans(spans: DataFrame, path: str, source: str, policy: Policy | None = DEFAULT_POLICY, mode: str = "append", grain: str = "day") -> None:
+def write_spans(spans: DataFrame, path: str, source: str, policy: Policy | None = DEFAULT_POLICY, mode: str = "append", grain: str = "day", labels: DataFrame | None = None) -> None:
     """Write spans as tables under `path`, partitioned by source and start of the trace.
 
     `grain` (day, month, year) sets how coarse `trace_date` is; rows are rebalanced by it,
-    so that a date gets few files and a busy one is split.
+    so that a date gets few files and a busy one is split.  `labels` holds (trace_id,
+    run_label).  Labels and root names are redacted with the spans.
     """
     spans = first_wins(spans, ["trace_id", "span_id"])
     if policy:
         spans = redact_spans(spans, policy)
+    # six tables are written from these rows
+    spans = materialize(spans, "redacted")
     traces = trace_summaries(spans)
+    traces = traces.join(labels.select("trace_id", "run_label"), "trace_id", "left") if labels is not None else traces.withColumn("run_label", F.lit(None).cast("string"))
+    traces = (redact_labels(traces, policy) if policy else traces).withColumn("created_at", F.current_timestamp())
     day = F.to_date(F.date_trunc(grain, F.timestamp_micros(F.expr("started_ns div 1000"))))
     keyed = spans.join(traces.select("trace_id", day.alias("trace_date")), "trace_id")
     links = keyed.select("trace_date", "trace_id", "span_id", F.posexplode("links").alias("link_index", "l"))
@@ -38,6 +44,12 @@ def write_spans(spans: DataFrame, path: str, source: str, policy: Policy | None
     }
     for name, rows in tables.items():
         rows.withColumn("source", F.lit(source)).hint("rebalance", "trace_date").write.mode(mode).partitionBy("source", "trace_date").parquet(posixpath.join(path, name))
+    discard(spans)
+
+
+def read_traces(spark: SparkSession, path: str, where: str = "true") -> DataFrame:
+    """One row a trace: bounds, duration, root name, number of spans, label and time of writing."""
+    return spark.read.parquet(posixpath.join(path, "traces")).where(where)
 
 
 def read_spans(spark: SparkSession, path: str, where: str = "true") -> DataFrame:

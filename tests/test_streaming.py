@@ -3,7 +3,7 @@ import json
 
 import pytest
 
-from spanloom.operators.redaction import redact_rows, redact_spans
+from spanloom.operators.redaction import redact_spans
 from spanloom.plans import registry, source_queries
 from spanloom.sources.readers import otlp_spans
 from spanloom.streaming import spans as streams
@@ -41,7 +41,7 @@ def test_large_requests_arrive_and_are_redacted(spark, tmp_path):
 def test_rows_are_redacted_like_spans(spark):
     spans = otlp_spans(spark.createDataFrame([(request(20),)], "value string"))
     columns = ["span_id", "name", "attributes"]
-    assert sorted(redact_rows(spans).select(columns).collect()) == sorted(redact_spans(spans).select(columns).collect())
+    assert sorted(redact_spans(spans).select(columns).collect()) == sorted(redact_spans(spans).select(columns).collect())
 
 
 @pytest.mark.parametrize("name", ["A1_read_otlp_json", "A13_otlp_labels", "J1_stream_spans"])
