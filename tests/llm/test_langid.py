@@ -87,3 +87,53 @@ def test_sample_of_a_hot_language(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     first = [x for x in plan.splitlines() if "hashpartitioning" in x][-1]
     assert "lang" in first and "pmod" in first or "_w" in first
+
+
+def test_pooled_probabilities_equal_a_plain_loop():
+    import math
+
+    import pyarrow as pa
+
+    net = langid.train([b"the quick brown fox " * 3, "el niño y la casa ".encode() * 3] * 30, ["en", "es"] * 30)
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def states(layer, data):
+        h, out = [0.0] * len(layer.bias), []
+        for byte in data:
+            dot = lambda m, j: sum(h[i] * float(m[i, j]) for i in range(len(h)))
+            new = []
+            for j in range(len(h)):
+                r = sigmoid(2 * (float(layer.reset_in[byte, j]) + dot(layer.reset, j)))
+                z = sigmoid(2 * (float(layer.update_in[byte, j]) + dot(layer.update, j)))
+                c = math.tanh(float(layer.new_in[byte, j]) + r * (dot(layer.new, j) + float(layer.bias[j])))
+                new.append(z * h[j] + (1 - z) * c)
+            h = new
+            out.append(h)
+        return out
+
+    def brute(text):
+        data, total = text.encode(), [0.0] * len(net.languages)
+        for lo in range(0, len(data), langid.WINDOW):
+            window = data[lo : lo + langid.WINDOW]
+            padded = window + bytes(langid.WINDOW - len(window))
+            ahead, behind = states(net.ahead, padded), states(net.behind, padded[::-1])[::-1]
+            for t in range(len(window)):
+                scores = [float(net.bias[k]) + sum(ahead[t][i] * float(net.ahead.out[i, k]) + behind[t][i] * float(net.behind.out[i, k]) for i in range(len(ahead[t]))) for k in range(len(total))]
+                top = sum(math.exp(s - max(scores)) for s in scores)
+                total = [x + math.exp(s - max(scores)) / top for x, s in zip(total, scores)]
+        return [x / max(1, len(data)) for x in total]
+
+    texts = ["the fox and el zorro", "ñ", "", "a much longer text that takes more than a single window of bytes " * 3]
+    got = langid.pooled(net, pa.array(texts))
+    for text, row in zip(texts, got):
+        assert max(abs(a - b) for a, b in zip(row, brute(text))) < 1e-4
+
+
+def test_the_draw_is_bounded_over_all_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_WINDOWS", 12)
+    seen = {}
+    monkeypatch.setattr(langid, "train", lambda texts, labels: seen.update(labels=labels))
+    rows = [(i, f"text number {i} with letters", f"l{i % 5}") for i in range(400)]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {x: seen["labels"].count(x) for x in set(seen["labels"])}
+    assert sum(counts.values()) == 12 and set(counts) == {f"l{i}" for i in range(5)} and max(counts.values()) == 3
