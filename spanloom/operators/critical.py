@@ -2,12 +2,13 @@
 
 Nodes are (trace_id, unit); edges say which units a unit unblocks.  Each round peels
 the units whose predecessors are all known, for every trace in the same joins, so the
-number of rounds is the depth of the deepest graph.  The known part is kept in one
-table per level and never joined with itself.
+number of rounds is the depth of the deepest graph.  The known part is appended to one
+table and never joined with itself.  Paths are walked back in rounds that double.
 """
 
 from __future__ import annotations
 
+import posixpath
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import scalars as S
 from spanloom.operators.tree import occurrences
-from spanloom.sources.shared import materialize
+from spanloom.sources.shared import discard, folder, materialize
 
 
 def build_graph(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -56,20 +57,63 @@ def finish_times(units: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     degree = edges.groupBy("trace_id", F.col("dst").alias("unit")).agg(F.count("*").alias("open"))
     state = units.select("trace_id", "unit", "duration_ns").join(degree, ["trace_id", "unit"], "left")
     state = materialize(state.select("trace_id", "unit", "duration_ns", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).cast("bigint").alias("best"), F.lit(None).cast("int").alias("pred")), "open")
-    done = []
+    spark, levels, level = units.sparkSession, folder(units.sparkSession, "levels"), 0
     while True:
-        ready = materialize(state.where("open = 0").select("trace_id", "unit", (F.col("best") + F.col("duration_ns")).alias("finish"), "pred"), "level")
+        # all levels stand in one table, a folder each
+        ready, here = state.where("open = 0").select("trace_id", "unit", (F.col("best") + F.col("duration_ns")).alias("finish"), "pred"), posixpath.join(levels, f"level={level}")
+        schema = ready.schema
+        ready.write.parquet(here)
+        ready, level = spark.read.schema(schema).parquet(here), level + 1
         if ready.isEmpty():
-            return reduce(DataFrame.unionByName, [*done, ready]), state.where("open > 0").select("trace_id", "unit")
-        done.append(ready)
+            return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(levels), state.where("open > 0").select("trace_id", "unit")
         sent = ready.select("trace_id", F.col("unit").alias("src"), "finish").join(edges, ["trace_id", "src"])
         sent = sent.groupBy("trace_id", F.col("dst").alias("unit")).agg(F.count("*").alias("got"), F.max(F.struct("finish", (-F.col("src")).alias("neg"))).alias("top"))
-        state = state.where("open > 0").join(sent, ["trace_id", "unit"], "left")
+        rest = state.where("open > 0").join(sent, ["trace_id", "unit"], "left")
         better = F.col("top.finish").isNotNull() & ((F.col("top.finish") > F.col("best")) | F.col("pred").isNull() | ((F.col("top.finish") == F.col("best")) & (-F.col("top.neg") < F.col("pred"))))
-        state = materialize(
-            state.select("trace_id", "unit", "duration_ns", (F.col("open") - F.coalesce("got", F.lit(0))).alias("open"), F.when(better, F.col("top.finish")).otherwise(F.col("best")).alias("best"), F.when(better, -F.col("top.neg")).otherwise(F.col("pred")).cast("int").alias("pred")),
-            "open",
-        )
+        best, pred = F.when(better, F.col("top.finish")).otherwise(F.col("best")), F.when(better, -F.col("top.neg")).otherwise(F.col("pred")).cast("int")
+        rest = rest.select("trace_id", "unit", "duration_ns", (F.col("open") - F.coalesce("got", F.lit(0))).alias("open"), best.alias("best"), pred.alias("pred"))
+        rest = materialize(rest, "open")
+        discard(state)
+        state = rest
+
+
+def cycle_units(residue: DataFrame, edges: DataFrame) -> DataFrame:
+    """(trace_id, unit) of what is on a cycle, or between two, of the units on or behind one.
+
+    Units from which no cycle can be reached are peeled off from the end, one level of
+    all graphs a round.
+    """
+    state = materialize(residue.select("trace_id", "unit"), "residue")
+    if state.isEmpty():
+        return state
+    ends = lambda c: state.select("trace_id", F.col("unit").alias(c))
+    links = materialize(edges.where("src <> dst").join(ends("src"), ["trace_id", "src"], "left_semi").join(ends("dst"), ["trace_id", "dst"], "left_semi"), "looped")
+    while True:
+        going = links.select("trace_id", F.col("src").alias("unit")).distinct()
+        kept = materialize(state.join(going, ["trace_id", "unit"], "left_semi"), "residue")
+        if kept.count() == state.count():
+            return kept
+        fewer = materialize(links.join(kept.select("trace_id", F.col("unit").alias("dst")), ["trace_id", "dst"], "left_semi"), "looped")
+        discard(state, links)
+        state, links = kept, fewer
+
+
+def walked_back(ends: DataFrame, known: DataFrame) -> DataFrame:
+    """(trace_id, unit, back): every unit on the path of predecessors from `ends` (trace_id, unit), and how far back.
+
+    Rounds double what is covered: after k of them, all units fewer than 2**k steps back.
+    """
+    jump = known.where("pred IS NOT NULL").select("trace_id", "unit", F.col("pred").alias("up"))
+    walked, step = materialize(ends.select("trace_id", "unit", F.lit(0).alias("back")), "path"), 1
+    while True:
+        more = materialize(walked.join(jump, ["trace_id", "unit"]).select("trace_id", F.col("up").alias("unit"), (F.col("back") + step).alias("back")), "step")
+        if more.isEmpty():
+            return walked
+        walked, step = materialize(walked.unionByName(more), "path"), 2 * step
+        above = jump.select("trace_id", F.col("unit").alias("up"), F.col("up").alias("up2"))
+        farther = materialize(jump.join(above, ["trace_id", "up"]).select("trace_id", "unit", F.col("up2").alias("up")), "jumps")
+        discard(jump, more)
+        jump = farther
 
 
 def critical_path(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -81,7 +125,8 @@ def critical_path(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     units, edges, issues = build_graph(spans)
     known, residue = finish_times(units, edges)
-    issues = issues.unionByName(residue.join(units, ["trace_id", "unit"]).select("trace_id", F.lit("cycle").alias("code"), "span_id", "unit")).distinct()
+    looped = cycle_units(residue, edges)
+    issues = issues.unionByName(looped.join(units, ["trace_id", "unit"]).select("trace_id", F.lit("cycle").alias("code"), "span_id", "unit")).distinct()
     issues = materialize(issues, "issues")
     flags = issues.groupBy("trace_id").agg(
         F.max(F.col("code").isin("duplicate_unit", "invalid_unit", "invalid_unblocks", "unblocks_without_unit")).alias("malformed"), F.max(F.col("code") == "cycle").alias("cyclic"), F.max(F.col("code") == "missing_unit").alias("missing")
@@ -93,16 +138,9 @@ def critical_path(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     status = F.when(F.col("malformed"), "malformed").when(F.col("cyclic"), "cyclic").when(F.col("missing"), "missing").when(F.col("unit_count").isNull(), "no_edge").otherwise("ok")
     report = report.withColumn("status", status).withColumn("critical_ns", F.when(status == "ok", F.col("end.finish")))
     report = materialize(report.withColumn("end_unit", F.when(status == "ok", -F.col("end.neg"))), "report")
-    # back from the end unit; each step is a join over all traces
-    step = report.where("end_unit IS NOT NULL").select("trace_id", F.col("end_unit").cast("int").alias("unit"), F.lit(0).alias("back"))
-    known, walked = materialize(known, "finish"), []
-    while True:
-        step = materialize(step.join(known, ["trace_id", "unit"]).select("trace_id", "unit", "back", "pred", "finish"), "step")
-        walked.append(step.select("trace_id", "unit", "back", "finish"))
-        step = step.where("pred IS NOT NULL").select("trace_id", F.col("pred").alias("unit"), (F.col("back") + 1).alias("back"))
-        if step.isEmpty():
-            break
-    path = reduce(DataFrame.unionByName, walked).join(units, ["trace_id", "unit"])
+    known = materialize(known, "finish")
+    ends = report.where("end_unit IS NOT NULL").select("trace_id", F.col("end_unit").cast("int").alias("unit"))
+    path = walked_back(ends, known).join(known.select("trace_id", "unit", "finish"), ["trace_id", "unit"]).join(units, ["trace_id", "unit"])
     position = F.row_number().over(Window.partitionBy("trace_id").orderBy(F.desc("back"))) - 1
     path = path.withColumn("position", position).select("trace_id", "position", "unit", "span_id", "duration_ns", F.col("finish").alias("finish_ns"))
     count = F.coalesce("path_count", F.lit(0)).alias("path_count")

@@ -235,7 +235,8 @@ def estimate_cost(rows: DataFrame, rates: DataFrame) -> DataFrame:
     reason = F.when(~F.col("contributes"), "row does not contribute").when(F.col("rated").isNull(), "missing rate").when(unknown, "unknown tokens")
     money = sum((big(n) * F.col(r) for n, r in ((v("cache_read"), "r_read"), (v("cache_write"), "r_write"), (plain, "r_out"), (v("reasoning"), "r_think"))), big(fresh) * F.col("r_in"))
     order = F.struct("started_ns", "ended_ns", "span_id")
-    found = df.withColumn("reason", reason).withColumn("money", money.cast("decimal(38,0)")).groupBy("trace_id").agg(F.sum(F.when(F.col("reason").isNull(), F.col("money"))).cast("decimal(38,0)").alias("money"), F.min_by("reason", F.when(F.col("reason").isNotNull(), order)).alias("reason"))
+    found = df.withColumn("reason", reason).withColumn("money", money.cast("decimal(38,0)")).groupBy("trace_id").agg(F.try_sum(F.when(F.col("reason").isNull(), F.col("money"))).alias("money"), F.count_if(F.col("reason").isNull()).alias("n"), F.min_by("reason", F.when(F.col("reason").isNotNull(), order)).alias("reason"))
+    found = found.withColumn("reason", F.coalesce("reason", F.when(F.col("money").isNull() & (F.col("n") > 0), F.lit("overflow"))))
     # units of 1e-15; rounded to units of 1e-9
     nano = F.round("money", -6).cast("decimal(38,0)").cast("string")
     digits = F.lpad(nano, 40, "0")
@@ -245,8 +246,8 @@ def estimate_cost(rows: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def usage_by(rows: DataFrame, key: str) -> DataFrame:
-    """Known token totals of every branch, retry group or other key of a trace."""
-    return rows.where("contributes").groupBy("trace_id", key).agg(F.count("*").alias("calls"), *(F.sum(f"added_{s}.value").alias(s) for s in SIGNALS))
+    """Known token totals of every branch, retry group or other key of a trace; null beyond 64 bits."""
+    return rows.where("contributes").groupBy("trace_id", key).agg(F.count("*").alias("calls"), *(F.try_sum(f"added_{s}.value").alias(s) for s in SIGNALS))
 
 
 def validate(rows: DataFrame) -> DataFrame:

@@ -138,3 +138,24 @@ def trace_summaries(spans: DataFrame) -> DataFrame:
 def recent_traces(summaries: DataFrame, n: int = 50) -> DataFrame:
     """The newest traces first; none for n below 1."""
     return summaries.orderBy(F.desc("started_ns"), "trace_id").limit(max(0, n))
+
+
+def span_detail(spans: DataFrame) -> DataFrame:
+    """Every span as an inspector shows it: labels, times as text, and its attributes as lines."""
+    line = lambda a: F.concat(F.rpad(a["key"], F.greatest(F.char_length(a["key"]), F.lit(24)), F.lit(" ")), F.lit(" ("), a["value_type"], F.lit(") "), a["value"])
+    lines = F.when(F.coalesce(F.size("attributes"), F.lit(0)) <= 0, F.array(F.lit("(none)"))).otherwise(F.transform("attributes", line))
+    return spans.select(
+        "trace_id", "name", "span_id", F.coalesce("parent_span_id", F.lit("(root)")).alias("parent"), S.kind_label(F.col("kind")).alias("kind"), S.status_label(F.col("status")).alias("status"),
+        S.format_duration(F.col("duration_ns")).alias("duration"), S.format_timestamp(F.col("started_ns")).alias("started"), S.format_timestamp(F.col("ended_ns")).alias("ended"), lines.alias("attributes"),
+    )
+
+
+def issue_codes(issues: DataFrame) -> DataFrame:
+    """The sorted distinct codes of every trace."""
+    return issues.groupBy("trace_id").agg(F.sort_array(F.collect_set("code")).alias("codes"))
+
+
+def ordered_issues(issues: DataFrame, order: tuple[str, ...] = ("code", "span_id", "attribute")) -> DataFrame:
+    """Issues with their `position` in their trace's report; ledgers order by code first, chains by span."""
+    by = [F.coalesce(F.col(c), F.lit("")) for c in order]
+    return issues.withColumn("position", F.row_number().over(Window.partitionBy("trace_id").orderBy(*by)) - 1)

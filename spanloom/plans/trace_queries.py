@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import scalars as S
-from spanloom.operators import critical, marks, timeline, tree
+from spanloom.operators import critical, graft, marks, timeline, tree
 from spanloom.plans.projections import sql, view
 
 QUERIES: dict = {}
@@ -257,7 +258,16 @@ def critical_ok(spark, sf_dir):
     return critical.critical_path(_unit_spans(spark, sf_dir, "td_units_ok"))[0].drop("path_count")
 
 
-@register("G4_critical_path_spans", None)
+_PATH = _FINISH + """, best AS (SELECT trace_id, unit, max(f) AS f FROM p GROUP BY trace_id, unit),
+  pred AS (SELECT b.trace_id, b.unit, min(e.src) AS src FROM best b JOIN td_units_ok u ON u.trace_id = b.trace_id AND u.unit = b.unit JOIN e ON e.trace_id = b.trace_id AND e.dst = b.unit
+    JOIN best s ON s.trace_id = e.trace_id AND s.unit = e.src AND s.f + u.duration_ns = b.f GROUP BY b.trace_id, b.unit),
+  walk AS (SELECT m.trace_id, min(unit) AS unit, 0 AS back FROM m JOIN best b ON b.trace_id = m.trace_id AND b.f = m.critical_ns GROUP BY m.trace_id
+    UNION ALL SELECT w.trace_id, x.src, w.back + 1 FROM walk w JOIN pred x ON x.trace_id = w.trace_id AND x.unit = w.unit)
+  SELECT w.trace_id, row_number() OVER (PARTITION BY w.trace_id ORDER BY back DESC) - 1 AS position, w.unit, u.span_id, u.duration_ns, b.f AS finish_ns
+  FROM walk w JOIN td_units_ok u ON u.trace_id = w.trace_id AND u.unit = w.unit JOIN best b ON b.trace_id = w.trace_id AND b.unit = w.unit"""
+
+
+@register("G4_critical_path_spans", _PATH)
 def critical_spans(spark, sf_dir):
     return critical.critical_path(_unit_spans(spark, sf_dir, "td_units_ok"))[1]
 
@@ -278,3 +288,65 @@ def missing_units(spark, sf_dir):
 def critical_lenient(spark, sf_dir):
     # edges past the last unit are dropped, which leaves the graph of td_units_ok
     return critical.critical_path_lenient(_unit_spans(spark, sf_dir, "td_units"))
+
+
+@register("G6_cycle_units", f"""{sql("td_units")} SELECT trace_id, span_id, unit::INT AS unit FROM (SELECT *, max(unit) OVER (PARTITION BY trace_id) AS m FROM td_units) q WHERE m >= 3 AND unit IN (1, 2)""")
+def cycle_units(spark, sf_dir):
+    """Units in a row, where the third also unblocks the second; those behind the cycle are not on it."""
+    spans = _unit_spans(spark, sf_dir, "td_units")
+    last = F.max("ord").over(Window.partitionBy("trace_id"))
+    following = F.when(F.col("ord") < F.col("last"), (F.col("ord") + 1).cast("string"))
+    spans = spans.withColumn("last", last).withColumn("unblocks_text", F.concat_ws(",", following, F.when((F.col("ord") == 2) & (F.col("last") >= 3), "1")))
+    spans = spans.withColumn("unblocks_text", F.when(F.col("unblocks_text") != "", F.col("unblocks_text"))).drop("last")
+    _, _, issues = critical.critical_path(spans)
+    return issues.where("code = 'cycle'").select("trace_id", "span_id", "unit")
+
+
+@register("M8_broken_reports", f"{_FINISH} SELECT trace_id, unnest(['path_sum'] || CASE WHEN length(trace_id) % 2 = 0 THEN ['path_count'] ELSE [] END) AS violation FROM m")
+def critical_broken(spark, sf_dir):
+    """Reports whose length, and for some whose count, was tampered with."""
+    report, path, _ = critical.critical_path(_unit_spans(spark, sf_dir, "td_units_ok"))
+    report = report.withColumn("critical_ns", F.col("critical_ns") - 1).withColumn("path_count", F.col("path_count") + (F.char_length("trace_id") + 1) % 2)
+    return critical.validate(report, path)
+
+
+@register("M9_span_detail", f"""{sql("td_spans")} SELECT trace_id, name, span_id, coalesce(parent_span_id, '(root)') AS parent, (['unspecified', 'internal', 'server', 'client', 'producer', 'consumer'])[kind + 1] AS kind,
+  (['unset', 'ok', 'error'])[status + 1] AS status, {_DURATION.format("duration_ns")} AS duration, strftime(make_timestamp(started_ns // 1000), '%Y-%m-%d %H:%M:%S.%g') || ' UTC' AS started,
+  strftime(make_timestamp(ended_ns // 1000), '%Y-%m-%d %H:%M:%S.%g') || ' UTC' AS ended, CASE WHEN kind = 1 THEN '(none)' ELSE rpad('label', 24, ' ') || ' (str) ' || name END AS attributes FROM td_spans""")
+def span_detail(spark, sf_dir):
+    label = F.array(F.struct(F.lit("label").alias("key"), F.lit("str").alias("value_type"), F.col("name").alias("value")))
+    spans = view(spark, sf_dir, "td_spans").withColumn("attributes", F.when(F.col("kind") != 1, label))
+    return timeline.span_detail(spans).withColumn("attributes", F.array_join("attributes", "\n"))
+
+
+_BASE = f"""{sql("td_spans")}, base AS (SELECT * FROM td_spans WHERE kind <> 1), t AS (SELECT trace_id, min(started_ns) AS s, max(ended_ns) AS e, count(*) AS n FROM base GROUP BY trace_id),
+  g AS (SELECT trace_id, max(ended_ns + 3600000000000000) AS e, count(*) AS n FROM td_spans WHERE kind = 1 AND length(trace_id) % 2 = 0 GROUP BY trace_id)"""
+
+
+def _grafted(spark, sf_dir):
+    """Orders as traces, to which the order lines of some are grafted a thousand hours late."""
+    spans = view(spark, sf_dir, "td_spans")
+    base = spans.where("kind <> 1")
+    traces = base.groupBy("trace_id").agg(F.lit("run").alias("source"), F.min("started_ns").alias("started_ns"), F.max("ended_ns").alias("ended_ns"), (F.max("ended_ns") - F.min("started_ns")).alias("duration_ns"), F.count("*").alias("span_count"))
+    late = spans.where("kind = 1 AND char_length(trace_id) % 2 = 0").withColumn("ended_ns", F.col("ended_ns") + 3_600_000_000_000_000).withColumn("duration_ns", F.col("ended_ns") - F.col("started_ns"))
+    return graft.graft_spans(base, traces, late, "cargo")
+
+
+@register("I2_D2_grafted_traces", f"""{_BASE} SELECT t.trace_id, CASE WHEN g.n IS NULL THEN 'run' ELSE 'cargo' END AS source, s AS started_ns, greatest(t.e, coalesce(g.e, t.e)) AS ended_ns,
+  greatest(t.e, coalesce(g.e, t.e)) - s AS duration_ns, t.n + coalesce(g.n, 0) AS span_count FROM t LEFT JOIN g ON g.trace_id = t.trace_id""")
+def grafted_traces(spark, sf_dir):
+    return _grafted(spark, sf_dir)[1]
+
+
+@register("I2_D2_grafted_roots", f"""{_BASE} SELECT b.trace_id, span_id, CASE WHEN parent_span_id IS NULL THEN greatest(ended_ns, coalesce(g.e, ended_ns)) ELSE ended_ns END AS ended_ns FROM base b LEFT JOIN g ON g.trace_id = b.trace_id
+  UNION ALL SELECT trace_id, span_id, ended_ns + 3600000000000000 FROM td_spans WHERE kind = 1 AND length(trace_id) % 2 = 0""")
+def grafted_roots(spark, sf_dir):
+    return _grafted(spark, sf_dir)[0].select("trace_id", "span_id", "ended_ns")
+
+
+@register("I1_union_marks", f"""{sql('td_marks')} SELECT run_id, name, ts_ns, child, count(*) AS n FROM (SELECT DISTINCT run_id, name, ts_ns, child FROM td_marks) q GROUP BY ALL""")
+def union_marks(spark, sf_dir):
+    """Marks of the socket and of the spool; every third is in both."""
+    rows = view(spark, sf_dir, "td_marks")
+    found = graft.union_marks(rows.where("ord % 3 <> 0"), rows.where("ord % 3 <> 1"))
+    return found.groupBy("run_id", "name", "ts_ns", "child").agg(F.count("*").alias("n"))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import dataclasses
+import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spanloom.operators import ledger
+from spanloom.operators import ledger, timeline
 from spanloom.plans.projections import sql, view
 from spanloom.plans.trace_queries import register
+from spanloom.sources import rates
+from spanloom.sources.shared import folder, materialize
 
 
 def _calls(spark, sf_dir):
@@ -57,11 +61,47 @@ def valid(spark, sf_dir):
 @register("D9_estimate_cost", f"""{_ADDED}, c AS (SELECT trace_id, i * (CASE provider WHEN 'openai' THEN 2500 ELSE 3000 END) + o * (CASE provider WHEN 'openai' THEN 10000 ELSE 15000 END) AS nano FROM a)
   SELECT trace_id, CASE WHEN count(*) = count(nano) THEN sum(nano)::BIGINT END AS cost_nano, CASE WHEN count(*) > count(nano) THEN 'unknown tokens' END AS reason FROM c GROUP BY trace_id""")
 def cost(spark, sf_dir):
-    rates = spark.createDataFrame([("openai", "m1", "2.5", "10", None, None, None), ("anthropic", "m1", "3", "15", "0.3", "3.75", None)], "provider string, model string, input string, output string, cache_read string, cache_write string, reasoning string")
-    found = ledger.estimate_cost(ledger.usage_ledger(_calls(spark, sf_dir))[0], rates)
+    prices = [("openai", {"input": "2.5", "output": "10"}), ("anthropic", {"input": "3", "output": "15", "cache_read_input": "0.3", "cache_write_input": "3.75"})]
+    doc = {"schema": rates.SCHEMA, "as_of": "2026-01-01", "currency": "USD", "rates": [{"provider": p, "model": "m1", "per_million_tokens": x} for p, x in prices]}
+    path = folder(spark, "rates")
+    spark.createDataFrame([(json.dumps(doc),)], "value string").coalesce(1).write.text(path)
+    found = ledger.estimate_cost(ledger.usage_ledger(_calls(spark, sf_dir))[0], rates.load_rates(spark, path).rates)
     return found.select("trace_id", (F.col("cost").cast("decimal(38,9)") * 1_000_000_000).cast("bigint").alias("cost_nano"), "reason")
 
 
+@register("A11_D18_N4_rate_book", """SELECT n_name || '/' || s_name AS rate_key, row_number() OVER (ORDER BY n_name || '/' || s_name) - 1 AS position, (s_suppkey % 97 + 1)::VARCHAR || '.25' AS input
+  FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
+def rate_book(spark, sf_dir):
+    """A rate file with an entry for every supplier of a nation, loaded again."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(nations, "s_nationkey")
+    price = F.concat((F.col("s_suppkey") % 97 + 1).cast("string"), F.lit(".25"))
+    entry = F.struct(F.col("n_name").alias("provider"), F.col("s_name").alias("model"), F.struct(price.alias("input"), price.alias("output")).alias("per_million_tokens"))
+    doc = F.struct(F.lit(rates.SCHEMA).alias("schema"), F.lit("2026-01-01").alias("as_of"), F.lit("USD").alias("currency"), F.collect_list(entry).alias("rates"))
+    path = folder(spark, "rates")
+    rows.agg(F.to_json(doc).alias("value")).coalesce(1).write.text(path)
+    book = rates.load_rates(spark, path)
+    keyed = book.rates.select(F.concat_ws("/", "provider", "model").alias("rate_key"), F.regexp_replace(F.col("input").cast("string"), "0+$", "").alias("input"))
+    found = book.keys().withColumn("position", F.row_number().over(Window.orderBy("rate_key")) - 1)
+    return found.join(keyed, "rate_key")
+
+
+@register("K7_broken_ledger", f"{_ADDED} SELECT trace_id, span_id, unnest(CASE WHEN o IS NULL THEN ['observed_input: negative'] ELSE ['observed_input: negative', 'added_output: value and reason'] END) AS violation FROM a")
+def broken(spark, sf_dir):
+    """Ledger rows whose input was made negative and whose known output lost its value."""
+    rows = ledger.usage_ledger(_calls(spark, sf_dir))[0]
+    rows = rows.withColumn("observed_input", F.col("observed_input").withField("value", F.lit(-1).cast("bigint"))).withColumn("added_output", F.col("added_output").withField("value", F.lit(None).cast("bigint")))
+    return ledger.validate(rows.withColumn("added_output", F.col("added_output").withField("reason", F.when(F.col("added_output.reason").isNotNull(), F.col("added_output.reason")))))
+
+
+@register("D13_H5_issue_order", f"""{_ADDED}, i AS (SELECT trace_id, span_id, 'cumulative_decrease' AS code FROM a WHERE o IS NULL)
+  SELECT i.trace_id, span_id, code, row_number() OVER (PARTITION BY i.trace_id ORDER BY code, span_id) - 1 AS position, 'cumulative_decrease' AS codes FROM i""")
+def issue_order(spark, sf_dir):
+    issues = materialize(ledger.usage_ledger(_calls(spark, sf_dir))[2], "issues")
+    codes = timeline.issue_codes(issues).select("trace_id", F.array_join("codes", ",").alias("codes"))
+    return timeline.ordered_issues(issues).select("trace_id", "span_id", "code", "position").join(codes, "trace_id")
+
+
 def _responses(spans):
     """The calls as responses: every turn but each third names the one before it."""
     attr = lambda key, value: F.struct(F.lit(key).alias("key"), F.lit("str").alias("value_type"), value.cast("string").alias("value"))
