@@ -8,6 +8,8 @@ Within a trace no task ever needs more than single spans and their own paths.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,16 +35,18 @@ def _climb(state: DataFrame, most_rounds: int = 40) -> DataFrame:
     """
     state = materialize(state, "tree")
     largest = state.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
+    # finished rows stay in the table of the round that finished them
+    done, todo = [state.where("up IS NULL")], state.where("up IS NOT NULL")
     for _ in range(min(most_rounds, largest.bit_length() + 1)):
-        if state.where("up IS NOT NULL").isEmpty():
+        if todo.isEmpty():
             break
-        done, todo = state.where("up IS NULL"), state.where("up IS NOT NULL")
-        above = state.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("chain").alias("chain2"))
+        above = reduce(DataFrame.unionByName, [*done, todo]).select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("chain").alias("chain2"))
         step = todo.join(above, ["trace_id", "up"]).select(
             "trace_id", "span_id", F.col("up2").alias("up"), F.concat("path2", "path").alias("path"), F.concat("chain2", "chain").alias("chain")
         )
-        state = materialize(done.unionByName(step), "tree")
-    return state.where("up IS NULL").drop("up")
+        step = materialize(step, "tree")
+        done, todo = [*done, step.where("up IS NULL")], step.where("up IS NOT NULL")
+    return reduce(DataFrame.unionByName, done).drop("up")
 
 
 def assemble_tree(spans: DataFrame) -> DataFrame:
