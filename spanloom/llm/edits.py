@@ -9,13 +9,19 @@ behind the edit that the old split shares: from there on both splits are equal,
 splitting pattern looks at nothing before its start.  The tree is cut at both places,
 the new leaves are put between, and sums change along the path alone.
 
+Trees outlive a job as a table of leaf rows (`grow_trees`, `leaf_rows`); `edit_trees`
+takes a table of edits, reads only the documents that it names, and gives the leaf rows
+of all afterwards.
+
 Token counts come from a byte-level BPE vocabulary; the count of each distinct
 pre-token is remembered.
 
 Defined results: a null text counts as empty; edits with null bounds or out of range
 are clamped to the text, a null replacement deletes.  A document without edits has
 equal counts.  Rows are handled one by one, so repeated rows and null ids pass
-through.  An empty table gives an empty result.  Further columns are not read.
+through; stored trees need an id, and keep the least text of a repeated one.  Edits of a
+document apply in their order.  An empty table gives an empty result.  Further columns
+are not read.  A text is held whole, its tree takes some ten times its size.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import materialize, slices, table
 
 LEAF = 32
 #: pre-tokens whose counts a Python worker remembers
@@ -114,6 +120,16 @@ def bounds(node: Node | None, at: int = 0) -> Iterator[int]:
         yield from bounds(node.right, at + node.left.chars)
 
 
+def leaves(node: Node | None) -> Iterator[list[tuple[int, int]]]:
+    """The runs of all leaves, in order."""
+    if node is not None:
+        if node.run is not None:
+            yield node.run
+        else:
+            yield from leaves(node.left)
+            yield from leaves(node.right)
+
+
 class EditedDocument:
     """A text with its token count, kept up to date under edits."""
 
@@ -122,6 +138,13 @@ class EditedDocument:
         self.tree = build([(len(m), count(m)) for m in split.findall(text)])
         self.recounted = 0
 
+    @classmethod
+    def restored(cls, text: str, run: list[tuple[int, int]], split: "regex.Pattern", count: Callable[[str], int]) -> "EditedDocument":
+        """A document whose pre-tokens are known: none is split or counted."""
+        found = cls("", split, count)
+        found.text, found.tree = text, build(run)
+        return found
+
     @property
     def tokens(self) -> int:
         return self.tree.tokens if self.tree else 0
@@ -214,6 +237,75 @@ def count_edits(docs: DataFrame, edits, path: str | None = None, id_col: str = "
     return rows.mapInArrow(_counts(path), f"id {kind}, {_OUT}").withColumnRenamed("id", id_col)
 
 
+_LEAVES = "array<struct<leaf:int,lengths:array<int>,counts:array<int>>>"
+
+
+def _stored(path: str):
+    """Apply the edits of every row to its stored tree, or split the text where none is stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(path)
+        for batch in batches:
+            for part in slices(batch):
+                rows = []
+                for text, held, edits in zip(*(part.column(x).to_pylist() for x in ("text", "leaves", "edits"))):
+                    if held is None:
+                        doc = EditedDocument(text or "", count.split, count)
+                        doc.recounted = len(doc.text)
+                    else:
+                        doc = EditedDocument.restored(text or "", [x for leaf in held for x in zip(leaf["lengths"], leaf["counts"])], count.split, count)
+                    for e in edits or []:
+                        if e is not None:
+                            start = e["start"] or 0
+                            doc.edit(start, start if e["stop"] is None else e["stop"], e["new"] or "")
+                    kept = [{"leaf": k, "lengths": [n for n, _ in x], "counts": [t for _, t in x]} for k, x in enumerate(leaves(doc.tree))]
+                    rows.append((doc.text, doc.tokens, doc.recounted, kept))
+                text, tokens, recounted, kept = zip(*rows)
+                kind = pa.list_(pa.struct([("leaf", pa.int32()), ("lengths", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]))
+                arrays = [part.column("id"), pa.array(text, pa.string()), pa.array(tokens, pa.int64()), pa.array(recounted, pa.int64()), pa.array(kept, kind)]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "text", "n_tokens", "n_chars_recounted", "leaves"])
+
+    return run
+
+
+def _applied(rows: DataFrame, path: str | None) -> DataFrame:
+    kind = rows.schema["id"].dataType.simpleString()
+    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = rows.select("id", "text", F.col("leaves").cast(_LEAVES).alias("leaves"), F.col("edits").cast("array<struct<start:bigint,stop:bigint,new:string>>").alias("edits"))
+    return rows.mapInArrow(_stored(path), f"id {kind}, text string, n_tokens bigint, n_chars_recounted bigint, leaves {_LEAVES}")
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row an id (the least of its texts); rows without an id go."""
+    return docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(text_col).cast("string")).alias("text"))
+
+
+def leaf_rows(trees: DataFrame) -> DataFrame:
+    """(id, leaf, lengths, counts): the table that trees are stored as, a row a leaf."""
+    return trees.select("id", F.explode("leaves").alias("l")).select("id", "l.*")
+
+
+def grow_trees(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, n_tokens, n_chars_recounted, leaves) of every document, every text split once."""
+    none = F.lit(None)
+    return _applied(_documents(docs, id_col, text_col).withColumn("leaves", none).withColumn("edits", none), path)
+
+
+def edit_trees(docs: DataFrame, stored: DataFrame, edits: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The edited documents, as by `grow_trees`, and the leaf rows of all documents afterwards.
+
+    `stored` holds the leaf rows of the documents so far, `edits` (id, edits) a list of
+    edits for some ids (several rows of one id: any one of them).  Only texts and leaves
+    of those are read by Python, and only touched regions are split again; documents
+    without stored leaves are split whole.
+    """
+    asked = edits.where(F.col("id").isNotNull()).dropDuplicates(["id"]).select("id", "edits")
+    held = stored.join(asked.select("id"), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("leaf", "lengths", "counts"))).alias("leaves"))
+    touched = _documents(docs.join(asked.select(F.col("id").alias(id_col)), id_col, "left_semi"), id_col, text_col)
+    done = materialize(_applied(touched.join(asked, "id").join(held, "id", "left"), path), "edited")
+    return done, stored.join(done.select("id"), "id", "left_anti").select("id", "leaf", "lengths", "counts").unionByName(leaf_rows(done))
+
+
 def routine_edits(text, source):
     """Three edits: the source as a first line, a middle stretch gone, the end rewritten."""
     size = F.coalesce(F.char_length(text), F.lit(0)).cast("bigint")

@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -41,3 +43,28 @@ def test_edges(spark):
     same = edits.count_edits(docs, F.lit(None)).collect()
     assert all(r.n_tokens == r.n_tokens_edited and r.n_edits == 0 for r in same)
     assert edits.count_edits(docs.limit(0), F.lit(None)).count() == 0
+
+
+def test_stored_trees_follow_edits(spark):
+    full = lambda text: sum(COUNT(m) for m in COUNT.split.findall(text))
+    rng = random.Random(3)
+    texts = {i: " ".join(rng.choice(["alpha", "it's", "12,5", "\n\n", "été"]) for _ in range(rng.choice([0, 3, 40, 3000]))) for i in range(24)}
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()] + [(None, "gone", "x")], "doc_id long, text string, leaf string")
+    grown = edits.grow_trees(docs)
+    assert {r.id: r.n_tokens for r in grown.collect()} == {i: full(t) for i, t in texts.items()}
+    stored = edits.leaf_rows(grown)
+    schema = "id long, edits array<struct<start:long,stop:long,new:string>>"
+    for turn in range(3):
+        asked = {i: [(rng.randint(0, len(t)), None, "new word ") if turn else (len(t) // 2, len(t) // 2 + 5, "")] for i, t in texts.items() if i % 3 == turn % 3}
+        done, stored = edits.edit_trees(docs, stored, spark.createDataFrame(list(asked.items()), schema))
+        for i, ((start, stop, new),) in asked.items():
+            texts[i] = texts[i][:start] + new + texts[i][start if stop is None else stop :]
+        got = {r.id: r for r in done.collect()}
+        assert set(got) == set(asked)
+        for i, r in got.items():
+            assert r.text == texts[i] and r.n_tokens == full(texts[i]) and r.n_chars_recounted <= 60
+        held = {r.id: (r.chars, r.tokens) for r in stored.groupBy("id").agg(F.sum(F.aggregate("lengths", F.lit(0), lambda a, x: a + x)).alias("chars"), F.sum(F.aggregate("counts", F.lit(0), lambda a, x: a + x)).alias("tokens")).collect()}
+        assert held == {i: (len(t), full(t)) for i, t in texts.items() if t}
+        docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, leaf string")
+    none = edits.edit_trees(docs, stored, spark.createDataFrame([], schema))
+    assert none[0].count() == 0 and none[1].count() == stored.count()
