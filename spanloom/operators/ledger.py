@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators.tree import ancestry, assemble_tree
+from spanloom.operators.tree import marked_ancestors
 from spanloom.sources.shared import materialize
 
 SIGNALS = ("input", "output", "cache_read", "cache_write", "reasoning", "tool_input")
@@ -203,8 +203,11 @@ def usage_ledger(spans: DataFrame, own: str = OWN) -> tuple[DataFrame, DataFrame
 
 
 def reconcile_rollups(spans: DataFrame, rows: DataFrame) -> DataFrame:
-    """`unexplained_delta` issues: roll-up rows that differ from the sum of their descendants."""
-    below = ancestry(assemble_tree(spans)).select("trace_id", "span_id", F.col("ancestor_id").alias("rollup"))
+    """`unexplained_delta` issues: roll-up rows that differ from the sum of their descendants.
+
+    Descendants are found over parents, also below orphans and on cycles.
+    """
+    below = marked_ancestors(spans, rows.where("mode = 'rollup'")).withColumnRenamed("ancestor_id", "rollup")
     tops = rows.where("mode = 'rollup'").select("trace_id", F.col("span_id").alias("rollup"), *(F.col(f"observed_{s}.value").alias(f"top_{s}") for s in SIGNALS))
     parts = rows.where("contributes").select("trace_id", "span_id", *(F.struct(F.col(f"added_{s}.value").alias("v"), (F.size(F.col(f"added_{s}.sources")) > 0).alias("seen")).alias(s) for s in SIGNALS))
     joined = below.join(tops, ["trace_id", "rollup"]).join(parts, ["trace_id", "span_id"])

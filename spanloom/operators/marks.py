@@ -14,6 +14,11 @@ def dedup_marks(marks: DataFrame) -> DataFrame:
     return marks.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
 
 
+def mark_parts(marks: DataFrame) -> DataFrame:
+    """`dedup_marks` without columns besides, as an aggregation; parts of a run merge by it too."""
+    return marks.groupBy("run_id", "name", "ts_ns", "child").agg(F.min("ord").alias("ord"))
+
+
 def mark_spans(marks: DataFrame, runs: DataFrame) -> DataFrame:
     """One span a mark: run_id, ord, name, child, parent_ord, started_ns, ended_ns.
 
@@ -66,23 +71,41 @@ def suite_layout(cases: DataFrame, runs: DataFrame, extend: bool = False) -> tup
     return out, tests
 
 
-def go_test_fold(events: DataFrame, runs: DataFrame) -> DataFrame:
-    """Packages and tests from test events: run_id, package, test (null for packages), status and times.
+def go_test_parts(events: DataFrame) -> DataFrame:
+    """What events say of every package and test: first beginning, last finish, whether any failed.
+
+    events: run_id, ord, ts_ns, action, package, test.
+    """
+    begin, finish, at = F.col("action").isin("start", "run"), F.col("action").isin("pass", "fail", "skip"), F.struct("ord", "ts_ns")
+    return events.where("action <> 'output'").groupBy("run_id", "package", "test").agg(
+        F.min(F.when(begin, at)).alias("begun"), F.max(F.when(finish, at)).alias("done"), F.max(F.col("action") == "fail").alias("failed")
+    )
+
+
+def go_test_merged(parts: DataFrame) -> DataFrame:
+    """Parts of the same package or test as one."""
+    return parts.groupBy("run_id", "package", "test").agg(F.min("begun").alias("begun"), F.max("done").alias("done"), F.max("failed").alias("failed"))
 
-    events: run_id, ord, ts_ns, action, package, test.  The first start or run event
-    begins a span, the last pass, fail or skip ends it, any fail makes it an error; every
-    test implies its package.  Missing and backward bounds come from the run.
+
+def go_test_spans(parts: DataFrame, runs: DataFrame) -> DataFrame:
+    """Packages and tests as spans within their run: run_id, package, test (null for packages), status and times.
+
+    Every test implies its package.  Missing and backward bounds come from the run.
     """
     runs = runs.select("run_id", F.col("started_ns").alias("r0"), F.col("ended_ns").alias("r1"))
-    rows = events.where("action <> 'output'").join(runs, "run_id").withColumn("ts_ns", F.greatest("ts_ns", "r0"))
-    begin, finish = F.col("action").isin("start", "run"), F.col("action").isin("pass", "fail", "skip")
-    found = rows.groupBy("run_id", "package", "test").agg(
-        F.min_by(F.when(begin, F.col("ts_ns")), F.when(begin, F.col("ord"))).alias("b"), F.max_by(F.when(finish, F.col("ts_ns")), F.when(finish, F.col("ord"))).alias("e"),
-        F.max(F.col("action") == "fail").alias("failed"), F.first("r0").alias("r0"), F.first("r1").alias("r1"),
-    )
+    found = parts.join(runs, "run_id").select("run_id", "package", "test", F.greatest("begun.ts_ns", F.when(F.col("begun").isNotNull(), F.col("r0"))).alias("b"), F.greatest("done.ts_ns", F.when(F.col("done").isNotNull(), F.col("r0"))).alias("e"), "failed", "r0", "r1")
     implied = found.select("run_id", "package", F.lit(None).cast("string").alias("test"), F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("bigint").alias("e"), F.lit(False).alias("failed"), "r0", "r1")
     implied = implied.distinct().join(found.where("test IS NULL").select("run_id", "package"), ["run_id", "package"], "left_anti")
     every = found.withColumn("test", F.col("test").cast("string")).unionByName(implied.select(*found.columns))
     start = F.least(F.coalesce("b", "r0"), "r1")
     end = F.when(F.col("e").isNull() | (F.col("e") < start) | (F.col("e") > F.col("r1")), F.col("r1")).otherwise(F.col("e"))
     return every.select("run_id", "package", "test", F.when(F.col("failed"), 2).otherwise(1).alias("status"), start.alias("started_ns"), end.alias("ended_ns"))
+
+
+def go_test_fold(events: DataFrame, runs: DataFrame) -> DataFrame:
+    """Packages and tests from test events.
+
+    The first start or run event begins a span, the last pass, fail or skip ends it, any
+    fail makes it an error.
+    """
+    return go_test_spans(go_test_parts(events), runs)

@@ -72,6 +72,33 @@ def ancestry(tree: DataFrame) -> DataFrame:
     return up.where("at < depth").select("trace_id", "span_id", "ancestor_id", (F.col("depth") - F.col("at")).cast("int").alias("distance"))
 
 
+def marked_ancestors(spans: DataFrame, marked: DataFrame) -> DataFrame:
+    """(trace_id, span_id, ancestor_id) for proper ancestors in `marked` (trace_id, span_id).
+
+    Parents are followed whether or not they lead to a root, so spans below orphans and on
+    or below cycles count too.  Only traces with a marked span are read.
+    """
+    own = spans.join(marked.select("trace_id").distinct(), "trace_id", "left_semi")
+    one = first_wins(own, ["trace_id", "span_id"]).select("trace_id", "span_id", F.col("parent_span_id").alias("up"))
+    named = marked.select("trace_id", F.col("span_id").alias("up"), F.array("span_id").alias("above")).distinct()
+    known = one.select("trace_id", F.col("span_id").alias("up"))
+    linked = known.join(named, ["trace_id", "up"], "left").join(one, ["trace_id", "up"])
+    state = linked.select("trace_id", "span_id", "up", F.coalesce("above", F.array().cast("array<string>")).alias("above"))
+    state = materialize(state, "marked")
+    largest = state.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
+    # finished rows stay in the table of the round that finished them
+    done, todo = [], state
+    for _ in range(largest.bit_length()):
+        if todo.isEmpty():
+            break
+        ahead = reduce(DataFrame.unionByName, [*done, todo]).select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("above").alias("above2"))
+        step = todo.join(ahead, ["trace_id", "up"], "left").select("trace_id", "span_id", F.col("up2").alias("up"), F.array_union("above", F.coalesce("above2", F.array().cast("array<string>"))).alias("above"))
+        step = materialize(step, "marked")
+        done, todo = [*done, step.where("up IS NULL")], step.where("up IS NOT NULL")
+    found = reduce(DataFrame.unionByName, [*done, todo])
+    return found.select("trace_id", "span_id", F.explode("above").alias("ancestor_id"))
+
+
 def preorder(tree: DataFrame, name: str = "position") -> DataFrame:
     """Add the 0-based pre-order position within the trace."""
     return tree.withColumn(name, F.row_number().over(Window.partitionBy("trace_id").orderBy("path")) - 1)

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import marks
 from spanloom.plans.projections import sql, view
-from spanloom.plans.trace_queries import ORACLES, _suites, register
+from spanloom.plans.trace_queries import ORACLES, _runs, _suites, register
 from spanloom.sources import readers, store
 from spanloom.sources.shared import folder
+from spanloom.streaming import adapters
 from spanloom.streaming import spans as streams
 
 #: most spans of a request
@@ -69,18 +70,47 @@ def round_trip(spark, sf_dir):
     return store.read_spans(spark, path).select(*_COLUMNS, "ord", F.element_at("attributes", 1)["value"].alias("size"))
 
 
-@register("A6_read_go_test_json", ORACLES["D4_go_test_fold"])
-def go_test(spark, sf_dir):
+def _go_test_lines(spark, sf_dir):
+    """Events as lines of test output, and the runs they belong to."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     action = F.element_at(F.array(*map(F.lit, ("start", "run", "pass", "fail", "skip", "output", "pause"))), (F.col("event_id") % 7 + 1).cast("int"))
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     time = F.concat(F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("000Z"))
     doc = F.struct(time.alias("Time"), action.alias("Action"), F.concat(F.lit("p"), (F.col("event_id") % 3).cast("string")).alias("Package"), F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("t"), (F.col("event_id") % 5).cast("string"))).alias("Test"))
-    path = folder(spark, "gotest")
-    ev.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("ord"), F.to_json(doc).alias("value")).write.parquet(path)
-    lines = spark.read.parquet(path)
+    lines = ev.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("ord"), F.to_json(doc).alias("value"))
     runs = ev.groupBy(F.col("user_id").alias("run_id")).agg((F.min(micros) * 1000 + 1_000_000).alias("started_ns"), (F.max(micros) * 1000 - 1_000_000).alias("ended_ns"))
-    return marks.go_test_fold(readers.go_test_events(lines), runs)
+    return lines, runs
+
+
+@register("A6_read_go_test_json", ORACLES["D4_go_test_fold"])
+def go_test(spark, sf_dir):
+    lines, runs = _go_test_lines(spark, sf_dir)
+    path = folder(spark, "gotest")
+    lines.write.parquet(path)
+    return marks.go_test_fold(readers.go_test_events(spark.read.parquet(path)), runs)
+
+
+def _followed(spark, lines, runs, adapter):
+    """Lines arrive in three batches; the runs end with the second, the last lines are late."""
+    arrivals, ended, state, out, checkpoint = (folder(spark, x) for x in ("lines", "ends", "parts", "followed", "state"))
+    for turn in range(3):
+        lines.where(F.col("ord") % 3 == turn).write.mode("append").parquet(arrivals)
+        (runs if turn == 1 else runs.limit(0)).write.mode("append").parquet(ended)
+        arriving, ending = (spark.readStream.schema(x.schema).parquet(path) for x, path in ((lines, arrivals), (runs, ended)))
+        adapters.follow(arriving, ending, adapter, state, out, checkpoint).awaitTermination()
+    return adapters.latest_spans(spark, out)
+
+
+@register("J4_N2_stream_go_test", ORACLES["D4_go_test_fold"])
+def stream_go_test(spark, sf_dir):
+    return _followed(spark, *_go_test_lines(spark, sf_dir), "gotest")
+
+
+@register("J5_N2_stream_marks", ORACLES["E1_E2_mark_spans"])
+def stream_marks(spark, sf_dir):
+    rows = view(spark, sf_dir, "td_marks")
+    lines = rows.select("run_id", "ord", F.to_json(F.struct("name", "ts_ns", "child")).alias("value"))
+    return _followed(spark, lines, _runs(rows), "marks")
 
 
 @register("A4_read_marks", ORACLES["D3_dedup_marks"])

@@ -150,6 +150,14 @@ def waterfall(spark, sf_dir):
     return timeline.waterfall(view(spark, sf_dir, "td_spans"), WIDTH, ROWS)
 
 
+def _pairs(spark, sf_dir):
+    """Spans, and every customer's trace with the next one's."""
+    spans = view(spark, sf_dir, "td_spans")
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("k")).distinct()
+    pairs = keys.join(keys.select((F.col("k") - 1).alias("k")), "k").select(F.concat(F.lit("c"), F.col("k").cast("string")).alias("a"), F.concat(F.lit("c"), (F.col("k") + 1).cast("string")).alias("b"))
+    return spans, pairs
+
+
 @register("M2_diff_traces", f"""{_TREE}, pre AS (SELECT trace_id, name, depth, duration_ns, row_number() OVER (PARTITION BY trace_id ORDER BY path) - 1 AS position FROM tree),
   keyed AS (SELECT *, row_number() OVER (PARTITION BY trace_id, name, depth ORDER BY position) - 1 AS occurrence FROM pre),
   pairs AS (SELECT 'c' || x.o_custkey AS a, 'c' || y.o_custkey AS b FROM (SELECT DISTINCT o_custkey FROM orders) x JOIN (SELECT DISTINCT o_custkey FROM orders) y ON y.o_custkey = x.o_custkey + 1),
@@ -161,12 +169,16 @@ def waterfall(spark, sf_dir):
     name, depth, occurrence, a_ns, b_ns, CASE WHEN pa IS NOT NULL AND pb IS NOT NULL THEN b_ns - a_ns END AS delta_ns,
     CASE WHEN pa IS NULL THEN b_ns WHEN pb IS NULL THEN a_ns ELSE abs(b_ns - a_ns) END AS impact_ns FROM j""")
 def diff(spark, sf_dir):
-    spans = view(spark, sf_dir, "td_spans")
-    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("k")).distinct()
-    pairs = keys.join(keys.select((F.col("k") - 1).alias("k")), "k").select(F.concat(F.lit("c"), F.col("k").cast("string")).alias("a"), F.concat(F.lit("c"), (F.col("k") + 1).cast("string")).alias("b"))
+    spans, pairs = _pairs(spark, sf_dir)
     return timeline.diff_traces(spans, pairs)
 
 
+@register("H2_diff_by_impact", ORACLES["M2_diff_traces"].replace("ORDER BY pa IS NULL, coalesce(pa, pb)", "ORDER BY CASE WHEN pa IS NULL THEN b_ns WHEN pb IS NULL THEN a_ns ELSE abs(b_ns - a_ns) END DESC, pa IS NULL, coalesce(pa, pb)"))
+def diff_by_impact(spark, sf_dir):
+    spans, pairs = _pairs(spark, sf_dir)
+    return timeline.diff_traces(spans, pairs, by_impact=True)
+
+
 _RUNS = ", runs AS (SELECT run_id, min(ts_ns) - 1000000000 AS r0, max(ts_ns) + 1000000000 AS r1 FROM td_marks GROUP BY run_id)"
 _DEDUP = ", d AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY run_id, name, ts_ns, child ORDER BY ord) AS rn FROM td_marks) q WHERE rn = 1)"
 

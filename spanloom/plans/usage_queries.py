@@ -8,15 +8,15 @@ import json
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spanloom.operators import ledger, timeline
+from spanloom.operators import ledger, timeline, tree
 from spanloom.plans.projections import sql, view
 from spanloom.plans.trace_queries import register
 from spanloom.sources import rates
 from spanloom.sources.shared import folder, materialize
 
 
-def _calls(spark, sf_dir):
-    rows = view(spark, sf_dir, "td_usage")
+def _calls(spark, sf_dir, rows=None):
+    rows = view(spark, sf_dir, "td_usage") if rows is None else rows
     attr = lambda key, kind, value: F.struct(F.lit(key).alias("key"), F.lit(kind).alias("value_type"), value.cast("string").alias("value"))
     attributes = F.array(
         attr("gen_ai.provider.name", "str", F.col("provider")), attr("gen_ai.request.model", "str", F.lit("m1")), attr("gen_ai.usage.input_tokens", "int", F.col("input_tokens")),
@@ -24,7 +24,7 @@ def _calls(spark, sf_dir):
         attr("gen_ai.usage.cache_read.input_tokens", "int", F.lit(0)), attr("gen_ai.usage.cache_creation.input_tokens", "int", F.lit(0)), attr("gen_ai.usage.reasoning.output_tokens", "int", F.lit(0)),
         attr("spanloom.context.window.limit_tokens", "int", F.lit(100_000)),
     )
-    return rows.select("trace_id", "span_id", F.col("prev").alias("parent_span_id"), "started_ns", F.col("started_ns").alias("ended_ns"), attributes.alias("attributes"))
+    return rows.select("trace_id", "span_id", F.col("prev").alias("parent_span_id"), "started_ns", F.col("started_ns").alias("ended_ns"), F.col("started_ns").alias("ord"), attributes.alias("attributes"))
 
 
 _ADDED = f"""{sql('td_usage')}, a AS (SELECT *, CASE WHEN mode = 'delta' THEN input_tokens WHEN input_tokens >= coalesce(lag(input_tokens) OVER w, 0) THEN input_tokens - coalesce(lag(input_tokens) OVER w, 0) END AS i,
@@ -102,6 +102,29 @@ def issue_order(spark, sf_dir):
     return timeline.ordered_issues(issues).select("trace_id", "span_id", "code", "position").join(codes, "trace_id")
 
 
+@register("D15_D16_usage_by_branch", f"""{_ADDED} SELECT trace_id, CASE WHEN prev IS NULL THEN '' ELSE trace_id || '-1' END AS branch_span_id, count(*) AS calls,
+  sum(i)::BIGINT AS input, sum(o)::BIGINT AS output FROM a GROUP BY ALL""")
+def usage_by_branch(spark, sf_dir):
+    calls = _calls(spark, sf_dir)
+    placed = tree.span_positions(calls)[0].select("trace_id", "span_id", "branch_span_id")
+    rows = ledger.usage_ledger(calls)[0].join(placed, ["trace_id", "span_id"])
+    return ledger.usage_by(rows, "branch_span_id").select("trace_id", "branch_span_id", "calls", "input", "output")
+
+
+@register("C8_K4_reconcile_rollups", f"""{sql('td_usage')}, t AS (SELECT trace_id, span_id, started_ns // 1000 AS turn, input_tokens, output_tokens FROM td_usage),
+  b AS (SELECT r.trace_id, r.span_id, any_value(r.input_tokens) - sum(s.input_tokens) AS input, any_value(r.output_tokens) - sum(s.output_tokens) AS output
+    FROM t r JOIN t s ON s.trace_id = r.trace_id AND s.turn > r.turn AND s.turn % 3 <> 0 AND (r.turn >= 3 OR s.turn < 3) WHERE r.turn % 3 = 0 GROUP BY r.trace_id, r.span_id)
+  SELECT trace_id, span_id, 'unexplained_delta' AS code, 'input' AS signal, input::BIGINT AS delta FROM b WHERE input <> 0
+  UNION ALL SELECT trace_id, span_id, 'unexplained_delta', 'output', output::BIGINT FROM b WHERE output <> 0""")
+def rollups(spark, sf_dir):
+    """Every third turn is a roll-up of those below it; the parent of the fourth is lost."""
+    rows = view(spark, sf_dir, "td_usage")
+    lost = F.when(F.col("started_ns") == 3000, F.lit("lost")).otherwise(F.col("prev"))
+    rows = rows.withColumn("prev", lost).withColumn("mode", F.when(F.col("started_ns") % 3000 == 0, "rollup").otherwise("delta"))
+    calls = _calls(spark, sf_dir, rows)
+    return ledger.reconcile_rollups(calls, ledger.usage_ledger(calls)[0])
+
+
 def _responses(spans):
     """The calls as responses: every turn but each third names the one before it."""
     attr = lambda key, value: F.struct(F.lit(key).alias("key"), F.lit("str").alias("value_type"), value.cast("string").alias("value"))
