@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dedup, edits, langid, neighbours, packing, pii, quality, sharding, toxicity, unigram
+from . import alignment, dedup, edits, langid, neighbours, packing, pii, quality, sharding, toxicity, unigram
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_minmax_dedup": dedup.query,
     "op10_hilbert_sharding": sharding.query,
+    "op13_fragment_alignment": alignment.query,
 }
 
 ORACLES = {"op7_quality_rules": quality.ORACLE}
