@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, dedup, edits, langid, neighbours, packing, pii, quality, sharding, toxicity, unigram
+from . import alignment, dedup, edits, langid, neighbours, packing, pii, quality, ranking, sharding, toxicity, unigram
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_minmax_dedup": dedup.query,
     "op10_hilbert_sharding": sharding.query,
+    "op12_nra_search": ranking.query,
     "op13_fragment_alignment": alignment.query,
 }
 
-ORACLES = {"op7_quality_rules": quality.ORACLE}
+ORACLES = {"op7_quality_rules": quality.ORACLE, "op12_nra_search": ranking.ORACLE}
