@@ -68,16 +68,16 @@ _XOR = constants(PERMUTATIONS, 11)
 _MULTIPLY = constants(PERMUTATIONS, 12)
 
 
-def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted sets of all texts end to end, and where each starts (one more at the end)."""
+def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted sets of shingles of k words of all texts end to end, and where each starts (one more at the end)."""
     data, at = text_bytes(column)
     starts, ends, first = word_bounds(data, at)
     words = span_hashes(data, starts, ends, lower=True)
-    windows, _, begin = window_hashes(words, first, SHINGLE)
-    count, c = np.diff(first), constants(SHINGLE, 21)
+    windows, _, begin = window_hashes(words, first, k)
+    count, c = np.diff(first), constants(k, 21)
     parts = []
     for i, m in enumerate(count):
-        if m >= SHINGLE:
+        if m >= k:
             parts.append(np.unique(windows[begin[i] : begin[i + 1]]))
         elif m:
             parts.append(mix64(np.sum(words[first[i] : first[i + 1]] * c[:m], dtype=np.uint64, keepdims=True) + np.uint64(m)))
@@ -304,6 +304,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not links.isEmpty():
         labels = merged(labels, links)
 
+    return spread(every, classes, labels).select(F.col("id").alias(id_col), "n_shingles", F.col("own").alias("component_id"), F.coalesce(F.col("id") == F.col("own"), F.lit(True)).alias("kept"))
+
+
+def spread(every: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, n_shingles, own): every row of `every` with the component of its set; empty sets and null ids are their own."""
     named = materialize(classes.join(labels, "node", "left").select("hi", "lo", "copies", F.coalesce("label", "node").alias("component")), "named")
     # documents of very common sets stay where they are
     hot = max(HOT, every.count() // BROADCAST_IDS)
@@ -313,7 +318,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = lone.unionByName(rows.where("known IS NOT NULL").withColumnRenamed("known", "component"))
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     own = F.when(F.col("id").isNotNull(), own)
-    return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
+    return out.select("id", "n_shingles", own.alias("own"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, dedup, edits, langid, neighbours, packing, pii, quality, ranking, sharding, toxicity, unigram
+from . import alignment, dedup, edits, langid, neighbours, packing, pii, quality, ranking, sharding, signature_trees, toxicity, unigram
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_minmax_dedup": dedup.query,
     "op10_hilbert_sharding": sharding.query,
+    "op11_signature_tree_join": signature_trees.query,
     "op12_nra_search": ranking.query,
     "op13_fragment_alignment": alignment.query,
 }
 
-ORACLES = {"op7_quality_rules": quality.ORACLE, "op12_nra_search": ranking.ORACLE}
+ORACLES = {"op7_quality_rules": quality.ORACLE, "op11_signature_tree_join": signature_trees.ORACLE, "op12_nra_search": ranking.ORACLE}
