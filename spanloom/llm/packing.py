@@ -6,7 +6,7 @@ their own; the rest goes into the open window that it fills best.  When none fit
 new window is opened, after the fullest has been emitted if all WINDOWS are open.
 Windows still open at the end of a partition are left over; they are merged, whole,
 by the same rule over groups of MERGE partitions.  Memory per task is one batch of
-documents, the open windows and a bounded cache of word ids.  A text of any length is
+documents, the open windows and a cache of word ids that is bounded in bytes.  A text of any length is
 encoded in stretches of CHUNK bytes; it is held with its ids, never cut.
 
 Windows are written with the token ids of their pieces.  `pack` returns every piece
@@ -48,8 +48,11 @@ END_ID = 1
 PAD_ID = 0
 WINDOWS = 64
 MERGE = 64
-#: words whose ids a Python worker remembers before it starts anew
+#: words of up to WORD characters whose ids a Python worker remembers, and bytes that it
+#: holds for words and ids, before it starts anew
 CACHE_WORDS = 500_000
+CACHE_BYTES = 64 << 20
+WORD = 64
 #: bytes of text, and words, whose ids are looked up together
 CHUNK = 1 << 20
 GATHER = 1 << 18
@@ -104,10 +107,11 @@ class WordIds:
         self.known: dict[str, int] = {"": 0}
         self.flat = np.array([self.end_id], "<u4")
         self.at, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.bytes = 0
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, an end id behind each, and where each text starts (one more at the end)."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.bytes + self.flat.nbytes > CACHE_BYTES:
             self._forget()
         data, at = text_bytes(column)
         gap = _SEPARATOR[data]
@@ -173,7 +177,8 @@ class WordIds:
         return numbers[found.indices.to_numpy()]
 
     def _learn(self, words: list[str]) -> None:
-        self.known.update(zip(words, range(len(self.at), len(self.at) + len(words))))
+        self.known.update((x, len(self.at) + k) for k, x in enumerate(words) if len(x) <= WORD)
+        self.bytes += sum(len(x) for x in words if len(x) <= WORD)
         whole = [_WHOLE.fullmatch(x) is not None for x in words]
         ids: dict[str, np.ndarray] = {}
         simple = [x for x, one in zip(words, whole) if one]
@@ -220,7 +225,11 @@ class OpenWindows:
         self.closed.append((window, self.items.pop(window)))
 
     def place(self, item, size: int) -> None:
-        """Put an item where it leaves the least room."""
+        """Put an item where it leaves the least room; one that fills a window by itself needs no open one."""
+        if size == self.length:
+            self.closed.append((self.opened, [(item, 0)]))
+            self.opened += 1
+            return
         k = bisect_left(self.room, (size, -1))
         if k < len(self.room):
             room, window = self.room.pop(k)

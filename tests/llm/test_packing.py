@@ -98,3 +98,22 @@ def test_pipeline_ends_in_sequences(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "d e")], "doc_id long, text string")
     (row,) = dict(corpus_pipeline.STAGES)["packing"](spark, docs, "").collect()
     assert row.ids[: row.used] in ([*ids_of("a b c"), 1, *ids_of("d e"), 1], [*ids_of("d e"), 1, *ids_of("a b c"), 1])
+
+
+def test_a_full_stretch_closes_no_open_window():
+    state = packing.OpenWindows(2, 10)
+    for name, size in (("a", 6), ("b", 7), ("full", 10), ("c", 4), ("d", 3)):
+        state.place(name, size)
+    assert [[x for x, _ in items] for _, items in state.closed] == [["full"], ["a", "c"], ["b", "d"]]
+    numbers = [k for k, _ in state.closed]
+    assert len(set(numbers)) == 3 and not state.items
+
+
+def test_the_cache_of_words_is_bounded_in_bytes(monkeypatch):
+    found = packing.WordIds(packing.public_tokenizers.path("word_bpe_49k.json"))
+    long = pa.array(["x" * 3000 + str(k) for k in range(20)])
+    one = found.encode(long)
+    assert set(found.known) == {""} and found.bytes == 0
+    monkeypatch.setattr(packing, "CACHE_BYTES", 10)
+    again = found.encode(long)
+    assert all((x == y).all() for x, y in zip(one, again)) and len(found.at) == 21
