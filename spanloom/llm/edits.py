@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 from .common import materialize, slices, table
 
 LEAF = 32
-#: pre-tokens whose counts a Python worker remembers
+#: pre-tokens of up to WORD characters whose counts a Python worker remembers
 CACHE_WORDS = 1_000_000
+WORD = 64
 #: characters before an edit that a pre-token may have looked at
 LOOK = 2
 
@@ -185,6 +186,8 @@ class Counter:
         self.known: dict[str, int] = {}
 
     def __call__(self, word: str) -> int:
+        if len(word) > WORD:
+            return len(self.encoding.encode_ordinary(word))
         found = self.known.get(word)
         if found is None:
             if len(self.known) >= CACHE_WORDS:
@@ -291,15 +294,33 @@ def grow_trees(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     return _applied(_documents(docs, id_col, text_col).withColumn("leaves", none).withColumn("edits", none), path)
 
 
-def edit_trees(docs: DataFrame, stored: DataFrame, edits: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def edit_lists(edits: DataFrame, order_col: str | None = None) -> DataFrame:
+    """(id, edits): one list an id, its rows one after the other by `order_col`.
+
+    Rows of equal order go by their edits.  Without an order column a repeated id is an
+    error, as nothing says which row comes first.  Null lists are empty.
+    """
+    kind = "array<struct<start:bigint,stop:bigint,new:string>>"
+    order = F.col(order_col) if order_col else F.lit(0)
+    row = F.struct(order.alias("at"), F.coalesce(F.col("edits").cast(kind), F.array().cast(kind)).alias("edits"))
+    rows = edits.where(F.col("id").isNotNull()).groupBy("id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    lists = F.flatten(F.col("rows")["edits"])
+    if not order_col:
+        lists = F.when(F.size("rows") > 1, F.raise_error(F.lit("several rows of edits for one id need an order column")).cast(kind)).otherwise(lists)
+    return rows.select("id", lists.alias("edits"))
+
+
+def edit_trees(
+    docs: DataFrame, stored: DataFrame, edits: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The edited documents, as by `grow_trees`, and the leaf rows of all documents afterwards.
 
-    `stored` holds the leaf rows of the documents so far, `edits` (id, edits) a list of
-    edits for some ids (several rows of one id: any one of them).  Only texts and leaves
-    of those are read by Python, and only touched regions are split again; documents
-    without stored leaves are split whole.
+    `stored` holds the leaf rows of the documents so far, `edits` (id, edits) lists of
+    edits for some ids, all of which apply, those of one id by `order_col` (see
+    `edit_lists`).  Only texts and leaves of those are read by Python, and only touched
+    regions are split again; documents without stored leaves are split whole.
     """
-    asked = edits.where(F.col("id").isNotNull()).dropDuplicates(["id"]).select("id", "edits")
+    asked = edit_lists(edits, order_col)
     held = stored.join(asked.select("id"), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("leaf", "lengths", "counts"))).alias("leaves"))
     touched = _documents(docs.join(asked.select(F.col("id").alias(id_col)), id_col, "left_semi"), id_col, text_col)
     done = materialize(_applied(touched.join(asked, "id").join(held, "id", "left"), path), "edited")

@@ -3,6 +3,7 @@ import random
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import edits
@@ -68,3 +69,21 @@ def test_stored_trees_follow_edits(spark):
         docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, leaf string")
     none = edits.edit_trees(docs, stored, spark.createDataFrame([], schema))
     assert none[0].count() == 0 and none[1].count() == stored.count()
+
+
+def test_all_rows_of_edits_apply_in_order(spark):
+    docs = spark.createDataFrame([(1, "hello world foo bar"), (2, "other")], "doc_id long, text string")
+    stored = edits.leaf_rows(edits.grow_trees(docs))
+    schema = "id long, edits array<struct<start:long,stop:long,new:string>>, at int"
+    rows = [(1, [(0, 0, "B ")], 2), (1, [(0, 0, "A "), (0, 1, "a")], 1), (2, None, 1), (None, [(0, 0, "x")], 1)]
+    asked = spark.createDataFrame(rows, schema)
+    done, _ = edits.edit_trees(docs, stored, asked, order_col="at")
+    assert {r.id: r.text for r in done.collect()} == {1: "B a hello world foo bar", 2: "other"}
+    with pytest.raises(Exception, match="order column"):
+        edits.edit_trees(docs, stored, asked.drop("at"))
+
+
+def test_long_pretokens_are_not_remembered():
+    count = edits.Counter(edits.public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert count("x" * 5000) > 1 and not count.known
+    assert count("word") and count.known == {"word": 1}
