@@ -8,7 +8,7 @@ pieces that start at each character.
 
 Blanks become the marker U+2581 and one marker is put in front, as in SentencePiece.
 No piece goes on from another character into a marker, so a text is cut before every
-marker that follows another character and each cut is searched once and remembered.
+marker that follows another character and each cut is searched by itself, and short ones are remembered.
 A character without pieces, and a U+2581 of the text itself, falls back to byte
 pieces; so decoding gives every text back exactly, any character of Unicode included.
 Ties go to the longer last piece.
@@ -38,8 +38,9 @@ from .common import slices, table
 MARK = "▁"
 #: a byte piece scores this much less than the rarest piece
 BYTE_PENALTY = 10.0
-#: cuts whose ids a Python worker remembers, in two generations
+#: cuts of up to CUT characters whose ids a Python worker remembers, in two generations
 CACHE_CUTS = 1_000_000
+CUT = 64
 
 
 class DoubleArray:
@@ -145,6 +146,8 @@ class Unigram:
 
     def _ids(self, cut: str) -> bytes:
         """Remembered ids of what stands between two blanks, a marker before it."""
+        if len(cut) > CUT:
+            return array("I", self.search(MARK + cut)).tobytes()
         found = self.known.get(cut)
         if found is None:
             found = self.older.get(cut)

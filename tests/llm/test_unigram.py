@@ -84,3 +84,13 @@ def test_edges(spark):
     back = {r.doc_id: r.text for r in unigram.decode(out).collect()}
     assert back[3] == rows[-1][1] and back[2] == ""
     assert unigram.encode(docs.limit(0)).count() == 0
+
+
+def test_long_cuts_are_not_remembered():
+    found = unigram.Unigram(unigram.public_tokenizers.path("piece_bpe_32k.model"))
+    for k in range(20):
+        text = "日本語" * 2000 + str(k)
+        assert found.decode(found.encode(text)) == text
+    assert not found.known
+    found.encode("short words")
+    assert set(found.known) == {"short", "words"}
