@@ -1,14 +1,14 @@
 """Critical paths of all build graphs at once.
 
-Nodes are (trace_id, unit); edges say which units a unit unblocks.  Each round peels
-the units whose predecessors are all known, for every trace in the same joins, so the
-number of rounds is the depth of the deepest graph.  The known part is appended to one
-table and never joined with itself.  Paths are walked back in rounds that double.
+Nodes are (trace_id, unit); edges say which units a unit unblocks.  All graphs are worked
+on in the same joins: a round peels the units whose predecessors are all known, and
+chains of units are contracted by pointer doubling, so that rounds grow with the
+branching of the deepest graph, not with its length.  Cycles are strongly connected
+components.  Paths are walked back in rounds that double.
 """
 
 from __future__ import annotations
 
-import posixpath
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import scalars as S
 from spanloom.operators.tree import occurrences
-from spanloom.sources.shared import discard, folder, materialize
+from spanloom.sources.shared import discard, materialize
 
 
 def build_graph(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -48,54 +48,209 @@ def build_graph(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return units, edges, reduce(DataFrame.unionByName, issues)
 
 
+#: peels before chains are looked for: most build graphs are shallow
+PLAIN_PEELS = 3
+
+
 def finish_times(units: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(trace_id, unit, finish, pred) of the longest chain into every unit, and what is on or behind a cycle.
 
     Of equally long chains the one through the smallest predecessor counts.
+
+    A link says what its source adds to its target: max(floor, finish + gain).  A round
+    peels the units whose predecessors are all known; before a peel, chains are contracted
+    into single links (`_contracted`), so a long line of units takes few rounds.
     """
     edges = materialize(edges.where("src <> dst"), "edges")
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+    links = edges.select("trace_id", "src", "dst", zero.alias("gain"), none.alias("floor"))
     degree = edges.groupBy("trace_id", F.col("dst").alias("unit")).agg(F.count("*").alias("open"))
     state = units.select("trace_id", "unit", "duration_ns").join(degree, ["trace_id", "unit"], "left")
-    state = materialize(state.select("trace_id", "unit", "duration_ns", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).cast("bigint").alias("best"), F.lit(None).cast("int").alias("pred")), "open")
-    spark, levels, level = units.sparkSession, folder(units.sparkSession, "levels"), 0
+    state = materialize(state.select("trace_id", "unit", "duration_ns", F.coalesce("open", zero).alias("open"), zero.alias("best")), "open")
+    solved, inner, peels = [], [], 0
     while True:
-        # all levels stand in one table, a folder each
-        ready, here = state.where("open = 0").select("trace_id", "unit", (F.col("best") + F.col("duration_ns")).alias("finish"), "pred"), posixpath.join(levels, f"level={level}")
-        schema = ready.schema
-        ready.write.parquet(here)
-        ready, level = spark.read.schema(schema).parquet(here), level + 1
+        # the units that a round makes ready stay in the table of that round
+        ready = state.where("open = 0").select("trace_id", "unit", (F.col("best") + F.col("duration_ns")).alias("finish"))
+        solved.append(ready)
         if ready.isEmpty():
-            return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(levels), state.where("open > 0").select("trace_id", "unit")
-        sent = ready.select("trace_id", F.col("unit").alias("src"), "finish").join(edges, ["trace_id", "src"])
-        sent = sent.groupBy("trace_id", F.col("dst").alias("unit")).agg(F.count("*").alias("got"), F.max(F.struct("finish", (-F.col("src")).alias("neg"))).alias("top"))
+            break
+        if peels >= PLAIN_PEELS and not state.where("open > 0").isEmpty():
+            state, links, removed = _contracted(state, links)
+            if removed is not None:
+                inner.append(removed)
+                # what was ready before the contraction still is, and counts once
+                solved[-1] = state.where("open = 0").select("trace_id", "unit", (F.col("best") + F.col("duration_ns")).alias("finish"))
+        sent = solved[-1].withColumnRenamed("unit", "src").join(links, ["trace_id", "src"])
+        sent = sent.groupBy("trace_id", F.col("dst").alias("unit")).agg(F.count("*").alias("got"), F.max(F.greatest("floor", F.col("finish") + F.col("gain"))).alias("top"))
         rest = state.where("open > 0").join(sent, ["trace_id", "unit"], "left")
-        better = F.col("top.finish").isNotNull() & ((F.col("top.finish") > F.col("best")) | F.col("pred").isNull() | ((F.col("top.finish") == F.col("best")) & (-F.col("top.neg") < F.col("pred"))))
-        best, pred = F.when(better, F.col("top.finish")).otherwise(F.col("best")), F.when(better, -F.col("top.neg")).otherwise(F.col("pred")).cast("int")
-        rest = rest.select("trace_id", "unit", "duration_ns", (F.col("open") - F.coalesce("got", F.lit(0))).alias("open"), best.alias("best"), pred.alias("pred"))
-        rest = materialize(rest, "open")
-        discard(state)
-        state = rest
+        state = materialize(rest.select("trace_id", "unit", "duration_ns", (F.col("open") - F.coalesce("got", zero)).alias("open"), F.greatest("best", "top").alias("best")), "open")
+        peels += 1
+    finish = materialize(reduce(DataFrame.unionByName, solved), "finish")
+    for removed in reversed(inner):
+        start = finish.select("trace_id", F.col("unit").alias("start"), F.col("finish").alias("begun"))
+        own = removed.join(start, ["trace_id", "start"]).select("trace_id", "unit", F.greatest("floor", F.col("begun") + F.col("gain")).alias("finish"))
+        finish = materialize(finish.unionByName(own), "finish")
+    before = edges.join(finish.withColumnRenamed("unit", "src"), ["trace_id", "src"])
+    before = before.groupBy("trace_id", F.col("dst").alias("unit")).agg(F.max(F.struct("finish", (-F.col("src")).alias("neg"))).alias("top"))
+    known = finish.join(before.select("trace_id", "unit", (-F.col("top.neg")).cast("int").alias("pred")), ["trace_id", "unit"], "left")
+    residue = units.select("trace_id", "unit").join(finish.select("trace_id", "unit"), ["trace_id", "unit"], "left_anti")
+    return materialize(known, "known"), residue
+
+
+def _chained(state: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links that leave an unsolved unit, and the units with one such link in and one out."""
+    alive = links.join(state.select("trace_id", F.col("unit").alias("src")), ["trace_id", "src"], "left_semi")
+    alive = materialize(alive, "alive")
+    single = lambda side: alive.groupBy("trace_id", F.col(side).alias("unit")).agg(F.count("*").alias("n")).where("n = 1").select("trace_id", "unit")
+    chained = state.join(single("src"), ["trace_id", "unit"], "left_semi").join(single("dst"), ["trace_id", "unit"], "left_semi")
+    return alive, materialize(chained, "chained")
+
+
+def _contracted(state: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """State and links without the units with one link in and one out, and those units.
+
+    Such a unit's finish is max(floor, finish of `start` + gain), where `start` is the unit
+    before its chain; pointers to it double, twice a round.  Rings of such units are left out of all three:
+    nothing ever solves them.
+    """
+    alive, chained = _chained(state, links)
+    if chained.isEmpty():
+        return state, links, None
+    inside = chained.select("trace_id", F.col("unit").alias("start"), F.lit(True).alias("more"))
+    entry = alive.withColumnsRenamed({"dst": "unit", "src": "start"}).join(chained.select("trace_id", "unit", "duration_ns", "best"), ["trace_id", "unit"])
+    floor, gain = F.greatest("best", "floor") + F.col("duration_ns"), F.col("gain") + F.col("duration_ns")
+    walk = entry.select("trace_id", "unit", "start", floor.alias("floor"), gain.alias("gain")).join(inside, ["trace_id", "start"], "left")
+    walk = materialize(walk.select("trace_id", "unit", "start", "floor", "gain", F.coalesce("more", F.lit(False)).alias("more")), "chains")
+    longest = walk.groupBy("trace_id").count().agg(F.max("count")).first()[0]
+    for _ in range(longest.bit_length() // 2 + 1):
+        if walk.where("more").isEmpty():
+            break
+        walk = materialize(_jumped(_jumped(walk)), "chains")
+    removed = walk.where("NOT more").drop("more")
+    ends = lambda side: chained.select("trace_id", F.col("unit").alias(side))
+    outward = alive.join(ends("dst"), ["trace_id", "dst"], "left_anti")
+    plain = outward.join(ends("src"), ["trace_id", "src"], "left_anti")
+    last = removed.select("trace_id", F.col("unit").alias("src"), "start", F.col("floor").alias("floor2"), F.col("gain").alias("gain2"))
+    short = outward.join(last, ["trace_id", "src"]).select(
+        "trace_id", F.col("start").alias("src"), "dst", (F.col("gain") + F.col("gain2")).alias("gain"), F.greatest("floor", F.col("floor2") + F.col("gain")).alias("floor")
+    )
+    links = plain.unionByName(short, allowMissingColumns=True).groupBy("trace_id", "src", "dst").agg(F.max("gain").alias("gain"), F.max("floor").alias("floor"))
+    links = materialize(links, "links")
+    degree = links.groupBy("trace_id", F.col("dst").alias("unit")).agg(F.count("*").alias("now"))
+    state = state.join(chained.select("trace_id", "unit"), ["trace_id", "unit"], "left_anti").join(degree, ["trace_id", "unit"], "left")
+    state = state.select("trace_id", "unit", "duration_ns", F.coalesce("now", F.lit(0).cast("bigint")).alias("open"), "best")
+    return materialize(state, "open"), links, removed
+
+
+def _jumped(walk: DataFrame) -> DataFrame:
+    """Pointers twice as far as before."""
+    ahead = walk.select("trace_id", F.col("unit").alias("start"), F.col("start").alias("start2"), F.col("floor").alias("floor2"), F.col("gain").alias("gain2"), F.col("more").alias("more2"))
+    far = walk.where("more").join(ahead, ["trace_id", "start"]).select(
+        "trace_id", "unit", F.col("start2").alias("start"), F.greatest("floor", F.col("floor2") + F.col("gain")).alias("floor"), (F.col("gain") + F.col("gain2")).alias("gain"), F.col("more2").alias("more")
+    )
+    return walk.where("NOT more").unionByName(far)
 
 
 def cycle_units(residue: DataFrame, edges: DataFrame) -> DataFrame:
-    """(trace_id, unit) of what is on a cycle, or between two, of the units on or behind one.
+    """(trace_id, unit) of the units on a cycle, of those on or behind one; bridges between cycles are on none.
 
-    Units from which no cycle can be reached are peeled off from the end, one level of
-    all graphs a round.
+    Strongly connected components of all graphs at once.  A round first contracts chains,
+    whose units are on a cycle if both ends are in one component.  Then every unit takes
+    the largest unit that reaches it as its colour; what reaches that unit back within the
+    colour is its component and goes, with all links between colours.
     """
-    state = materialize(residue.select("trace_id", "unit"), "residue")
-    if state.isEmpty():
-        return state
-    ends = lambda c: state.select("trace_id", F.col("unit").alias(c))
-    links = materialize(edges.where("src <> dst").join(ends("src"), ["trace_id", "src"], "left_semi").join(ends("dst"), ["trace_id", "dst"], "left_semi"), "looped")
-    while True:
-        going = links.select("trace_id", F.col("src").alias("unit")).distinct()
-        kept = materialize(state.join(going, ["trace_id", "unit"], "left_semi"), "residue")
-        if kept.count() == state.count():
-            return kept
-        fewer = materialize(links.join(kept.select("trace_id", F.col("unit").alias("dst")), ["trace_id", "dst"], "left_semi"), "looped")
-        discard(state, links)
-        state, links = kept, fewer
+    inside = lambda c: residue.select("trace_id", F.col("unit").alias(c))
+    links = edges.where("src <> dst").join(inside("src"), ["trace_id", "src"], "left_semi").join(inside("dst"), ["trace_id", "dst"], "left_semi")
+    links = materialize(links.select("trace_id", "src", "dst"), "looped")
+    found, chains = [residue.where("false").select("trace_id", "unit", F.col("unit").alias("component"))], []
+    while not links.isEmpty():
+        links, inner, rings = _short_links(links)
+        if inner is not None:
+            chains.append(inner)
+            found.append(rings.select("trace_id", "unit", F.col("unit").alias("component")))
+        loops = links.where("src = dst").select("trace_id", F.col("src").alias("unit"), F.col("src").alias("component"))
+        found.append(materialize(loops, "loops"))
+        links = materialize(_trimmed(links.where("src <> dst")), "looped")
+        if links.isEmpty():
+            break
+        colours = _colours(links)
+        own = lambda c: colours.select("trace_id", F.col("unit").alias(c), F.col("colour").alias(f"{c}_colour"))
+        same = links.join(own("src"), ["trace_id", "src"]).join(own("dst"), ["trace_id", "dst"]).where("src_colour = dst_colour")
+        same = materialize(same.select("trace_id", "src", "dst", F.col("src_colour").alias("colour")), "same")
+        back = _reaching(colours, same)
+        large = back.groupBy("trace_id", "component").count().where("count > 1").select("trace_id", "component")
+        found.append(materialize(back.join(large, ["trace_id", "component"], "left_semi"), "components"))
+        gone = lambda c: back.select("trace_id", F.col("unit").alias(c))
+        links = materialize(same.join(gone("src"), ["trace_id", "src"], "left_anti").join(gone("dst"), ["trace_id", "dst"], "left_anti").select("trace_id", "src", "dst"), "looped")
+    # a unit may be a loop of one round and in a component of another: they are one, by the largest name
+    every = materialize(reduce(DataFrame.unionByName, found).groupBy("trace_id", "unit").agg(F.max("component").alias("component")), "components")
+    for inner in reversed(chains):
+        one = lambda c: every.select("trace_id", F.col("unit").alias(c), F.col("component").alias(f"{c}_in"))
+        own = inner.join(one("start"), ["trace_id", "start"]).join(one("stop"), ["trace_id", "stop"]).where("start_in = stop_in")
+        every = materialize(every.unionByName(own.select("trace_id", "unit", F.col("start_in").alias("component"))), "components")
+    return every.select("trace_id", "unit").distinct()
+
+
+def _trimmed(links: DataFrame, turns: int = 2) -> DataFrame:
+    """Links without those that begin where nothing arrives or end where nothing leaves."""
+    for _ in range(turns):
+        ends = lambda c, other, now=links: now.select("trace_id", F.col(c).alias(other)).distinct()
+        links = materialize(links.join(ends("dst", "src"), ["trace_id", "src"], "left_semi").join(ends("src", "dst"), ["trace_id", "dst"], "left_semi"), "trimmed")
+    return links
+
+
+def _short_links(links: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Links with chains contracted, the units of chains with the units at both ends, and those on rings alone."""
+    nodes = links.select("trace_id", F.col("src").alias("unit")).unionByName(links.select("trace_id", F.col("dst").alias("unit"))).distinct()
+    alive, chained = _chained(materialize(nodes, "nodes"), links)
+    if chained.isEmpty():
+        return links, None, None
+    ends = alive.withColumnsRenamed({"dst": "unit", "src": "start"}).join(alive.withColumnsRenamed({"src": "unit", "dst": "stop"}), ["trace_id", "unit"])
+    walk = ends.join(chained, ["trace_id", "unit"], "left_semi")
+    for side in ("start", "stop"):
+        inside = chained.select("trace_id", F.col("unit").alias(side), F.lit(True).alias(f"more_{side}"))
+        walk = walk.join(inside, ["trace_id", side], "left").withColumn(f"more_{side}", F.coalesce(f"more_{side}", F.lit(False)))
+    names = ["trace_id", "unit", "start", "stop", "more_start", "more_stop"]
+    walk = materialize(walk.select(names), "chains")
+    longest = walk.groupBy("trace_id").count().agg(F.max("count")).first()[0]
+    for _ in range(longest.bit_length()):
+        if walk.where("more_start OR more_stop").isEmpty():
+            break
+        for side in ("start", "stop"):
+            ahead = walk.select("trace_id", F.col("unit").alias(side), F.col(side).alias("next"), F.col(f"more_{side}").alias("again"), F.lit(True).alias("met"))
+            jump = lambda new, old: F.when(F.col(f"more_{side}"), F.col(new)).otherwise(F.col(old)).alias(old)  # noqa: E731, B023
+            other = [x for x in names if x not in (side, f"more_{side}")]
+            step = walk.join(ahead, ["trace_id", side], "left").select(*other, jump("next", side), jump("again", f"more_{side}"))
+            # both sides jump by the pointers of the same round
+            moved = step if side == "start" else moved.drop("stop", "more_stop").join(step.select("trace_id", "unit", "stop", "more_stop"), ["trace_id", "unit"])  # noqa: F821
+        walk = materialize(moved.select(names), "chains")
+    inner = walk.where("NOT more_start AND NOT more_stop").select("trace_id", "unit", "start", "stop")
+    out = lambda side: chained.select("trace_id", F.col("unit").alias(side))
+    plain = alive.join(out("src"), ["trace_id", "src"], "left_anti").join(out("dst"), ["trace_id", "dst"], "left_anti")
+    short = plain.unionByName(inner.select("trace_id", F.col("start").alias("src"), F.col("stop").alias("dst"))).distinct()
+    return materialize(short, "looped"), inner, walk.where("more_start OR more_stop").select("trace_id", "unit")
+
+
+def _colours(links: DataFrame) -> DataFrame:
+    """(trace_id, unit, colour): the largest unit that reaches each unit, itself included."""
+    nodes = links.select("trace_id", F.col("src").alias("unit")).unionByName(links.select("trace_id", F.col("dst").alias("unit"))).distinct()
+    state = materialize(nodes.select("trace_id", "unit", F.col("unit").alias("colour"), F.lit(True).alias("fresh")), "colours")
+    while not state.where("fresh").isEmpty():
+        sent = links.join(state.where("fresh").select("trace_id", F.col("unit").alias("src"), "colour"), ["trace_id", "src"])
+        sent = sent.groupBy("trace_id", F.col("dst").alias("unit")).agg(F.max("colour").alias("got"))
+        new = state.join(sent, ["trace_id", "unit"], "left").select("trace_id", "unit", F.greatest("colour", "got").alias("colour"), F.coalesce(F.col("got") > F.col("colour"), F.lit(False)).alias("fresh"))
+        state = materialize(new, "colours")
+    return state.drop("fresh")
+
+
+def _reaching(colours: DataFrame, same: DataFrame) -> DataFrame:
+    """(trace_id, unit, component): what reaches the unit that gave it its colour over links of that colour."""
+    held = fresh = materialize(colours.where("unit = colour").select("trace_id", "unit", F.col("colour").alias("component")), "reaching")
+    while not fresh.isEmpty():
+        near = same.join(fresh.select("trace_id", F.col("unit").alias("dst")), ["trace_id", "dst"]).select("trace_id", F.col("src").alias("unit"), F.col("colour").alias("component")).distinct()
+        fresh = materialize(near.join(held.select("trace_id", "unit"), ["trace_id", "unit"], "left_anti"), "reaching")
+        held = held.unionByName(fresh)
+    return held
 
 
 def walked_back(ends: DataFrame, known: DataFrame) -> DataFrame:

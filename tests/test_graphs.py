@@ -54,6 +54,74 @@ def test_only_cycles_are_flagged(spark):
     assert {r.trace_id: r.status for r in report.collect()} == {"two": "cyclic", "self": "cyclic", "fine": "ok"}
 
 
+def on_cycles(units, edges):
+    """Units that reach themselves, by plain search (self-edges included)."""
+    after = {u: [b for a, b in edges if a == u] for u in units}
+    out = set()
+    for u in units:
+        seen, todo = set(), list(after[u])
+        while todo:
+            v = todo.pop()
+            if v not in seen:
+                seen.add(v)
+                todo += after[v]
+        if u in seen:
+            out.add(u)
+    return out
+
+
+def test_bridges_between_cycles_are_on_none(spark):
+    rng = random.Random(6)
+    graphs = {
+        "bridge": ({u: 1 for u in range(1, 6)}, [(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 4)]),
+        "ring": ({u: 1 for u in range(40)}, [(u, (u + 1) % 40) for u in range(40)]),
+        "eight": ({u: 1 for u in range(21)}, [(u, u + 1) for u in range(10)] + [(10, 0), (0, 11)] + [(u, u + 1) for u in range(11, 20)] + [(20, 0)]),
+        "long": ({u: 1 for u in range(60)}, [(u, u + 1) for u in range(59)] + [(9, 3), (50, 41), (45, 45)]),
+    }
+    for k in range(10):
+        n = rng.randint(2, 16)
+        graphs[f"r{k}"] = ({u: 1 for u in range(n)}, sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(1, 2 * n))}))
+    _, _, issues = critical.critical_path(spans(spark, graphs))
+    got = {name: set() for name in graphs}
+    for r in issues.where("code = 'cycle'").collect():
+        got[r.trace_id].add(r.unit)
+    assert got == {name: on_cycles(*g) for name, g in graphs.items()}
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, names = 5000, []
+    plain = critical.materialize
+    monkeypatch.setattr(critical, "materialize", lambda df, name: names.append(name) or plain(df, name))
+    units = spark.range(n).selectExpr("'t' AS trace_id", "CAST(id AS INT) AS unit", "id % 7 AS duration_ns")
+    edges = spark.range(n - 1).selectExpr("'t' AS trace_id", "CAST(id AS INT) AS src", "CAST(id + 1 AS INT) AS dst")
+    # a side branch that joins the chain half way, with an equal predecessor
+    edges = edges.unionByName(spark.createDataFrame([("t", 0, 2500), ("t", 2498, 2500)], "trace_id string, src int, dst int"))
+    known, residue = critical.finish_times(units, edges)
+    got = {r.unit: (r.finish, r.pred) for r in known.collect()}
+    total, want = 0, {}
+    for u in range(n):
+        total += u % 7
+        want[u] = (total, u - 1 if u else None)
+    want[2500] = (want[2500][0], 2498)  # unit 2499 takes no time
+    assert got == want and residue.isEmpty()
+    assert names.count("open") + names.count("chains") < 20
+
+
+def test_chains_with_floors_equal_plain_paths(spark, monkeypatch):
+    monkeypatch.setattr(critical, "PLAIN_PEELS", 0)
+    rng, graphs = random.Random(11), {}
+    for k in range(10):
+        n = rng.randint(2, 30)
+        units = {u: rng.randint(0, 5) for u in range(n)}
+        graphs[f"g{k}"] = (units, sorted({(a, min(n - 1, a + rng.choice([1, 1, 1, 1, 4, 9]))) for a in range(n - 1)} | {(a, a + 1) for a in range(0, n - 1, 2)}))
+    report, path, _ = critical.critical_path(spans(spark, graphs))
+    got = {}
+    for r in path.orderBy("trace_id", "position").collect():
+        got.setdefault(r.trace_id, []).append(r.unit)
+    lengths = {r.trace_id: r.critical_ns for r in report.collect()}
+    assert {k: (lengths[k], got[k]) for k in graphs} == {k: brute_path(*g) for k, g in graphs.items()}
+
+
 def test_a_long_path_is_walked_in_few_rounds(spark):
     n = 3000
     known = spark.range(n).selectExpr("'t' AS trace_id", "CAST(id AS INT) AS unit", "id AS finish", "CAST(NULLIF(id, 0) - 1 AS INT) AS pred")
