@@ -30,8 +30,10 @@ meet in one row in the end.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -50,9 +52,11 @@ CHUNK = 32 << 10
 FAN = 8
 #: units up to this size are remembered, until they and what they gave take CACHE_BYTES
 UNIT_BYTES = 64
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 128 << 20
 #: id pairs that are broadcast at once
 BLOCK_PAIRS = 2_000_000
+#: links from which a group is taken by its distinct ids
+LARGE = 4096
 #: bytes of text that are looked up together
 SLICE = 512 << 10
 
@@ -110,15 +114,31 @@ def _summed(pairs: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarra
 
 def fragment(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> Fragment:
     """The fragment of a range from the ids of its tokens and where they end."""
-    common = np.intersect1d(a_ends, b_ends)
+    common = np.intersect1d(a_ends, b_ends, assume_unique=True)
     if not len(common):
         return EMPTY._replace(prefix_a=a, prefix_b=b)
-    at_a, at_b = np.searchsorted(a_ends, common, "right"), np.searchsorted(b_ends, common, "right")
-    groups = [(a[i:j], b[k:m]) for i, j, k, m in zip(at_a, at_a[1:], at_b, at_b[1:])]
-    pairs = [_links(x, y) for x, y in groups]
-    found, times = _summed([x for x, _ in pairs], [t for _, t in pairs])
-    closed = b";".join([_group(x, y) for x, y in groups])
-    return Fragment(True, a[: at_a[0]], b[: at_b[0]], closed, len(groups), int(times.sum()), found, times, a[at_a[-1] :], b[at_b[-1] :])
+    last = [np.searchsorted(x, common, "right") for x in (a_ends, b_ends)]
+    n = [np.diff(x) for x in last]
+    first = [x[:-1] for x in last]
+    # large groups by their distinct ids, all others link by link
+    large = np.flatnonzero(n[0] * n[1] > LARGE)
+    small = np.setdiff1d(np.arange(len(n[0])), large)
+    i, j = _link_places(first[0][small], n[0][small], first[1][small], n[1][small])
+    pair, times = np.unique(a[i].astype(np.int64) << 32 | b[j], return_counts=True)
+    more = [_links(a[x : x + p], b[y : y + q]) for x, p, y, q in zip(*(v[large].tolist() for v in (first[0], n[0], first[1], n[1])))]
+    found, times = _summed([pair, *(x for x, _ in more)], [times, *(t for _, t in more)])
+    names = [list(map(str, x.tolist())) for x in (a, b)]
+    at = [x.tolist() for x in last]
+    closed = ";".join([f"{','.join(names[0][i:j])}|{','.join(names[1][k:m])}" for i, j, k, m in zip(at[0], at[0][1:], at[1], at[1][1:])]).encode()
+    return Fragment(True, a[: at[0][0]], b[: at[1][0]], closed, len(n[0]), int((n[0] * n[1]).sum()), found, times, a[at[0][-1] :], b[at[1][-1] :])
+
+
+def _link_places(first_a: np.ndarray, n_a: np.ndarray, first_b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the A and the B token of every link of groups that start at first_* and have n_* tokens."""
+    links = n_a * n_b
+    of = np.repeat(np.arange(len(links)), links)
+    k = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links)
+    return first_a[of] + k // n_b[of], first_b[of] + k % n_b[of]
 
 
 def compose(left: Fragment, right: Fragment) -> Fragment:
@@ -145,6 +165,23 @@ def _byte_level() -> dict[str, int]:
     return {chr(x): x for x in plain} | {chr(256 + k): x for k, x in enumerate(others)}
 
 
+def _ranked(path: str):
+    """The same vocabulary as ranks, which encodes short texts faster; None if its merges do not rank as its ids do."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as lines:
+        held = json.load(lines)
+    names, of, model = held["model"]["vocab"], _byte_level(), held["model"]
+    merges = ["".join(x.split(" ") if isinstance(x, str) else x) for x in model["merges"]]
+    ids = [names[x] for x in merges]
+    plain = held["normalizer"] is None and held["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    if not plain or model.get("ignore_merges") or ids != sorted(ids) or min(ids) < 256 or len(set(ids)) < len(ids):
+        return None
+    known = set(ids)
+    ranks = {bytes([of[c] for c in x]): i for x, i in names.items() if i in known or len(x) == 1}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Units:
     """What distinct units give under both tokenizers, numbered as they come."""
 
@@ -155,6 +192,7 @@ class Units:
 
         self.a = Tokenizer.from_file(byte_path)
         self.a.encode_special_tokens = True
+        self.ranked = _ranked(byte_path)
         self.b = SentencePieceProcessor(model_file=piece_path)
         names, of = self.a.get_vocab(), _byte_level()
         self.a_bytes = [b""] * (max(names.values()) + 1)
@@ -165,9 +203,16 @@ class Units:
         if any("\n" in x or "▁" in x.lstrip("▁") for x in pieces):
             raise ValueError("a piece goes across units")
         self.blank = self.b.piece_to_id("▁")
+        #: ids in decimal, with the mark that may stand behind them
+        self.names_a, self.names_b = (np.array([[b"%d%s" % (i, mark) for i in range(n)] for mark in marks], object) for n, marks in ((len(self.a_bytes), (b",", b"|")), (len(pieces), (b",", b";", b""))))
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.forget()
 
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        if self.ranked:
+            return list(map(self.ranked.encode_ordinary, texts))
+        return [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.text: list[bytes] = []
@@ -192,46 +237,55 @@ class Units:
         base = len(self.text)
         self.known.update((x, base + k) for k, x in enumerate(units) if len(x) <= UNIT_BYTES)
         texts = [x.decode() for x in units]
-        a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        a = self.encode_a(texts)
         # B puts a blank in front: it stands for the unit's own, or goes again
         b = self.b.encode([x[1:] if x[0] == " " else x for x in texts], num_threads=1)
         b = [[self.blank] if x == " " else ids if x[0] == " " else ids[1:] for x, ids in zip(texts, b)]
-        good = [b"".join([self.a_bytes[i] for i in x]) == u == b"".join([self.b_bytes[i] for i in y]) for u, x, y in zip(units, a, b)]
-        a, b = ([x if ok else [] for x, ok in zip(ids, good)] for ids in (a, b))
-        flat, sizes = [], []
-        for ids, size in ((a, self.a_size), (b, self.b_size)):
-            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-            flat.append(np.fromiter((i for x in ids for i in x), np.int32, int(sizes[-1].sum())))
-        ends = [np.cumsum(size[x]) for x, size in zip(flat, (self.a_size, self.b_size))]
-        common = np.intersect1d(*ends)
-        self._group(units, flat, ends, sizes, common, np.array(good, bool))
-
-    def _group(self, units: list[bytes], flat: list[np.ndarray], ends: list[np.ndarray], sizes: list[np.ndarray], common: np.ndarray, good: np.ndarray) -> None:
-        """Take in the groups of new units, whose tokens stand end to end and whose ends are common ends."""
-        (a, b), last = flat, [np.searchsorted(x, common, "right") for x in ends]
+        flat, sizes = zip(*(self._flat(x) for x in (a, b)))
+        good, size = np.ones(len(units), bool), np.array([len(x) for x in units], np.int64)
+        for ids, n, lengths, names in zip(flat, sizes, (self.a_size, self.b_size), (self.a_bytes, self.b_bytes)):
+            held = np.concatenate(([0], np.cumsum(lengths[ids])))[np.concatenate(([0], np.cumsum(n)))]
+            if not np.array_equal(np.diff(held), size) or b"".join(map(names.__getitem__, ids.tolist())) != b"".join(units):
+                lists = np.split(ids, np.cumsum(n)[:-1])
+                good &= np.array([b"".join([names[i] for i in x.tolist()]) == u for x, u in zip(lists, units)])
+        if not good.all():
+            flat, sizes = zip(*(self._flat([x if ok else [] for x, ok in zip(ids, good)]) for ids in (a, b)))
+        ends = [np.cumsum(lengths[x]) for x, lengths in zip(flat, (self.a_size, self.b_size))]
+        self._group(units, flat, sizes, [np.searchsorted(x, np.intersect1d(*ends, assume_unique=True), "right") for x in ends], good)
+
+    @staticmethod
+    def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(list(chain.from_iterable(ids)), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _group(self, units: list[bytes], flat: tuple, sizes: tuple, last: list[np.ndarray], good: np.ndarray) -> None:
+        """Take in new units from their tokens, end to end, and where the tokens of their groups end."""
+        a, b = flat
         n = [np.diff(x, prepend=0) for x in last]
         links = n[0] * n[1]
-        # every link: the group's A tokens, each with all of its B tokens
-        of = np.repeat(np.arange(len(common)), links)
-        k = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links)
-        i, j = (last[0] - n[0])[of] + k // n[1][of], (last[1] - n[1])[of] + k % n[1][of]
-        unit = np.repeat(np.arange(len(units)), sizes[0])[i]
-        order = np.lexsort((b[j], a[i], unit))
-        unit, pairs = unit[order], (a[i].astype(np.int64) << 32 | b[j])[order]
-        first = np.ones(len(pairs), bool)
-        first[1:] = (pairs[1:] != pairs[:-1]) | (unit[1:] != unit[:-1])
+        i, j = _link_places(last[0] - n[0], n[0], last[1] - n[1], n[1])
+        owner = np.repeat(np.arange(len(units)), sizes[0])
+        unit, pair = owner[i], a[i].astype(np.int64) << 32 | b[j]
+        order = np.lexsort((pair, unit))
+        unit, pair = unit[order], pair[order]
+        first = np.ones(len(pair), bool)
+        first[1:] = (pair[1:] != pair[:-1]) | (unit[1:] != unit[:-1])
         heads = np.flatnonzero(first)
-        times = np.diff(heads, append=len(pairs))
-        of_group = np.repeat(np.arange(len(units)), sizes[0])[last[0] - 1] if len(common) else np.empty(0, np.int64)
+        times = np.diff(heads, append=len(pair))
+        of_group = owner[last[0] - 1]
         groups = np.bincount(of_group, minlength=len(units))
-        names = [list(map(str, x.tolist())) for x in flat]
-        text = [f"{','.join(names[0][x - p : x])}|{','.join(names[1][y - q : y])}" for x, p, y, q in zip(last[0].tolist(), n[0].tolist(), last[1].tolist(), n[1].tolist())]
-        at = np.concatenate(([0], np.cumsum(groups))).tolist()
-        self.text += [";".join(text[x:y]).encode() for x, y in zip(at, at[1:])]
+        # A tokens of a group, then its B tokens, each with the mark behind it
+        marks = [np.zeros(len(x), np.int64) for x in (a, b)]
+        marks[0][last[0] - 1] = marks[1][last[1] - 1] = 1
+        marks[1][(last[1] - 1)[np.cumsum(groups)[groups > 0] - 1]] = 2
+        place = [np.arange(len(x)) + np.repeat(y, m) for x, y, m in zip((a, b), (np.cumsum(n[1]) - n[1], np.cumsum(n[0])), n)]
+        text = np.empty(len(a) + len(b), object)
+        text[place[0]], text[place[1]] = self.names_a[marks[0], a], self.names_b[marks[1], b]
+        text, at = text.tolist(), np.concatenate(([0], np.cumsum(sizes[0] + sizes[1]))).tolist()
+        self.text += [b"".join(text[x:y]) for x, y in zip(at, at[1:])]
         self.good = np.append(self.good, good)
         self.counts = np.concatenate((self.counts, np.stack((groups, np.bincount(of_group, links, len(units)).astype(np.int64)), axis=1)))
         self.at = [np.append(x, x[-1] + np.cumsum(s)) for x, s in zip(self.at, (*sizes, np.bincount(unit[heads], minlength=len(units))))]
-        self.flat = [np.append(x, y) for x, y in zip(self.flat, (a, b, pairs[heads], times))]
+        self.flat = [np.append(x, y) for x, y in zip(self.flat, (a, b, pair[heads], times))]
         self.bytes += sum(2 * len(x) + 200 for x in units) + 12 * (len(a) + len(b)) + 16 * len(heads)
 
     def gathered(self, which: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
