@@ -49,7 +49,7 @@ def build_graph(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 #: peels before chains are looked for: most build graphs are shallow
-PLAIN_PEELS = 3
+PLAIN_PEELS = 6
 
 
 def finish_times(units: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
