@@ -20,9 +20,11 @@ One tree of all sets would be one task, so sets are dealt to trees by an exact r
 2. The smallest node that has a token among its first ones is the token's hub.  All nodes
    with the token belong to the hub's group, so any two that may link meet in a group, and
    a family of near copies makes a few groups, not one for each of its tokens.
-3. A group is cut into blocks of bounded size, the hub in each; a block is a tree that is
+3. Groups of up to BLOCK members are sieved: trees of small bitmaps, about two bits a token,
+   tell which members may have a partner at all.  Full sets travel for these alone.
+4. A group is cut into blocks of bounded size, the hub in each; a block is a tree that is
    traversed against itself, first from the hub.  Links become components.
-4. A group of several blocks that is not one component yet is traversed block against
+5. A group of several blocks that is not one component yet is traversed block against
    block, a task a pair of blocks.  No pair is ever a row.
 
 Which tokens go last decides the work alone, never the result: repeats are counted in runs
@@ -71,20 +73,24 @@ LOW = np.uint64(1 << 62)
 # ---------------------------------------------------------------- signature trees
 
 
+def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """A bitmap of so many bits for every set, a row each: the lowest bits of its tokens."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    bit = (np.concatenate(sets) & np.uint64(bits - 1)).astype(np.int64)
+    owner, at = np.repeat(np.arange(len(sets)), sizes), np.concatenate(([0], np.cumsum(sizes)))
+    maps, step = np.empty((len(sets), bits // 64), np.uint64), max(1, GRID // bits)
+    for lo in range(0, len(sets), step):
+        hi = min(lo + step, len(sets))
+        grid = np.zeros((hi - lo, bits), bool)
+        grid[owner[at[lo] : at[hi]] - lo, bit[at[lo] : at[hi]]] = True
+        maps[lo:hi] = np.packbits(grid, axis=1, bitorder="little").view("<u8")
+    return maps
+
+
 class Tree:
-    """A signature tree over sets; level 0 are the sets, FAN nodes of a level make one of the next."""
+    """A signature tree; level 0 are the sets, FAN nodes of a level make one of the next."""
 
-    def __init__(self, sets: list[np.ndarray], bits: int, depth: int) -> None:
-        sizes = np.array([len(x) for x in sets], np.int64)
-        owner, token = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
-        bit = (token & np.uint64(bits - 1)).astype(np.int64)
-        maps = np.empty((len(sets), bits // 64), np.uint64)
-        at, step = np.concatenate(([0], np.cumsum(sizes))), max(1, GRID // bits)
-        for lo in range(0, len(sets), step):
-            hi = min(lo + step, len(sets))
-            grid = np.zeros((hi - lo, bits), bool)
-            grid[owner[at[lo] : at[hi]] - lo, bit[at[lo] : at[hi]]] = True
-            maps[lo:hi] = np.packbits(grid, axis=1).view(np.uint64)
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, depth: int) -> None:
         self.levels = [(maps, sizes, sizes, sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64))]
         for _ in range(depth):
             maps, low, high, excess = self.levels[-1]
@@ -101,40 +107,30 @@ def possible(a: tuple, b: tuple, percent: int) -> np.ndarray:
     return near & ((100 + percent) * most >= percent * (low_a + low_b))
 
 
-class Join:
-    """Links among sets, or between the first `split` of them and the others, as a forest over labels."""
+class Traversal:
+    """Visits the pairs of sets, or of the first `split` with the others, that no pair of nodes above rules out."""
 
-    def __init__(self, sets: list[np.ndarray], labels: list, percent: int, split: int = 0) -> None:
-        _, group = np.unique(np.array(labels), return_inverse=True)
-        sizes, self.percent, self.split = np.array([len(x) for x in sets]), percent, split
-        key = np.array([x[0] for x in sets], np.uint64)
-        # like sets side by side, the two sides apart
-        self.order = np.lexsort((key, sizes, group, np.arange(len(sets)) >= split))
-        self.sets, self.group = [sets[k] for k in self.order], group[self.order].astype(np.int64)
-        bits = int(np.clip(1 << int(SPREAD * sizes.max() - 1).bit_length(), *BITS))
-        sides = [self.sets[:split], self.sets[split:]] if split else [self.sets]
-        depth = 0
-        while FAN**depth < max(map(len, sides)):
-            depth += 1
-        self.trees = [Tree(x, bits, depth) for x in sides]
-        self.depth, self.links, self.looked = depth, [], 0
-        self.uniform: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, percent: int, split: int = 0) -> None:
+        self.percent, self.split, self.looked = percent, split, 0
+        sides = [slice(0, split), slice(split, None)] if split else [slice(None)]
+        self.depth = 0
+        while FAN**self.depth < max(len(sizes[x]) for x in sides):
+            self.depth += 1
+        self.trees = [Tree(maps[x], sizes[x], self.depth) for x in sides]
 
-    def _labels(self, side: int, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest label below the nodes of a level."""
-        if (side, level) not in self.uniform:
-            own = self.group[self.split :] if side else self.group[: self.split or None]
-            at = np.arange(0, len(own), FAN**level)
-            self.uniform[side, level] = np.minimum.reduceat(own, at), np.maximum.reduceat(own, at)
-        return self.uniform[side, level]
+    def settled(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether nothing below these pairs of nodes needs a look."""
+        raise NotImplementedError
+
+    def leaves(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Pairs of sets that may be similar enough."""
+        raise NotImplementedError
 
     def _pruned(self, level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = self.trees[0], self.trees[-1]
-        (low, high), (low2, high2) = self._labels(0, level), self._labels(len(self.trees) - 1, level)
-        mixed = (low[i] != high[i]) | (low2[j] != high2[j]) | (low[i] != low2[j])
-        i, j = i[mixed], j[mixed]
+        open_ = ~self.settled(level, i, j)
+        i, j = i[open_], j[open_]
         self.looked += len(i)
-        keep = possible(tuple(x[i] for x in left.levels[level]), tuple(x[j] for x in right.levels[level]), self.percent)
+        keep = possible(tuple(x[i] for x in self.trees[0].levels[level]), tuple(x[j] for x in self.trees[-1].levels[level]), self.percent)
         return i[keep], j[keep]
 
     def _children(self, level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,13 +146,93 @@ class Join:
         for at in range(0, len(i), TOGETHER):
             x, y = self._pruned(level, i[at : at + TOGETHER], j[at : at + TOGETHER])
             if level == 0:
-                self._confirm(x, y)
+                self.leaves(x, y)
                 continue
             step = TOGETHER // FAN**2
             for k in range(0, len(x), step):
                 self._visit(level - 1, *self._children(level - 1, x[k : k + step], y[k : k + step]))
 
-    def _confirm(self, i: np.ndarray, j: np.ndarray) -> None:
+    def traverse(self) -> None:
+        top = [np.arange(len(t.levels[self.depth][1])) for t in (self.trees[0], self.trees[-1])]
+        if self.depth or self.split:
+            self._visit(self.depth, np.repeat(top[0], len(top[1])), np.tile(top[1], len(top[0])))
+
+
+class Sieve(Traversal):
+    """Which sets may have a partner at all, by their bitmaps alone; a pair of nodes all marked is settled."""
+
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, percent: int, marked: np.ndarray, split: int = 0) -> None:
+        super().__init__(maps, sizes, percent, split)
+        self.marked = marked
+
+    def settled(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        sides = [self.marked[: self.split or None], self.marked[self.split :]]
+        one, two = (np.logical_and.reduceat(x, np.arange(0, len(x), FAN**level)) for x in sides)
+        return one[i] & two[j]
+
+    def leaves(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.marked[i] = self.marked[j + self.split] = True
+
+
+def sieved(sizes: np.ndarray, maps: list[bytes], percent: int) -> np.ndarray:
+    """Which of the sets may be similar enough to another, by bitmaps of `width_of` their sizes.
+
+    Similar sets have bitmaps of equal or of neighbouring widths; the wider are folded.
+    """
+    out = np.zeros(len(sizes), bool)
+    widths = np.array([len(x) for x in maps])
+    for width in np.unique(widths):
+        own, next_ = (np.flatnonzero(widths == x) for x in (width, 2 * width))
+        own = own[np.argsort(sizes[own], kind="stable")]
+        rows = np.frombuffer(b"".join([maps[k] for k in own]), "<u8").reshape(len(own), -1)
+        if len(own) > 1:
+            one = Sieve(rows, sizes[own], percent, out[own])
+            one.traverse()
+            out[own] |= one.marked
+        next_ = next_[np.argsort(sizes[next_], kind="stable")]
+        next_ = next_[100 * sizes[own].max() >= percent * sizes[next_]]
+        if len(next_):
+            wide = np.frombuffer(b"".join([maps[k] for k in next_]), "<u8").reshape(len(next_), 2, -1)
+            both = np.concatenate((own, next_))
+            one = Sieve(np.concatenate((rows, wide[:, 0] | wide[:, 1])), sizes[both], percent, out[both], len(own))
+            one.traverse()
+            out[both] |= one.marked
+    return out
+
+
+def width_of(n: int) -> int:
+    """Bits of the bitmap that travels with a set of n."""
+    return max(BITS[0], 1 << int(2 * n - 1).bit_length())
+
+
+class Join(Traversal):
+    """Links among sets, or between the first `split` of them and the others, as a forest over labels."""
+
+    def __init__(self, sets: list[np.ndarray], labels: list, percent: int, split: int = 0) -> None:
+        _, group = np.unique(np.array(labels), return_inverse=True)
+        sizes = np.array([len(x) for x in sets], np.int64)
+        key = np.array([x[0] for x in sets], np.uint64)
+        # like sets side by side, the two sides apart
+        self.order = np.lexsort((key, sizes, group, np.arange(len(sets)) >= split))
+        self.sets, self.group = [sets[k] for k in self.order], group[self.order].astype(np.int64)
+        bits = int(np.clip(1 << int(SPREAD * sizes.max() - 1).bit_length(), *BITS))
+        super().__init__(bitmaps(self.sets, bits), sizes[self.order], percent, split)
+        self.links: list[tuple[int, int]] = []
+        self.uniform: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def _labels(self, side: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest label below the nodes of a level."""
+        if (side, level) not in self.uniform:
+            own = self.group[self.split :] if side else self.group[: self.split or None]
+            at = np.arange(0, len(own), FAN**level)
+            self.uniform[side, level] = np.minimum.reduceat(own, at), np.maximum.reduceat(own, at)
+        return self.uniform[side, level]
+
+    def settled(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        (low, high), (low2, high2) = self._labels(0, level), self._labels(len(self.trees) - 1, level)
+        return (low[i] == high[i]) & (low2[j] == high2[j]) & (low[i] == low2[j])
+
+    def leaves(self, i: np.ndarray, j: np.ndarray) -> None:
         """Count what pairs of sets share, and join those that are similar enough."""
         order = np.argsort(i, kind="stable")
         i, j = i[order], j[order] + self.split
@@ -187,11 +263,8 @@ class Join:
                     near = near[near < len(self.trees[0].levels[level][1])]
                 one = tuple(x[np.full(len(near), own)] for x in self.trees[0].levels[0])
                 near = near[possible(one, tuple(x[near] for x in self.trees[0].levels[level]), self.percent)]
-            self._confirm(np.full(len(near), own), near)
-        top = [np.arange(len(t.levels[self.depth][1])) for t in (self.trees[0], self.trees[-1])]
-        i, j = np.repeat(top[0], len(top[1])), np.tile(top[1], len(top[0]))
-        if self.depth or self.split:
-            self._visit(self.depth, i, j)
+            self.leaves(np.full(len(near), own), near)
+        self.traverse()
         return self.links
 
 
@@ -239,14 +312,15 @@ def _sketches(percent: int, hot):
                 late = np.zeros(len(values), bool)
                 if len(last):
                     late = last[np.minimum(np.searchsorted(last, values), len(last) - 1)] == values
-                firsts = []
+                firsts, maps = [], []
                 for x, y in zip(at.tolist(), at[1:].tolist()):
                     own, want = values[x:y], first_tokens(y - x, percent)
+                    maps.append(bitmaps([own], width_of(y - x))[0].astype("<u8").tobytes())
                     early = own[~late[x:y]][:want]
                     firsts.append(early if len(early) == want else np.concatenate((early, own[late[x:y]][: want - len(early)])))
                 ends = pa.array(np.cumsum([0, *map(len, firsts)], dtype=np.int32))
                 tokens = np.concatenate(firsts).view(np.int64) if firsts else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(at)), pa.array(hi), pa.array(lo), pa.ListArray.from_arrays(ends, pa.array(tokens))], ["id", "n_shingles", "hi", "lo", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(at)), pa.array(hi), pa.array(lo), pa.ListArray.from_arrays(ends, pa.array(tokens)), pa.array(maps, pa.binary())], ["id", "n_shingles", "hi", "lo", "tokens", "bitmap"])
 
     return run
 
@@ -277,6 +351,20 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[
         yield now, held
 
 
+def _sieved(percent: int):
+    """Rows of groups of bounded size without members that can have no partner there; large groups as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _runs(batches, ["hub"]):
+            rows = pa.Table.from_batches(rows)
+            sizes = rows.column("n").to_numpy()
+            keep = sieved(sizes, rows.column("bitmap").to_pylist(), percent)
+            for batch in rows.select(["hub", "node", "n"]).filter(pa.array(keep)).to_batches():
+                yield batch
+
+    return run
+
+
 def _within(percent: int):
     """Links of every block, which is a tree, starting from its hub."""
 
@@ -325,19 +413,29 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     hot = docs.sparkSession.sparkContext.broadcast(hot_tokens(texts.select("text")))
-    every = materialize(texts.mapInArrow(_sketches(percent, hot), f"id {kind}, n_shingles bigint, hi bigint, lo bigint, tokens array<bigint>"), "sketches")
+    every = materialize(texts.mapInArrow(_sketches(percent, hot), f"id {kind}, n_shingles bigint, hi bigint, lo bigint, tokens array<bigint>, bitmap binary"), "sketches")
     classes = every.where("n_shingles > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
-    nodes = every.join(classes.select("hi", "lo", F.col("node").alias("id")), ["hi", "lo", "id"])
-    rows = materialize(nodes.select(F.col("id").alias("node"), F.explode("tokens").alias("token")), "tokens")
+    # a repeated id may stand in a table twice with one set
+    nodes = every.join(classes.select("hi", "lo", F.col("node").alias("id")), ["hi", "lo", "id"]).dropDuplicates(["hi", "lo"])
+    nodes = materialize(nodes.select(F.col("id").alias("node"), F.col("n_shingles").alias("n"), "tokens", "bitmap"), "nodes")
+    rows = nodes.select("node", F.explode("tokens").alias("token"))
     hubs = rows.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").select("token", "hub")
     around = materialize(rows.join(hubs, "token").select("hub", "node").distinct(), "groups")
 
+    # groups that fit one tree are sieved by bitmaps before sets travel
+    counts = around.groupBy("hub").agg(F.count("*").alias("c"))
+    around = around.join(counts, "hub").withColumn("fits", F.col("c") <= BLOCK)
+    large = around.where("NOT fits").join(nodes.select("node", "n"), "node").select("hub", "node", "n")
+    small = around.where("fits").select("hub", "node").join(nodes.select("node", "n", "bitmap"), "node")
+    small = small.repartition("hub").sortWithinPartitions("hub").mapInArrow(_sieved(percent), f"hub {kind}, node {kind}, n bigint")
+    around = materialize(large.unionByName(small), "groups")
+
     ids = materialize(around.select("node").distinct(), "active")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     own = texts.join(ids, texts.id == ids.node, "left_semi")
     active = materialize(own.mapInArrow(_sets, f"node {kind}, n bigint, members binary"), "sets")
 
-    sizes = around.join(active.select("node", "n"), "node").groupBy("hub").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    sizes = around.groupBy("hub").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
     dealt = around.join(sizes.select("hub", blocks.alias("k")), "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     dealt = materialize(dealt, "dealt")
@@ -357,7 +455,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     more = materialize(cells.mapInArrow(_across(percent), f"a {kind}, b {kind}").distinct(), "links")
     if not more.isEmpty():
         labels = merged(labels, more)
-    return spread(every.drop("tokens"), classes, labels).select(F.col("id").alias(id_col), "n_shingles", F.col("own").alias("component_id"))
+    return spread(every.drop("tokens", "bitmap"), classes, labels).select(F.col("id").alias(id_col), "n_shingles", F.col("own").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

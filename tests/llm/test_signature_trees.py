@@ -119,12 +119,34 @@ def test_nodes_are_pruned_and_bounds_hold():
     assert join.found() == [] and join.looked < 640 * 639 // 2 // 8
     one, two = sets[0], np.unique(np.concatenate((sets[0][:60], sets[1][:40])))
     for bits in (64, 256, 4096):
-        level = [trees.Tree([x], bits, 0).levels[0] for x in (one, two)]
+        level = [trees.Tree(trees.bitmaps([x], bits), np.array([len(x)]), 0).levels[0] for x in (one, two)]
         shared = len(np.intersect1d(one, two))
         least = int(np.bitwise_count(level[0][0] & level[1][0]).sum() + min(level[0][3][0], level[1][3][0]))
         assert least >= shared
 
 
+def test_the_sieve_keeps_all_that_links():
+    rng = np.random.default_rng(6)
+    sets = []
+    for size in (3, 12, 60, 120, 125, 130, 900, 1020, 1030):
+        base = rng.integers(0, 2**63, size).astype(np.uint64)
+        for k in range(12):
+            s = base.copy()
+            n = int(rng.integers(0, 1 + size // 8))
+            s[rng.choice(size, n, replace=False)] = rng.integers(0, 2**63, n)
+            sets.append(np.unique(np.concatenate((s, rng.integers(0, 2**63, n % 4).astype(np.uint64)))))
+    sets += [np.unique(rng.integers(0, 2**63, int(rng.integers(1, 2000))).astype(np.uint64)) for _ in range(200)]
+    order = rng.permutation(len(sets))
+    sets = [sets[k] for k in order]
+    keep = trees.sieved(np.array([len(x) for x in sets]), [trees.bitmaps([x], trees.width_of(len(x)))[0].tobytes() for x in sets], 85)
+    linked = set()
+    for a, b in combinations(range(len(sets)), 2):
+        i = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * i >= 85 * (len(sets[a]) + len(sets[b]) - i):
+            linked |= {a, b}
+    assert linked <= set(np.flatnonzero(keep)) and keep.sum() < len(linked) + 60
+
+
 def test_edges(spark):
     long = " ".join(f"t{i}" for i in range(60_000))
     rows = [(None, long, 1), (3, long, 2), (3, long, 2), (2, long + " end", 3), (5, None, 4)]
