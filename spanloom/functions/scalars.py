@@ -177,11 +177,6 @@ def clamp(value: Column, low: Column, high: Column) -> Column:
     return F.greatest(low, F.least(high, value))
 
 
-def checked_add(a: Column, b: Column) -> Column:
-    """Sum of two non-negative counts; null if one is unknown or the sum overflows."""
-    return F.try_add(a, b)
-
-
 def unit_name(name: Column, version: Column, target: Column) -> Column:
     kind = F.trim(F.coalesce(target, F.lit("")))
     return F.concat(name, F.lit(" v"), version, F.when(kind != "", F.concat(F.lit(" ("), kind, F.lit(")"))).otherwise(F.lit("")))

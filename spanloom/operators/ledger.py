@@ -80,6 +80,33 @@ def resolve(candidates: Column, signal: str) -> tuple[Column, Column]:
     return count, F.when(code.isNotNull(), F.array(_issue(code, signal))).otherwise(_none(_ISSUE))
 
 
+def added_counts(a: Column, b: Column, unknown: str) -> Column:
+    """Sum of two counts: unknown for the reason `unknown` if one is, or beyond 64 bits; sources of both, sorted."""
+    known = a["value"].isNotNull() & b["value"].isNotNull()
+    value = F.try_add(a["value"], b["value"])
+    reason = F.when(~known, unknown).when(value.isNull(), "overflow")
+    return F.struct(value.alias("value"), reason.alias("reason"), F.array_sort(F.concat(a["sources"], b["sources"])).alias("sources"))
+
+
+def merged_count(count: Column, counts: Column) -> Column:
+    """Aggregate: the sum of a count over the rows where `counts` holds and something was said.
+
+    One unknown among them makes it unknown, and so does a sum beyond 64 bits.  `sources`
+    are the attributes behind it, distinct and sorted.
+    """
+    seen = counts & (F.size(count["sources"]) > 0)
+    total = F.sum(F.when(seen, count["value"]).cast("decimal(38,0)"))
+    fits = total <= F.lit("9223372036854775807").cast("decimal(38,0)")
+    reason = F.when(F.count_if(seen) == 0, "no_observations").when(~fits, "overflow").when(F.count_if(seen & count["value"].isNull()) > 0, "incomplete_contributions")
+    names = F.collect_set(F.when(seen, F.transform(count["sources"], lambda x: x["attribute"])))
+    return F.struct(F.when(reason.isNull(), total.try_cast("bigint")).alias("value"), reason.alias("reason"), F.array_sort(F.array_distinct(F.flatten(names))).alias("sources"))
+
+
+def row_sources(prefix: str = "observed") -> Column:
+    """The distinct attributes, with their values, behind all counts of a ledger row, sorted."""
+    return F.array_sort(F.array_distinct(F.concat(*(F.col(f"{prefix}_{s}.sources") for s in SIGNALS))))
+
+
 def _unknown(count: Column, reason: str) -> Column:
     return F.struct(F.lit(None).cast("bigint").alias("value"), F.lit(reason).alias("reason"), count["sources"].alias("sources"))
 
@@ -96,12 +123,8 @@ def _invariants(df: DataFrame, prefix: str) -> DataFrame:
     df = _note(df, F.col("_over"), "cache_subsets_exceed_input").drop("_over")
     df = _subset(df, prefix, "reasoning", "output", "reasoning_exceeds_output")
     df = _subset(df, prefix, "tool_input", "input", "tool_input_exceeds_input")
-    known = c("input.value").isNotNull() & c("output.value").isNotNull()
-    total = F.try_add(c("input.value"), c("output.value"))
-    df = _note(df, known & total.isNull(), "count_overflow")
-    reason = F.when(~known, "input_or_output_unknown").when(total.isNull(), "overflow")
-    sources = F.array_sort(F.concat(c("input.sources"), c("output.sources")))
-    return df.withColumn(f"{prefix}_total", F.struct(total.alias("value"), reason.alias("reason"), sources.alias("sources")))
+    df = df.withColumn(f"{prefix}_total", added_counts(c("input"), c("output"), "input_or_output_unknown"))
+    return _note(df, c("total.reason") == "overflow", "count_overflow")
 
 
 def _note(df: DataFrame, when: Column, code: str) -> DataFrame:
@@ -183,18 +206,17 @@ def usage_ledger(spans: DataFrame, own: str = OWN) -> tuple[DataFrame, DataFrame
     rows = materialize(contributions(usage_rows(spans, own)), "ledger")
     aggs = [F.count("*").alias("span_count"), F.count_if("usage_bearing").alias("usage_rows"), F.count_if("tool_call").alias("tool_calls"), F.count("attempt").alias("retry_attempts")]
     for s in SIGNALS:
-        added, seen = F.col(f"added_{s}"), F.col("contributes") & (F.size(F.col(f"added_{s}.sources")) > 0)
         rolled = F.when(F.col("mode") == "rollup", F.col(f"observed_{s}.value"))
-        aggs += [F.count_if(seen).alias(f"{s}_seen"), F.count_if(seen & added["value"].isNull()).alias(f"{s}_unknown"), F.sum(F.when(seen, added["value"]).cast("decimal(38,0)")).alias(f"{s}_sum"), F.min(rolled).alias(f"{s}_low"), F.max(rolled).alias(f"{s}_high")]
+        aggs += [merged_count(F.col(f"added_{s}"), F.col("contributes")).alias(f"{s}_sum"), F.min(rolled).alias(f"{s}_low"), F.max(rolled).alias(f"{s}_high")]
     aggs += [F.min("limit").alias("limit_low"), F.max("limit").alias("limit_high")]
     total = rows.groupBy("trace_id").agg(*aggs)
+    found = {}
     for s in SIGNALS:
-        value = F.col(f"{s}_sum").try_cast("bigint")
-        fits = F.col(f"{s}_sum") <= F.lit("9223372036854775807").cast("decimal(38,0)")
-        direct = F.when(fits & (F.col(f"{s}_unknown") == 0), value)
+        spoken = F.coalesce(F.col(f"{s}_sum.reason"), F.lit("")) != "no_observations"
         rolled = F.when(F.col(f"{s}_low") == F.col(f"{s}_high"), F.col(f"{s}_low"))
-        reason = F.when(F.col(f"{s}_seen") > 0, F.when(~fits, "overflow").when(F.col(f"{s}_unknown") > 0, "incomplete_contributions")).when(F.col(f"{s}_low").isNull(), "no_observations").when(rolled.isNull(), "conflict")
-        total = total.withColumn(s, F.when(F.col(f"{s}_seen") > 0, direct).otherwise(rolled)).withColumn(f"{s}_reason", reason)
+        found[s] = F.when(spoken, F.col(f"{s}_sum.value")).otherwise(rolled)
+        found[f"{s}_reason"] = F.when(spoken, F.col(f"{s}_sum.reason")).when(F.col(f"{s}_low").isNull(), "no_observations").when(rolled.isNull(), "conflict")
+    total = total.withColumns(found)
     total = total.withColumn("total", F.try_add("input", "output")).withColumn("context_limit", F.when(F.col("limit_low") == F.col("limit_high"), F.col("limit_low")))
     total = total.withColumn("context_ratio", F.col("total").cast("double") / F.col("context_limit").cast("double"))
     summary = total.select("trace_id", "span_count", "usage_rows", "tool_calls", "retry_attempts", *SIGNALS, *(f"{s}_reason" for s in SIGNALS), "total", "context_limit", "context_ratio")
@@ -211,11 +233,18 @@ def reconcile_rollups(spans: DataFrame, rows: DataFrame) -> DataFrame:
     tops = rows.where("mode = 'rollup'").select("trace_id", F.col("span_id").alias("rollup"), *(F.col(f"observed_{s}.value").alias(f"top_{s}") for s in SIGNALS))
     parts = rows.where("contributes").select("trace_id", "span_id", *(F.struct(F.col(f"added_{s}.value").alias("v"), (F.size(F.col(f"added_{s}.sources")) > 0).alias("seen")).alias(s) for s in SIGNALS))
     joined = below.join(tops, ["trace_id", "rollup"]).join(parts, ["trace_id", "span_id"])
-    out = []
-    for s in SIGNALS:
-        found = joined.where(f"{s}.seen").groupBy("trace_id", "rollup").agg(F.first(f"top_{s}").alias("top"), F.sum(F.col(f"{s}.v").cast("decimal(38,0)")).alias("sum"), F.count_if(F.col(f"{s}.v").isNull()).alias("gap"))
-        out.append(found.where("gap = 0 AND top IS NOT NULL AND top <> sum").select("trace_id", F.col("rollup").alias("span_id"), F.lit("unexplained_delta").alias("code"), F.lit(s).alias("signal"), (F.col("top") - F.col("sum")).cast("bigint").alias("delta")))
-    return reduce(DataFrame.unionByName, out)
+    seen = lambda s: F.col(f"{s}.seen")
+    sums = [
+        F.struct(
+            F.first(f"top_{s}").alias("top"), F.sum(F.when(seen(s), F.col(f"{s}.v")).cast("decimal(38,0)")).alias("sum"),
+            F.count_if(seen(s)).alias("n"), F.count_if(seen(s) & F.col(f"{s}.v").isNull()).alias("gaps"),
+        ).alias(s)
+        for s in SIGNALS
+    ]
+    found = joined.groupBy("trace_id", "rollup").agg(*sums)
+    each = F.array(*(F.struct(F.lit(s).alias("signal"), F.col(s).alias("c")) for s in SIGNALS))
+    found = found.select("trace_id", F.col("rollup").alias("span_id"), F.explode(each).alias("x")).where("x.c.n > 0 AND x.c.gaps = 0 AND x.c.top IS NOT NULL AND x.c.top <> x.c.sum")
+    return found.select("trace_id", "span_id", F.lit("unexplained_delta").alias("code"), "x.signal", (F.col("x.c.top") - F.col("x.c.sum")).cast("bigint").alias("delta"))
 
 
 def estimate_cost(rows: DataFrame, rates: DataFrame) -> DataFrame:
@@ -249,16 +278,30 @@ def estimate_cost(rows: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def usage_by(rows: DataFrame, key: str) -> DataFrame:
-    """Known token totals of every branch, retry group or other key of a trace; null beyond 64 bits."""
-    return rows.where("contributes").groupBy("trace_id", key).agg(F.count("*").alias("calls"), *(F.try_sum(f"added_{s}.value").alias(s) for s in SIGNALS))
+    """Token totals of every branch, retry group or other key of a trace, as counts.
+
+    `calls` are the rows that bear usage, `contributing` those that add to their trace,
+    `attempts` those with a valid number.  Every signal is a count (see `merged_count`),
+    `total` is input plus output.
+    """
+    aggs = [F.count("*").alias("calls"), F.count_if("contributes").alias("contributing"), F.count("attempt").alias("attempts")]
+    found = rows.where("usage_bearing").groupBy("trace_id", key).agg(*aggs, *(merged_count(F.col(f"added_{s}"), F.col("contributes")).alias(s) for s in SIGNALS))
+    return found.withColumn("total", added_counts(F.col("input"), F.col("output"), "input_or_output_unknown"))
+
+
+def retry_attempts(rows: DataFrame) -> DataFrame:
+    """Every attempt of every logical call, also those that do not contribute or are unknown, a row each.
+
+    Counts as observed; `sources` are the distinct attributes behind the row, sorted.
+    """
+    own = rows.where("logical_call_id <> ''")
+    return own.select("trace_id", "logical_call_id", "attempt", "span_id", "mode", "contributes", *(F.col(f"observed_{s}").alias(s) for s in (*SIGNALS, "total")), row_sources().alias("sources"))
 
 
 def validate(rows: DataFrame) -> DataFrame:
     """Broken ledger invariants as rows; none if all hold."""
-    out = []
-    for s in SIGNALS:
-        for prefix in ("observed", "added"):
-            c = F.col(f"{prefix}_{s}")
-            out.append(rows.where(c["value"].isNotNull() == c["reason"].isNotNull()).select("trace_id", "span_id", F.lit(f"{prefix}_{s}: value and reason").alias("violation")))
-            out.append(rows.where(c["value"] < 0).select("trace_id", "span_id", F.lit(f"{prefix}_{s}: negative").alias("violation")))
-    return reduce(DataFrame.unionByName, out)
+    broken = []
+    for name in (f"{prefix}_{s}" for s in SIGNALS for prefix in ("observed", "added")):
+        c = F.col(name)
+        broken += [F.when(c["value"].isNotNull() == c["reason"].isNotNull(), f"{name}: value and reason"), F.when(c["value"] < 0, f"{name}: negative")]
+    return rows.select("trace_id", "span_id", F.explode(F.array_compact(F.array(*broken))).alias("violation"))

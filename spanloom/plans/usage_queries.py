@@ -15,14 +15,15 @@ from spanloom.sources import rates
 from spanloom.sources.shared import folder, materialize
 
 
-def _calls(spark, sf_dir, rows=None):
+def _calls(spark, sf_dir, rows=None, more=None):
+    """Calls as spans; `more` gives further attributes from the builder of one."""
     rows = view(spark, sf_dir, "td_usage") if rows is None else rows
     attr = lambda key, kind, value: F.struct(F.lit(key).alias("key"), F.lit(kind).alias("value_type"), value.cast("string").alias("value"))
     attributes = F.array(
         attr("gen_ai.provider.name", "str", F.col("provider")), attr("gen_ai.request.model", "str", F.lit("m1")), attr("gen_ai.usage.input_tokens", "int", F.col("input_tokens")),
         attr("gen_ai.usage.output_tokens", "int", F.col("output_tokens")), attr("spanloom.usage.mode", "str", F.col("mode")), attr("spanloom.usage.series", "str", F.lit("s")),
         attr("gen_ai.usage.cache_read.input_tokens", "int", F.lit(0)), attr("gen_ai.usage.cache_creation.input_tokens", "int", F.lit(0)), attr("gen_ai.usage.reasoning.output_tokens", "int", F.lit(0)),
-        attr("spanloom.context.window.limit_tokens", "int", F.lit(100_000)),
+        attr("spanloom.context.window.limit_tokens", "int", F.lit(100_000)), *(more(attr) if more else ()),
     )
     return rows.select("trace_id", "span_id", F.col("prev").alias("parent_span_id"), "started_ns", F.col("started_ns").alias("ended_ns"), F.col("started_ns").alias("ord"), attributes.alias("attributes"))
 
@@ -69,21 +70,23 @@ def cost(spark, sf_dir):
     return found.select("trace_id", (F.col("cost").cast("decimal(38,9)") * 1_000_000_000).cast("bigint").alias("cost_nano"), "reason")
 
 
-@register("A11_D18_N4_rate_book", """SELECT n_name || '/' || s_name AS rate_key, row_number() OVER (ORDER BY n_name || '/' || s_name) - 1 AS position, (s_suppkey % 97 + 1)::VARCHAR || '.25' AS input
-  FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
-def rate_book(spark, sf_dir):
-    """A rate file with an entry for every supplier of a nation, loaded again."""
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(nations, "s_nationkey")
-    price = F.concat((F.col("s_suppkey") % 97 + 1).cast("string"), F.lit(".25"))
-    entry = F.struct(F.col("n_name").alias("provider"), F.col("s_name").alias("model"), F.struct(price.alias("input"), price.alias("output")).alias("per_million_tokens"))
-    doc = F.struct(F.lit(rates.SCHEMA).alias("schema"), F.lit("2026-01-01").alias("as_of"), F.lit("USD").alias("currency"), F.collect_list(entry).alias("rates"))
+#: a book of rates, as (provider, input, output) per million tokens
+_BOOK = (("anthropic", "3", "15"), ("openai", "2.5", "10"), ("unused", "1", "1"))
+
+
+@register("A11_D18_N4_rate_book", f"""{sql('td_usage')}, book AS (SELECT * FROM (VALUES ('anthropic', 0, '3'), ('openai', 1, '2.5')) q(provider, position, rate))
+  SELECT trace_id, span_id, u.provider || '/m1' AS rate_key, position, rate AS input_rate FROM td_usage u JOIN book b ON b.provider = u.provider""")
+def rated_calls(spark, sf_dir):
+    """Every call with its entry in a rate file, and the entry's place among the sorted keys."""
+    entries = [{"provider": p, "model": "m1", "per_million_tokens": {"input": i, "output": o}} for p, i, o in _BOOK]
     path = folder(spark, "rates")
-    rows.agg(F.to_json(doc).alias("value")).coalesce(1).write.text(path)
+    spark.createDataFrame([(json.dumps({"schema": rates.SCHEMA, "as_of": "2026-01-01", "currency": "USD", "rates": entries}),)], "value string").coalesce(1).write.text(path)
     book = rates.load_rates(spark, path)
-    keyed = book.rates.select(F.concat_ws("/", "provider", "model").alias("rate_key"), F.regexp_replace(F.col("input").cast("string"), "0+$", "").alias("input"))
-    found = book.keys().withColumn("position", F.row_number().over(Window.orderBy("rate_key")) - 1)
-    return found.join(keyed, "rate_key")
+    # a book is bounded by the size of its file
+    keys = book.keys().withColumn("position", F.row_number().over(Window.orderBy("rate_key")) - 1)
+    rated = book.rates.select("provider", F.concat_ws("/", "provider", "model").alias("rate_key"), F.regexp_replace(F.regexp_replace(F.col("input").cast("string"), "0+$", ""), r"\.$", "").alias("input_rate"))
+    calls = view(spark, sf_dir, "td_usage").select("trace_id", "span_id", "provider")
+    return calls.join(F.broadcast(rated.join(keys, "rate_key")), "provider").select("trace_id", "span_id", "rate_key", "position", "input_rate")
 
 
 @register("K7_broken_ledger", f"{_ADDED} SELECT trace_id, span_id, unnest(CASE WHEN o IS NULL THEN ['observed_input: negative'] ELSE ['observed_input: negative', 'added_output: value and reason'] END) AS violation FROM a")
@@ -102,13 +105,60 @@ def issue_order(spark, sf_dir):
     return timeline.ordered_issues(issues).select("trace_id", "span_id", "code", "position").join(codes, "trace_id")
 
 
-@register("D15_D16_usage_by_branch", f"""{_ADDED} SELECT trace_id, CASE WHEN prev IS NULL THEN '' ELSE trace_id || '-1' END AS branch_span_id, count(*) AS calls,
-  sum(i)::BIGINT AS input, sum(o)::BIGINT AS output FROM a GROUP BY ALL""")
+@register("D15_D16_usage_by_branch", f"""{_ADDED} SELECT trace_id, CASE WHEN prev IS NULL THEN '' ELSE trace_id || '-1' END AS branch_span_id, count(*) AS calls, sum(i)::BIGINT AS input,
+  CASE WHEN count(*) = count(o) THEN sum(o)::BIGINT END AS output, CASE WHEN count(*) > count(o) THEN 'incomplete_contributions' END AS output_reason,
+  CASE WHEN count(*) = count(o) THEN sum(i)::BIGINT + sum(o)::BIGINT END AS total, 'gen_ai.usage.output_tokens' AS sources FROM a GROUP BY ALL""")
 def usage_by_branch(spark, sf_dir):
     calls = _calls(spark, sf_dir)
     placed = tree.span_positions(calls)[0].select("trace_id", "span_id", "branch_span_id")
-    rows = ledger.usage_ledger(calls)[0].join(placed, ["trace_id", "span_id"])
-    return ledger.usage_by(rows, "branch_span_id").select("trace_id", "branch_span_id", "calls", "input", "output")
+    found = ledger.usage_by(ledger.usage_ledger(calls)[0].join(placed, ["trace_id", "span_id"]), "branch_span_id")
+    return found.select(
+        "trace_id", "branch_span_id", "calls", F.col("input.value").alias("input"), F.col("output.value").alias("output"), F.col("output.reason").alias("output_reason"),
+        F.col("total.value").alias("total"), F.array_join("output.sources", ",").alias("sources"),
+    )
+
+
+#: four turns are attempts of one call: some unknown, some beyond what a sum can hold, every sixth a roll-up
+_MOST = 9223372036854775807
+_RETRIES = f"""{sql('td_usage')}, u AS (SELECT *, started_ns // 1000 AS turn FROM td_usage),
+  r AS (SELECT trace_id, span_id, trace_id || '-call' || (turn // 4) AS logical_call_id, CASE WHEN turn % 9 <> 8 THEN turn % 4 + 1 END AS attempt, turn % 6 = 5 AS rolled,
+    CASE WHEN turn % 7 = 3 THEN NULL WHEN turn % 5 = 4 THEN {_MOST} ELSE input_tokens END AS i, output_tokens AS o FROM u)"""
+
+
+def _retries(spark, sf_dir):
+    rows, turn = view(spark, sf_dir, "td_usage"), F.call_function("div", F.col("started_ns"), F.lit(1000))
+    call = F.concat("trace_id", F.lit("-call"), F.call_function("div", turn, F.lit(4)).cast("string"))
+    rows = rows.withColumn("mode", F.when(turn % 6 == 5, "rollup").otherwise("delta"))
+    rows = rows.withColumn("input_tokens", F.when(turn % 7 == 3, "many").when(turn % 5 == 4, str(_MOST)).otherwise(F.col("input_tokens").cast("string")))
+
+    def more(attr):
+        return attr("spanloom.retry.logical_call_id", "str", call), attr("spanloom.retry.attempt", "int", F.when(turn % 9 != 8, turn % 4 + 1).otherwise(0))
+
+    return ledger.usage_ledger(_calls(spark, sf_dir, rows, more))[0]
+
+
+@register("D16_usage_by_retry", f"""{_RETRIES}, g AS (SELECT trace_id, logical_call_id, count(*) AS calls, count(*) FILTER (NOT rolled) AS contributing, count(attempt) AS attempts,
+    count(*) FILTER (NOT rolled AND i IS NULL) AS gaps, sum(i::HUGEINT) FILTER (NOT rolled) AS i, sum(o)::BIGINT AS all_o, sum(o) FILTER (NOT rolled)::BIGINT AS o FROM r GROUP BY ALL),
+  v AS (SELECT *, CASE WHEN contributing = 0 THEN 'no_observations' WHEN i > {_MOST} THEN 'overflow' WHEN gaps > 0 THEN 'incomplete_contributions' END AS why FROM g)
+  SELECT trace_id, logical_call_id, calls, contributing, attempts, CASE WHEN why IS NULL THEN i::BIGINT END AS input, why AS input_reason, o AS output,
+    CASE WHEN contributing > 0 THEN 'gen_ai.usage.input_tokens' ELSE '' END AS input_sources, CASE WHEN why IS NULL AND i + o <= {_MOST} THEN (i + o)::BIGINT END AS total,
+    CASE WHEN why IS NOT NULL THEN 'input_or_output_unknown' WHEN i + o > {_MOST} THEN 'overflow' END AS total_reason FROM v""")
+def usage_by_retry(spark, sf_dir):
+    found = ledger.usage_by(_retries(spark, sf_dir), "logical_call_id")
+    return found.select(
+        "trace_id", "logical_call_id", "calls", "contributing", "attempts", F.col("input.value").alias("input"), F.col("input.reason").alias("input_reason"), F.col("output.value").alias("output"),
+        F.array_join("input.sources", ",").alias("input_sources"), F.col("total.value").alias("total"), F.col("total.reason").alias("total_reason"),
+    )
+
+
+@register("D17_K5_retry_attempts", f"""{_RETRIES} SELECT trace_id, logical_call_id, span_id, attempt, NOT rolled AS contributes, i AS input, CASE WHEN i IS NULL THEN 'rejected_observation' END AS input_reason,
+  o AS output, 5 AS n_sources, 'gen_ai.usage.cache_creation.input_tokens' AS first_source FROM r""")
+def retry_attempts(spark, sf_dir):
+    found = ledger.retry_attempts(_retries(spark, sf_dir))
+    return found.select(
+        "trace_id", "logical_call_id", "span_id", "attempt", "contributes", F.col("input.value").alias("input"), F.col("input.reason").alias("input_reason"), F.col("output.value").alias("output"),
+        F.size("sources").alias("n_sources"), F.col("sources")[0]["attribute"].alias("first_source"),
+    )
 
 
 @register("C8_K4_reconcile_rollups", f"""{sql('td_usage')}, t AS (SELECT trace_id, span_id, started_ns // 1000 AS turn, input_tokens, output_tokens FROM td_usage),

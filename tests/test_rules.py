@@ -190,3 +190,25 @@ def test_build_and_test_reports(spark):
     bare = '<testsuite name="" time="3"><testcase name="x" time="1"><failure/></testcase><testcase name="y" time="1"><skipped/></testcase></testsuite>'
     rows = readers.junit_cases(spark.createDataFrame([("r", bare)], "run_id string, value string")).orderBy("case_no").collect()
     assert [(r.case_name, r.failed, r.suite_seconds) for r in rows] == [("x", True, 3.0), ("y", False, 3.0)]
+
+
+def test_retry_groups_forget_no_attempt(spark):
+    def call(span, turn, value, mode="delta", call="c1"):
+        attributes = [("gen_ai.usage.input_tokens", "int", value), ("gen_ai.usage.output_tokens", "int", "1"), ("spanloom.usage.mode", "str", mode), ("spanloom.retry.logical_call_id", "str", call), ("spanloom.retry.attempt", "int", str(turn))]
+        return ("t", span, turn, turn, attributes)
+
+    most = str(2**63 - 1)
+    rows = [call("a", 1, "5"), call("b", 2, "many"), call("c", 3, "7", "rollup"), call("d", 1, most, call="c2"), call("e", 2, "1", call="c2"), call("f", 1, "3", "rollup", "c3")]
+    spans = spark.createDataFrame(rows, "trace_id string, span_id string, started_ns long, ended_ns long, attributes array<struct<key:string,value_type:string,value:string>>")
+    found = ledger.usage_ledger(spans)[0]
+    got = {r.logical_call_id: (r.calls, r.contributing, r.attempts, r.input.value, r.input.reason, r.output.value, r.total.reason, list(r.input.sources)) for r in ledger.usage_by(found, "logical_call_id").collect()}
+    key = ["gen_ai.usage.input_tokens"]
+    assert got == {
+        "c1": (3, 2, 3, None, "incomplete_contributions", 2, "input_or_output_unknown", key),
+        "c2": (2, 2, 2, None, "overflow", 2, "input_or_output_unknown", key),
+        "c3": (1, 0, 1, None, "no_observations", None, "input_or_output_unknown", []),
+    }
+    attempts = {(r.logical_call_id, r.attempt): (r.input.value, r.input.reason, r.contributes, [s.attribute for s in r.sources]) for r in ledger.retry_attempts(found).collect()}
+    both = ["gen_ai.usage.input_tokens", "gen_ai.usage.output_tokens"]
+    assert attempts["c1", 1] == (5, None, True, both) and attempts["c1", 2] == (None, "rejected_observation", True, both) and attempts["c1", 3] == (7, None, False, both)
+    assert len(attempts) == 6
