@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import marks
+from spanloom.operators import marks, timeline
 from spanloom.plans.projections import sql, view
 from spanloom.plans.trace_queries import ORACLES, _runs, _suites, register
+from spanloom.sources import adapters as reports
 from spanloom.sources import readers, store
 from spanloom.sources.shared import folder
 from spanloom.streaming import adapters
@@ -182,3 +183,71 @@ def late(spark, sf_dir):
         parsed.select(unquoted(F.to_json(part(early))).alias("value")).write.mode("append").text(first)
         streams.keep_summaries(streams.stream_spans(spark, first, files_per_batch=100_000), table, summaries, state).awaitTermination()
     return streams.latest_summaries(spark, summaries).select("trace_id", "started_ns", "ended_ns", "root_name", "span_count", "duration_ns")
+
+
+#: every seventh document each has a field too many, a second value, an unknown label, an attribute with a field too many, or is cut short
+_DOCUMENTS = f"""{sql('td_usage')}, d AS (SELECT *, trace_id AS document, substr(trace_id, 2)::BIGINT % 7 AS fault FROM td_usage)"""
+
+
+def _documents(spark, sf_dir):
+    """Conversations as stored-trace documents."""
+    attribute = lambda odd: F.struct(F.lit("provider").alias("key"), F.lit("str").alias("value_type"), F.col("provider").alias("value"), F.when(odd, "1").alias("extra"))
+    fault = F.substring("trace_id", 2, 20).cast("bigint") % 7
+    span = F.struct(
+        "started_ns", "span_id", "trace_id", F.coalesce("prev", F.lit("")).alias("parent_span_id"), F.col("mode").alias("name"), F.when(fault == 3, "sideways").otherwise("client").alias("kind"), F.lit(2).alias("status"),
+        (F.col("started_ns") + F.col("output_tokens")).alias("ended_ns"), F.col("output_tokens").alias("duration_ns"), F.array(attribute(fault == 4)).alias("attributes"),
+    )
+    docs = view(spark, sf_dir, "td_usage").groupBy("trace_id").agg(F.sort_array(F.collect_list(span)).alias("spans")).withColumn("fault", fault)
+    text = F.to_json(F.struct("trace_id", F.lit("tests").alias("source"), "spans", F.when(F.col("fault") == 1, 5).alias("color")))
+    cut = F.when(F.col("fault") == 2, F.concat(text, F.lit(" {}"))).when(F.col("fault") == 5, F.expr("left(text, char_length(text) - 3)")).otherwise(F.col("text"))
+    return docs.withColumn("text", text).select(F.col("trace_id").alias("document"), F.when(F.col("fault") == 2, F.concat("text", F.lit(" {}"))).otherwise(cut).alias("value"))
+
+
+def _stored(spark, sf_dir):
+    docs, path = _documents(spark, sf_dir), folder(spark, "documents")
+    docs.write.parquet(path)
+    return readers.import_traces(spark.read.parquet(path))
+
+
+@register("A3_import_traces", f"""{_DOCUMENTS} SELECT trace_id, span_id, prev AS parent_span_id, mode AS name, 3 AS kind, 2 AS status, started_ns, started_ns + output_tokens AS ended_ns,
+  row_number() OVER (PARTITION BY trace_id ORDER BY started_ns) AS ord, provider FROM d WHERE fault IN (0, 6)""")
+def imported(spark, sf_dir):
+    found = _stored(spark, sf_dir)[0]
+    return found.select("trace_id", "span_id", "parent_span_id", "name", "kind", "status", "started_ns", "ended_ns", "ord", F.col("attributes")[0]["value"].alias("provider"))
+
+
+@register("A3_refused_documents", f"""{_DOCUMENTS} SELECT DISTINCT document, (['unknown_field', 'trailing_value', 'unknown_label', 'unknown_field', 'malformed_json'])[fault] AS reason,
+  (['trace.color', NULL, 'span.kind', 'attribute.extra', NULL])[fault] AS field FROM d WHERE fault BETWEEN 1 AND 5""")
+def refused(spark, sf_dir):
+    return _stored(spark, sf_dir)[1]
+
+
+_UNITS_OF = """SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, event_type FROM events WHERE event_id % 5 = 0"""
+
+
+def _pages(spark, sf_dir):
+    """Every fifth event of a user as a unit of a build report."""
+    from pyspark.sql import Window
+
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 5 = 0")
+    ev = ev.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
+    unit = F.struct("i", F.col("event_type").alias("name"), F.lit("1").alias("version"), F.lit(0.0).alias("start"), F.col("i").cast("double").alias("duration"), F.lit("").alias("target"), F.array().cast("array<int>").alias("unblocked_units"))
+    found = ev.groupBy(F.col("user_id").alias("run_id")).agg(F.to_json(F.sort_array(F.collect_list(unit))).alias("units"))
+    return found.select("run_id", F.concat(F.lit("const UNIT_DATA = "), F.expr("left(units, char_length(units) - 1)"), F.lit("\n];")).alias("value"))
+
+
+_RUN_OF = "SELECT user_id AS run_id, min(epoch_us(ts)) * 1000 + 1000000 AS r0, max(epoch_us(ts)) * 1000 - 1000000 AS r1 FROM events GROUP BY user_id"
+
+
+@register("I4_N1_run_reports", f"""SELECT run_id::VARCHAR AS trace_id, 'root' AS span_id, NULL AS parent_span_id, 'run' AS name, 1 AS status, r0 AS started_ns, r1 AS ended_ns FROM ({_RUN_OF})
+  UNION ALL SELECT run_id::VARCHAR, 'gotest/' || package || coalesce('//' || test, ''), CASE WHEN test IS NULL THEN 'root' ELSE 'gotest/' || package END, coalesce(test, package), status, started_ns, ended_ns FROM ({ORACLES['D4_go_test_fold']})
+  UNION ALL SELECT u.user_id::VARCHAR, 'cargo/' || i, 'root', event_type || ' v1', 1, r0, r0 + i * 1000000000 FROM ({_UNITS_OF}) u JOIN ({_RUN_OF}) r ON r.run_id = u.user_id
+  UNION ALL SELECT m.user_id::VARCHAR, 'mark/' || event_id, 'root', event_type, 1, greatest(epoch_us(ts) * 1000, r0), greatest(greatest(epoch_us(ts) * 1000, r0), coalesce(
+    lead(epoch_us(ts) * 1000) OVER (PARTITION BY m.user_id ORDER BY ts, event_id), r1)) FROM events m JOIN ({_RUN_OF}) r ON r.run_id = m.user_id WHERE event_id % 4 = 0""")
+def run_reports(spark, sf_dir):
+    """Root, sections, a build report and test output of every user's run; sub-sections are left out."""
+    lines, runs = _go_test_lines(spark, sf_dir)
+    rows = view(spark, sf_dir, "td_marks").where("ord % 4 = 0 OR child")
+    rows = rows.withColumn("child", F.col("ord") % 4 != 0)
+    found = reports.run_spans(runs, {"gotest": lines, "cargo": _pages(spark, sf_dir)}, marks.mark_spans(rows, runs))
+    return timeline.without_sections(found).select("trace_id", "span_id", "parent_span_id", "name", "status", "started_ns", "ended_ns")

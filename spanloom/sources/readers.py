@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import scalars as S
+from spanloom.sources.shared import materialize
 
 _VALUE = "struct<stringValue:string,intValue:string,boolValue:boolean,doubleValue:double,bytesValue:string,arrayValue:string,kvlistValue:string>"
 _KV = f"array<struct<key:string,value:{_VALUE}>>"
@@ -93,17 +94,97 @@ TRACE = f"""trace_id string, run_label string, source string, root_name string,
   spans array<struct<span_id:string,trace_id:string,parent_span_id:string,name:string,kind:string,status:string,started_ns:bigint,ended_ns:bigint,duration_ns:bigint,attributes:{ATTRIBUTES},links:{LINKS},dropped_attributes_count:bigint,dropped_links_count:bigint>>"""
 
 
-def read_trace_json(spark: SparkSession, path: str) -> DataFrame:
-    """Spans of stored-trace documents; enums may be labels or numbers, malformed documents fail the read."""
-    docs = spark.read.schema(TRACE).option("multiLine", True).option("mode", "FAILFAST").json(path)
+_STRING, _WHOLE, _EITHER, _LIST = "STRING", "BIGINT", "STRING|BIGINT", "ARRAY"
+_ATTRIBUTE = {"key": _STRING, "value_type": _STRING, "value": _STRING}
+#: fields of stored-trace documents, by level, and what they may hold besides null
+FIELDS = {
+    "trace": {
+        "trace_id": _STRING, "run_label": _STRING, "source": _STRING, "root_name": _STRING, "started_ns": _WHOLE, "ended_ns": _WHOLE, "duration_ns": _WHOLE, "span_count": _WHOLE, "spans": _LIST,
+    },
+    "span": {
+        "span_id": _STRING, "trace_id": _STRING, "parent_span_id": _STRING, "name": _STRING, "kind": _EITHER, "status": _EITHER, "started_ns": _WHOLE, "ended_ns": _WHOLE, "duration_ns": _WHOLE,
+        "attributes": _LIST, "links": _LIST, "dropped_attributes_count": _WHOLE, "dropped_links_count": _WHOLE,
+    },
+    "attribute": _ATTRIBUTE,
+    "link": {"trace_id": _STRING, "span_id": _STRING, "trace_state": _STRING, "attributes": _LIST, "dropped_attributes_count": _WHOLE, "flags": _WHOLE},
+    "link_attribute": _ATTRIBUTE,
+}
+#: bytes of an imported document at most
+MOST_IMPORTED = 16 << 20
+
+
+def _spans_of(docs: DataFrame) -> DataFrame:
     rows = docs.select("trace_id", F.posexplode("spans").alias("ord", "s"))
     blank = lambda c: F.when(F.col(c) != "", F.col(c))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c.split(".")[-1])
+    kind, status = (F.coalesce(parse(F.col(c)), F.when(F.col(c).isNull(), F.lit(0))) for parse, c in ((S.parse_kind, "s.kind"), (S.parse_status, "s.status")))
     return rows.select(
-        "trace_id", "s.span_id", blank("s.parent_span_id").alias("parent_span_id"), "s.name", S.parse_kind(F.col("s.kind")).alias("kind"), S.parse_status(F.col("s.status")).alias("status"), "s.started_ns", "s.ended_ns", "s.duration_ns", (F.col("ord") + 1).cast("bigint").alias("ord"),
-        F.coalesce("s.attributes", F.array().cast(ATTRIBUTES)).alias("attributes"), F.coalesce("s.links", F.array().cast(LINKS)).alias("links"), F.coalesce("s.dropped_attributes_count", F.lit(0)).alias("dropped_attributes_count"), F.coalesce("s.dropped_links_count", F.lit(0)).alias("dropped_links_count"),
+        "trace_id", "s.span_id", blank("s.parent_span_id").alias("parent_span_id"), "s.name", kind.alias("kind"), status.alias("status"), "s.started_ns", "s.ended_ns", "s.duration_ns", (F.col("ord") + 1).cast("bigint").alias("ord"),
+        F.coalesce("s.attributes", F.array().cast(ATTRIBUTES)).alias("attributes"), F.coalesce("s.links", F.array().cast(LINKS)).alias("links"), count("s.dropped_attributes_count"), count("s.dropped_links_count"),
     )
 
 
+def _problems(parts: DataFrame, level: str) -> DataFrame:
+    """What is wrong with the objects `v` of a level: (document, reason, field)."""
+    known = FIELDS[level]
+    is_object = F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))
+    keys = F.transform(F.coalesce(F.json_object_keys(F.to_json("v")), F.array().cast("array<string>")), lambda k: F.lower(k))
+    found = [F.transform(F.array_except(keys, F.array(*map(F.lit, known))), lambda k: F.struct(F.lit("unknown_field").alias("reason"), F.concat(F.lit(f"{level}."), k).alias("field")))]
+    for name, kinds in known.items():
+        kind = F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant"))
+        good = kind.isNull() | (kind == "VOID") | (F.startswith(kind, F.lit("ARRAY")) if kinds == _LIST else kind.isin(*kinds.split("|")))
+        at = F.lit(f"{level}.{name}")
+        found.append(F.when(~good, F.array(F.struct(F.lit("wrong_type").alias("reason"), at.alias("field")))))
+        if kinds == _EITHER:
+            text = F.try_variant_get("v", f"$.{name}", "string")
+            parsed = (S.parse_kind if name == "kind" else S.parse_status)(text)
+            found.append(F.when(good & text.isNotNull() & parsed.isNull(), F.array(F.struct(F.lit("unknown_label").alias("reason"), at.alias("field")))))
+    every = F.flatten(F.array_compact(F.array(*found)))
+    no_object = F.array(F.struct(F.lit("wrong_type").alias("reason"), F.lit(level).alias("field")))
+    return parts.select("document", F.explode(F.when(is_object, every).otherwise(no_object)).alias("p")).select("document", "p.*")
+
+
+def import_traces(docs: DataFrame, column: str = "value", name: str = "document", most_bytes: int = MOST_IMPORTED) -> tuple[DataFrame, DataFrame]:
+    """Spans of stored-trace documents (name, value), and the documents that were refused.
+
+    A document must be one JSON value of known fields of the right types; labels of kind
+    and status may be numbers.  Otherwise nothing of it is taken, and `refused` has a row
+    (document, reason, field) for everything that is wrong: too_large, malformed_json,
+    trailing_value, wrong_type, unknown_field, unknown_label.
+    """
+    rows = docs.select(F.col(name).alias("document"), F.col(column).alias("value"))
+    fits = F.octet_length("value") <= most_bytes
+    # the parser stops behind the first value: only one value alone fits both an array and an object
+    alone = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]")))
+    single = (F.size(F.try_variant_get(alone, "$", "array<variant>")) == 1) & F.try_parse_json(F.concat(F.lit('{"x":'), "value", F.lit("}"))).isNotNull()
+    rows = rows.withColumn("v", F.when(fits & F.coalesce(single, F.lit(False)), F.try_parse_json("value")))
+    first = F.from_json("value", "trace_id string, spans array<string>")
+    reason = F.when(~fits, "too_large").when(F.col("v").isNull() & first["trace_id"].isNotNull(), "trailing_value").when(F.col("v").isNull(), "malformed_json")
+    whole = rows.where(F.col("v").isNull()).select("document", reason.alias("reason"), F.lit(None).cast("string").alias("field"))
+    read = rows.where(F.col("v").isNotNull())
+
+    def inner(parts: DataFrame, field: str) -> DataFrame:
+        return parts.select("document", F.explode(F.try_variant_get("v", f"$.{field}", "array<variant>")).alias("v"))
+
+    spans = inner(read, "spans")
+    links = inner(spans, "links")
+    levels = {"trace": read, "span": spans, "attribute": inner(spans, "attributes"), "link": links, "link_attribute": inner(links, "attributes")}
+    refused = whole
+    for level, parts in levels.items():
+        refused = refused.unionByName(_problems(parts, level))
+    refused = materialize(refused.distinct(), "refused")
+    kept = rows.join(refused.select("document").distinct(), "document", "left_anti")
+    return _spans_of(kept.select(F.from_json("value", TRACE).alias("d")).select("d.*")), refused
+
+
+def read_trace_json(spark: SparkSession, path: str) -> DataFrame:
+    """Spans of stored-trace documents, a file each; enums may be labels or numbers, a document that is refused fails the read."""
+    spans, refused = import_traces(read_pages(spark, path), name="run_id")
+    if (bad := refused.orderBy("document", "reason", "field").first()) is not None:
+        raise ValueError(f"document {bad.document!r} refused: {bad.reason} {bad.field or ''}".rstrip())
+    return spans
+
+
 def mark_rows(lines: DataFrame) -> DataFrame:
     """Marks from lines of JSON (value, run_id, ord); blank, malformed and oversize lines are skipped."""
     found = lines.where((F.octet_length("value") <= MAX_LINE) & F.startswith(F.ltrim("value"), F.lit("{"))).withColumn("m", F.from_json("value", "name string, ts_ns bigint, child boolean"))
@@ -179,7 +260,3 @@ def junit_cases(pages: DataFrame) -> DataFrame:
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(run_id, value) of whole files, for `cargo_units` and `junit_cases`."""
     return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("run_id"), "value")
-
-
-#: report format -> (files to spans or cases); further formats are one entry each
-ADAPTERS = {"cargo": cargo_units, "gotest": go_test_events, "junit": junit_cases}
