@@ -172,8 +172,24 @@ def stream_dedup(spark, sf_dir):
 @register("J6_late_spans", f"SELECT {_HEX.format('trace_id')} AS trace_id, started_ns, ended_ns, root_name, span_count, duration_ns FROM ({_KEPT_SUMMARY})")
 def late(spark, sf_dir):
     """Leaf spans come a batch after the others, and change the summaries of their traces."""
+    summaries = _arrived(spark, sf_dir)[0]
+    return streams.latest_summaries(spark, summaries).select("trace_id", "started_ns", "ended_ns", "root_name", "span_count", "duration_ns")
+
+
+#: nanoseconds that a span may be behind in J6_late_rows: a year
+_DELAY = 365 * 86400 * 10**9
+
+
+@register("J6_late_rows", f"""{sql('td_spans')}, h AS (SELECT max(started_ns) AS high FROM td_spans WHERE kind <> 1)
+  SELECT {_HEX.format('trace_id')} AS trace_id, {_HEX.format('span_id')} AS span_id, high - started_ns AS behind_ns FROM td_spans, h WHERE kind = 1 AND high - started_ns > {_DELAY}""")
+def late_rows(spark, sf_dir):
+    return streams.late_spans(spark, _arrived(spark, sf_dir)[1]).select("trace_id", "span_id", "behind_ns")
+
+
+def _arrived(spark, sf_dir):
+    """Summaries and late spans after two batches, the second of which has the leaf spans."""
     path, first = _requests(spark, sf_dir), folder(spark, "arrivals")
-    table, summaries, state = (folder(spark, x) for x in ("spans", "summaries", "state"))
+    table, summaries, late, state = (folder(spark, x) for x in ("spans", "summaries", "late", "state"))
     docs = spark.read.text(path)
     schema = "resourceSpans array<struct<resource:string,scopeSpans:array<struct<spans:array<string>>>>>"
     parsed = docs.select(F.from_json("value", schema).alias("d"))
@@ -181,8 +197,8 @@ def late(spark, sf_dir):
     unquoted = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r'\\"', '"'), r'"\{', "{"), r'\}"', "}")
     for early in (True, False):
         parsed.select(unquoted(F.to_json(part(early))).alias("value")).write.mode("append").text(first)
-        streams.keep_summaries(streams.stream_spans(spark, first, files_per_batch=100_000), table, summaries, state).awaitTermination()
-    return streams.latest_summaries(spark, summaries).select("trace_id", "started_ns", "ended_ns", "root_name", "span_count", "duration_ns")
+        streams.keep_summaries(streams.stream_spans(spark, first, files_per_batch=100_000), table, summaries, state, late=late, delay_ns=_DELAY).awaitTermination()
+    return summaries, late
 
 
 #: every seventh document each has a field too many, a second value, an unknown label, an attribute with a field too many, or is cut short
