@@ -18,7 +18,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts, and texts without a letter, have no language and go.  Rows are
     judged one by one, so repeated rows fare alike; of equally likely languages the first
-    by name counts, which decides nothing here.  All columns come back unchanged; an
+    by name counts, which decides nothing here.  A long text is read whole, window by
+    window.  All columns come back unchanged; an
     empty table, or one without labelled texts to learn from, gives an empty table.
     """
     small_batches(spark)
@@ -29,8 +30,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that fail a rule of the current policy go.
 
     Null and empty texts fail.  Rows are judged one by one by exact integer rules, so
-    there are no ties and repeated rows fare alike.  All columns come back unchanged; an
-    empty table stays empty.
+    there are no ties and repeated rows fare alike.  A long text is measured whole.  All
+    columns come back unchanged; an empty table stays empty.
     """
     small_batches(spark)
     return quality.passing(docs)
@@ -40,8 +41,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of every group of documents with a similarity of 0.8 or more the one with the smallest id stays.
 
     Null and empty texts are like nothing and stay, as do rows without an id.  Rows that
-    repeat an id are one document and stay or go together.  All columns come back
-    unchanged; an empty table stays empty.
+    repeat an id are one document and stay or go together; of equal texts the smallest id
+    stays, and which of several links joins a group changes nothing.  A long text is
+    hashed whole.  All columns come back unchanged; an empty table stays empty.
     """
     return dedup.representatives(docs, percent=80)
 
@@ -50,7 +52,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Personal data is masked in the texts; every document stays.
 
     Null and empty texts stay as they are, repeated rows are masked alike, overlapping
-    finds become one mask.  Other columns come back unchanged; an empty table stays empty.
+    finds become one mask, which settles ties.  A long text is searched whole, in time
+    that grows with its length.  Other columns come back unchanged; an empty table stays empty.
     """
     small_batches(spark)
     return pii.mask_documents(docs)
@@ -60,8 +63,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document is packed into training sequences of token ids; one row a sequence.
 
     A null or empty text is its end token alone; repeated rows are packed as often as
-    they come.  Columns besides id and text are not read; an empty table gives no
-    sequence.
+    they come.  Of windows with equal room the one opened first is filled.  A long text is
+    cut into pieces, none of its ids is lost.  Columns besides id and text are not read;
+    an empty table gives no sequence.
     """
     return packing.sequences(docs)
 
