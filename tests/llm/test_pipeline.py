@@ -41,7 +41,7 @@ def made():
     add(502, None, "en", None)
     add(503, "", None, None)
     add(504, "12345 67890 " * 60, "en", None)  # no letter
-    long = prose(505, "en", 9000)
+    long = prose(505, "en", 60_000)
     add(505, long, "en", long)
     rows.append(rows[0])  # a repeated row
     return rows, want
