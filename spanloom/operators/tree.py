@@ -1,8 +1,9 @@
 """Span trees of all traces at once.
 
-Every span carries a pointer up and the path from below that pointer to itself; each
-round joins a span with the one it points to and so doubles what it has covered.  A
-round is one shuffle join for all traces; a tree of depth d takes log2(d) + 1 rounds.
+Every span carries a pointer up and the path from below that pointer to itself.  The first
+levels are settled from the top; below them each round joins a span with the one it points
+to and so doubles what it has covered.  A round is one join for all traces; a tree of
+depth d takes at most TOP_LEVELS + log2(d) + 1 rounds.
 Within a trace no task ever needs more than single spans and their own paths.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.sources.shared import materialize
@@ -27,16 +28,35 @@ def occurrences(rows: DataFrame, keys: list[str], order: str = "ord") -> DataFra
     return rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
 
 
+#: levels that are settled from the top before pointers double
+TOP_LEVELS = 4
+
+
 def _climb(state: DataFrame, most_rounds: int = 40) -> DataFrame:
     """Follow `up` until nobody's points anywhere; rows that cannot get there are left out.
 
     state: trace_id, span_id, up, path, chain, where path and chain cover the spans from
     just below `up` to the span itself.
+
+    Most trees are shallow: the first rounds go down from the top, and each joins what is
+    still open with the level just settled.  What hangs deeper doubles its pointers.
     """
     state = materialize(state, "tree")
-    largest = state.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
-    # finished rows stay in the table of the round that finished them
+    # settled rows stay in the table of the round that settled them
     done, todo = [state.where("up IS NULL")], state.where("up IS NOT NULL")
+    for _ in range(TOP_LEVELS):
+        if todo.isEmpty():
+            return reduce(DataFrame.unionByName, done).drop("up")
+        above = done[-1].select("trace_id", F.col("span_id").alias("up"), F.col("path").alias("path2"), F.col("chain").alias("chain2"))
+        step = todo.join(above, ["trace_id", "up"], "left")
+        met = F.col("chain2").isNotNull()
+        step = materialize(step.select(
+            "trace_id", "span_id", F.when(~met, F.col("up")).alias("up"), F.when(met, F.concat("path2", "path")).otherwise(F.col("path")).alias("path"), F.when(met, F.concat("chain2", "chain")).otherwise(F.col("chain")).alias("chain"),
+        ), "tree")
+        if step.where("up IS NULL").isEmpty():  # nothing hangs below the level before
+            return reduce(DataFrame.unionByName, done).drop("up")
+        done, todo = [*done, step.where("up IS NULL")], step.where("up IS NOT NULL")
+    largest = todo.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
     for _ in range(min(most_rounds, largest.bit_length() + 1)):
         if todo.isEmpty():
             break
@@ -179,12 +199,3 @@ def _cycles(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
     steps = steps.select("trace_id", F.col("span_id").alias("gate"), F.size("chain").alias("k"), F.element_at("chain", 1).alias("branch_span_id"))
     placed = gates.join(steps, ["trace_id", "gate"]).select("trace_id", "span_id", (F.col("k") + F.col("distance")).cast("int").alias("depth"), "branch_span_id")
     return placed, entry.select("trace_id", F.lit("parent_cycle").alias("code"), F.col("entry").alias("span_id"))
-
-
-def subtree_of(column: str, tree: DataFrame, ids: DataFrame) -> DataFrame:
-    """Spans below the given ones, with the given one's id as `column`."""
-    return ancestry(tree).join(ids.select("trace_id", F.col("span_id").alias("ancestor_id")), ["trace_id", "ancestor_id"]).select("trace_id", F.col("ancestor_id").alias(column), "span_id")
-
-
-def sibling_order() -> list[Column]:
-    return [F.col("started_ns"), F.col("ord")]

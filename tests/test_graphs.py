@@ -149,3 +149,16 @@ def test_rate_files_are_strict(spark, tmp_path):
             load(good | change)
     with pytest.raises(ValueError):
         load(good, "{}")
+
+
+def test_deep_trees_take_few_rounds(spark, monkeypatch):
+    from spanloom.operators import tree
+
+    names, plain = [], tree.materialize
+    monkeypatch.setattr(tree, "materialize", lambda df, name: names.append(name) or plain(df, name))
+    n = 300
+    rows = [("t", f"s{k}", f"s{k - 1}" if k else None, k, k) for k in range(n)] + [("t", "side", "s150", 151, n), ("t", "lost", "nobody", 1, n + 1), ("u", "r", None, 1, 1)]
+    frame = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, started_ns long, ord long")
+    found = {(r.trace_id, r.span_id): (r.depth, list(r.chain)) for r in tree.assemble_tree(frame).collect()}
+    assert found["t", "s299"] == (299, [f"s{k}" for k in range(300)]) and found["t", "side"][0] == 151 and found["u", "r"] == (0, ["r"])
+    assert len(found) == n + 2 and len(names) <= 1 + tree.TOP_LEVELS + 10
