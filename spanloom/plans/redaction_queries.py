@@ -70,3 +70,46 @@ def diagnostics(spark, sf_dir):
     store.write_spans(spans, path, "tests", grain="year", labels=labels)
     back = store.read_spans(spark, path).select("trace_id", "span_id", "dropped_attributes_count", F.size("links").alias("n_links"), F.col("links")[0]["span_id"].alias("linked_span_id"), F.col("links")[0]["attributes"][0]["value"].alias("link_id"))
     return back.join(store.read_traces(spark, path).select("trace_id", "run_label"), "trace_id")
+
+
+_FIELD = """'["<field:' || substr(sha256('spanloom:redaction:v1' || chr(0) || '{0}'), 1, 12) || '>"]'"""
+_BODY = f"root || '.attributes' || {_FIELD.format('body')}"
+_INNER = f"{_BODY} || '.json' || {_FIELD.format('z')} || "
+#: the default decision on what no rule speaks of
+_KEPT = "'implicit.retain', 'retain'"
+
+
+def _row(when: str, kind: str, path: str, rule: str, value_type: str, size: str, preview: str, precedence: str, digest: str = "NULL", reason: str = "NULL", category: str = "''") -> str:
+    status = "'known'" if reason == "NULL" else "'unknown'"
+    return f"SELECT trace_id, span_id, '{kind}', {path}, {rule}, '{value_type}', {size}::INT, {preview}, {reason}, {digest}, {category}, {precedence}, {status} FROM q WHERE {when}"
+
+
+def _retained(when: str, kind: str, path: str, value_type: str, size: str) -> str:
+    return _row(when, kind, path, _KEPT, value_type, size, "'<retained>'", "'priority=-1;literal=0;wildcards=1;rule_id=implicit.retain'", category="'custom'")
+
+
+_TOKEN, _ROLE = "'priority=90;literal=14;wildcards=2;rule_id=drop.token'", "'priority=80;literal=13;wildcards=2;rule_id=hash.role'"
+_TEXT = """'{"z":{"token":"t' || turn || '","role":"' || role || '","n":[1,2.50,{"token":1}]},"id":' || conv_id"""
+_DECISIONS = " UNION ALL ".join([
+    "SELECT NULL::VARCHAR AS trace_id, NULL::VARCHAR AS span_id, NULL::VARCHAR AS kind, NULL::VARCHAR AS path, NULL::VARCHAR AS rule, NULL::VARCHAR AS action, NULL::VARCHAR AS value_type, NULL::INT AS original_bytes, "
+    "NULL::VARCHAR AS preview, NULL::VARCHAR AS reason, NULL::VARCHAR AS digest, NULL::VARCHAR AS category, NULL::VARCHAR AS precedence, NULL::VARCHAR AS status WHERE false",
+    _retained("true", "name", "root || '.name'", "str", "4"),
+    _retained("true", "attribute", f"root || '.attributes' || {_FIELD.format('turn')}", "int", "length(turn::VARCHAR)"),
+    _row("broken", "attribute", _BODY, "'implicit.malformed-json', 'drop'", "json", f"strlen({_TEXT})", "'<dropped:unknown>'", "'implicit fail-closed safety bound'", reason="'malformed_json'", category="'unknown'"),
+    _retained("NOT broken", "attribute", f"{_BODY} || '.json' || {_FIELD.format('id')}", "json-number", "length(conv_id::VARCHAR)"),
+    _retained("NOT broken", "attribute", f"{_INNER} {_FIELD.format('n')} || '[0]'", "json-number", "1"),
+    _retained("NOT broken", "attribute", f"{_INNER} {_FIELD.format('n')} || '[1]'", "json-number", "4"),
+    _row("NOT broken", "attribute", f"{_INNER} {_FIELD.format('n')} || '[2]' || {_FIELD.format('token')}", "'drop.token', 'drop'", "json-number", "1", "'<dropped>'", _TOKEN),
+    _row("NOT broken", "attribute", f"{_INNER} {_FIELD.format('role')}", "'hash.role', 'hash'", "json-string", "strlen(role)", "NULL", _ROLE, digest=_DIGEST.format("role")),
+    _row("NOT broken", "attribute", f"{_INNER} {_FIELD.format('token')}", "'drop.token', 'drop'", "json-string", "1 + length(turn::VARCHAR)", "'<dropped>'", _TOKEN),
+    _row("true", "attribute", f"root || '.attributes' || {_FIELD.format('note')}", "'cut.note', 'truncate'", "str", "strlen(text)", f"'<truncated:' || strlen(text) || 'B->' || strlen({_CUT}) || 'B>'", "'priority=70;literal=26;wildcards=1;rule_id=cut.note'"),
+    _row("true", "attribute", "'<redacted-field:' || substr(sha256('spanloom:redaction:v1' || chr(0) || 'private.x'), 1, 12) || '>'", "'drop.key', 'drop'", "field-key", "9", "'<dropped>'", "'priority=40;literal=22;wildcards=0;rule_id=drop.key'"),
+    _row("turn % 2 = 0", "trace_state", "root || '.links[0].trace_state'", "'mask.state', 'mask'", "str", "3", "'‹redacted›'", "'priority=60;literal=12;wildcards=1;rule_id=mask.state'"),
+    _row("true", "link_attribute", f"root || '.links[0].attributes' || {_FIELD.format('id')}", "'hash.link', 'hash'", "int", "length(turn::VARCHAR)", "NULL", "'priority=50;literal=32;wildcards=2;rule_id=hash.link'", digest=_DIGEST.format("turn::VARCHAR")),
+])
+
+
+@register("F6_decisions", f"WITH q AS (SELECT *, 'spans[' || turn || ']' AS root FROM ({_REDACTED} SELECT * FROM q)) {_DECISIONS}")
+def decisions(spark, sf_dir):
+    """Every decision with what its rule says of itself (explanations are checked by tests)."""
+    return redaction.redaction_preview(_spans_with_content(spark, sf_dir), _POLICY).drop("provenance", "explanation")
