@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.scan import position, scan
 from spanloom.operators.tree import _climb
 from spanloom.sources.shared import materialize
 
@@ -98,9 +99,10 @@ def response_order(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = F.aggregate("path", F.array().cast("array<struct<started_ns:bigint,span_id:string>>"), lambda acc, x: F.concat(F.filter(acc, lambda y: y > x), F.array(x)))
     keys = found.select("trace_id", "span_id", key.alias("chain_key"))
     df = obs.join(keys, ["trace_id", "span_id"], "left")
-    order = Window.partitionBy("trace_id").orderBy(F.col("chain_key").isNull(), "chain_key", "started_ns", "span_id")
-    df = materialize(df.withColumn("sequence", F.row_number().over(order)), "chain")
-    return df.drop("chain_key"), df.where("chain_key IS NULL").select("trace_id", "span_id")
+    df = materialize(df.withColumn("lost", F.col("chain_key").isNull()), "keys")
+    df = scan(df, ["trace_id"], ["lost", "chain_key", "started_ns", "span_id"], sequence=position())
+    df = materialize(df.withColumn("sequence", F.col("sequence") + 1), "chain")
+    return df.drop("chain_key", "lost"), df.where("chain_key IS NULL").select("trace_id", "span_id")
 
 
 def compaction_report(spans: DataFrame, own: str = OWN) -> tuple[DataFrame, DataFrame]:

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.scan import last_before, scan
 from spanloom.operators.tree import marked_ancestors
 from spanloom.sources.shared import materialize
 
@@ -178,14 +179,14 @@ def usage_rows(spans: DataFrame, own: str = OWN) -> DataFrame:
 
 def contributions(rows: DataFrame) -> DataFrame:
     """Add what every row adds to its trace: as observed, or the step of a cumulative series."""
-    series = Window.partitionBy("trace_id", "provider", "model", "series", (F.col("mode") == "cumulative") & (F.col("series") != "")).orderBy("started_ns", "ended_ns", "span_id")
     cumulative, delta = F.col("mode") == "cumulative", F.col("mode") == "delta"
     why = F.when(cumulative & (F.col("series") == ""), "missing_cumulative_series").when(F.col("mode") == "rollup", "rollup_excluded").when(F.col("mode") == "invalid", "invalid_usage_mode")
-    df = rows.withColumn("why", why).withColumn("first", F.row_number().over(series) == 1)
+    before = {f"before_{s}": last_before(F.struct(F.col(f"observed_{s}.value").alias("value"))) for s in SIGNALS}
+    rows = materialize(rows.withColumn("_summed", cumulative & (F.col("series") != "")), "observed")
+    df = scan(rows, ["trace_id", "provider", "model", "series", "_summed"], ["started_ns", "ended_ns", "span_id"], **before).drop("_summed").withColumn("why", why)
     for s in SIGNALS:
-        now, before = F.col(f"observed_{s}"), F.col(f"before_{s}")
-        df = df.withColumn(f"before_{s}", F.lag(f"observed_{s}.value").over(series))
-        prior = F.when(F.col("first"), F.lit(0).cast("bigint")).otherwise(before)
+        now, last = F.col(f"observed_{s}"), F.col(f"before_{s}")
+        prior = F.when(last.isNull(), F.lit(0).cast("bigint")).otherwise(last["value"])
         fell = cumulative & F.col("why").isNull() & (now["value"] < prior)
         reason = F.when(now["value"].isNull(), now["reason"]).when(prior.isNull(), "previous_cumulative_unknown").when(fell, "cumulative_decrease")
         step = F.struct(F.when(reason.isNull(), now["value"] - prior).alias("value"), reason.alias("reason"), now["sources"].alias("sources"))
@@ -193,7 +194,7 @@ def contributions(rows: DataFrame) -> DataFrame:
         df = df.withColumn(f"added_{s}", F.when(F.col("why").isNotNull(), void).when(delta, now).otherwise(step))
         df = _note(df, fell, "cumulative_decrease")
     df = _note(df, F.col("why") == "missing_cumulative_series", "missing_cumulative_series")
-    kept = df.drop("first", *(f"before_{s}" for s in SIGNALS)).withColumn("contributes", F.col("usage_bearing") & F.col("why").isNull()).drop("why")
+    kept = df.drop(*(f"before_{s}" for s in SIGNALS)).withColumn("contributes", F.col("usage_bearing") & F.col("why").isNull()).drop("why")
     return _invariants(kept, "added")
 
 

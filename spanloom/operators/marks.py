@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import scalars as S
+from spanloom.operators.scan import last_before, next_after, scan, sum_before
+from spanloom.sources.shared import materialize
 
 
 def dedup_marks(marks: DataFrame) -> DataFrame:
@@ -25,18 +27,15 @@ def mark_spans(marks: DataFrame, runs: DataFrame) -> DataFrame:
     marks: run_id, ord, name, ts_ns, child; runs: run_id, started_ns, ended_ns.  Marks
     of a run are ordered by time, then arrival.  A section ends at the next section, a
     child at the next mark of any kind, the last at the run's end.  A child belongs to
-    the section before it; parent_ord is null under the run's root.
+    the section before it; parent_ord is null under the run's root.  A run with very many
+    marks is laid out by many tasks.
     """
     runs = runs.select("run_id", F.col("started_ns").alias("run_start"), F.col("ended_ns").alias("run_end"))
-    order = Window.partitionBy("run_id").orderBy("ts_ns", "ord")
-    ahead = order.rowsBetween(1, Window.unboundedFollowing)
-    behind = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = marks.join(runs, "run_id")
-    start = F.greatest("ts_ns", "run_start")
-    section_end = F.min(F.when(~F.col("child"), F.col("ts_ns"))).over(ahead)
-    end = F.coalesce(F.when(F.col("child"), F.lead("ts_ns").over(order)).otherwise(section_end), "run_end")
-    parent = F.when(F.col("child"), F.last(F.when(~F.col("child"), F.col("ord")), ignorenulls=True).over(behind))
-    rows = rows.withColumn("parent_ord", parent).withColumn("end", end).withColumn("started_ns", start)
+    of_section = lambda c: F.when(~F.col("child"), F.col(c))
+    rows = scan(marks, ["run_id"], ["ts_ns", "ord"], next_mark=next_after(F.col("ts_ns")), next_section=next_after(of_section("ts_ns")), section=last_before(of_section("ord")))
+    rows = rows.join(runs, "run_id")
+    end = F.coalesce(F.when(F.col("child"), F.col("next_mark")).otherwise(F.col("next_section")), "run_end")
+    rows = rows.withColumn("parent_ord", F.when(F.col("child"), F.col("section"))).withColumn("end", end).withColumn("started_ns", F.greatest("ts_ns", "run_start"))
     return rows.select("run_id", "ord", "name", "child", "parent_ord", "started_ns", F.greatest("started_ns", "end").alias("ended_ns"))
 
 
@@ -47,13 +46,13 @@ def suite_layout(cases: DataFrame, runs: DataFrame, extend: bool = False) -> tup
     case_name, failed; a suite without cases has one row with a null case_no.  Suites lie
     end to end, each as long as its own time or the sum of its cases if that is more;
     cases lie end to end inside.  Nothing passes the end of the run; `extend` first
-    lengthens the run to the report's own duration.
+    lengthens the run to the report's own duration.  Runs of very many suites and suites of
+    very many cases are laid out by many tasks.
     """
     rows = cases.withColumn("case_ns", S.seconds_to_ns(F.coalesce("case_seconds", F.lit(0.0)))).withColumn("own_ns", S.seconds_to_ns(F.coalesce("suite_seconds", F.lit(0.0))))
     suites = rows.groupBy("run_id", "suite").agg(F.first("suite_name").alias("suite_name"), F.max("own_ns").alias("own_ns"), F.sum("case_ns").alias("cases_ns"), F.max(F.coalesce("failed", F.lit(False))).alias("failed"))
     suites = suites.withColumn("length", F.greatest("own_ns", "cases_ns"))
-    before = Window.partitionBy("run_id").orderBy("suite").rowsBetween(Window.unboundedPreceding, -1)
-    suites = suites.withColumn("at", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    suites = scan(materialize(suites, "suites"), ["run_id"], ["suite"], at=sum_before(F.col("length")))
     bounds = runs.select("run_id", F.col("started_ns").alias("r0"), F.col("ended_ns").alias("r1"))
     if extend:
         total = suites.groupBy("run_id").agg(F.sum("length").alias("total"))
@@ -63,8 +62,7 @@ def suite_layout(cases: DataFrame, runs: DataFrame, extend: bool = False) -> tup
     end = lambda x: F.least(wide("r1"), x).cast("bigint")
     suites = suites.join(bounds, "run_id")
     out = suites.select("run_id", "suite", S.suite_name(F.col("suite_name")).alias("name"), F.when(F.col("failed"), 2).otherwise(1).alias("status"), end(wide("r0") + wide("at")).alias("started_ns"), end(wide("r0") + wide("at") + wide("length")).alias("ended_ns"))
-    inside = Window.partitionBy("run_id", "suite").orderBy("case_no").rowsBetween(Window.unboundedPreceding, -1)
-    own = rows.where("case_no IS NOT NULL").withColumn("inside", F.coalesce(F.sum("case_ns").over(inside), F.lit(0)))
+    own = scan(rows.where("case_no IS NOT NULL"), ["run_id", "suite"], ["case_no"], inside=sum_before(F.col("case_ns")))
     own = own.join(suites.select("run_id", "suite", "at", "r0", "r1"), ["run_id", "suite"])
     base = wide("r0") + wide("at") + wide("inside")
     tests = own.select("run_id", "suite", "case_no", F.col("case_name").alias("name"), F.when(F.col("failed"), 2).otherwise(1).alias("status"), end(base).alias("started_ns"), end(base + wide("case_ns")).alias("ended_ns"))

@@ -57,11 +57,11 @@ def read_spans(spark: SparkSession, path: str, where: str = "true") -> DataFrame
 
     `where` may use trace_id, source and trace_date and is pushed into all scans.
     """
-    from pyspark.sql import Window
+    from spanloom.operators.scan import position, scan
 
     t = {name: spark.read.parquet(posixpath.join(path, name)).where(where).drop("source", "trace_date") for name in TABLES[1:] if _has(spark, posixpath.join(path, name))}
     keys = ["trace_id", "span_id"]
-    spans = t["spans"].withColumn("ord", F.row_number().over(Window.partitionBy("trace_id").orderBy("started_ns", "span_id")).cast("bigint"))
+    spans = scan(t["spans"], ["trace_id"], ["started_ns", "span_id"], before=position()).withColumn("ord", F.col("before") + 1).drop("before")
     attrs = lambda rows, by: rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("key", "value_type", "value"))).alias("attributes"))
     if "span_attributes" in t:
         spans = spans.join(attrs(t["span_attributes"], keys), keys, "left")
