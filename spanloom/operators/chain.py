@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.scan import position, scan
-from spanloom.operators.tree import _climb
+from spanloom.operators.tree import climb
 from spanloom.sources.shared import materialize
 
 #: prefix of the attributes that the tracer itself writes
@@ -94,8 +94,8 @@ def response_order(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids = obs.where("response_id IS NOT NULL").groupBy("trace_id", "response_id").agg(F.count("*").alias("n"), F.min("span_id").alias("p_span"))
     ids = ids.where("n = 1").select("trace_id", F.col("response_id").alias("previous_id"), "p_span")
     linked = obs.join(ids, ["trace_id", "previous_id"], "left").withColumn("up", F.when(F.col("p_span") != F.col("span_id"), F.col("p_span")))
-    state = linked.select("trace_id", "span_id", "up", F.array(F.struct("started_ns", "span_id")).alias("path"), F.array("span_id").alias("chain"))
-    found = _climb(state)
+    state = linked.select("trace_id", "span_id", "up", F.array(F.struct("started_ns", "span_id")).alias("path"))
+    found = climb(state, {"path": F.concat})
     key = F.aggregate("path", F.array().cast("array<struct<started_ns:bigint,span_id:string>>"), lambda acc, x: F.concat(F.filter(acc, lambda y: y > x), F.array(x)))
     keys = found.select("trace_id", "span_id", key.alias("chain_key"))
     df = obs.join(keys, ["trace_id", "span_id"], "left")

@@ -67,16 +67,18 @@ def next_after(x: Column) -> Running:
     return last_before(x, backward=True)
 
 
-def scan(rows: DataFrame, keys: list[str], order: list[str], hot: int | None = None, **values: Running) -> DataFrame:
+def scan(rows: DataFrame, keys: list[str], order: list[str], hot: int | None = None, counts: DataFrame | None = None, **values: Running) -> DataFrame:
     """Add `values` to rows, each by the rows of the same keys in ascending `order`.
 
     Null keys are one key, null orders come first.  `order` should tell the rows of a key apart;
     of rows that it does not, any may come first.  Rows are counted by key once, so rows
-    that are costly to compute should be materialised before.
+    that are costly to compute should be materialised before, or come with their `counts`
+    (keys, count; keys of one row may be missing).
     """
     hot = HOT if hot is None else hot
     keyed = rows.withColumn("_key", F.struct(*keys))
-    large = keyed.groupBy("_key").count().where(F.col("count") > hot).select("_key")
+    counts = keyed.groupBy("_key").count() if counts is None else counts.withColumn("_key", F.struct(*keys))
+    large = counts.where(F.col("count") > hot).select("_key")
     large = materialize(large, "large")
     if large.isEmpty():
         return _windows(keyed, ["_key"], order, values).drop("_key")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import scalars as S
-from spanloom.operators.tree import assemble_tree, preorder
+from spanloom.operators.tree import assemble_tree, covered, preorder
 from spanloom.sources.shared import materialize
 
 WIDTH = 60
@@ -30,13 +30,13 @@ def gaps(tree: DataFrame, width: int = WIDTH) -> DataFrame:
     The cursor runs over the children by start and keeps the latest end so far; a child
     that starts behind it, and the parent's own end, leave a gap if it is wide enough.
     """
-    parents = tree.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("started_ns").alias("p_start"), F.col("ended_ns").alias("p_end"), F.col("depth").alias("p_depth"), F.col("path").alias("p_path"))
+    parents = tree.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("started_ns").alias("p_start"), F.col("ended_ns").alias("p_end"), F.col("depth").alias("p_depth"))
     roots = _roots(tree).select("trace_id", S.gap_min_ns(F.col("root_ended_ns") - F.col("root_started_ns"), width).alias("min_ns"))
     kids = tree.where("depth > 0").join(parents, ["trace_id", "parent_span_id"]).join(roots, "trace_id").where("min_ns > 0")
     by_start = Window.partitionBy("trace_id", "parent_span_id").orderBy("started_ns", "ord")
     before = F.max("ended_ns").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     kids = kids.withColumn("from_ns", F.greatest("p_start", F.coalesce(before, "p_start")))
-    common = ["trace_id", "parent_span_id", "p_depth", "p_path", "min_ns"]
+    common = ["trace_id", "parent_span_id", "p_depth", "min_ns"]
     inner = kids.where("started_ns > from_ns").select(*common, "from_ns", F.col("started_ns").alias("to_ns"))
     last = kids.groupBy("trace_id", "parent_span_id").agg(*(F.first(c).alias(c) for c in common[2:]), F.first("p_end").alias("to_ns"), F.greatest(F.max("ended_ns"), F.first("p_start")).alias("from_ns"))
     found = inner.unionByName(last.select(*common, "from_ns", "to_ns")).where("to_ns - from_ns >= min_ns")
@@ -44,7 +44,7 @@ def gaps(tree: DataFrame, width: int = WIDTH) -> DataFrame:
     return found.withColumn("gap_index", index).select(
         "trace_id", F.concat(F.lit("gap:"), "parent_span_id", F.lit(":"), F.col("gap_index").cast("string")).alias("span_id"), "parent_span_id", F.lit(GAP_NAME).alias("name"),
         F.lit(1).alias("kind"), F.lit(1).alias("status"), F.col("from_ns").alias("started_ns"), F.col("to_ns").alias("ended_ns"), (F.col("to_ns") - F.col("from_ns")).alias("duration_ns"),
-        (F.col("p_depth") + 1).cast("int").alias("depth"), "p_path",
+        (F.col("p_depth") + 1).cast("int").alias("depth"),
     )
 
 
@@ -63,11 +63,10 @@ def rollup_buckets(tree: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     found = tail.groupBy("trace_id", "parent_span_id").agg(
         F.min("started_ns").alias("started_ns"), F.max("ended_ns").alias("ended_ns"), F.sum("duration_ns").alias("duration_ns"),
         F.when(F.max(F.col("status") == 2), F.lit(2)).otherwise(F.lit(1)).alias("status"), F.count("*").alias("n"), F.first("depth").alias("depth"),
-        F.first("path").alias("any_path"),
     )
     return found.select(
         "trace_id", F.concat(F.lit("rollup:"), "parent_span_id").alias("span_id"), "parent_span_id", F.concat(F.lit("(+"), F.col("n").cast("string"), F.lit(" more)")).alias("name"),
-        F.lit(1).alias("kind"), "status", "started_ns", "ended_ns", "duration_ns", "depth", F.expr("slice(any_path, 1, size(any_path) - 1)").alias("p_path"),
+        F.lit(1).alias("kind"), "status", "started_ns", "ended_ns", "duration_ns", "depth",
     )
 
 
@@ -78,30 +77,24 @@ def waterfall(spans: DataFrame, width: int = WIDTH, max_rows: int = MAX_ROWS, wi
     buckets show under visible parents.  `bar_duration_ns` is what the bar spans,
     `work_ns` the row's own duration, which for a bucket is the sum of its spans.
     """
-    tree = materialize(ranked(assemble_tree(spans), max_rows), "waterfall") if max_rows > 0 else materialize(assemble_tree(spans).withColumn("collapsed", F.lit(False)), "waterfall")
-    folded = tree.where("collapsed").select("trace_id", F.col("span_id").alias("fold"))
-    chains = tree.select("trace_id", "span_id", F.explode("chain").alias("fold"))
-    hidden = materialize(chains.join(folded, ["trace_id", "fold"]).select("trace_id", "span_id").distinct(), "hidden")
-    columns = ["trace_id", "span_id", "parent_span_id", "name", "kind", "status", "started_ns", "ended_ns", "duration_ns", "depth"]
-    shown = tree.join(hidden, ["trace_id", "span_id"], "left_anti")
+    columns = ["trace_id", "span_id", "parent_span_id", "name", "kind", "status", "started_ns", "ended_ns", "duration_ns", "ord"]
+    tree = assemble_tree(spans.select(*columns), chains=False)
+    tree = materialize(ranked(tree, max_rows) if max_rows > 0 else tree.withColumn("collapsed", F.lit(False)), "waterfall")
+    folded = tree.where("collapsed")
+    hidden = materialize(covered(tree, folded), "hidden")  # parents whose children are out of sight
     # siblings in order of start: spans first on ties, then gaps, then the bucket
-    entry = lambda rank, order: F.struct(F.col("started_ns"), F.lit(rank).alias("rank"), order.alias("ord"))
-    key = F.transform("path", lambda x: F.struct(x["started_ns"].alias("started_ns"), F.lit(1).alias("rank"), x["ord"].alias("ord")))
-    rows = shown.select(*columns, key.alias("key"))
-    extra = []
+    entry = lambda rows, rank, node, turn: rows.select(*columns[:-1], "depth", F.lit(rank).alias("rank"), node.alias("node"), turn.cast("bigint").alias("ord"))
+    rows = entry(tree.where("NOT collapsed"), 1, F.col("span_id"), F.col("ord"))
+    nobody = F.lit(None).cast("string")
     if with_gaps:
-        extra.append((gaps(tree, width), 2))
+        rows = rows.unionByName(entry(gaps(tree, width), 2, nobody, F.lit(0)))
     if max_rows > 0:
-        extra.append((rollup_buckets(tree, max_rows), 3))
-    lost = hidden.withColumnRenamed("span_id", "parent_span_id")
-    for found, rank in extra:
-        parent = F.transform("p_path", lambda x: F.struct(x["started_ns"].alias("started_ns"), F.lit(1).alias("rank"), x["ord"].alias("ord")))
-        own = F.concat(parent, F.array(entry(rank, F.lit(0).cast("bigint"))))
-        rows = rows.unionByName(found.join(lost, ["trace_id", "parent_span_id"], "left_anti").select(*columns, own.alias("key")))
-    rows = rows.join(_roots(tree), "trace_id")
+        rows = rows.unionByName(entry(rollup_buckets(tree, max_rows), 3, nobody, F.lit(0)))
+    rows = rows.join(hidden, ["trace_id", "parent_span_id"], "left_anti")
+    rows = preorder(rows, order=("started_ns", "rank", "ord"), id_col="node").join(_roots(tree), "trace_id")
     offset, wide = S.bar_geometry(F.col("started_ns"), F.col("ended_ns"), F.col("root_started_ns"), F.col("root_ended_ns"), width)
-    rows = rows.withColumnRenamed("key", "path").withColumn("offset", offset).withColumn("width", wide)
-    return preorder(rows).select("trace_id", "position", "span_id", "name", "depth", "status", "offset", "width", (F.col("ended_ns") - F.col("started_ns")).alias("bar_duration_ns"), F.col("duration_ns").alias("work_ns"))
+    rows = rows.withColumn("offset", offset).withColumn("width", wide)
+    return rows.select("trace_id", "position", "span_id", "name", "depth", "status", "offset", "width", (F.col("ended_ns") - F.col("started_ns")).alias("bar_duration_ns"), F.col("duration_ns").alias("work_ns"))
 
 
 def diff_traces(spans: DataFrame, pairs: DataFrame, by_impact: bool = False) -> DataFrame:
@@ -110,7 +103,8 @@ def diff_traces(spans: DataFrame, pairs: DataFrame, by_impact: bool = False) ->
     `kind` is matched, added (only in b) or removed (only in a); `position` is a's
     pre-order, then what only b has in its own; with `by_impact` the largest change first.
     """
-    tree = preorder(assemble_tree(spans))
+    tree = assemble_tree(spans.select("trace_id", "span_id", "parent_span_id", "name", "started_ns", "duration_ns", "ord"), chains=False)
+    tree = preorder(tree)
     nth = F.row_number().over(Window.partitionBy("trace_id", "name", "depth").orderBy("position")) - 1
     keyed = materialize(tree.withColumn("occurrence", nth).select("trace_id", "name", "depth", "occurrence", "position", "duration_ns"), "keyed")
     side = lambda s: pairs.join(keyed, pairs[s] == keyed.trace_id).select("a", "b", "name", "depth", "occurrence", F.col("position").alias(f"{s}_pos"), F.col("duration_ns").alias(f"{s}_ns"))

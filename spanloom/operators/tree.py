@@ -1,21 +1,31 @@
 """Span trees of all traces at once.
 
-Every span carries a pointer up and the path from below that pointer to itself.  The first
-levels are settled from the top; below them each round joins a span with the one it points
-to and so doubles what it has covered.  A round is one join for all traces; a tree of
-depth d takes at most TOP_LEVELS + log2(d) + 1 rounds.
-Within a trace no task ever needs more than single spans and their own paths.
+Every span carries a pointer up and what is known of the way from below that pointer to
+itself: numbers, flags or names, not the way itself.  The first levels are settled from
+the top; below them each round joins a span with the one it points to and so doubles what
+it has covered.  A round is one join for all traces; a tree of depth d takes at most
+TOP_LEVELS + log2(d) + 1 rounds.  Pre-order comes from counting: spans below a span, then
+those below its earlier siblings.  No task ever needs more than single spans of a trace.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.scan import scan, sum_before
 from spanloom.sources.shared import materialize
 
+#: how what is known of the upper part of a way and of the part below it become one
+Fold = dict[str, Callable[[Column, Column], Column]]
+#: number of spans on the way
+STEPS: Fold = {"steps": lambda above, own: above + own}
+#: first and second span of the way
+TOP: Fold = {"top": lambda above, own: F.struct(above["head"].alias("head"), F.coalesce(above["second"], own["head"]).alias("second"))}
+
 
 def first_wins(rows: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
     """The first row of every key, by input order."""
@@ -32,57 +42,64 @@ def occurrences(rows: DataFrame, keys: list[str], order: str = "ord") -> DataFra
 TOP_LEVELS = 4
 
 
-def _climb(state: DataFrame, most_rounds: int = 40) -> DataFrame:
+def climb(state: DataFrame, fold: Fold, most_rounds: int = 40) -> DataFrame:
     """Follow `up` until nobody's points anywhere; rows that cannot get there are left out.
 
-    state: trace_id, span_id, up, path, chain, where path and chain cover the spans from
+    state: trace_id, span_id, up and the columns of `fold`, which tell of the spans from
     just below `up` to the span itself.
 
     Most trees are shallow: the first rounds go down from the top, and each joins what is
     still open with the level just settled.  What hangs deeper doubles its pointers.
     """
-    state = materialize(state, "tree")
+    above_of = lambda rows: rows.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.lit(True).alias("met"), *(F.col(c).alias(f"{c}2") for c in fold))
+    folded = {c: f(F.col(f"{c}2"), F.col(c)) for c, f in fold.items()}
+    every = lambda: reduce(DataFrame.unionByName, done).drop("up")
+    state = materialize(state.select("trace_id", "span_id", "up", *fold), "tree")
     # settled rows stay in the table of the round that settled them
     done, todo = [state.where("up IS NULL")], state.where("up IS NOT NULL")
     for _ in range(TOP_LEVELS):
         if todo.isEmpty():
-            return reduce(DataFrame.unionByName, done).drop("up")
-        above = done[-1].select("trace_id", F.col("span_id").alias("up"), F.col("path").alias("path2"), F.col("chain").alias("chain2"))
-        step = todo.join(above, ["trace_id", "up"], "left")
-        met = F.col("chain2").isNotNull()
-        step = materialize(step.select(
-            "trace_id", "span_id", F.when(~met, F.col("up")).alias("up"), F.when(met, F.concat("path2", "path")).otherwise(F.col("path")).alias("path"), F.when(met, F.concat("chain2", "chain")).otherwise(F.col("chain")).alias("chain"),
-        ), "tree")
+            return every()
+        step = todo.join(above_of(done[-1]), ["trace_id", "up"], "left")
+        met = F.col("met").isNotNull()
+        step = materialize(step.select("trace_id", "span_id", F.when(~met, F.col("up")).alias("up"), *(F.when(met, x).otherwise(F.col(c)).alias(c) for c, x in folded.items())), "tree")
         if step.where("up IS NULL").isEmpty():  # nothing hangs below the level before
-            return reduce(DataFrame.unionByName, done).drop("up")
+            return every()
         done, todo = [*done, step.where("up IS NULL")], step.where("up IS NOT NULL")
     largest = todo.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
     for _ in range(min(most_rounds, largest.bit_length() + 1)):
         if todo.isEmpty():
             break
-        above = reduce(DataFrame.unionByName, [*done, todo]).select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("chain").alias("chain2"))
-        step = todo.join(above, ["trace_id", "up"]).select(
-            "trace_id", "span_id", F.col("up2").alias("up"), F.concat("path2", "path").alias("path"), F.concat("chain2", "chain").alias("chain")
-        )
+        above = above_of(reduce(DataFrame.unionByName, [*done, todo]))
+        step = todo.join(above, ["trace_id", "up"]).select("trace_id", "span_id", F.col("up2").alias("up"), *(x.alias(c) for c, x in folded.items()))
         step = materialize(step, "tree")
         done, todo = [*done, step.where("up IS NULL")], step.where("up IS NOT NULL")
-    return reduce(DataFrame.unionByName, done).drop("up")
+    return every()
+
+
+def _top(head: str = "span_id") -> Column:
+    """What `TOP` starts from."""
+    return F.struct(F.col(head).alias("head"), F.lit(None).cast("string").alias("second")).alias("top")
+
+
+def _step() -> Column:
+    """What `STEPS` starts from."""
+    return F.lit(1).cast("bigint").alias("steps")
 
 
-def assemble_tree(spans: DataFrame) -> DataFrame:
-    """All spans below their trace's root, with `depth`, `path` and `chain`.
+def assemble_tree(spans: DataFrame, chains: bool = True) -> DataFrame:
+    """All spans below their trace's root, with `depth` and, if asked for, `chain`.
 
     The first parentless span of a trace is its root; the first of equal span ids
     counts; other roots, orphans, spans that are their own parent and cycles vanish with
-    everything below them.  `path` holds (started_ns, ord) from the root down: rows in
-    its order are in pre-order, siblings by start.  `chain` holds the span ids.
+    everything below them.  `chain` holds the span ids from the root down.
     """
     one = first_wins(spans, ["trace_id", "span_id"])
     roots = one.where("parent_span_id IS NULL").groupBy("trace_id").agg(F.min_by("span_id", "ord").alias("root_id"))
     one = one.join(roots, "trace_id").where("parent_span_id IS NOT NULL OR span_id = root_id").where("parent_span_id IS NULL OR parent_span_id <> span_id")
-    own = F.array(F.struct("started_ns", "ord"))
-    state = one.select("trace_id", "span_id", F.col("parent_span_id").alias("up"), own.alias("path"), F.array("span_id").alias("chain"))
-    found = _climb(state).withColumn("depth", (F.size("chain") - 1).cast("int"))
+    fold: Fold = {**STEPS, "chain": F.concat} if chains else STEPS
+    state = one.select("trace_id", "span_id", F.col("parent_span_id").alias("up"), _step(), *([F.array("span_id").alias("chain")] if chains else []))
+    found = climb(state, fold).withColumn("depth", (F.col("steps") - 1).cast("int")).drop("steps")
     return one.drop("root_id").join(found, ["trace_id", "span_id"])
 
 
@@ -119,15 +136,57 @@ def marked_ancestors(spans: DataFrame, marked: DataFrame) -> DataFrame:
     return found.select("trace_id", "span_id", F.explode("above").alias("ancestor_id"))
 
 
-def preorder(tree: DataFrame, name: str = "position") -> DataFrame:
-    """Add the 0-based pre-order position within the trace."""
-    return tree.withColumn(name, F.row_number().over(Window.partitionBy("trace_id").orderBy("path")) - 1)
+def _descendants(inner: DataFrame) -> DataFrame:
+    """(trace_id, id, below): how many rows hang below every row of a forest that has children.
+
+    inner: trace_id, id, up, kids.  A round adds to a row what those 1, 2, 4, ... levels
+    below have counted, and doubles their pointers.
+    """
+    state = materialize(inner.select("trace_id", "id", "up", F.col("kids").alias("below")), "counts")
+    while True:
+        moving = state.where("up IS NOT NULL")
+        if moving.isEmpty():
+            return state.drop("up")
+        more = moving.groupBy("trace_id", F.col("up").alias("id")).agg(F.sum("below").alias("more"))
+        ahead = state.select("trace_id", F.col("id").alias("up"), F.col("up").alias("up2"))
+        step = state.join(more, ["trace_id", "id"], "left").join(ahead, ["trace_id", "up"], "left")
+        state = materialize(step.select("trace_id", "id", F.col("up2").alias("up"), (F.col("below") + F.coalesce("more", F.lit(0))).alias("below")), "counts")
+
+
+def preorder(tree: DataFrame, name: str = "position", order: tuple[str, ...] = ("started_ns", "ord"), id_col: str = "span_id") -> DataFrame:
+    """Add the 0-based pre-order position within the trace, siblings in `order`.
+
+    tree: trees of `assemble_tree`, whole or without some subtrees.  Rows with a null id
+    have no children.  Rows below a row are counted, then those below its earlier siblings,
+    and these counts add up from the root down; only rows with children take part in the
+    rounds, and siblings of one parent may be any number.
+    """
+    tree = materialize(tree.withColumns({"id": F.col(id_col), "up": F.col("parent_span_id")}), "rows")
+    kids = materialize(tree.where("up IS NOT NULL").groupBy("trace_id", "up").agg(F.count("*").alias("kids")), "kids")
+    inner = tree.select("trace_id", "id", "up").join(kids.withColumnRenamed("up", "id"), ["trace_id", "id"])
+    sized = tree.join(_descendants(inner), ["trace_id", "id"], "left").withColumn("size", 1 + F.coalesce("below", F.lit(0)))
+    sized = scan(sized, ["trace_id", "up"], list(order), counts=kids.withColumnRenamed("kids", "count"), before=sum_before(F.col("size")))
+    # a row comes one behind its parent, and behind all that hangs below its earlier siblings
+    sized = materialize(sized.withColumn("at", F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.col("before") + 1).cast("bigint")), "sized")
+    state = sized.where("below IS NOT NULL").select("trace_id", F.col("id").alias("span_id"), "up", "at")
+    placed = climb(state, {"at": lambda above, own: above + own}).select("trace_id", F.col("span_id").alias("up"), F.col("at").alias("parent_at"))
+    out = sized.join(placed, ["trace_id", "up"], "left").withColumn(name, F.col("at") + F.coalesce("parent_at", F.lit(0)))
+    return out.select(*(c for c in tree.columns if c not in ("id", "up")), name)
+
+
+def covered(tree: DataFrame, marked: DataFrame) -> DataFrame:
+    """(trace_id, parent_span_id): spans with children that are in `marked` (trace_id, span_id) or below one that is."""
+    parents = tree.select("trace_id", F.col("parent_span_id").alias("span_id")).distinct()
+    flags = marked.select("trace_id", "span_id", F.lit(True).alias("flag")).distinct()
+    state = tree.join(parents, ["trace_id", "span_id"], "left_semi").join(flags, ["trace_id", "span_id"], "left")
+    state = state.select("trace_id", "span_id", F.col("parent_span_id").alias("up"), F.col("flag").isNotNull().alias("under"))
+    found = climb(state, {"under": lambda above, own: above | own})
+    return found.where("under").select("trace_id", F.col("span_id").alias("parent_span_id"))
 
 
 def collapse_subtrees(tree: DataFrame, collapsed: DataFrame) -> DataFrame:
     """Rows that stay visible when the spans in `collapsed` (trace_id, span_id) are folded."""
-    hidden = ancestry(tree).join(collapsed.select("trace_id", F.col("span_id").alias("ancestor_id")), ["trace_id", "ancestor_id"]).select("trace_id", "span_id").distinct()
-    return tree.join(hidden, ["trace_id", "span_id"], "left_anti")
+    return tree.join(covered(tree, collapsed), ["trace_id", "parent_span_id"], "left_anti")
 
 
 def span_positions(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -143,12 +202,11 @@ def span_positions(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     orphan = F.col("parent_span_id").isNotNull() & F.col("known").isNull()
     linked = materialize(linked.withColumn("orphan", orphan), "linked")
     up = F.when(~F.col("orphan"), F.col("parent_span_id"))
-    state = linked.select("trace_id", "span_id", up.alias("up"), F.array(F.struct("started_ns", "ord")).alias("path"), F.array("span_id").alias("chain"))
-    found = _climb(state)
+    found = climb(linked.select("trace_id", "span_id", up.alias("up"), _step(), _top()), {**STEPS, **TOP})
     heads = linked.where("orphan").select("trace_id", F.col("span_id").alias("head"), F.lit(True).alias("lost"))
-    found = found.withColumn("head", F.element_at("chain", 1)).join(heads, ["trace_id", "head"], "left")
-    branch = F.when(F.size("chain") > 1, F.element_at("chain", 2)).when(F.col("lost"), F.col("span_id")).otherwise(F.lit(""))
-    placed = found.select("trace_id", "span_id", (F.size("chain") - 1).cast("int").alias("depth"), branch.alias("branch_span_id"))
+    found = found.withColumn("head", F.col("top.head")).join(heads, ["trace_id", "head"], "left")
+    branch = F.when(F.col("steps") > 1, F.col("top.second")).when(F.col("lost"), F.col("span_id")).otherwise(F.lit(""))
+    placed = found.select("trace_id", "span_id", (F.col("steps") - 1).cast("int").alias("depth"), branch.alias("branch_span_id"))
     issues = linked.where("orphan").select("trace_id", F.lit("orphan_span").alias("code"), "span_id")
     rest = linked.join(placed, ["trace_id", "span_id"], "left_anti")
     rest = materialize(rest.select("trace_id", "span_id", "parent_span_id", "started_ns", "ended_ns"), "cycles")
@@ -178,9 +236,9 @@ def _cycles(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
     # walk up from every span to the first span on a cycle: (span, gate, distance)
     ring = on.select("trace_id", "span_id", F.lit(True).alias("ring"))
     state = rest.join(ring, ["trace_id", "span_id"], "left").select(
-        "trace_id", "span_id", F.when(F.col("ring").isNull(), F.col("parent_span_id")).alias("up"), F.array(F.struct(F.lit(0).cast("bigint").alias("started_ns"), F.lit(0).cast("bigint").alias("ord"))).alias("path"), F.array("span_id").alias("chain")
+        "trace_id", "span_id", F.when(F.col("ring").isNull(), F.col("parent_span_id")).alias("up"), _step(), _top()
     )
-    gates = _climb(state).select("trace_id", "span_id", F.element_at("chain", 1).alias("gate"), (F.size("chain") - 1).alias("distance"))
+    gates = climb(state, {**STEPS, **TOP}).select("trace_id", "span_id", F.col("top.head").alias("gate"), (F.col("steps") - 1).alias("distance"))
     gates = materialize(gates.join(rest.select("trace_id", "span_id", "started_ns", "ended_ns"), ["trace_id", "span_id"]), "gates")
     # name every cycle by its smallest span, by pointer doubling over the ring
     name = materialize(on.select("trace_id", "span_id", "next", F.least("span_id", "next").alias("cycle")), "ring")
@@ -195,7 +253,7 @@ def _cycles(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
     # number the ring: k parent steps from the entry; cut it before the entry and climb
     line = on.join(name.withColumnRenamed("gate", "span_id"), ["trace_id", "span_id"]).join(entry, ["trace_id", "cycle"])
     below = line.select("trace_id", F.col("next").alias("span_id"), F.when(F.col("span_id") != F.col("entry"), F.col("span_id")).alias("up"))
-    steps = _climb(below.select("trace_id", "span_id", "up", F.array(F.struct(F.lit(0).cast("bigint").alias("started_ns"), F.lit(0).cast("bigint").alias("ord"))).alias("path"), F.array("span_id").alias("chain")))
-    steps = steps.select("trace_id", F.col("span_id").alias("gate"), F.size("chain").alias("k"), F.element_at("chain", 1).alias("branch_span_id"))
+    steps = climb(below.select("trace_id", "span_id", "up", _step(), _top()), {**STEPS, **TOP})
+    steps = steps.select("trace_id", F.col("span_id").alias("gate"), F.col("steps").alias("k"), F.col("top.head").alias("branch_span_id"))
     placed = gates.join(steps, ["trace_id", "gate"]).select("trace_id", "span_id", (F.col("k") + F.col("distance")).cast("int").alias("depth"), "branch_span_id")
     return placed, entry.select("trace_id", F.lit("parent_cycle").alias("code"), F.col("entry").alias("span_id"))

@@ -77,7 +77,8 @@ def scalars(spark, sf_dir):
 
 @register("G1_assemble_tree", f"{_TREE} SELECT trace_id, span_id, depth, row_number() OVER (PARTITION BY trace_id ORDER BY path) - 1 AS position FROM tree")
 def assemble(spark, sf_dir):
-    return tree.preorder(tree.assemble_tree(view(spark, sf_dir, "td_spans"))).select("trace_id", "span_id", "depth", "position")
+    spans = view(spark, sf_dir, "td_spans").select("trace_id", "span_id", "parent_span_id", "started_ns", "ord")
+    return tree.preorder(tree.assemble_tree(spans, chains=False)).select("trace_id", "span_id", "depth", "position")
 
 
 @register("G2_ancestry", f"{_TREE} SELECT trace_id, span_id, chain[i] AS ancestor_id, (depth + 1 - i)::INT AS distance FROM (SELECT *, unnest(range(1, depth + 1)) AS i FROM tree) q")
@@ -94,7 +95,7 @@ def positions(spark, sf_dir):
 
 @register("G8_collapse_subtrees", f"{_TREE} SELECT trace_id, span_id FROM tree t WHERE NOT EXISTS (SELECT 1 FROM tree f WHERE f.kind = 3 AND f.status = 1 AND f.trace_id = t.trace_id AND f.span_id = t.parent_span_id)")
 def collapse(spark, sf_dir):
-    spans = tree.assemble_tree(view(spark, sf_dir, "td_spans"))
+    spans = tree.assemble_tree(view(spark, sf_dir, "td_spans"), chains=False)
     return tree.collapse_subtrees(spans, spans.where("kind = 3 AND status = 1")).select("trace_id", "span_id")
 
 
@@ -109,7 +110,7 @@ _GAPS = f""", roots AS (SELECT trace_id, started_ns AS r0, ended_ns AS r1, CASE
 
 @register("E3_gaps", f"{_TREE}{_GAPS} SELECT trace_id, span_id, parent_span_id, g0 AS started_ns, g1 AS ended_ns, g1 - g0 AS duration_ns, depth FROM gaps")
 def gaps(spark, sf_dir):
-    found = timeline.gaps(tree.assemble_tree(view(spark, sf_dir, "td_spans")), WIDTH)
+    found = timeline.gaps(tree.assemble_tree(view(spark, sf_dir, "td_spans"), chains=False), WIDTH)
     return found.select("trace_id", "span_id", "parent_span_id", "started_ns", "ended_ns", "duration_ns", "depth")
 
 
@@ -121,12 +122,12 @@ _RANKED = f""", ranked AS (SELECT *, depth > 0 AND n > {ROWS} AND r >= {ROWS} AS
 
 @register("E5_rollup_rank", f"{_TREE}{_RANKED} SELECT trace_id, span_id, r AS rank, collapsed FROM ranked")
 def rollup_rank(spark, sf_dir):
-    return timeline.ranked(tree.assemble_tree(view(spark, sf_dir, "td_spans")), ROWS).select("trace_id", "span_id", "rank", "collapsed")
+    return timeline.ranked(tree.assemble_tree(view(spark, sf_dir, "td_spans"), chains=False), ROWS).select("trace_id", "span_id", "rank", "collapsed")
 
 
 @register("D5_rollup_bucket", f"{_TREE}{_RANKED} SELECT trace_id, span_id, name, status, started_ns, ended_ns, duration_ns, depth FROM buckets")
 def rollup_bucket(spark, sf_dir):
-    found = timeline.rollup_buckets(tree.assemble_tree(view(spark, sf_dir, "td_spans")), ROWS)
+    found = timeline.rollup_buckets(tree.assemble_tree(view(spark, sf_dir, "td_spans"), chains=False), ROWS)
     return found.select("trace_id", "span_id", "name", "status", "started_ns", "ended_ns", "duration_ns", "depth")
 
 

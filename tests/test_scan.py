@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import marks, scan
+from spanloom.operators import marks, scan, tree
 
 
 @pytest.fixture()
@@ -70,3 +70,40 @@ def test_suites_and_their_cases_over_many_tasks(many_parts, monkeypatch):
     one = [sorted(map(tuple, x.collect())) for x in marks.suite_layout(df, runs)]
     monkeypatch.setattr(scan, "HOT", 3)
     assert [sorted(map(tuple, x.collect())) for x in marks.suite_layout(df, runs)] == one
+
+
+def walked(rows):
+    """(trace, span) -> position, by walking every trace from its root, siblings by start, then input order."""
+    found = {}
+    for trace in {r[0] for r in rows}:
+        kids = {}
+        for t, span, parent, start, at in rows:
+            if t == trace:
+                kids.setdefault(parent, []).append((start, at, span))
+        todo = [x[2] for x in sorted(kids[None])]
+        while todo:
+            span = todo.pop()
+            found[trace, span] = len([k for k in found if k[0] == trace])
+            todo += [x[2] for x in sorted(kids.get(span, []), reverse=True)]
+    return found
+
+
+@pytest.mark.parametrize("hot", [3, 10**6])
+def test_pre_order_by_counting_equals_a_walk(many_parts, monkeypatch, hot):
+    rng = random.Random(11)
+    rows = [("deep", f"d{k}", f"d{k - 1}" if k else None, rng.randrange(3), k) for k in range(70)]
+    rows += [("wide", f"w{k}", "w0" if k else None, rng.randrange(5), 100 + k) for k in range(60)]
+    for t in range(4):
+        rows += [(f"t{t}", f"s{k}", f"s{rng.randrange(k)}" if k else None, rng.randrange(6), 1000 * t + k + 200) for k in range(40)]
+    monkeypatch.setattr(scan, "HOT", hot)
+    spans = many_parts.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, started_ns long, ord long")
+    got = tree.preorder(tree.assemble_tree(spans, chains=False))
+    assert "path" not in got.columns and "chain" not in got.columns
+    assert {(r.trace_id, r.span_id): r.position for r in got.collect()} == walked(rows)
+
+
+def test_folding_hides_what_is_below_at_any_depth(many_parts):
+    rows = [("t", f"d{k}", f"d{k - 1}" if k else None, 0, k) for k in range(30)] + [("t", "e", "d2", 1, 40), ("t", "f", "e", 0, 41)]
+    spans = many_parts.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, started_ns long, ord long")
+    kept = tree.collapse_subtrees(tree.assemble_tree(spans, chains=False), spans.where("span_id IN ('d3', 'd9', 'f')"))
+    assert {r.span_id for r in kept.collect()} == {"d0", "d1", "d2", "d3", "e", "f"}
