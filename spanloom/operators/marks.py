@@ -50,9 +50,11 @@ def suite_layout(cases: DataFrame, runs: DataFrame, extend: bool = False) -> tup
     very many cases are laid out by many tasks.
     """
     rows = cases.withColumn("case_ns", S.seconds_to_ns(F.coalesce("case_seconds", F.lit(0.0)))).withColumn("own_ns", S.seconds_to_ns(F.coalesce("suite_seconds", F.lit(0.0))))
-    suites = rows.groupBy("run_id", "suite").agg(F.first("suite_name").alias("suite_name"), F.max("own_ns").alias("own_ns"), F.sum("case_ns").alias("cases_ns"), F.max(F.coalesce("failed", F.lit(False))).alias("failed"))
+    suites = rows.groupBy("run_id", "suite").agg(F.first("suite_name").alias("suite_name"), F.max("own_ns").alias("own_ns"), F.sum("case_ns").alias("cases_ns"), F.max(F.coalesce("failed", F.lit(False))).alias("failed"), F.count("case_no").alias("count"))
     suites = suites.withColumn("length", F.greatest("own_ns", "cases_ns"))
-    suites = scan(materialize(suites, "suites"), ["run_id"], ["suite"], at=sum_before(F.col("length")))
+    suites = materialize(suites, "suites")
+    sized = suites.select("run_id", "suite", "count")
+    suites = scan(suites, ["run_id"], ["suite"], at=sum_before(F.col("length")))
     bounds = runs.select("run_id", F.col("started_ns").alias("r0"), F.col("ended_ns").alias("r1"))
     if extend:
         total = suites.groupBy("run_id").agg(F.sum("length").alias("total"))
@@ -62,7 +64,7 @@ def suite_layout(cases: DataFrame, runs: DataFrame, extend: bool = False) -> tup
     end = lambda x: F.least(wide("r1"), x).cast("bigint")
     suites = suites.join(bounds, "run_id")
     out = suites.select("run_id", "suite", S.suite_name(F.col("suite_name")).alias("name"), F.when(F.col("failed"), 2).otherwise(1).alias("status"), end(wide("r0") + wide("at")).alias("started_ns"), end(wide("r0") + wide("at") + wide("length")).alias("ended_ns"))
-    own = scan(rows.where("case_no IS NOT NULL"), ["run_id", "suite"], ["case_no"], inside=sum_before(F.col("case_ns")))
+    own = scan(rows.where("case_no IS NOT NULL"), ["run_id", "suite"], ["case_no"], counts=sized, inside=sum_before(F.col("case_ns")))
     own = own.join(suites.select("run_id", "suite", "at", "r0", "r1"), ["run_id", "suite"])
     base = wide("r0") + wide("at") + wide("inside")
     tests = own.select("run_id", "suite", "case_no", F.col("case_name").alias("name"), F.when(F.col("failed"), 2).otherwise(1).alias("status"), end(base).alias("started_ns"), end(base + wide("case_ns")).alias("ended_ns"))

@@ -76,13 +76,12 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], hot: int | None = N
     (keys, count; keys of one row may be missing).
     """
     hot = HOT if hot is None else hot
-    keyed = rows.withColumn("_key", F.struct(*keys))
-    counts = keyed.groupBy("_key").count() if counts is None else counts.withColumn("_key", F.struct(*keys))
-    large = counts.where(F.col("count") > hot).select("_key")
-    large = materialize(large, "large")
+    large = (rows.groupBy(*keys).count() if counts is None else counts).where(F.col("count") > hot).select(F.struct(*keys).alias("_key"))
+    large = materialize(large, "large") if counts is None else large
     if large.isEmpty():
-        return _windows(keyed, ["_key"], order, values).drop("_key")
-    few = _windows(keyed.join(large, "_key", "left_anti"), ["_key"], order, values)
+        return _windows(rows, keys, order, values)
+    keyed = rows.withColumn("_key", F.struct(*keys))  # in a struct, nulls are equal
+    few = _windows(keyed.join(large, "_key", "left_anti"), keys, order, values)
     return few.unionByName(_spread(keyed.join(large, "_key", "left_semi"), order, values)).drop("_key")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import scalars as S
-from spanloom.operators.tree import assemble_tree, covered, preorder
+from spanloom.operators.tree import assemble_tree, preorder
 from spanloom.sources.shared import materialize
 
 WIDTH = 60
@@ -54,7 +54,7 @@ def ranked(tree: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     rank = F.row_number().over(siblings.orderBy(F.desc("duration_ns"), "started_ns", "ord"))
     over = F.count("*").over(siblings) > max_rows
     out = tree.withColumn("rank", rank)
-    return out.withColumn("collapsed", F.when(F.col("depth") > 0, over & (F.col("rank") >= max_rows)).otherwise(F.lit(False)))
+    return out.withColumn("collapsed", F.when(F.col("parent_span_id").isNotNull(), over & (F.col("rank") >= max_rows)).otherwise(F.lit(False)))
 
 
 def rollup_buckets(tree: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -78,19 +78,17 @@ def waterfall(spans: DataFrame, width: int = WIDTH, max_rows: int = MAX_ROWS, wi
     `work_ns` the row's own duration, which for a bucket is the sum of its spans.
     """
     columns = ["trace_id", "span_id", "parent_span_id", "name", "kind", "status", "started_ns", "ended_ns", "duration_ns", "ord"]
-    tree = assemble_tree(spans.select(*columns), chains=False)
-    tree = materialize(ranked(tree, max_rows) if max_rows > 0 else tree.withColumn("collapsed", F.lit(False)), "waterfall")
-    folded = tree.where("collapsed")
-    hidden = materialize(covered(tree, folded), "hidden")  # parents whose children are out of sight
+    tree = materialize(assemble_tree(spans.select(*columns), False, (lambda one: ranked(one, max_rows)) if max_rows > 0 else (lambda one: one.withColumn("collapsed", F.lit(False)))), "waterfall")
+    hidden = tree.where("under").select("trace_id", F.col("span_id").alias("parent_span_id"))
     # siblings in order of start: spans first on ties, then gaps, then the bucket
     entry = lambda rows, rank, node, turn: rows.select(*columns[:-1], "depth", F.lit(rank).alias("rank"), node.alias("node"), turn.cast("bigint").alias("ord"))
-    rows = entry(tree.where("NOT collapsed"), 1, F.col("span_id"), F.col("ord"))
+    rows = entry(tree.where("NOT under"), 1, F.col("span_id"), F.col("ord"))
     nobody = F.lit(None).cast("string")
+    seen = lambda found: found.join(hidden, ["trace_id", "parent_span_id"], "left_anti")
     if with_gaps:
-        rows = rows.unionByName(entry(gaps(tree, width), 2, nobody, F.lit(0)))
+        rows = rows.unionByName(entry(seen(gaps(tree, width)), 2, nobody, F.lit(0)))
     if max_rows > 0:
-        rows = rows.unionByName(entry(rollup_buckets(tree, max_rows), 3, nobody, F.lit(0)))
-    rows = rows.join(hidden, ["trace_id", "parent_span_id"], "left_anti")
+        rows = rows.unionByName(entry(seen(rollup_buckets(tree.drop("rank", "collapsed"), max_rows)), 3, nobody, F.lit(0)))
     rows = preorder(rows, order=("started_ns", "rank", "ord"), id_col="node").join(_roots(tree), "trace_id")
     offset, wide = S.bar_geometry(F.col("started_ns"), F.col("ended_ns"), F.col("root_started_ns"), F.col("root_ended_ns"), width)
     rows = rows.withColumn("offset", offset).withColumn("width", wide)

@@ -23,6 +23,8 @@ from spanloom.sources.shared import materialize
 Fold = dict[str, Callable[[Column, Column], Column]]
 #: number of spans on the way
 STEPS: Fold = {"steps": lambda above, own: above + own}
+#: whether anything on the way is marked
+UNDER = lambda above, own: above | own
 #: first and second span of the way
 TOP: Fold = {"top": lambda above, own: F.struct(above["head"].alias("head"), F.coalesce(above["second"], own["head"]).alias("second"))}
 
@@ -87,18 +89,27 @@ def _step() -> Column:
     return F.lit(1).cast("bigint").alias("steps")
 
 
-def assemble_tree(spans: DataFrame, chains: bool = True) -> DataFrame:
+def assemble_tree(spans: DataFrame, chains: bool = True, folded: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All spans below their trace's root, with `depth` and, if asked for, `chain`.
 
     The first parentless span of a trace is its root; the first of equal span ids
     counts; other roots, orphans, spans that are their own parent and cycles vanish with
-    everything below them.  `chain` holds the span ids from the root down.
+    everything below them.  `chain` holds the span ids from the root down.  `folded` adds
+    `collapsed` to the candidates before the way up is known, from what siblings tell;
+    `under` then says whether a span or one above it is collapsed.
     """
     one = first_wins(spans, ["trace_id", "span_id"])
     roots = one.where("parent_span_id IS NULL").groupBy("trace_id").agg(F.min_by("span_id", "ord").alias("root_id"))
     one = one.join(roots, "trace_id").where("parent_span_id IS NOT NULL OR span_id = root_id").where("parent_span_id IS NULL OR parent_span_id <> span_id")
-    fold: Fold = {**STEPS, "chain": F.concat} if chains else STEPS
-    state = one.select("trace_id", "span_id", F.col("parent_span_id").alias("up"), _step(), *([F.array("span_id").alias("chain")] if chains else []))
+    fold, starts = dict(STEPS), [_step()]
+    if chains:
+        fold["chain"] = F.concat
+        starts.append(F.array("span_id").alias("chain"))
+    if folded:
+        one = folded(one)
+        fold["under"] = UNDER
+        starts.append(F.col("collapsed").alias("under"))
+    state = one.select("trace_id", "span_id", F.col("parent_span_id").alias("up"), *starts)
     found = climb(state, fold).withColumn("depth", (F.col("steps") - 1).cast("int")).drop("steps")
     return one.drop("root_id").join(found, ["trace_id", "span_id"])
 
@@ -180,7 +191,7 @@ def covered(tree: DataFrame, marked: DataFrame) -> DataFrame:
     flags = marked.select("trace_id", "span_id", F.lit(True).alias("flag")).distinct()
     state = tree.join(parents, ["trace_id", "span_id"], "left_semi").join(flags, ["trace_id", "span_id"], "left")
     state = state.select("trace_id", "span_id", F.col("parent_span_id").alias("up"), F.col("flag").isNotNull().alias("under"))
-    found = climb(state, {"under": lambda above, own: above | own})
+    found = climb(state, {"under": UNDER})
     return found.where("under").select("trace_id", F.col("span_id").alias("parent_span_id"))
 
 
