@@ -109,9 +109,10 @@ def assemble_tree(spans: DataFrame, chains: bool = True, folded: Callable[[DataF
         one = folded(one)
         fold["under"] = UNDER
         starts.append(F.col("collapsed").alias("under"))
+    one = materialize(one.drop("root_id"), "spans")  # the way up is climbed by ids alone, then joined to it
     state = one.select("trace_id", "span_id", F.col("parent_span_id").alias("up"), *starts)
     found = climb(state, fold).withColumn("depth", (F.col("steps") - 1).cast("int")).drop("steps")
-    return one.drop("root_id").join(found, ["trace_id", "span_id"])
+    return one.join(found, ["trace_id", "span_id"])
 
 
 def ancestry(tree: DataFrame) -> DataFrame:
