@@ -6,7 +6,8 @@ graphs and test suites, events are marks, conversations are model calls.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _HOUR = "CAST(3600000000000 AS BIGINT)"
 TABLES = ("customer", "orders", "lineitem", "events", "conversations", "documents", "pages")
@@ -76,7 +77,39 @@ def sql(name: str, duckdb: bool = True) -> str:
     return "WITH " + text
 
 
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`td_spans` by one shuffle of orders and lines by order and one of spans by trace.
+
+    The SQL text reads the lines three times.  Here numbers are shuffled and ids are spelt
+    out behind the shuffle, so rows are placed by trace_id and later windows by it need no other.
+    """
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    orders = table("orders").selectExpr(
+        "'c' || o_custkey AS trace_id", "o_orderkey", "o_orderpriority", "CASE o_orderstatus WHEN 'P' THEN 2 WHEN 'F' THEN 1 ELSE 0 END AS o_status", "unix_micros(CAST(o_orderdate AS TIMESTAMP)) * 1000 AS o_ns"
+    ).withColumn("nth", F.monotonically_increasing_id())
+    lines = table("lineitem").selectExpr(
+        "l_orderkey AS o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END AS l_status", f"(l_partkey % 48) * {_HOUR} AS wait", f"CAST(l_quantity AS BIGINT) * {_HOUR} AS work", "true AS line"
+    )
+    rows = orders.join(lines, "o_orderkey", "left").withColumn("l_end", F.expr("o_ns + wait + work"))
+    rows = rows.withColumn("o_end", F.max("l_end").over(Window.partitionBy("o_orderkey")))
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("o_orderkey", "nth").orderBy("l_linenumber")))
+    both = F.expr("""filter(array(
+        CASE WHEN line THEN struct(1 AS kind, l_status AS status, CAST(NULL AS STRING) AS name, l_linenumber, l_partkey, l_suppkey, o_ns + wait AS started_ns, l_end AS ended_ns) END,
+        CASE WHEN turn = 1 THEN struct(3 AS kind, o_status AS status, o_orderpriority AS name, CAST(NULL AS INT) AS l_linenumber, NULL AS l_partkey, NULL AS l_suppkey, o_ns AS started_ns, coalesce(o_end, o_ns) AS ended_ns) END), x -> x IS NOT NULL)""")
+    rows = rows.select("trace_id", "o_orderkey", F.inline(both)).repartition("trace_id")
+    trace, order = Window.partitionBy("trace_id"), "CASE WHEN kind = 3 THEN {} END"
+    rows = rows.withColumns({"r_start": F.min(F.expr(order.format("started_ns"))).over(trace), "r_end": F.max(F.expr(order.format("ended_ns"))).over(trace), "turn": F.row_number().over(trace.orderBy("kind"))})
+    spelt = F.expr("""filter(array(
+        CASE WHEN kind = 1 THEN struct('l' || o_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS span_id, 'o' || o_orderkey AS parent_span_id, 'line ' || l_linenumber AS name, kind, status, started_ns, ended_ns)
+             ELSE struct('o' || o_orderkey AS span_id, trace_id AS parent_span_id, name, kind, status, started_ns, ended_ns) END,
+        CASE WHEN turn = 1 THEN struct(trace_id AS span_id, CAST(NULL AS STRING) AS parent_span_id, 'customer' AS name, 2 AS kind, 1 AS status, r_start AS started_ns, r_end AS ended_ns) END), x -> x IS NOT NULL)""")
+    rows = rows.select("trace_id", F.inline(spelt)).withColumn("duration_ns", F.expr("ended_ns - started_ns"))
+    return rows.withColumn("ord", F.row_number().over(trace.orderBy("started_ns", "span_id", "ended_ns", "status")).cast("bigint"))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "td_spans":
+        return _spans(spark, sf_dir)
     text = sql(name, duckdb=False)
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
     return spark.sql(f"{text} SELECT * FROM {name}", **frames)
