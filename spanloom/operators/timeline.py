@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import scalars as S
 from spanloom.operators.tree import assemble_tree, preorder
-from spanloom.sources.shared import materialize
+from spanloom.sources.shared import bucketed
 
 WIDTH = 60
 MAX_ROWS = 20
@@ -78,7 +78,7 @@ def waterfall(spans: DataFrame, width: int = WIDTH, max_rows: int = MAX_ROWS, wi
     `work_ns` the row's own duration, which for a bucket is the sum of its spans.
     """
     columns = ["trace_id", "span_id", "parent_span_id", "name", "kind", "status", "started_ns", "ended_ns", "duration_ns", "ord"]
-    tree = materialize(assemble_tree(spans.select(*columns), False, (lambda one: ranked(one, max_rows)) if max_rows > 0 else (lambda one: one.withColumn("collapsed", F.lit(False)))), "waterfall")
+    tree = assemble_tree(spans.select(*columns), False, (lambda one: ranked(one, max_rows)) if max_rows > 0 else (lambda one: one.withColumn("collapsed", F.lit(False))))
     hidden = tree.where("under").select("trace_id", F.col("span_id").alias("parent_span_id"))
     # siblings in order of start: spans first on ties, then gaps, then the bucket
     entry = lambda rows, rank, node, turn: rows.select(*columns[:-1], "depth", F.lit(rank).alias("rank"), node.alias("node"), turn.cast("bigint").alias("ord"))
@@ -89,6 +89,7 @@ def waterfall(spans: DataFrame, width: int = WIDTH, max_rows: int = MAX_ROWS, wi
         rows = rows.unionByName(entry(seen(gaps(tree, width)), 2, nobody, F.lit(0)))
     if max_rows > 0:
         rows = rows.unionByName(entry(seen(rollup_buckets(tree.drop("rank", "collapsed"), max_rows)), 3, nobody, F.lit(0)))
+    rows = bucketed(rows.repartition("trace_id"), "rows")
     rows = preorder(rows, order=("started_ns", "rank", "ord"), id_col="node").join(_roots(tree), "trace_id")
     offset, wide = S.bar_geometry(F.col("started_ns"), F.col("ended_ns"), F.col("root_started_ns"), F.col("root_ended_ns"), width)
     rows = rows.withColumn("offset", offset).withColumn("width", wide)
@@ -104,7 +105,7 @@ def diff_traces(spans: DataFrame, pairs: DataFrame, by_impact: bool = False) ->
     tree = assemble_tree(spans.select("trace_id", "span_id", "parent_span_id", "name", "started_ns", "duration_ns", "ord"), chains=False)
     tree = preorder(tree)
     nth = F.row_number().over(Window.partitionBy("trace_id", "name", "depth").orderBy("position")) - 1
-    keyed = materialize(tree.withColumn("occurrence", nth).select("trace_id", "name", "depth", "occurrence", "position", "duration_ns"), "keyed")
+    keyed = bucketed(tree.withColumn("occurrence", nth).select("trace_id", "name", "depth", "occurrence", "position", "duration_ns"), "keyed")
     side = lambda s: pairs.join(keyed, pairs[s] == keyed.trace_id).select("a", "b", "name", "depth", "occurrence", F.col("position").alias(f"{s}_pos"), F.col("duration_ns").alias(f"{s}_ns"))
     both = side("a").join(side("b"), ["a", "b", "name", "depth", "occurrence"], "full_outer")
     kind = F.when(F.col("a_pos").isNull(), "added").when(F.col("b_pos").isNull(), "removed").otherwise("matched")

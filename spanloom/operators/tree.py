@@ -1,10 +1,10 @@
 """Span trees of all traces at once.
 
 Every span carries a pointer up and what is known of the way from below that pointer to
-itself: numbers, flags or names, not the way itself.  The first levels are settled from
-the top; below them each round joins a span with the one it points to and so doubles what
-it has covered.  A round is one join for all traces; a tree of depth d takes at most
-TOP_LEVELS + log2(d) + 1 rounds.  Pre-order comes from counting: spans below a span, then
+itself: numbers, flags or names, not the way itself.  Joining a span with the one it
+points to doubles what it has covered, for all traces at once; a tree of depth d takes
+log2(d) + 1 such joins, two a round.  Tables are placed by trace, so that rounds, siblings and
+counts need no shuffle.  Pre-order comes from counting: spans below a span, then
 those below its earlier siblings.  No task ever needs more than single spans of a trace.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.scan import scan, sum_before
-from spanloom.sources.shared import materialize
+from spanloom.sources.shared import bucketed, discard, materialize
 
 #: how what is known of the upper part of a way and of the part below it become one
 Fold = dict[str, Callable[[Column, Column], Column]]
@@ -35,12 +35,18 @@ def first_wins(rows: DataFrame, keys: list[str], order: str = "ord") -> DataFram
     return rows.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
 
 
+def _first_of_trace(rows: DataFrame) -> DataFrame:
+    """`first_wins` by trace and span, its rows placed by trace."""
+    behind = F.struct("span_id").eqNullSafe(F.lag(F.struct("span_id")).over(Window.partitionBy("trace_id").orderBy("span_id", "ord")))
+    return rows.withColumn("_again", behind).where("NOT _again").drop("_again")
+
+
 def occurrences(rows: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
     """Add `occurrence`: 1 for the first row of a key, 2 for the next."""
     return rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
 
 
-#: levels that are settled from the top before pointers double
+#: levels that the first round settles: two joins, each of which doubles
 TOP_LEVELS = 4
 
 
@@ -50,33 +56,27 @@ def climb(state: DataFrame, fold: Fold, most_rounds: int = 40) -> DataFrame:
     state: trace_id, span_id, up and the columns of `fold`, which tell of the spans from
     just below `up` to the span itself.
 
-    Most trees are shallow: the first rounds go down from the top, and each joins what is
-    still open with the level just settled.  What hangs deeper doubles its pointers.
+    Pointers double, twice a round.  The table of a round is placed by trace, so its joins
+    with itself shuffle nothing, and it takes the place of the one before.
     """
-    above_of = lambda rows: rows.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.lit(True).alias("met"), *(F.col(c).alias(f"{c}2") for c in fold))
-    folded = {c: f(F.col(f"{c}2"), F.col(c)) for c, f in fold.items()}
-    every = lambda: reduce(DataFrame.unionByName, done).drop("up")
-    state = materialize(state.select("trace_id", "span_id", "up", *fold), "tree")
-    # settled rows stay in the table of the round that settled them
-    done, todo = [state.where("up IS NULL")], state.where("up IS NOT NULL")
-    for _ in range(TOP_LEVELS):
-        if todo.isEmpty():
-            return every()
-        step = todo.join(above_of(done[-1]), ["trace_id", "up"], "left")
-        met = F.col("met").isNotNull()
-        step = materialize(step.select("trace_id", "span_id", F.when(~met, F.col("up")).alias("up"), *(F.when(met, x).otherwise(F.col(c)).alias(c) for c, x in folded.items())), "tree")
-        if step.where("up IS NULL").isEmpty():  # nothing hangs below the level before
-            return every()
-        done, todo = [*done, step.where("up IS NULL")], step.where("up IS NOT NULL")
-    largest = todo.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(min(most_rounds, largest.bit_length() + 1)):
-        if todo.isEmpty():
+    folded = {c: F.when(F.col("met"), f(F.col(f"{c}2"), F.col(c))).otherwise(F.col(c)).alias(c) for c, f in fold.items()}
+
+    def doubled(rows: DataFrame) -> DataFrame:
+        above = rows.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.lit(True).alias("met"), *(F.col(c).alias(f"{c}2") for c in fold))
+        # who is on top meets nobody; who meets nobody else leads nowhere
+        return rows.join(above, ["trace_id", "up"], "left").where("up IS NULL OR met").select("trace_id", "span_id", F.col("up2").alias("up"), *folded.values())
+
+    state = bucketed(state.select("trace_id", "span_id", "up", *fold), "tree")
+    largest, rounds = None, 0
+    while not state.where("up IS NOT NULL").isEmpty():
+        if largest is None:
+            largest = state.groupBy("trace_id").count().agg(F.max("count")).first()[0]
+        if rounds >= min(most_rounds, largest.bit_length() + 1):
             break
-        above = above_of(reduce(DataFrame.unionByName, [*done, todo]))
-        step = todo.join(above, ["trace_id", "up"]).select("trace_id", "span_id", F.col("up2").alias("up"), *(x.alias(c) for c, x in folded.items()))
-        step = materialize(step, "tree")
-        done, todo = [*done, step.where("up IS NULL")], step.where("up IS NOT NULL")
-    return every()
+        before, state = state, bucketed(doubled(doubled(state)), "tree")
+        discard(before)
+        rounds += 2
+    return state.where("up IS NULL").drop("up")
 
 
 def _top(head: str = "span_id") -> Column:
@@ -98,9 +98,9 @@ def assemble_tree(spans: DataFrame, chains: bool = True, folded: Callable[[DataF
     `collapsed` to the candidates before the way up is known, from what siblings tell;
     `under` then says whether a span or one above it is collapsed.
     """
-    one = first_wins(spans, ["trace_id", "span_id"])
-    roots = one.where("parent_span_id IS NULL").groupBy("trace_id").agg(F.min_by("span_id", "ord").alias("root_id"))
-    one = one.join(roots, "trace_id").where("parent_span_id IS NOT NULL OR span_id = root_id").where("parent_span_id IS NULL OR parent_span_id <> span_id")
+    one = _first_of_trace(spans)
+    root = F.min_by("span_id", F.when(F.col("parent_span_id").isNull(), F.col("ord"))).over(Window.partitionBy("trace_id"))
+    one = one.withColumn("root_id", root).where("root_id IS NOT NULL AND (parent_span_id IS NOT NULL OR span_id = root_id)").where("parent_span_id IS NULL OR parent_span_id <> span_id")
     fold, starts = dict(STEPS), [_step()]
     if chains:
         fold["chain"] = F.concat
@@ -109,7 +109,7 @@ def assemble_tree(spans: DataFrame, chains: bool = True, folded: Callable[[DataF
         one = folded(one)
         fold["under"] = UNDER
         starts.append(F.col("collapsed").alias("under"))
-    one = materialize(one.drop("root_id"), "spans")  # the way up is climbed by ids alone, then joined to it
+    one = bucketed(one.drop("root_id"), "spans")  # the way up is climbed by ids alone, then joined to it
     state = one.select("trace_id", "span_id", F.col("parent_span_id").alias("up"), *starts)
     found = climb(state, fold).withColumn("depth", (F.col("steps") - 1).cast("int")).drop("steps")
     return one.join(found, ["trace_id", "span_id"])
@@ -154,7 +154,7 @@ def _descendants(inner: DataFrame) -> DataFrame:
     inner: trace_id, id, up, kids.  A round adds to a row what those 1, 2, 4, ... levels
     below have counted, and doubles their pointers.
     """
-    state = materialize(inner.select("trace_id", "id", "up", F.col("kids").alias("below")), "counts")
+    state = bucketed(inner.select("trace_id", "id", "up", F.col("kids").alias("below")), "counts")
     while True:
         moving = state.where("up IS NOT NULL")
         if moving.isEmpty():
@@ -162,7 +162,7 @@ def _descendants(inner: DataFrame) -> DataFrame:
         more = moving.groupBy("trace_id", F.col("up").alias("id")).agg(F.sum("below").alias("more"))
         ahead = state.select("trace_id", F.col("id").alias("up"), F.col("up").alias("up2"))
         step = state.join(more, ["trace_id", "id"], "left").join(ahead, ["trace_id", "up"], "left")
-        state = materialize(step.select("trace_id", "id", F.col("up2").alias("up"), (F.col("below") + F.coalesce("more", F.lit(0))).alias("below")), "counts")
+        state = bucketed(step.select("trace_id", "id", F.col("up2").alias("up"), (F.col("below") + F.coalesce("more", F.lit(0))).alias("below")), "counts")
 
 
 def preorder(tree: DataFrame, name: str = "position", order: tuple[str, ...] = ("started_ns", "ord"), id_col: str = "span_id") -> DataFrame:
@@ -173,13 +173,13 @@ def preorder(tree: DataFrame, name: str = "position", order: tuple[str, ...] = (
     and these counts add up from the root down; only rows with children take part in the
     rounds, and siblings of one parent may be any number.
     """
-    tree = materialize(tree.withColumns({"id": F.col(id_col), "up": F.col("parent_span_id")}), "rows")
-    kids = materialize(tree.where("up IS NOT NULL").groupBy("trace_id", "up").agg(F.count("*").alias("kids")), "kids")
+    tree = tree.withColumns({"id": F.col(id_col), "up": F.col("parent_span_id")})
+    kids = bucketed(tree.where("up IS NOT NULL").groupBy("trace_id", "up").agg(F.count("*").alias("kids")), "kids")
     inner = tree.select("trace_id", "id", "up").join(kids.withColumnRenamed("up", "id"), ["trace_id", "id"])
     sized = tree.join(_descendants(inner), ["trace_id", "id"], "left").withColumn("size", 1 + F.coalesce("below", F.lit(0)))
     sized = scan(sized, ["trace_id", "up"], list(order), counts=kids.withColumnRenamed("kids", "count"), before=sum_before(F.col("size")))
     # a row comes one behind its parent, and behind all that hangs below its earlier siblings
-    sized = materialize(sized.withColumn("at", F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.col("before") + 1).cast("bigint")), "sized")
+    sized = bucketed(sized.withColumn("at", F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.col("before") + 1).cast("bigint")), "sized")
     state = sized.where("below IS NOT NULL").select("trace_id", F.col("id").alias("span_id"), "up", "at")
     placed = climb(state, {"at": lambda above, own: above + own}).select("trace_id", F.col("span_id").alias("up"), F.col("at").alias("parent_at"))
     out = sized.join(placed, ["trace_id", "up"], "left").withColumn(name, F.col("at") + F.coalesce("parent_at", F.lit(0)))
@@ -208,11 +208,11 @@ def span_positions(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     gives an `orphan_span` issue.  Children of a depth-0 span are their own branch; what
     lies below inherits it.  Spans on or below a cycle are placed by `_cycles`.
     """
-    one = first_wins(spans, ["trace_id", "span_id"])
+    one = bucketed(_first_of_trace(spans).select("trace_id", "span_id", "parent_span_id", "started_ns", "ended_ns"), "spans")
     ids = one.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("known"))
     linked = one.join(ids, ["trace_id", "parent_span_id"], "left")
     orphan = F.col("parent_span_id").isNotNull() & F.col("known").isNull()
-    linked = materialize(linked.withColumn("orphan", orphan), "linked")
+    linked = linked.withColumn("orphan", orphan)
     up = F.when(~F.col("orphan"), F.col("parent_span_id"))
     found = climb(linked.select("trace_id", "span_id", up.alias("up"), _step(), _top()), {**STEPS, **TOP})
     heads = linked.where("orphan").select("trace_id", F.col("span_id").alias("head"), F.lit(True).alias("lost"))
