@@ -106,8 +106,16 @@ def diff_traces(spans: DataFrame, pairs: DataFrame, by_impact: bool = False) ->
     tree = preorder(tree)
     nth = F.row_number().over(Window.partitionBy("trace_id", "name", "depth").orderBy("position")) - 1
     keyed = bucketed(tree.withColumn("occurrence", nth).select("trace_id", "name", "depth", "occurrence", "position", "duration_ns"), "keyed")
-    side = lambda s: pairs.join(keyed, pairs[s] == keyed.trace_id).select("a", "b", "name", "depth", "occurrence", F.col("position").alias(f"{s}_pos"), F.col("duration_ns").alias(f"{s}_ns"))
-    both = side("a").join(side("b"), ["a", "b", "name", "depth", "occurrence"], "full_outer")
+    value = lambda s, own, c: F.col(c) if s == own else F.lit(None).cast("bigint")
+    nameless = F.col("name").isNull()  # spans without a name match nothing
+
+    def side(own: str) -> DataFrame:
+        found = pairs.join(keyed, pairs[own] == keyed.trace_id)
+        return found.select("a", "b", "name", "depth", "occurrence", F.when(nameless, own).alias("alone"), *(value(s, own, c).alias(f"{s}_{n}") for s in "ab" for c, n in (("position", "pos"), ("duration_ns", "ns"))))
+
+    # both sides are shuffled by pair, once, and matched and put in order there
+    both = side("a").unionByName(side("b")).repartition("a", "b").groupBy("a", "b", "name", "depth", "occurrence", "alone")
+    both = both.agg(*(F.max(f"{s}_{n}").alias(f"{s}_{n}") for s in "ab" for n in ("pos", "ns")))
     kind = F.when(F.col("a_pos").isNull(), "added").when(F.col("b_pos").isNull(), "removed").otherwise("matched")
     delta = F.when(F.col("a_pos").isNotNull() & F.col("b_pos").isNotNull(), F.col("b_ns") - F.col("a_ns"))
     impact = F.coalesce(F.abs(delta), "a_ns", "b_ns")
