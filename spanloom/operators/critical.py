@@ -1,6 +1,8 @@
 """Critical paths of all build graphs at once.
 
-Nodes are (trace_id, unit); edges say which units a unit unblocks.  All graphs are worked
+Nodes are (trace_id, unit); edges say which units a unit unblocks.  Spans are placed by
+trace once, and graphs of up to SMALL spans, which are nearly all, are solved where they
+lie, many in one step (`small_graphs`).  Larger ones are all worked
 on in the same joins: a round peels the units whose predecessors are all known, and
 chains of units are contracted by pointer doubling, so that rounds grow with the
 branching of the deepest graph, not with its length.  Cycles are strongly connected
@@ -11,12 +13,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import scalars as S
+from spanloom.operators import small_graphs
 from spanloom.operators.tree import occurrences
-from spanloom.sources.shared import discard, materialize
+from spanloom.sources.shared import bucketed, discard, materialize
 
 
 def build_graph(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -271,6 +274,36 @@ def walked_back(ends: DataFrame, known: DataFrame) -> DataFrame:
         jump = farther
 
 
+#: most spans of a trace that one task solves at once; larger graphs take rounds of joins
+SMALL = 10_000
+_SOLVED = "trace_id string, span_id string, unit int, duration_ns long, faults array<string>, owner boolean, solved boolean, finish long, pred int, looped boolean, edge_count int, missing array<int>, back int"
+
+
+def _parsed(spans: DataFrame) -> DataFrame:
+    """Spans with their unit, its targets and the codes of what is wrong in their text."""
+    good, bad = S.parse_unblocks(F.col("unblocks_text"))
+    unit = S.parse_unit(F.col("unit_text"))
+    rows = spans.select("trace_id", "span_id", "ord", "duration_ns", unit.alias("unit"), good.alias("targets"), F.size(bad).alias("bad"), "unit_text", "unblocks_text")
+    faults = F.array(
+        F.when(F.col("unit_text").isNotNull() & F.col("unit").isNull(), "invalid_unit"), F.when(F.col("unit").isNull() & F.col("unblocks_text").isNotNull(), "unblocks_without_unit"),
+        F.when(F.col("unit").isNotNull() & (F.col("bad") > 0), "invalid_unblocks"),
+    )
+    return rows.select("trace_id", "span_id", "ord", "duration_ns", "unit", "targets", F.array_compact(faults).alias("faults"))
+
+
+def _solved(rows: DataFrame, order: Column, lenient: bool = False) -> DataFrame:
+    """Rows of `_parsed` with what their unit has in its graph, as a table placed by trace.
+
+    The first row of a unit by `order` owns it.  Graphs of up to SMALL spans are solved
+    where they lie; rows of larger ones, of traces without a name and of sums that might
+    not fit come back as they are, not `solved`.
+    """
+    placed = rows.repartition("trace_id").sortWithinPartitions("trace_id", "unit", order)
+    placed = placed.select("trace_id", "span_id", "unit", "duration_ns", "faults", "targets")
+    most = SMALL
+    return bucketed(placed.mapInArrow(lambda batches: small_graphs.solved(batches, most, lenient), _SOLVED), "solved")
+
+
 def critical_path(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Reports, path spans and issues of every trace.
 
@@ -278,6 +311,46 @@ def critical_path(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     precedence; `critical_ns` is null and there is no path unless it is ok.  Among end
     units of equal finish the smallest counts.
     """
+    columns = ["trace_id", "span_id", "ord", "duration_ns", "unit_text", "unblocks_text"]
+    found = _solved(_parsed(spans), F.col("ord"))
+    report, path, issues = _reported(found.where("solved"))
+    large = found.where("NOT solved").select("trace_id").distinct()
+    if not large.isEmpty():
+        keyed = materialize(large, "large").select(F.struct("trace_id").alias("_key"))  # in a struct, nulls are equal
+        more = _critical_path_by_joins(spans.select(*columns).withColumn("_key", F.struct("trace_id")).join(keyed, "_key", "left_semi").drop("_key"))
+        report, path, issues = (one.unionByName(other) for one, other in zip((report, path, issues), more))
+    return report, path, issues
+
+
+def _reported(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`critical_path` of rows that `_solved` has solved; all are placed by trace, so nothing is shuffled."""
+    none = F.lit(None).cast("int")
+    issue = lambda code, unit: F.struct(F.lit(code).alias("code"), unit.alias("unit"))
+    unit, valid = F.col("unit"), F.col("unit").isNotNull()
+    # what a duplicate unit unblocks counts for nothing, whatever it is
+    of_text = F.transform(F.filter("faults", lambda c: (c != "invalid_unblocks") | F.col("owner")), lambda c: F.struct(c.alias("code"), F.when(c == "invalid_unblocks", unit).otherwise(none).alias("unit")))
+    of_graph = F.array_compact(F.array(F.when(valid & ~F.col("owner"), issue("duplicate_unit", unit)), F.when(F.col("looped"), issue("cycle", unit))))
+    every = F.concat(of_text, of_graph, F.transform("missing", lambda x: issue("missing_unit", x)))
+    codes = F.concat(F.transform(of_text, lambda x: x["code"]), F.transform(of_graph, lambda x: x["code"]), F.transform("missing", lambda x: F.lit("missing_unit")))
+    issues = found.select("trace_id", "span_id", F.explode(every).alias("i")).select("trace_id", "i.code", "span_id", "i.unit").distinct()
+    owned = lambda c: F.when(F.col("owner"), F.col(c))
+    rows = found.withColumn("codes", codes)
+    has = lambda *names: F.max(F.arrays_overlap("codes", F.array(*map(F.lit, names))))
+    report = rows.groupBy("trace_id").agg(
+        has("duplicate_unit", "invalid_unit", "invalid_unblocks", "unblocks_without_unit").alias("malformed"), has("cycle").alias("cyclic"), has("missing_unit").alias("missing"),
+        F.sum(owned("duration_ns")).alias("total_work_ns"), F.count_if("owner").alias("unit_count"), F.sum("edge_count").alias("edge_count"), F.max(F.when(F.col("back") == 0, F.col("finish"))).alias("top"), F.count("back").alias("n"),
+    )
+    status = F.when(F.col("malformed"), "malformed").when(F.col("cyclic"), "cyclic").when(F.col("missing"), "missing").when(F.col("unit_count") == 0, "no_edge").otherwise("ok")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    report = report.withColumn("status", status).withColumn("path_count", F.when(F.col("status") == "ok", F.col("n")).otherwise(F.lit(0)))
+    report = report.select("trace_id", "status", F.when(F.col("status") == "ok", F.col("top")).alias("critical_ns"), zero("total_work_ns"), zero("unit_count"), zero("edge_count"), "path_count")
+    steps = report.where("status = 'ok'").select("trace_id", F.col("path_count").alias("steps"))
+    path = found.where("back IS NOT NULL").join(steps, "trace_id").withColumn("position", (F.col("steps") - 1 - F.col("back")).cast("int"))
+    return report, path.select("trace_id", "position", "unit", "span_id", "duration_ns", F.col("finish").alias("finish_ns")), issues
+
+
+def _critical_path_by_joins(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`critical_path` of graphs of any size, by rounds of joins."""
     units, edges, issues = build_graph(spans)
     known, residue = finish_times(units, edges)
     looped = cycle_units(residue, edges)
@@ -307,6 +380,19 @@ def critical_path(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def critical_path_lenient(spans: DataFrame) -> DataFrame:
     """(trace_id, critical_ns) over what is left when bad tokens, self edges, absent targets and cycles are dropped; the last span of a unit owns it."""
+    good, _ = S.parse_unblocks(F.col("unblocks_text"))
+    rows = spans.select("trace_id", "span_id", "ord", "duration_ns", F.col("unit_text").try_cast("int").alias("unit"), good.alias("targets"), F.array().cast("array<string>").alias("faults")).where("unit IS NOT NULL")
+    found = _solved(rows, F.desc("ord"), lenient=True)
+    lengths = found.where("solved").groupBy("trace_id").agg(F.max("finish").alias("critical_ns"))
+    large = found.where("NOT solved").select("trace_id").distinct()
+    if large.isEmpty():
+        return lengths
+    keyed = materialize(large, "large").select(F.struct("trace_id").alias("_key"))
+    return lengths.unionByName(_lenient_by_joins(spans.withColumn("_key", F.struct("trace_id")).join(keyed, "_key", "left_semi").drop("_key")))
+
+
+def _lenient_by_joins(spans: DataFrame) -> DataFrame:
+    """`critical_path_lenient` of graphs of any size, by rounds of joins."""
     rows = spans.withColumn("unit", F.col("unit_text").try_cast("int")).where("unit IS NOT NULL")
     last = F.row_number().over(Window.partitionBy("trace_id", "unit").orderBy(F.desc("ord")))
     rows = materialize(rows.withColumn("_turn", last).where("_turn = 1").drop("_turn"), "lenient")

@@ -162,3 +162,31 @@ def test_deep_trees_take_few_rounds(spark, monkeypatch):
     found = {(r.trace_id, r.span_id): (r.depth, list(r.chain)) for r in tree.assemble_tree(frame).collect()}
     assert found["t", "s299"] == (299, [f"s{k}" for k in range(300)]) and found["t", "side"][0] == 151 and found["u", "r"] == (0, ["r"])
     assert len(found) == n + 2 and len(names) <= 1 + tree.TOP_LEVELS + 10
+
+
+def test_small_and_large_graphs_fare_alike(spark, monkeypatch):
+    monkeypatch.setattr(critical, "PLAIN_PEELS", 1)
+    rng, rows = random.Random(17), []
+    for k in range(8):
+        n = rng.randint(1, 9)
+        for u in range(n):
+            tokens = [str(rng.randint(u if k % 2 else 0, n)) for _ in range(rng.randint(0, 2))] + ["x"] * (rng.random() < 0.05)
+            rows.append((f"g{k}", f"s{u}", u, rng.choice([0, 1, 2, 5, None]), str(u if rng.random() < 0.97 else u - 1), ",".join(tokens) or None))
+        rows.append((f"g{k}", "plain", n, 3, None, None))
+    df = spark.createDataFrame(rows, "trace_id string, span_id string, ord long, duration_ns long, unit_text string, unblocks_text string")
+    found = []
+    for most in (10_000, 6):  # of the second some take the joins
+        monkeypatch.setattr(critical, "SMALL", most)
+        found.append([sorted(map(str, x.collect())) for x in (*critical.critical_path(df), critical.critical_path_lenient(df))])
+    assert found[0] == found[1] and all(found[0])
+
+
+def test_traces_are_solved_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        graphs = {f"g{k}": ({u: u + 1 for u in range(k)}, [(u, u + 1) for u in range(k - 1)]) for k in range(1, 8)}
+        report, path, issues = critical.critical_path(spans(spark, graphs))
+        assert {r.trace_id: (r.status, r.critical_ns, r.path_count) for r in report.collect()} == {f"g{k}": ("ok", k * (k + 1) // 2, k) for k in range(1, 8)}
+        assert issues.isEmpty() and path.count() == 28
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
