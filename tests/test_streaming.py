@@ -1,5 +1,7 @@
 import base64
 import json
+import os
+import time
 
 import pytest
 
@@ -48,3 +50,38 @@ def test_rows_are_redacted_like_spans(spark):
 def test_traces_in_several_requests(spark, con, name, monkeypatch):  # noqa: F811
     monkeypatch.setattr(source_queries, "CHUNK", 10)
     assert difference(spark, con, registry.QUERIES[name], registry.ORACLES[name], SF_DIR) is None
+
+
+def test_late_spans_are_found_by_marks_and_stored_once(spark, tmp_path):
+    table, sums, late = (str(tmp_path / x) for x in ("spans", "sums", "late"))
+    (tmp_path / "in").mkdir()
+    for n, start in enumerate(("5000000000", "1000000000")):
+        place = tmp_path / "in" / f"{n}.json"
+        place.write_text(request(3 + n).replace("1000000000", start))
+        os.utime(place, (1000 + n, 1000 + n))
+    stream = streams.stream_spans(spark, str(tmp_path / "in"), files_per_batch=1)
+    streams.keep_summaries(stream, table, sums, str(tmp_path / "state"), late=late, delay_ns=10**9).awaitTermination()
+    assert sorted((r.span_id, r.batch, r.behind_ns) for r in streams.late_spans(spark, table, late).collect()) == [(f"{i:016x}", 1, 4 * 10**9) for i in range(1, 5)]
+    assert set(spark.read.parquet(late).columns) == {"batch", "high", "delay_ns"} and spark.read.parquet(late).count() == 2
+    assert [(r.span_count, r.started_ns) for r in streams.latest_summaries(spark, sums).collect()] == [(4, 10**9)]
+
+
+def shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for x in range(found.size()) if (name := found.apply(x).getName()).startswith("shuffle_")}
+
+
+def test_batches_and_requests_leave_no_shuffle_files(spark, tmp_path):
+    before = shuffle_files(spark)
+    (tmp_path / "in").mkdir()
+    for n in range(2):
+        (tmp_path / "in" / f"{n}.json").write_text(request(30))
+    spans = streams.deduplicated(streams.stream_spans(spark, str(tmp_path / "in"), files_per_batch=1), "1 day")
+    streams.ingest(spans, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 30
+    source_queries._requests(spark, "/root/testdata/sf0.001")
+    for _ in range(50):
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.2)
+    assert shuffle_files(spark) <= before
