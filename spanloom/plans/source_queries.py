@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import marks, timeline
 from spanloom.plans.projections import sql, view
-from spanloom.plans.trace_queries import ORACLES, _runs, _suites, register
+from spanloom.plans.trace_queries import ORACLES, _runs, register
 from spanloom.sources import adapters as reports
 from spanloom.sources import readers, store
-from spanloom.sources.shared import discard, folder, lean
+from spanloom.sources.shared import bucketed, discard, folder, lean
 from spanloom.streaming import adapters
 from spanloom.streaming import spans as streams
 
@@ -126,32 +126,39 @@ def mark_lines(spark, sf_dir):
 
 @register("A7_read_junit_xml", ORACLES["E9_case_layout"].replace("i.name, CASE", "i.name, CASE").replace("SELECT i.run_id, i.suite, i.case_no, i.name,", "SELECT i.run_id, i.suite AS suite_name, i.case_no - 1 AS case_no, i.name,"))
 def junit(spark, sf_dir):
-    suites, _ = _suites(spark, sf_dir)
     rows = _suite_rows(spark, sf_dir)
     case = F.when(F.col("case_no").isNotNull(), F.concat(F.lit('<testcase name="'), "case_name", F.lit('" time="'), F.col("case_seconds").cast("bigint").cast("string"), F.lit('">'), F.when(F.col("failed"), "<failure/>").otherwise(""), F.lit("</testcase>")))
-    body = rows.groupBy("run_id", "suite", "suite_seconds").agg(F.sort_array(F.collect_list(F.struct("case_no", case.alias("x")))).alias("c"))
+    body = rows.groupBy("o_orderkey", "run_id", "suite_seconds").agg(F.sort_array(F.collect_list(F.struct("case_no", case.alias("x")))).alias("c"))
+    body = body.withColumn("suite", F.expr("'o' || o_orderkey"))
     inner = F.array_join(F.transform("c", lambda x: F.coalesce(x["x"], F.lit(""))), "")
     suite = F.concat(F.lit('<testsuite name="'), "suite", F.lit('" time="'), F.col("suite_seconds").cast("bigint").cast("string"), F.lit('">'), inner, F.lit("</testsuite>"))
     docs = body.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("suite", suite.alias("x")))).alias("s"))
     path = folder(spark, "junit")
-    docs.select("run_id", F.concat(F.lit('<?xml version="1.0"?>\n<testsuites>'), F.array_join(F.transform("s", lambda x: x["x"]), ""), F.lit("</testsuites>")).alias("value")).write.parquet(path)
-    cases = readers.junit_cases(spark.read.parquet(path))
-    runs = docs.select("run_id", F.lit(0).cast("bigint").alias("started_ns"), F.lit(2_000_000_000_000_000).alias("ended_ns"))
+    with lean(spark):
+        docs.select("run_id", F.concat(F.lit('<?xml version="1.0"?>\n<testsuites>'), F.array_join(F.transform("s", lambda x: x["x"]), ""), F.lit("</testsuites>")).alias("value")).write.parquet(path)
+    pages = spark.read.parquet(path)
+    # read once; all cases of a run lie in one bucket, so their layout shuffles suites alone
+    cases = bucketed(readers.junit_cases(pages.repartition("run_id")), "cases", "run_id")
+    discard(path)
+    runs = cases.select("run_id").distinct().select("run_id", F.lit(0).cast("bigint").alias("started_ns"), F.lit(2_000_000_000_000_000).alias("ended_ns"))
     found, tests = marks.suite_layout(cases, runs)
     names = found.select("run_id", "suite", F.col("name").alias("suite_name"))
     return tests.join(names, ["run_id", "suite"]).select("run_id", "suite_name", "case_no", "name", "status", "started_ns", "ended_ns")
 
 
 def _suite_rows(spark, sf_dir):
+    """Orders as suites with their lines as cases, by one shuffle of orders and one of lines by order."""
     from pyspark.sql import Window
 
-    lines = view(spark, sf_dir, "td_lines")
-    number = F.row_number().over(Window.partitionBy("parent_span_id").orderBy("span_id"))
-    cases = lines.select(F.col("trace_id").alias("run_id"), F.col("parent_span_id").alias("suite"), number.alias("case_no"), F.col("span_id").alias("case_name"), F.expr("(ended_ns - started_ns) div 1000000000").cast("double").alias("case_seconds"), (F.col("status") == 2).alias("failed"))
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    own = F.expr("unix_micros(CAST(o_orderdate AS TIMESTAMP)) div 1000000 % 500000")
-    suites = orders.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("run_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("suite"), own.cast("double").alias("suite_seconds"))
-    return suites.join(cases, ["run_id", "suite"], "left")
+    # numbers, joins and reports of orders all keep to the one placing by order
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey", "'c' || o_custkey AS run_id", "unix_micros(CAST(o_orderdate AS TIMESTAMP)) AS o_us")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey AS o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "CAST(l_quantity AS BIGINT) * 3600 AS hours_s", "l_returnflag <=> 'R' AS failed")
+    number = F.row_number().over(Window.partitionBy("o_orderkey").orderBy("case_name"))
+    cases = orders.join(lines, "o_orderkey").withColumn("case_name", F.expr("'l' || o_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"))
+    cases = cases.select("o_orderkey", "run_id", number.alias("case_no"), "case_name", F.expr("CASE WHEN o_us IS NOT NULL AND l_partkey IS NOT NULL THEN CAST(hours_s AS DOUBLE) END AS case_seconds"), "failed")
+    suites = orders.select("o_orderkey", "run_id", F.expr("CAST(o_us div 1000000 % 500000 AS DOUBLE) AS suite_seconds"))
+    return suites.join(cases, ["o_orderkey", "run_id"], "left")
 
 
 @register("J1_stream_spans", _SPANS)

@@ -2,7 +2,7 @@
 
 import glob
 
-from spanloom.operators import timeline, tree
+from spanloom.operators import marks, timeline, tree
 from spanloom.plans import projections, source_queries
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -41,3 +41,11 @@ def test_nameless_spans_match_nothing_in_a_diff(spark):
     spans = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, name string, started_ns long, duration_ns long, ord long")
     found = timeline.diff_traces(spans, spark.createDataFrame([("a", "b")], "a string, b string"))
     assert [(r.position, r.kind, r.name) for r in found.orderBy("position").collect()] == [(0, "matched", "root"), (1, "removed", None), (2, "added", None)]
+
+
+def test_reports_of_tests_are_read_once_and_laid_out_once(spark, monkeypatch):
+    names, plain = [], marks.materialize
+    monkeypatch.setattr(marks, "materialize", lambda df, name: names.append(name) or plain(df, name))
+    found = source_queries.junit(spark, SF_DIR)
+    assert names == ["suites"] and "from_xml" not in found._jdf.queryExecution().toString()
+    assert shuffles(source_queries._suite_rows(spark, SF_DIR)) <= 3
