@@ -107,9 +107,30 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ord", F.row_number().over(trace.orderBy("started_ns", "span_id", "ended_ns", "status")).cast("bigint"))
 
 
+def _units(spark: SparkSession, sf_dir: str, ok: bool) -> DataFrame:
+    """`td_units` or `td_units_ok` by one shuffle of orders and lines by trace_id, here the id of the order.
+
+    The SQL text shuffles them by order, by parent and by trace; graphs need no other shuffle after this one.
+    """
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("'o' || o_orderkey AS trace_id", "unix_micros(CAST(o_orderdate AS TIMESTAMP)) * 1000 AS o_ns")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("'o' || l_orderkey AS trace_id", "l_linenumber", "l_partkey", "l_suppkey", f"CAST(l_quantity AS BIGINT) * {_HOUR} AS work")
+    rows = orders.join(lines, "trace_id").withColumn("span_id", F.expr("'l' || substr(trace_id, 2) || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"))
+    order = Window.partitionBy("trace_id")
+    rows = rows.withColumn("unit", F.row_number().over(order.orderBy("span_id")) - 1)
+    unblocks = "CASE WHEN unit % 3 <> 2 THEN (unit + 1) || ',' || (unit + 2) ELSE CAST(unit + 2 AS STRING) END"
+    if ok:
+        rows = rows.withColumn("m", F.count("*").over(order) - 1)
+        unblocks = """CASE WHEN unit % 3 <> 2 AND unit + 2 <= m THEN (unit + 1) || ',' || (unit + 2)
+            WHEN unit % 3 <> 2 AND unit + 1 <= m THEN CAST(unit + 1 AS STRING) WHEN unit % 3 = 2 AND unit + 2 <= m THEN CAST(unit + 2 AS STRING) END"""
+    duration = "CASE WHEN o_ns IS NOT NULL AND l_partkey IS NOT NULL THEN work END AS duration_ns"
+    return rows.selectExpr("trace_id", "unit", "span_id", duration, f"{unblocks} AS unblocks")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "td_spans":
         return _spans(spark, sf_dir)
+    if name in ("td_units", "td_units_ok"):
+        return _units(spark, sf_dir, name == "td_units_ok")
     text = sql(name, duckdb=False)
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
     return spark.sql(f"{text} SELECT * FROM {name}", **frames)

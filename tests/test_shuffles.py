@@ -2,8 +2,10 @@
 
 import glob
 
-from spanloom.operators import marks, timeline, tree
-from spanloom.plans import projections, source_queries
+from pyspark.sql import functions as F
+
+from spanloom.operators import critical, marks, timeline, tree
+from spanloom.plans import projections, source_queries, trace_queries
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -49,3 +51,16 @@ def test_reports_of_tests_are_read_once_and_laid_out_once(spark, monkeypatch):
     found = source_queries.junit(spark, SF_DIR)
     assert names == ["suites"] and "from_xml" not in found._jdf.queryExecution().toString()
     assert shuffles(source_queries._suite_rows(spark, SF_DIR)) <= 3
+
+
+def test_units_are_placed_by_trace_by_one_shuffle_of_orders_and_lines(spark, monkeypatch):
+    for name in ("td_units", "td_units_ok"):
+        found = projections.view(spark, SF_DIR, name)
+        text = projections.sql(name, duckdb=False)
+        plain = spark.sql(f"{text} SELECT * FROM {name}", **{t: spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("orders", "lineitem")})
+        assert found.columns == plain.columns and found.dtypes == plain.dtypes
+        assert found.exceptAll(plain).isEmpty() and found.count() == plain.count()
+    plans, plain = [], critical.bucketed
+    monkeypatch.setattr(critical, "bucketed", lambda df, name: plans.append(df) or plain(df, name))
+    critical._solved(critical._parsed(trace_queries._unit_spans(spark, SF_DIR, "td_units_ok")), F.col("ord"))
+    assert shuffles(plans[0]) <= 2
