@@ -64,3 +64,11 @@ def test_units_are_placed_by_trace_by_one_shuffle_of_orders_and_lines(spark, mon
     monkeypatch.setattr(critical, "bucketed", lambda df, name: plans.append(df) or plain(df, name))
     critical._solved(critical._parsed(trace_queries._unit_spans(spark, SF_DIR, "td_units_ok")), F.col("ord"))
     assert shuffles(plans[0]) <= 2
+
+
+def test_reports_are_validated_in_one_pass(spark):
+    found = trace_queries.critical_broken(spark, SF_DIR)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 3
+    report = spark.createDataFrame([("a", "ok", 5, 4, 2), ("b", "cyclic", 1, 2, 0)], "trace_id string, status string, critical_ns long, total_work_ns long, path_count long")
+    path = spark.createDataFrame([("a", 2), ("a", 2)], "trace_id string, duration_ns long")
+    assert sorted(map(tuple, critical.validate(report, path).collect())) == [("a", "path_sum"), ("a", "work_below_path"), ("b", "path_without_ok")]
