@@ -12,7 +12,7 @@ from spanloom.plans.projections import sql, view
 from spanloom.plans.trace_queries import ORACLES, _runs, register
 from spanloom.sources import adapters as reports
 from spanloom.sources import readers, store
-from spanloom.sources.shared import bucketed, discard, folder, lean
+from spanloom.sources.shared import bucketed, discard, folder, lean, sized
 from spanloom.streaming import adapters
 from spanloom.streaming import spans as streams
 
@@ -22,7 +22,16 @@ CHUNK = 1000
 
 def _requests(spark, sf_dir) -> str:
     """The spans as exported requests, one a line, of at most CHUNK spans of a trace, in compressed files."""
-    rows = view(spark, sf_dir, "td_spans")
+    path = folder(spark, "requests")
+    rows = sum(spark.read.parquet(f"{sf_dir}/{table}.parquet").count() for table in ("orders", "lineitem"))
+    # spans are sorted and collected by tasks that do not spill, however few partitions the session names
+    with lean(spark), sized(spark, rows):
+        _as_requests(view(spark, sf_dir, "td_spans")).write.text(path, compression="gzip")
+    return path
+
+
+def _as_requests(rows):
+    """Requests of spans; placed by trace like the spans, so what is collected is not shuffled again."""
     kinds, codes = F.array(*map(F.lit, ("UNSPECIFIED", "INTERNAL", "SERVER", "CLIENT"))), F.array(*map(F.lit, ("UNSET", "OK", "ERROR")))
     id64 = lambda c: F.base64(F.col(c).cast("binary"))
     kv = F.array(F.struct(F.lit("size").alias("key"), F.struct((F.col("duration_ns") % 1000003).cast("string").alias("intValue")).alias("value")))
@@ -33,11 +42,7 @@ def _requests(spark, sf_dir) -> str:
     docs = rows.groupBy("trace_id", F.expr(f"ord div {CHUNK}").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("ord", span.alias("s")))).alias("s"))
     service = F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.lit("shop").alias("stringValue")).alias("value")))
     doc = F.struct(F.array(F.struct(F.struct(service.alias("attributes")).alias("resource"), F.array(F.struct(F.transform("s", lambda x: x["s"]).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"))
-    path = folder(spark, "requests")
-    # placed by trace like the spans, so what is collected is not shuffled again
-    with lean(spark):
-        docs.select(F.to_json(doc).alias("value")).write.text(path, compression="gzip")
-    return path
+    return docs.select(F.to_json(doc).alias("value"))
 
 
 _HEX = "lower(hex({0}))"

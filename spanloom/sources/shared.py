@@ -81,12 +81,17 @@ def discard(*tables: DataFrame | str | None) -> None:
 _LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.streaming.stateStore.compression.codec": "zstd"}
 
 
+#: rows that a partition of a shuffle inside `sized` holds on average at most
+ROWS = 300_000
+#: what AQE joins such partitions to, and how much of a file a task reads, so that few rows wait in a sort or a shuffle's buffer
+_SIZED = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m", "spark.sql.files.maxPartitionBytes": "32m"}
+
+
 @contextmanager
-def lean(spark: SparkSession) -> Iterator[None]:
-    """Tables written and streams started inside keep no shuffle files once a job, or a batch, has ended."""
-    before = {key: spark.conf.get(key) for key in _LEAN}
+def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {key: spark.conf.get(key) for key in settings}
     try:
-        for key, value in _LEAN.items():
+        for key, value in settings.items():
             spark.conf.set(key, value)
         yield
     finally:
@@ -94,6 +99,24 @@ def lean(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Tables written and streams started inside keep no shuffle files once a job, or a batch, has ended."""
+    with _set(spark, _LEAN):
+        yield
+
+
+@contextmanager
+def sized(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Tables planned and written inside come from tasks that grow in number with `rows`, not in size.
+
+    More partitions than the session names are used, never fewer; rows of one key stay together.
+    """
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+    with _set(spark, _SIZED | {"spark.sql.shuffle.partitions": str(parts)}):
+        yield
+
+
 def kept_alone(step: Callable[[], DataFrame], name: str) -> DataFrame:
     """The result of a step as a table, after which the tables that the step wrote are deleted."""
     before = set(_STANDING)

@@ -7,6 +7,7 @@ import pytest
 
 from spanloom.operators.redaction import redact_spans
 from spanloom.plans import registry, source_queries
+from spanloom.sources import shared
 from spanloom.sources.readers import otlp_spans
 from spanloom.streaming import spans as streams
 from tests.compare import difference
@@ -85,3 +86,19 @@ def test_batches_and_requests_leave_no_shuffle_files(spark, tmp_path):
             break
         time.sleep(0.2)
     assert shuffle_files(spark) <= before
+
+
+def test_requests_are_written_by_tasks_of_bounded_size(spark, con, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(shared, "ROWS", 500, raising=False)
+    settings = {"spark.sql.shuffle.partitions": "2", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        path = source_queries._requests(spark, SF_DIR)
+        assert len(spark.read.text(path).inputFiles()) > 10
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "2"
+        assert difference(spark, con, registry.QUERIES["A13_otlp_labels"], registry.ORACLES["A13_otlp_labels"], SF_DIR) is None
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
