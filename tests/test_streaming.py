@@ -102,3 +102,17 @@ def test_requests_are_written_by_tasks_of_bounded_size(spark, con, monkeypatch):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_requests_are_collected_by_sorted_groups_of_text(spark, monkeypatch):
+    plans, plain = [], source_queries._as_requests
+    monkeypatch.setattr(source_queries, "_as_requests", lambda rows: plans.append(plain(rows)) or plans[-1])
+    kept = spark.conf.get("spark.sql.execution.useObjectHashAggregateExec")
+    path = source_queries._requests(spark, SF_DIR)
+    assert spark.conf.get("spark.sql.execution.useObjectHashAggregateExec") == kept
+    with shared.sized(spark, 1):
+        text = plain(source_queries.view(spark, SF_DIR, "td_spans"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in text and "ObjectHashAggregate" not in text and "lambda x" not in text
+    found = [json.loads(r.value)["resourceSpans"][0]["scopeSpans"][0]["spans"] for r in spark.read.text(path).collect()]
+    assert sum(map(len, found)) == source_queries.view(spark, SF_DIR, "td_spans").count()
+    assert all(s == sorted(s, key=lambda x: int(x["startTimeUnixNano"])) for s in found)
