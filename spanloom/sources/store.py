@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.redaction import DEFAULT_POLICY, Policy, redact_labels, redact_spans
 from spanloom.operators.timeline import trace_summaries
 from spanloom.operators.tree import first_wins
 from spanloom.sources.readers import ATTRIBUTES, LINKS
-from spanloom.sources.shared import discard, materialize
+from spanloom.sources.shared import discard, lean, materialize
 
 TABLES = ("traces", "spans", "span_attributes", "span_diagnostics", "span_links", "span_link_attributes")
 
@@ -23,7 +23,17 @@ def write_spans(spans: DataFrame, path: str, source: str, policy: Policy | None
     so that a date gets few files and a busy one is split.  `labels` holds (trace_id,
     run_label).  Labels and root names are redacted with the spans.
     """
+    with lean(spans.sparkSession):
+        _write(spans, path, source, policy, mode, grain, labels)
+
+
+def _write(spans: DataFrame, path: str, source: str, policy: Policy | None, mode: str, grain: str, labels: DataFrame | None) -> None:
+    day = F.to_date(F.date_trunc(grain, F.timestamp_micros(F.expr("started_ns div 1000"))))
     spans = first_wins(spans, ["trace_id", "span_id"])
+    # the start of its trace goes with every span, so that spans are not joined with traces for each table
+    early = Window.partitionBy("trace_id").orderBy(F.asc_nulls_last("started_ns")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    date = F.to_date(F.date_trunc(grain, F.timestamp_micros(F.expr("_start div 1000"))))
+    spans = spans.withColumn("_start", F.min("started_ns").over(early)).withColumn("trace_date", date).drop("_start")
     if policy:
         spans = redact_spans(spans, policy)
     # six tables are written from these rows
@@ -31,8 +41,7 @@ def write_spans(spans: DataFrame, path: str, source: str, policy: Policy | None
     traces = trace_summaries(spans)
     traces = traces.join(labels.select("trace_id", "run_label"), "trace_id", "left") if labels is not None else traces.withColumn("run_label", F.lit(None).cast("string"))
     traces = (redact_labels(traces, policy) if policy else traces).withColumn("created_at", F.current_timestamp())
-    day = F.to_date(F.date_trunc(grain, F.timestamp_micros(F.expr("started_ns div 1000"))))
-    keyed = spans.join(traces.select("trace_id", day.alias("trace_date")), "trace_id")
+    keyed = spans.where(F.col("trace_id").isNotNull())
     links = keyed.select("trace_date", "trace_id", "span_id", F.posexplode("links").alias("link_index", "l"))
     tables = {
         "traces": traces.withColumn("trace_date", day),
@@ -61,10 +70,12 @@ def read_spans(spark: SparkSession, path: str, where: str = "true") -> DataFrame
 
     t = {name: spark.read.parquet(posixpath.join(path, name)).where(where).drop("source", "trace_date") for name in TABLES[1:] if _has(spark, posixpath.join(path, name))}
     keys = ["trace_id", "span_id"]
+    # attributes are placed by trace like the spans, so neither is shuffled again where they meet
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     spans = scan(t["spans"], ["trace_id"], ["started_ns", "span_id"], before=position()).withColumn("ord", F.col("before") + 1).drop("before")
     attrs = lambda rows, by: rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("key", "value_type", "value"))).alias("attributes"))
     if "span_attributes" in t:
-        spans = spans.join(attrs(t["span_attributes"], keys), keys, "left")
+        spans = spans.join(attrs(t["span_attributes"].repartition("trace_id"), keys), keys, "left")
     else:
         spans = spans.withColumn("attributes", F.lit(None).cast(ATTRIBUTES))
     if "span_diagnostics" in t:

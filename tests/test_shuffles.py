@@ -1,6 +1,7 @@
 """What is shuffled, and what no longer is."""
 
 import glob
+import time
 
 from pyspark.sql import functions as F
 
@@ -72,3 +73,30 @@ def test_reports_are_validated_in_one_pass(spark):
     report = spark.createDataFrame([("a", "ok", 5, 4, 2), ("b", "cyclic", 1, 2, 0)], "trace_id string, status string, critical_ns long, total_work_ns long, path_count long")
     path = spark.createDataFrame([("a", 2), ("a", 2)], "trace_id string, duration_ns long")
     assert sorted(map(tuple, critical.validate(report, path).collect())) == [("a", "path_sum"), ("a", "work_below_path"), ("b", "path_without_ok")]
+
+
+def test_stored_spans_are_shuffled_once_a_table_and_leave_no_shuffle_files(spark, tmp_path, monkeypatch):
+    from spanloom.sources import store
+    from tests.test_streaming import shuffle_files
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before, plans, plain = shuffle_files(spark), [], store.materialize
+    monkeypatch.setattr(store, "materialize", lambda df, name: plans.append(df) or plain(df, name))
+    try:
+        attributes = F.array(F.struct(F.lit("label").alias("key"), F.lit("str").alias("value_type"), F.col("name").alias("value")))
+        rows = projections.view(spark, SF_DIR, "td_spans").withColumn("attributes", attributes).withColumn("links", F.array().cast(store.LINKS))
+        rows = rows.withColumns({c: F.lit(0).cast("bigint") for c in ("dropped_attributes_count", "dropped_links_count")})
+        store.write_spans(rows, str(tmp_path), "tests", grain="year")
+        assert "trace_date" in plans[0].columns and shuffles(plans[0]) <= 3
+        for _ in range(50):
+            if shuffle_files(spark) <= before:
+                break
+            time.sleep(0.2)
+        assert shuffle_files(spark) <= before
+        assert shuffles(store.read_spans(spark, str(tmp_path)).drop("links")) <= 2
+        stored, traces = (spark.read.parquet(str(tmp_path / x)) for x in ("spans", "traces"))
+        dates = stored.groupBy("trace_id", "trace_date").agg(F.count("*").alias("span_count"))
+        assert dates.exceptAll(traces.select(dates.columns)).isEmpty() and dates.count() == traces.count() > 10
+        assert traces.where("year(timestamp_micros(started_ns div 1000)) <> year(trace_date)").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
