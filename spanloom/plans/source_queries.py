@@ -20,17 +20,20 @@ from spanloom.streaming import spans as streams
 CHUNK = 1000
 
 
-def _requests(spark, sf_dir) -> str:
-    """The spans as exported requests, one a line, of at most CHUNK spans of a trace, in compressed files."""
+def _requests(spark, sf_dir, *apart: str) -> str:
+    """The spans as exported requests, one a line, of at most CHUNK spans of a trace, in compressed files.
+
+    Spans that differ in the expressions `apart` are in requests of their own.
+    """
     path = folder(spark, "requests")
     rows = sum(spark.read.parquet(f"{sf_dir}/{table}.parquet").count() for table in ("orders", "lineitem"))
     # spans are sorted and collected by tasks that do not spill, however few partitions the session names
     with lean(spark), sized(spark, rows):
-        _as_requests(view(spark, sf_dir, "td_spans")).write.text(path, compression="gzip")
+        _as_requests(view(spark, sf_dir, "td_spans"), *apart).write.text(path, compression="gzip")
     return path
 
 
-def _as_requests(rows):
+def _as_requests(rows, *apart: str):
     """Requests of spans; placed by trace like the spans, so what is collected is not shuffled again."""
     kinds, codes = F.array(*map(F.lit, ("UNSPECIFIED", "INTERNAL", "SERVER", "CLIENT"))), F.array(*map(F.lit, ("UNSET", "OK", "ERROR")))
     id64 = lambda c: F.base64(F.col(c).cast("binary"))
@@ -40,7 +43,7 @@ def _as_requests(rows):
         F.col("started_ns").cast("string").alias("startTimeUnixNano"), F.col("ended_ns").cast("string").alias("endTimeUnixNano"), kv.alias("attributes"), F.struct(F.concat(F.lit("STATUS_CODE_"), F.element_at(codes, F.col("status") + 1)).alias("code")).alias("status"),
     )
     # spans are collected as text, which is copied and sorted for less than nested columns
-    docs = rows.groupBy("trace_id", F.expr(f"ord div {CHUNK}").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("ord", F.to_json(span).alias("s")))).alias("s"))
+    docs = rows.groupBy("trace_id", F.expr(f"ord div {CHUNK}").alias("chunk"), *map(F.expr, apart)).agg(F.sort_array(F.collect_list(F.struct("ord", F.to_json(span).alias("s")))).alias("s"))
     spans = F.array_join(F.transform("s", lambda x: x["s"]), ",")
     return docs.select(F.concat(F.lit(_BEFORE), spans, F.lit("]}]}]}")).alias("value"))
 
@@ -211,15 +214,13 @@ def late_rows(spark, sf_dir):
 
 def _arrived(spark, sf_dir):
     """Summaries, spans and marks of late ones after two batches, the second of which has the leaf spans."""
-    path, first = _requests(spark, sf_dir), folder(spark, "arrivals")
+    path, first = _requests(spark, sf_dir, "kind = 1"), folder(spark, "arrivals")
     table, summaries, late, state = (folder(spark, x) for x in ("spans", "summaries", "late", "state"))
     docs = spark.read.text(path)
-    schema = "resourceSpans array<struct<resource:string,scopeSpans:array<struct<spans:array<string>>>>>"
-    parsed = docs.select(F.from_json("value", schema).alias("d"))
-    part = lambda early: F.struct(F.transform("d.resourceSpans", lambda r: F.struct(F.transform(r["scopeSpans"], lambda s: F.struct(F.filter(s["spans"], lambda x: (F.get_json_object(x, "$.kind") == "SPAN_KIND_INTERNAL") != F.lit(early)).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"))
-    unquoted = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r'\\"', '"'), r'"\{', "{"), r'\}"', "}")
+    # a request has either leaf spans or none; quotes within texts are escaped
+    leaves = F.contains("value", F.lit('"kind":"SPAN_KIND_INTERNAL"'))
     for early in (True, False):
-        parsed.select(unquoted(F.to_json(part(early))).alias("value")).write.mode("append").text(first, compression="gzip")
+        docs.where(~leaves if early else leaves).write.mode("append").text(first, compression="gzip")
         if not early:
             discard(path)
         streams.keep_summaries(streams.stream_spans(spark, first, files_per_batch=100_000), table, summaries, state, late=late, delay_ns=_DELAY).awaitTermination()

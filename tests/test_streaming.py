@@ -116,3 +116,21 @@ def test_requests_are_collected_by_sorted_groups_of_text(spark, monkeypatch):
     found = [json.loads(r.value)["resourceSpans"][0]["scopeSpans"][0]["spans"] for r in spark.read.text(path).collect()]
     assert sum(map(len, found)) == source_queries.view(spark, SF_DIR, "td_spans").count()
     assert all(s == sorted(s, key=lambda x: int(x["startTimeUnixNano"])) for s in found)
+
+
+def test_late_requests_are_told_by_their_text(spark, monkeypatch):
+    plain, batches = streams.stream_spans, []
+
+    def arriving(spark, path, **more):
+        found = [json.loads(r.value)["resourceSpans"][0]["scopeSpans"][0]["spans"] for r in spark.read.text(path).collect()]
+        batches.append([{s["kind"] == "SPAN_KIND_INTERNAL" for s in x} for x in found])
+        return plain(spark, path, **more)
+
+    def parses(*_):
+        raise AssertionError("requests are parsed to be told apart")
+
+    monkeypatch.setattr(streams, "stream_spans", arriving)
+    monkeypatch.setattr(source_queries.F, "get_json_object", parses)
+    source_queries._arrived(spark, SF_DIR)
+    early, both = batches
+    assert early and all(x == {False} for x in early) and len(both) > len(early) and all(x in ({False}, {True}) for x in both)
