@@ -134,3 +134,17 @@ def test_late_requests_are_told_by_their_text(spark, monkeypatch):
     source_queries._arrived(spark, SF_DIR)
     early, both = batches
     assert early and all(x == {False} for x in early) and len(both) > len(early) and all(x in ({False}, {True}) for x in both)
+
+
+def test_keys_of_a_long_delay_lie_on_disk(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n in range(2):
+        (tmp_path / "in" / f"{n}.json").write_text(request(200))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    kept = spark.conf.get(provider, None)
+    query = streams.ingest(streams.deduplicated(streams.stream_spans(spark, str(tmp_path / "in"), files_per_batch=1), "36500 days"), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    metrics = [o["customMetrics"] for p in query.recentProgress for o in p["stateOperators"]]
+    assert metrics and all("rocksdbPutCount" in x for x in metrics)
+    assert spark.conf.get(provider, None) == kept
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 200
